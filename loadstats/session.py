@@ -33,6 +33,8 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     conf = dict(BASE_CONF)
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if master and master.startswith("local"):
+        conf.setdefault("spark.driver.memory", "16g")   # local mode: the driver JVM is the executor
     conf.update(extra or {})
     for k, v in conf.items():
         builder = builder.config(k, v)

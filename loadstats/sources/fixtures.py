@@ -152,7 +152,12 @@ def with_views(sql: str, *names: str) -> str:
     for n in names:
         visit(n)
     ctes = ",\n".join(f"{n} AS ({VIEW_SQL[n]})" for n in order)
-    return f"WITH {ctes}\n{sql}" if ctes else sql
+    if not ctes:
+        return sql
+    body = sql.lstrip()
+    if body[:5].upper() == "WITH ":
+        return f"WITH {ctes},\n{body[5:]}"
+    return f"WITH {ctes}\n{sql}"
 
 
 VIEWS = {

@@ -202,7 +202,7 @@ def _interp_sql(c, limit=3):
     nv = f"first_value({c} IGNORE NULLS) {bf}"
     nt = f"first_value(CASE WHEN {c} IS NOT NULL THEN {t} END IGNORE NULLS) {bf}"
     np_ = f"first_value(CASE WHEN {c} IS NOT NULL THEN rn END IGNORE NULLS) {bf}"
-    interp = f"({pv}) + (({nv}) - ({pv})) * ({t} - ({pt})) / (({nt}) - ({pt}))"
+    interp = f"({pv}) + (({nv}) - ({pv})) * (({t} - ({pt})) / (({nt}) - ({pt})))"
     return (f"CASE WHEN {c} IS NOT NULL THEN {s6(c)} WHEN ({np_}) - ({pp}) - 1 <= {limit} "
             f"THEN {s6(interp)} END AS {c}")
 

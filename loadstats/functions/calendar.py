@@ -131,7 +131,8 @@ def clip(c, lo: float = -3.0, hi: float = 3.0) -> Column:
 
 def round_report(c, digits: int = 2) -> Column:
     """E14."""
-    return F.round(col_(c), digits)
+    from .stats import round_half_away
+    return round_half_away(col_(c), digits)
 
 
 def canonical_city(c) -> Column:

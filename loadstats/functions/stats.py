@@ -47,3 +47,18 @@ def attach_scalars(df, aggs):
     """
     vals = scalars(df, aggs)
     return df.select("*", *[_lit(v).alias(k) for k, v in vals.items()])
+
+
+def round_half_away(c, digits: int = 2) -> Column:
+    """Round on the binary value, half away from zero: rint(x * 10^d) / 10^d with
+    exact ties moved away from zero (``x % 1.0`` is exact), i.e. C ``round``.
+
+    ``F.round`` rounds the shortest decimal text of the double instead, which
+    differs on values whose text ends in 5 but whose binary value does not.
+    """
+    x = F.col(c) if isinstance(c, str) else c
+    p = float(10 ** digits)
+    y = x * F.lit(p)
+    frac = y % F.lit(1.0)
+    r = F.when(F.abs(frac) == F.lit(0.5), y + F.signum(y) * F.lit(0.5)).otherwise(F.rint(y))
+    return F.when(x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))), x).otherwise(r / F.lit(p))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.stats import attach_scalars, scalars, _lit
+from ..functions.stats import _lit, attach_scalars, round_half_away, scalars
 from .frames import carry_backward, carry_forward
 
 NUMERIC_TYPES = ("double", "float", "int", "bigint", "smallint", "tinyint")
@@ -253,7 +253,7 @@ def missing_profile(df: DataFrame, only_missing: bool = True) -> DataFrame:
     out = one.select("_rows", stack.alias("s")).select(
         "s.column", "s.dtype", F.col("s.non_null").cast("bigint").alias("non_null"),
         F.col("s.null_count").cast("bigint").alias("null_count"),
-        F.round(F.try_divide(F.col("s.null_count") * F.lit(100.0), F.col("_rows")), 2).alias("null_pct"))
+        round_half_away(F.try_divide(F.col("s.null_count") * F.lit(100.0), F.col("_rows")), 2).alias("null_pct"))
     return out.where(F.col("null_count") > 0) if only_missing else out
 
 

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import attach_scalars
+from ..functions.stats import attach_scalars, round_half_away
 
 # Fixed value: pairs with |r| at or above this (after rounding to 2) are "high".
 HIGH_CORR = 0.7
@@ -23,10 +23,16 @@ def _as_list(x):
     return [x] if isinstance(x, str) else list(x)
 
 
+def money_mean(c) -> Column:
+    """Mean of a money-like column (two decimals) from an exact decimal sum, so the
+    result does not depend on the order rows arrive in (SURVEY 7.4)."""
+    return F.try_divide(F.sum(F.col(c).cast("decimal(18,2)")).cast("double"), F.count(c).cast("double"))
+
+
 def daily_summary(df: DataFrame, ts="timestamp", value="demand", temp="temperature") -> DataFrame:
     """A1: by (city, date)."""
     return (df.groupBy("city", F.to_date(ts).alias("date"))
-              .agg(F.avg(value).alias("avg_demand"), F.max(value).alias("max_demand"),
+              .agg(money_mean(value).alias("avg_demand"), F.max(value).alias("max_demand"),
                    F.min(value).alias("min_demand"), F.avg(temp).alias("avg_temp")))
 
 
@@ -37,13 +43,13 @@ def weekly_summary(df: DataFrame, ts="timestamp", value="demand", temp="temperat
     if with_year:
         keys.append(F.expr(f"extract(YEAROFWEEK FROM `{ts}`)").alias("iso_year"))
     keys.append(F.weekofyear(ts).alias("week"))
-    return df.groupBy(*keys).agg(F.avg(value).alias("avg_demand"), F.avg(temp).alias("avg_temp"))
+    return df.groupBy(*keys).agg(money_mean(value).alias("avg_demand"), F.avg(temp).alias("avg_temp"))
 
 
 def profile_by(df: DataFrame, part: str, ts="timestamp", value="demand") -> DataFrame:
     """A3-A5: mean by hour of day, weekday (Mon=0) or month."""
     fn = {"hour": F.hour, "dayofweek": F.weekday, "month": F.month}[part]
-    return df.groupBy(fn(ts).alias(part)).agg(F.avg(value).alias(f"avg_{value}"),
+    return df.groupBy(fn(ts).alias(part)).agg(money_mean(value).alias(f"avg_{value}"),
                                               F.count(value).alias("n"))
 
 
@@ -65,7 +71,7 @@ def describe(df: DataFrame, cols: Sequence[str], digits: int = 2) -> DataFrame:
                                         F.col(f"mu{i}").alias("mean"), F.col(f"sd{i}").alias("std"),
                                         F.col(f"lo{i}").alias("min"), F.col(f"q{i}").alias("q"),
                                         F.col(f"hi{i}").alias("max")) for i, c in enumerate(cols)]))
-    r = lambda c: F.round(c, digits)
+    r = lambda c: round_half_away(c, digits)
     return one.select(rows.alias("s")).select(
         "s.column", F.col("s.count").cast("bigint").alias("count"), r(F.col("s.mean")).alias("mean"),
         r(F.col("s.std")).alias("std"), r(F.col("s.min")).alias("min"), r(F.col("s.q")[0]).alias("p25"),
@@ -95,7 +101,7 @@ def extended_stats(df: DataFrame, cols: Sequence[str], digits: int = 2) -> DataF
     names = ["mean", "median", "std", "skewness", "kurtosis", "min", "max"]
     keys = ["mu", "md", "sd", "sk", "ku", "lo", "hi"]
     rows = F.explode(F.array(*[F.struct(F.lit(c).alias("column"),
-                                        *[F.round(F.col(f"{k}{i}").cast("double"), digits).alias(nm)
+                                        *[round_half_away(F.col(f"{k}{i}").cast("double"), digits).alias(nm)
                                           for k, nm in zip(keys, names)]) for i, c in enumerate(cols)]))
     return one.select(rows.alias("s")).select("s.*")
 
@@ -172,12 +178,12 @@ def corr_pairs(df: DataFrame, cols: Sequence[str], ordered: bool = True) -> Data
 
 def corr_matrix(df: DataFrame, cols: Sequence[str], digits: int = 2) -> DataFrame:
     """A12, rounded."""
-    return corr_pairs(df, cols).select("a", "b", F.round("r", digits).alias("r"))
+    return corr_pairs(df, cols).select("a", "b", round_half_away("r", digits).alias("r"))
 
 
 def high_corr_pairs(df: DataFrame, cols: Sequence[str], threshold: float = HIGH_CORR) -> DataFrame:
     """Unordered pairs (list order) with |round(r, 2)| >= threshold, strongest first."""
-    r = corr_pairs(df, cols, ordered=False).select("a", "b", F.round("r", 2).alias("r"))
+    r = corr_pairs(df, cols, ordered=False).select("a", "b", round_half_away("r", 2).alias("r"))
     return r.where(F.abs("r") >= threshold).orderBy(F.abs("r").desc(), "a", "b")
 
 
@@ -206,8 +212,8 @@ def cleaning_report(df: DataFrame, flag: str = "anomaly_iqr") -> DataFrame:
     r = df.agg(F.count(F.lit(1)).alias("rows_before"),
                F.count_if(~F.coalesce(F.col(flag), F.lit(False))).alias("rows_after"))
     return r.select("rows_before", "rows_after", (F.col("rows_before") - F.col("rows_after")).alias("rows_removed"),
-                    F.round(F.try_divide((F.col("rows_before") - F.col("rows_after")) * F.lit(100.0),
-                                         F.col("rows_before")), 2).alias("pct_removed"))
+                    round_half_away(F.try_divide((F.col("rows_before") - F.col("rows_after")) * F.lit(100.0),
+                                                 F.col("rows_before")), 2).alias("pct_removed"))
 
 
 # Fixed value: MAPE guards the denominator with double machine epsilon.

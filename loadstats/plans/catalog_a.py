@@ -311,7 +311,7 @@ def j3(spark, sf):
 
 
 def _naive_sql(n, view="demand_hourly", test_only=True):
-    where = "WHERE rn >= floor(cnt * 0.8)" if test_only else ""
+    where = "WHERE rn >= floor(cnt * CAST(0.8 AS DOUBLE))" if test_only else ""
     return (f"SELECT city, timestamp, demand AS actual, predicted FROM ("
             f"SELECT *, lag(demand, {n}) OVER w AS predicted, row_number() OVER w - 1 AS rn, "
             f"count(*) OVER (PARTITION BY city) AS cnt FROM {view} "
@@ -408,7 +408,7 @@ def m5(spark, sf):
 
 
 _SPLIT_SQL = ("SELECT *, CASE WHEN row_number() OVER (PARTITION BY city ORDER BY timestamp) - 1 < "
-              "floor(count(*) OVER (PARTITION BY city) * 0.8) THEN 'train' ELSE 'test' END AS split FROM {v}")
+              "floor(count(*) OVER (PARTITION BY city) * CAST(0.8 AS DOUBLE)) THEN 'train' ELSE 'test' END AS split FROM {v}")
 
 
 @query("M6_impute_train_median",
@@ -591,7 +591,7 @@ def e13(spark, sf):
 
 
 @query("E14_round_report",
-       "SELECT city, CAST(timestamp AS DATE) AS date, round(avg(demand), 2) AS avg_demand, "
+       "SELECT city, CAST(timestamp AS DATE) AS date, round(CAST(SUM(CAST(demand AS DECIMAL(18,2))) AS DOUBLE) / CAST(COUNT(demand) AS DOUBLE), 2) AS avg_demand, "
        "round(max(demand), 2) AS max_demand, round(min(demand), 2) AS min_demand, "
        "round(avg(temperature), 2) AS avg_temp FROM merged_region GROUP BY 1, 2", (MR,))
 def e14(spark, sf):

@@ -12,12 +12,14 @@ from ..operators import anomaly, clean, models, rollup, sample, scale, series
 from ..operators.frames import POS, with_position
 from ..sources import fixtures as fx
 from ..streaming import hourly as stream
+from ..functions.stats import round_half_away
 from .registry import query, r6, s6
 
 H, MD, MR, GAP = "demand_hourly", "merged_daily", "merged_region", "demand_weather_gaps"
 W4 = fx.WEATHER_COLS
 N5 = fx.MERGED_NUMERIC
 WIN = "WINDOW w AS (PARTITION BY city ORDER BY timestamp)"
+MONEY_MEAN = "(CAST(SUM(CAST(demand AS DECIMAL(18,2))) AS DOUBLE) / CAST(COUNT(demand) AS DOUBLE))"
 
 
 def _lags_sql(lags, name="demand_lag_{n}h"):
@@ -203,7 +205,7 @@ def _interp_sql(c, limit=3):
     nt = f"first_value(CASE WHEN {c} IS NOT NULL THEN {t} END IGNORE NULLS) {bf}"
     np_ = f"first_value(CASE WHEN {c} IS NOT NULL THEN rn END IGNORE NULLS) {bf}"
     interp = f"({pv}) + (({nv}) - ({pv})) * (({t} - ({pt})) / (({nt}) - ({pt})))"
-    return (f"CASE WHEN {c} IS NOT NULL THEN {s6(c)} WHEN ({np_}) - ({pp}) - 1 <= {limit} "
+    return (f"CASE WHEN {c} IS NOT NULL THEN {c} WHEN ({np_}) - ({pp}) - 1 <= {limit} "
             f"THEN {s6(interp)} END AS {c}")
 
 
@@ -212,8 +214,11 @@ def _interp_sql(c, limit=3):
        " FROM (SELECT *, row_number() OVER (PARTITION BY city ORDER BY timestamp) - 1 AS rn FROM demand_weather_gaps)",
        (GAP,))
 def d3(spark, sf):
-    i = series.interpolate_linear(fx.demand_weather_gaps(spark, sf), W4, limit=3)
-    return i.select("city", "timestamp", "demand", *[r6(c).alias(c) for c in W4])
+    g = fx.demand_weather_gaps(spark, sf).select("*", *[F.col(c).alias(f"_o_{c}") for c in W4])
+    i = series.interpolate_linear(g, W4, limit=3)
+    # observed values pass through untouched; only interpolated ones are rounded
+    return i.select("city", "timestamp", "demand",
+                    *[F.coalesce(F.col(f"_o_{c}"), r6(c)).alias(c) for c in W4])
 
 
 @query("D4_rolling_zscore",
@@ -229,18 +234,18 @@ def d4(spark, sf):
 # ============================================================== A: aggregations
 
 @query("A1_daily_summary",
-       f"SELECT city, CAST(timestamp AS DATE) AS date, {s6('avg(demand)')} AS avg_demand, max(demand) AS max_demand, "
+       f"SELECT city, CAST(timestamp AS DATE) AS date, {s6(MONEY_MEAN)} AS avg_demand, max(demand) AS max_demand, "
        "min(demand) AS min_demand FROM demand_hourly GROUP BY 1, 2", (H,))
 def a1(spark, sf):
     h = fx.demand_hourly(spark, sf)
     d = h.groupBy("city", F.to_date("timestamp").alias("date")).agg(
-        r6(F.avg("demand")).alias("avg_demand"), F.max("demand").alias("max_demand"), F.min("demand").alias("min_demand"))
+        r6(rollup.money_mean("demand")).alias("avg_demand"), F.max("demand").alias("max_demand"), F.min("demand").alias("min_demand"))
     return d
 
 
 @query("A2_weekly_summary",
        f"SELECT city, CAST(isoyear(timestamp) AS INTEGER) AS iso_year, CAST(weekofyear(timestamp) AS INTEGER) AS week, "
-       f"{s6('avg(demand)')} AS avg_demand, {s6('avg(temperature)')} AS avg_temp FROM merged_daily GROUP BY 1, 2, 3",
+       f"{s6(MONEY_MEAN)} AS avg_demand, {s6('avg(temperature)')} AS avg_temp FROM merged_daily GROUP BY 1, 2, 3",
        (MD,))
 def a2(spark, sf):
     w = rollup.weekly_summary(fx.merged_daily(spark, sf))
@@ -249,7 +254,7 @@ def a2(spark, sf):
 
 def _profile_q(part, sql_part, view, fn_view):
     @query(f"A{ {'hour': 3, 'dayofweek': 4, 'month': 5}[part] }_{ {'hour': 'hourly', 'dayofweek': 'weekday', 'month': 'monthly'}[part] }_profile",
-           f"SELECT CAST({sql_part} AS INTEGER) AS {part}, {s6('avg(demand)')} AS avg_demand, count(demand) AS n "
+           f"SELECT CAST({sql_part} AS INTEGER) AS {part}, {s6(MONEY_MEAN)} AS avg_demand, count(demand) AS n "
            f"FROM {view} GROUP BY 1", (view,))
     def q(spark, sf):
         p = rollup.profile_by(fn_view(spark, sf), part)
@@ -412,7 +417,7 @@ def a16(spark, sf):
 
 
 def _naive_sql(n, test_only=True):
-    where = "WHERE rn >= floor(cnt * 0.8) AND" if test_only else "WHERE"
+    where = "WHERE rn >= floor(cnt * CAST(0.8 AS DOUBLE)) AND" if test_only else "WHERE"
     return (f"SELECT city, timestamp, demand AS actual, predicted FROM ("
             f"SELECT *, lag(demand, {n}) OVER w AS predicted, row_number() OVER w - 1 AS rn, "
             f"count(*) OVER (PARTITION BY city) AS cnt FROM demand_hourly {WIN}) {where} predicted IS NOT NULL")
@@ -444,7 +449,7 @@ def _model_table_sql():
             "isodow(timestamp) ORDER BY timestamp ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS predicted "
             "FROM demand_hourly")
     split = ("SELECT city, timestamp FROM (SELECT city, timestamp, row_number() OVER w - 1 AS rn, "
-             f"count(*) OVER (PARTITION BY city) AS cnt FROM demand_hourly {WIN}) WHERE rn >= floor(cnt * 0.8)")
+             f"count(*) OVER (PARTITION BY city) AS cnt FROM demand_hourly {WIN}) WHERE rn >= floor(cnt * CAST(0.8 AS DOUBLE))")
     return (f"SELECT 'naive_day' AS model, * FROM ({_naive_sql(24)}) UNION ALL "
             f"SELECT 'naive_week' AS model, * FROM ({_naive_sql(168)}) UNION ALL "
             f"SELECT 'historical_average' AS model, h.* FROM ({hist}) h JOIN ({split}) s "
@@ -627,15 +632,15 @@ def n11(spark, sf):
 
 
 @query("N12_split_chronological",
-       "SELECT city, timestamp, demand, CASE WHEN row_number() OVER w - 1 < floor(count(*) OVER (PARTITION BY city) * 0.8) "
+       "SELECT city, timestamp, demand, CASE WHEN row_number() OVER w - 1 < floor(count(*) OVER (PARTITION BY city) * CAST(0.8 AS DOUBLE)) "
        f"THEN 'train' ELSE 'test' END AS split FROM demand_hourly {WIN}", (H,))
 def n12(spark, sf):
     return sample.split_chronological(fx.demand_hourly(spark, sf))
 
 
 @query("D5_split_70_15_15",
-       "SELECT city, timestamp, demand, CASE WHEN row_number() OVER w - 1 < floor(count(*) OVER (PARTITION BY city) * 0.7) "
-       "THEN 'train' WHEN row_number() OVER w - 1 < floor(count(*) OVER (PARTITION BY city) * 0.85) THEN 'validation' "
+       "SELECT city, timestamp, demand, CASE WHEN row_number() OVER w - 1 < floor(count(*) OVER (PARTITION BY city) * CAST(0.7 AS DOUBLE)) "
+       "THEN 'train' WHEN row_number() OVER w - 1 < floor(count(*) OVER (PARTITION BY city) * CAST(0.85 AS DOUBLE)) THEN 'validation' "
        f"ELSE 'test' END AS split FROM demand_hourly {WIN}", (H,))
 def d5(spark, sf):
     return sample.split_three_way(fx.demand_hourly(spark, sf))
@@ -675,7 +680,7 @@ def l5(spark, sf):
     d = _stack_input(spark, sf)
     fit = models.ridge_fit(d, ["pa", "pb"], "actual")
     return d.select("city", "timestamp", "actual",
-                    (F.round(models.ridge_expr(fit, ["pa", "pb"]), 4) + F.lit(0.0)).alias("predicted"))
+                    (round_half_away(models.ridge_expr(fit, ["pa", "pb"]), 4) + F.lit(0.0)).alias("predicted"))
 
 
 @query("L6_weight_grid",
@@ -691,7 +696,7 @@ def l6(spark, sf):
 
 @query("L7_serve_ensemble",
        f"SELECT city, timestamp, actual, {s6('predicted * 0.97')} AS predicted, "
-       f"{s6('greatest(0.0, predicted * 0.97 * 0.85)')} AS lower, {s6('predicted * 0.97 * 1.15')} AS upper "
+       f"{s6('greatest(0.0, predicted * 0.97 * CAST(0.85 AS DOUBLE))')} AS lower, {s6('predicted * 0.97 * 1.15')} AS upper "
        f"FROM ({_naive_sql(24)})", (H,))
 def l7(spark, sf):
     p = models.naive_forecast(fx.demand_hourly(spark, sf))
@@ -723,7 +728,7 @@ def l9(spark, sf):
 # ============================================================== D6, D12: evaluation
 
 def _fold_sql():
-    cases = " ".join(f"WHEN rn >= floor(cnt * {0.5 + (f - 1) * 0.1!r}) AND rn < floor(cnt * {0.5 + f * 0.1!r}) THEN {f}"
+    cases = " ".join(f"WHEN rn >= floor(cnt * CAST({0.5 + (f - 1) * 0.1!r} AS DOUBLE)) AND rn < floor(cnt * CAST({0.5 + f * 0.1!r} AS DOUBLE)) THEN {f}"
                      for f in range(1, 6))
     return (f"SELECT city, timestamp, actual, predicted, CASE {cases} END AS fold FROM ("
             f"SELECT city, timestamp, demand AS actual, lag(demand, 24) OVER w AS predicted, row_number() OVER w - 1 AS rn, "

@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.stats import round_half_away
 from ..sources.fixtures import with_views
 
 QUERIES: dict[str, Callable] = {}
@@ -31,7 +32,7 @@ def query(name: str, sql: str | None = None, views: tuple[str, ...] = ()):
 
 def r6(c) -> Column:
     """Round to 6 places; + 0.0 folds -0.0 into 0.0."""
-    return F.round(F.col(c) if isinstance(c, str) else c, 6) + F.lit(0.0)
+    return round_half_away(c, 6) + F.lit(0.0)
 
 
 def s6(expr: str) -> str:

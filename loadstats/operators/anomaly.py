@@ -67,6 +67,24 @@ def anomaly_iqr(df: DataFrame, cols: Sequence[str], factor: float = IQR_FACTOR,
     return j.select(*df.columns, flag.alias(out))
 
 
+def anomaly_z_and_iqr(df: DataFrame, cols: Sequence[str], by=None, accuracy: int | None = None,
+                      threshold: float = Z_THRESHOLD, factor: float = IQR_FACTOR) -> DataFrame:
+    """N1 + N2 from a single statistics aggregate (one pass instead of two)."""
+    aggs = ([F.avg(c).alias(f"_mu_{c}") for c in cols] + [F.stddev_samp(c).alias(f"_sd_{c}") for c in cols] +
+            [quantile(c, [0.25, 0.75], accuracy).alias(f"_q_{c}") for c in cols])
+    j = _attach(df, aggs, by)
+    z = [F.coalesce(F.abs(F.try_divide(F.col(c) - F.col(f"_mu_{c}"), F.col(f"_sd_{c}"))) > threshold, F.lit(False))
+         for c in cols]
+    q = []
+    for c in cols:
+        q1, q3 = F.col(f"_q_{c}")[0], F.col(f"_q_{c}")[1]
+        q.append(F.coalesce((F.col(c) < q1 - factor * (q3 - q1)) | (F.col(c) > q3 + factor * (q3 - q1)), F.lit(False)))
+    zf, qf = z[0], q[0]
+    for a, b in zip(z[1:], q[1:]):
+        zf, qf = zf | a, qf | b
+    return j.select(*df.columns, zf.alias("anomaly_z"), qf.alias("anomaly_iqr"))
+
+
 def anomaly_any(df: DataFrame, value: str = "demand", flags=("anomaly_z", "anomaly_iqr", "anomaly_iso"),
                 out: str = "is_anomaly") -> DataFrame:
     """OR of the flag columns present; otherwise |z(value)| > 3."""
@@ -145,6 +163,8 @@ def fit_isolation_forest(df: DataFrame, cols: Sequence[str], key: Sequence[str],
     pre-filtered to hashes below ~4x the needed rate so only a few thousand
     candidates per tree are shuffled, whatever the table size.
     """
+    from ..session import ship_package
+    ship_package(df.sparkSession)
     cols = list(cols)
     data = df.select(*key, *cols).na.drop(subset=cols)
     n = data.count()

@@ -393,8 +393,7 @@ def _flags_sql(view, cols):
 
 
 def _flagged(spark, sf, view=fx.merged_daily):
-    df = view(spark, sf)
-    return anomaly.anomaly_iqr(anomaly.anomaly_zscore(df, N5), N5)
+    return anomaly.anomaly_z_and_iqr(view(spark, sf), N5)
 
 
 @query("A15_anomaly_rate_by_city",

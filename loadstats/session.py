@@ -40,6 +40,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
@@ -84,3 +85,28 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 __all__ = ["get_spark", "checkpoint_root", "scratch_path", "path_exists",
            "is_local_path", "local_os_path", "BASE_CONF", "os"]
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``loadstats`` importable in Python workers (pandas UDFs pickle
+    module functions by reference): zip the package once and register it
+    with ``addPyFile``, which distributes it to every executor."""
+    import zipfile
+    sc = spark.sparkContext
+    key = id(sc)
+    if key in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    out_dir = tempfile.mkdtemp(prefix="loadstats-pkg-")
+    zpath = os.path.join(out_dir, "loadstats.zip")
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
+    sc.addPyFile(zpath)
+    _SHIPPED.add(key)

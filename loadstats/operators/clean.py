@@ -207,14 +207,11 @@ def bfill(df: DataFrame, cols: Sequence[str], by="city", order="timestamp", **kw
 
 def impute_chain(df: DataFrame, cols: Sequence[str], by="city", order="timestamp") -> DataFrame:
     """M4: ffill, then bfill, then the global median."""
-    from .frames import POS, with_position
-    positioned = with_position(df, by, order)          # one position pass serves both scans
-    filled = carry_backward(carry_forward(positioned, cols, by, positioned=True), cols, by,
-                            positioned=True).drop(POS)
+    from .frames import carry_both
     meds = scalars(df, [F.median(c).alias(f"_gm_{c}") for c in cols])
-    joined = filled.select("*", *[_lit(v).alias(k) for k, v in meds.items()])
-    return joined.select(*[F.coalesce(F.col(c), F.col(f"_gm_{c}")).alias(c) if c in cols else F.col(c)
-                           for c in df.columns])
+    both = carry_both(df, cols, by, order)             # ffill and bfill from one two-level scan
+    return both.select(*[F.coalesce(F.col(f"{c}_ffill"), F.col(f"{c}_bfill"), _lit(meds[f"_gm_{c}"])).alias(c)
+                         if c in cols else F.col(c) for c in df.columns])
 
 
 def impute_mean(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -147,3 +147,39 @@ def carry_backward(df: DataFrame, cols: Sequence[str], by="city", order: str = "
                    bucket_seconds: int = DEFAULT_BUCKET_SECONDS, positioned: bool = False) -> DataFrame:
     """Replace NULLs with the next later non-null value of the series (bfill)."""
     return _carry(df, _as_list(cols), by, False, chunk_rows, order, tiebreak, bucket_seconds, positioned)
+
+
+def carry_both(df: DataFrame, cols: Sequence[str], by="city", order: str = "timestamp",
+               tiebreak: Sequence[str] = (), chunk_rows: int = DEFAULT_CHUNK_ROWS,
+               bucket_seconds: int = DEFAULT_BUCKET_SECONDS, positioned: bool = False) -> DataFrame:
+    """Add ``{c}_ffill`` and ``{c}_bfill`` for every column in one two-level scan.
+
+    One aggregate per chunk (last and first non-null), one window pass over the
+    small chunk table (both directions share its sort), one join back and one
+    window pass inside the chunks: half the shuffles of ffill followed by bfill.
+    """
+    keys = _as_list(by)
+    cols = _as_list(cols)
+    base = df if positioned else with_position(df, keys, order, tiebreak, bucket_seconds)
+    size = max(int(chunk_rows), 1)
+    base = base.withColumn(CHUNK, F.floor(F.col(POS) / F.lit(size)))
+    at = lambda c: F.when(F.col(c).isNotNull(), F.col(POS))
+    per_chunk = base.groupBy(*keys, CHUNK).agg(
+        *[F.max_by(F.col(c), at(c)).alias(f"_l_{c}") for c in cols],
+        *[F.min_by(F.col(c), at(c)).alias(f"_f_{c}") for c in cols])
+    wc = Window.partitionBy(*keys).orderBy(CHUNK)
+    before = wc.rowsBetween(Window.unboundedPreceding, -1)
+    after = wc.rowsBetween(1, Window.unboundedFollowing)
+    carried = per_chunk.select(*keys, CHUNK,
+                               *[F.last(f"_l_{c}", ignorenulls=True).over(before).alias(f"_kf_{c}") for c in cols],
+                               *[F.first(f"_f_{c}", ignorenulls=True).over(after).alias(f"_kb_{c}") for c in cols])
+    wi = Window.partitionBy(*keys, CHUNK).orderBy(POS)
+    upto = wi.rowsBetween(Window.unboundedPreceding, 0)
+    onward = wi.rowsBetween(0, Window.unboundedFollowing)
+    joined = base.join(carried, keys + [CHUNK], "left")
+    out = joined.select(*base.columns,
+                        *[F.coalesce(F.last(c, ignorenulls=True).over(upto), F.col(f"_kf_{c}")).alias(f"{c}_ffill")
+                          for c in cols],
+                        *[F.coalesce(F.first(c, ignorenulls=True).over(onward), F.col(f"_kb_{c}")).alias(f"{c}_bfill")
+                          for c in cols]).drop(CHUNK)
+    return out if positioned else out.drop(POS)

@@ -238,24 +238,27 @@ def historical_average(df: DataFrame, col: str = "demand", by="city", order: str
 
 def interpolate_linear(df: DataFrame, cols: Sequence[str], by="city", order: str = "timestamp",
                        limit: int = 3) -> DataFrame:
-    """D3: time-linear interpolation across gaps of at most ``limit`` missing rows."""
+    """D3: time-linear interpolation across gaps of at most ``limit`` missing rows.
+
+    Previous / next observed value, time and position come from one two-level
+    carry scan (``frames.carry_both``) over helper columns.
+    """
+    from .frames import carry_both
     keys = _as_list(by)
     base = with_position(df, keys, order)
     t = F.unix_seconds(F.col(order).cast("timestamp")).cast("double")
     helpers = []
     for c in cols:
-        base = base.withColumn(f"_pv_{c}", F.col(c)).withColumn(f"_pt_{c}", F.when(F.col(c).isNotNull(), t)) \
-                   .withColumn(f"_pp_{c}", F.when(F.col(c).isNotNull(), F.col(POS))) \
-                   .withColumn(f"_nv_{c}", F.col(c)).withColumn(f"_nt_{c}", F.col(f"_pt_{c}")) \
-                   .withColumn(f"_np_{c}", F.col(f"_pp_{c}"))
-        helpers += [f"_pv_{c}", f"_pt_{c}", f"_pp_{c}", f"_nv_{c}", f"_nt_{c}", f"_np_{c}"]
-    fwd = [h for h in helpers if h[:3] in ("_pv", "_pt", "_pp")]
-    bwd = [h for h in helpers if h[:3] in ("_nv", "_nt", "_np")]
-    filled = carry_backward(carry_forward(base, fwd, keys, positioned=True), bwd, keys, positioned=True)
+        base = base.withColumn(f"_v_{c}", F.col(c)) \
+                   .withColumn(f"_t_{c}", F.when(F.col(c).isNotNull(), t)) \
+                   .withColumn(f"_p_{c}", F.when(F.col(c).isNotNull(), F.col(POS)))
+        helpers += [f"_v_{c}", f"_t_{c}", f"_p_{c}"]
+    filled = carry_both(base, helpers, keys, positioned=True)
     out = filled
     for c in cols:
-        gap = F.col(f"_np_{c}") - F.col(f"_pp_{c}") - 1
-        frac = (t - F.col(f"_pt_{c}")) / (F.col(f"_nt_{c}") - F.col(f"_pt_{c}"))
-        interp = F.col(f"_pv_{c}") + (F.col(f"_nv_{c}") - F.col(f"_pv_{c}")) * frac
+        pv, nv = F.col(f"_v_{c}_ffill"), F.col(f"_v_{c}_bfill")
+        pt, nt = F.col(f"_t_{c}_ffill"), F.col(f"_t_{c}_bfill")
+        gap = F.col(f"_p_{c}_bfill") - F.col(f"_p_{c}_ffill") - 1
+        interp = pv + (nv - pv) * ((t - pt) / (nt - pt))
         out = out.withColumn(c, F.when(F.col(c).isNotNull(), F.col(c)).when(gap <= limit, interp))
-    return out.drop(*helpers, POS)
+    return out.select(*df.columns)

@@ -114,18 +114,20 @@ def _carry(df: DataFrame, cols: Sequence[str], by, forward: bool,
     # last (first) non-null value of each chunk
     per_chunk = base.groupBy(*keys, CHUNK).agg(
         *[pick(F.col(c), F.when(F.col(c).isNotNull(), F.col(POS))).alias(f"_v_{c}") for c in cols])
+    # Both directions use growing frames (unbounded preceding): Spark evaluates
+    # those incrementally, whereas an unbounded-following frame is recomputed for
+    # every row (quadratic). The backward scan runs over descending order.
+    agg = F.last
     if forward:
         wc = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-        agg = F.last
     else:
-        wc = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(1, Window.unboundedFollowing)
-        agg = F.first
+        wc = Window.partitionBy(*keys).orderBy(F.col(CHUNK).desc()).rowsBetween(Window.unboundedPreceding, -1)
     carried = per_chunk.select(*keys, CHUNK, *[agg(f"_v_{c}", ignorenulls=True).over(wc).alias(f"_k_{c}")
                                                for c in cols])
     if forward:
         wi = Window.partitionBy(*keys, CHUNK).orderBy(POS).rowsBetween(Window.unboundedPreceding, 0)
     else:
-        wi = Window.partitionBy(*keys, CHUNK).orderBy(POS).rowsBetween(0, Window.unboundedFollowing)
+        wi = Window.partitionBy(*keys, CHUNK).orderBy(F.col(POS).desc()).rowsBetween(Window.unboundedPreceding, 0)
     joined = base.join(carried, keys + [CHUNK], "left")
     filled = [F.coalesce(agg(c, ignorenulls=True).over(wi), F.col(f"_k_{c}")).alias(f"_f_{c}") for c in cols]
     out = joined.select("*", *filled)
@@ -167,19 +169,18 @@ def carry_both(df: DataFrame, cols: Sequence[str], by="city", order: str = "time
     per_chunk = base.groupBy(*keys, CHUNK).agg(
         *[F.max_by(F.col(c), at(c)).alias(f"_l_{c}") for c in cols],
         *[F.min_by(F.col(c), at(c)).alias(f"_f_{c}") for c in cols])
-    wc = Window.partitionBy(*keys).orderBy(CHUNK)
-    before = wc.rowsBetween(Window.unboundedPreceding, -1)
-    after = wc.rowsBetween(1, Window.unboundedFollowing)
+    # growing frames only (see _carry): backward = forward over descending order
+    before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy(*keys).orderBy(F.col(CHUNK).desc()).rowsBetween(Window.unboundedPreceding, -1)
     carried = per_chunk.select(*keys, CHUNK,
                                *[F.last(f"_l_{c}", ignorenulls=True).over(before).alias(f"_kf_{c}") for c in cols],
-                               *[F.first(f"_f_{c}", ignorenulls=True).over(after).alias(f"_kb_{c}") for c in cols])
-    wi = Window.partitionBy(*keys, CHUNK).orderBy(POS)
-    upto = wi.rowsBetween(Window.unboundedPreceding, 0)
-    onward = wi.rowsBetween(0, Window.unboundedFollowing)
+                               *[F.last(f"_f_{c}", ignorenulls=True).over(after).alias(f"_kb_{c}") for c in cols])
+    upto = Window.partitionBy(*keys, CHUNK).orderBy(POS).rowsBetween(Window.unboundedPreceding, 0)
+    onward = Window.partitionBy(*keys, CHUNK).orderBy(F.col(POS).desc()).rowsBetween(Window.unboundedPreceding, 0)
     joined = base.join(carried, keys + [CHUNK], "left")
-    out = joined.select(*base.columns,
-                        *[F.coalesce(F.last(c, ignorenulls=True).over(upto), F.col(f"_kf_{c}")).alias(f"{c}_ffill")
-                          for c in cols],
-                        *[F.coalesce(F.first(c, ignorenulls=True).over(onward), F.col(f"_kb_{c}")).alias(f"{c}_bfill")
-                          for c in cols]).drop(CHUNK)
+    fwd = joined.select("*", *[F.coalesce(F.last(c, ignorenulls=True).over(upto), F.col(f"_kf_{c}")).alias(f"{c}_ffill")
+                               for c in cols])
+    out = fwd.select(*base.columns, *[f"{c}_ffill" for c in cols],
+                     *[F.coalesce(F.last(c, ignorenulls=True).over(onward), F.col(f"_kb_{c}")).alias(f"{c}_bfill")
+                       for c in cols]).drop(CHUNK)
     return out if positioned else out.drop(POS)

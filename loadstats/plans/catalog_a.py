@@ -371,7 +371,7 @@ def _cols_sql(exprs):
        _cols_sql(f"coalesce({c}, median({c}) OVER (PARTITION BY city)) AS {c}" for c in W4) +
        " FROM demand_weather_gaps", (GAP,))
 def m1(spark, sf):
-    return clean.impute_group_median(fx.demand_weather_gaps(spark, sf), W4)
+    return clean.impute_group_median(fx.materialize(fx.demand_weather_gaps(spark, sf)), W4)
 
 
 _FF = "last_value({c} IGNORE NULLS) OVER (PARTITION BY city ORDER BY timestamp ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
@@ -381,13 +381,13 @@ _BF = "first_value({c} IGNORE NULLS) OVER (PARTITION BY city ORDER BY timestamp
 @query("M2_ffill", "SELECT city, timestamp, demand, " + _cols_sql(f"{_FF.format(c=c)} AS {c}" for c in W4) +
        " FROM demand_weather_gaps", (GAP,))
 def m2(spark, sf):
-    return clean.ffill(fx.demand_weather_gaps(spark, sf), W4)
+    return clean.ffill(fx.materialize(fx.demand_weather_gaps(spark, sf)), W4)
 
 
 @query("M3_bfill", "SELECT city, timestamp, demand, " + _cols_sql(f"{_BF.format(c=c)} AS {c}" for c in W4) +
        " FROM demand_weather_gaps", (GAP,))
 def m3(spark, sf):
-    return clean.bfill(fx.demand_weather_gaps(spark, sf), W4)
+    return clean.bfill(fx.materialize(fx.demand_weather_gaps(spark, sf)), W4)
 
 
 @query("M4_impute_chain",
@@ -395,7 +395,7 @@ def m3(spark, sf):
        _cols_sql(f"coalesce({_FF.format(c=c)}, {_BF.format(c=c)}, (SELECT median({c}) FROM demand_weather_gaps)) AS {c}"
                  for c in W4) + " FROM demand_weather_gaps", (GAP,))
 def m4(spark, sf):
-    return clean.impute_chain(fx.demand_weather_gaps(spark, sf), W4)
+    return clean.impute_chain(fx.materialize(fx.demand_weather_gaps(spark, sf)), W4)
 
 
 @query("M5_impute_mean",
@@ -403,7 +403,7 @@ def m4(spark, sf):
        _cols_sql(s6(f"coalesce({c}, avg({c}) OVER ())") + f" AS {c}" for c in W4) + " FROM demand_weather_gaps",
        (GAP,))
 def m5(spark, sf):
-    out = clean.impute_mean(fx.demand_weather_gaps(spark, sf), W4)
+    out = clean.impute_mean(fx.materialize(fx.demand_weather_gaps(spark, sf)), W4)
     return out.select("city", "timestamp", "demand", *[r6(c).alias(c) for c in W4])
 
 
@@ -418,7 +418,7 @@ _SPLIT_SQL = ("SELECT *, CASE WHEN row_number() OVER (PARTITION BY city ORDER BY
        " FROM s, m", (GAP,))
 def m6(spark, sf):
     from ..operators.sample import split_chronological
-    s = split_chronological(fx.demand_weather_gaps(spark, sf))
+    s = split_chronological(fx.materialize(fx.demand_weather_gaps(spark, sf)))
     tr, te = clean.impute_train_median(s.where(F.col("split") == "train"), s.where(F.col("split") == "test"), W4)
     return tr.unionByName(te).select("city", "timestamp", "split", "demand", *W4)
 
@@ -706,7 +706,7 @@ def _box_sql(cols):
 
 @query("F8_box_stats", _box_sql(N5), (MD,))
 def f8(spark, sf):
-    b = scale.box_stats(fx.merged_daily(spark, sf), N5)
+    b = scale.box_stats(fx.materialize(fx.merged_daily(spark, sf)), N5)
     return b.select("city", "column", "n", "min", r6("q1").alias("q1"), r6("median").alias("median"),
                     r6("q3").alias("q3"), "max", r6("lo_fence").alias("lo_fence"), r6("hi_fence").alias("hi_fence"),
                     "whisker_lo", "whisker_hi", "n_outliers")

@@ -214,7 +214,7 @@ def _interp_sql(c, limit=3):
        " FROM (SELECT *, row_number() OVER (PARTITION BY city ORDER BY timestamp) - 1 AS rn FROM demand_weather_gaps)",
        (GAP,))
 def d3(spark, sf):
-    g = fx.demand_weather_gaps(spark, sf).select("*", *[F.col(c).alias(f"_o_{c}") for c in W4])
+    g = fx.materialize(fx.demand_weather_gaps(spark, sf)).select("*", *[F.col(c).alias(f"_o_{c}") for c in W4])
     i = series.interpolate_linear(g, W4, limit=3)
     # observed values pass through untouched; only interpolated ones are rounded
     return i.select("city", "timestamp", "demand",
@@ -393,7 +393,7 @@ def _flags_sql(view, cols):
 
 
 def _flagged(spark, sf, view=fx.merged_daily):
-    return anomaly.anomaly_z_and_iqr(view(spark, sf), N5)
+    return anomaly.anomaly_z_and_iqr(fx.materialize(view(spark, sf)), N5)
 
 
 @query("A15_anomaly_rate_by_city",

@@ -151,6 +151,25 @@ def train_boosted_trees(train: DataFrame, features: Sequence[str], label: str =
     return Pipeline(stages=[assemble(features), gbt]).fit(train)
 
 
+def select_two_stage(train: DataFrame, features: Sequence[str], label: str = "demand", corr_share: float = 0.7,
+                     importance_share: float = 0.8, max_depth: int = 6, prelim_iter: int = 10) -> list[str]:
+    """L2 feature selection (K2, then G9 on the preliminary model's importances).
+
+    Both tables are one row per feature (tens of rows), so they are read back
+    on the driver as plain lists.
+    """
+    from .rollup import corr_with_target, topk_by
+    from .series import running_total_cut
+    spark = train.sparkSession
+    corr = corr_with_target(train, features, label).where(F.col("abs_corr").isNotNull())
+    k = max(int(len(features) * corr_share), 1)
+    top = [r["feature"] for r in topk_by(corr, "abs_corr", k).collect()]
+    prelim = train_boosted_trees(train, top, label, max_depth=max_depth, max_iter=prelim_iter)
+    imp = feature_importance(prelim, top, spark)
+    keep = {r["feature"] for r in running_total_cut(imp, "importance", "feature", importance_share).collect()}
+    return [f for f in top if f in keep] or top
+
+
 def feature_importance(model: PipelineModel, features: Sequence[str], spark) -> DataFrame:
     """L3: importance per feature (a table with one row per feature)."""
     imp = model.stages[-1].featureImportances.toArray().tolist()

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.stats import _lit, attach_scalars, round_half_away, scalars
+from ..functions.stats import _lit, attach_scalars, median, round_half_away, scalars
 from .frames import carry_backward, carry_forward
 
 NUMERIC_TYPES = ("double", "float", "int", "bigint", "smallint", "tinyint")
@@ -186,10 +186,11 @@ def attach_group_stats(df: DataFrame, by, stats: Sequence[Column]) -> DataFrame:
 
 # ------------------------------------------------------------------ M: missing values
 
-def impute_group_median(df: DataFrame, cols: Sequence[str], by="city", exact: bool = True) -> DataFrame:
-    """M1: NULL -> median of the same group (all-NULL group stays NULL)."""
-    med = (lambda c: F.median(c)) if exact else (lambda c: F.percentile_approx(c, 0.5, 10000))
-    stats = [med(c).alias(f"_med_{c}") for c in cols]
+def impute_group_median(df: DataFrame, cols: Sequence[str], by="city", accuracy: int | None = None) -> DataFrame:
+    """M1: NULL -> median of the same group (all-NULL group stays NULL).
+
+    ``accuracy=None`` is the exact median; an accuracy uses the mergeable sketch."""
+    stats = [median(c, accuracy).alias(f"_med_{c}") for c in cols]
     joined = attach_group_stats(df, by, stats)
     return joined.select(*[F.coalesce(F.col(c), F.col(f"_med_{c}")).alias(c) if c in cols else F.col(c)
                            for c in df.columns])
@@ -205,10 +206,11 @@ def bfill(df: DataFrame, cols: Sequence[str], by="city", order="timestamp", **kw
     return carry_backward(df, cols, by, order, **kw)
 
 
-def impute_chain(df: DataFrame, cols: Sequence[str], by="city", order="timestamp") -> DataFrame:
+def impute_chain(df: DataFrame, cols: Sequence[str], by="city", order="timestamp",
+                 accuracy: int | None = None) -> DataFrame:
     """M4: ffill, then bfill, then the global median."""
     from .frames import carry_both
-    meds = scalars(df, [F.median(c).alias(f"_gm_{c}") for c in cols])
+    meds = scalars(df, [median(c, accuracy).alias(f"_gm_{c}") for c in cols])
     both = carry_both(df, cols, by, order)             # ffill and bfill from one two-level scan
     return both.select(*[F.coalesce(F.col(f"{c}_ffill"), F.col(f"{c}_bfill"), _lit(meds[f"_gm_{c}"])).alias(c)
                          if c in cols else F.col(c) for c in df.columns])
@@ -221,9 +223,10 @@ def impute_mean(df: DataFrame, cols: Sequence[str]) -> DataFrame:
                            for c in df.columns])
 
 
-def impute_train_median(train: DataFrame, other: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+def impute_train_median(train: DataFrame, other: DataFrame, cols: Sequence[str],
+                        accuracy: int | None = None) -> tuple[DataFrame, DataFrame]:
     """M6: medians fitted on ``train`` applied to both frames."""
-    meds = scalars(train, [F.median(c).alias(f"_tm_{c}") for c in cols])
+    meds = scalars(train, [median(c, accuracy).alias(f"_tm_{c}") for c in cols])
 
     def apply(d):
         j = d.select("*", *[_lit(v).alias(k) for k, v in meds.items()])

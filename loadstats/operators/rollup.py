@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import attach_scalars, round_half_away
+from ..functions.stats import attach_scalars, median, quantile, round_half_away
 
 # Fixed value: pairs with |r| at or above this (after rounding to 2) are "high".
 HIGH_CORR = 0.7
@@ -58,13 +58,12 @@ def _long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.select(F.explode(arr).alias("s")).select("s.column", "s.v")
 
 
-def describe(df: DataFrame, cols: Sequence[str], digits: int = 2) -> DataFrame:
+def describe(df: DataFrame, cols: Sequence[str], digits: int = 2, accuracy: int | None = None) -> DataFrame:
     """Count, mean, std, min, quartiles, max per column (exact percentiles), one aggregate."""
-    probs = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
     aggs = []
     for i, c in enumerate(cols):
         aggs += [F.count(c).alias(f"n{i}"), F.avg(c).alias(f"mu{i}"), F.stddev_samp(c).alias(f"sd{i}"),
-                 F.min(c).cast("double").alias(f"lo{i}"), F.percentile(c, probs).alias(f"q{i}"),
+                 F.min(c).cast("double").alias(f"lo{i}"), quantile(c, [0.25, 0.5, 0.75], accuracy).alias(f"q{i}"),
                  F.max(c).cast("double").alias(f"hi{i}")]
     one = df.agg(*aggs)
     rows = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("count"),
@@ -90,11 +89,11 @@ def sample_kurtosis(c) -> Column:
     return (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.kurtosis(c) + 6)
 
 
-def extended_stats(df: DataFrame, cols: Sequence[str], digits: int = 2) -> DataFrame:
+def extended_stats(df: DataFrame, cols: Sequence[str], digits: int = 2, accuracy: int | None = None) -> DataFrame:
     """Mean, median, std, skewness, kurtosis, min, max."""
     aggs = []
     for i, c in enumerate(cols):
-        aggs += [F.avg(c).alias(f"mu{i}"), F.median(c).alias(f"md{i}"), F.stddev_samp(c).alias(f"sd{i}"),
+        aggs += [F.avg(c).alias(f"mu{i}"), median(c, accuracy).alias(f"md{i}"), F.stddev_samp(c).alias(f"sd{i}"),
                  sample_skewness(c).alias(f"sk{i}"), sample_kurtosis(c).alias(f"ku{i}"),
                  F.min(c).cast("double").alias(f"lo{i}"), F.max(c).cast("double").alias(f"hi{i}")]
     one = df.agg(*aggs)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.calendar import concat_key
-from ..functions.stats import attach_scalars
+from ..functions.stats import attach_scalars, median
 from .frames import POS, with_position
 
 # A 5 % drift threshold, seed 42, 80/20 and 70/15/15 splits.
@@ -109,7 +109,8 @@ def _pct_diff(s, o):
     return F.when(o != 0, (s - o) / o * 100).otherwise(F.lit(0.0))
 
 
-def sample_validation(full: DataFrame, sample: DataFrame, cols: Sequence[str]) -> DataFrame:
+def sample_validation(full: DataFrame, sample: DataFrame, cols: Sequence[str],
+                      accuracy: int | None = None) -> DataFrame:
     """Statistics of full vs sample per column with % differences.
 
     Both frames go into one long table tagged by origin; one grouped aggregate
@@ -120,7 +121,7 @@ def sample_validation(full: DataFrame, sample: DataFrame, cols: Sequence[str]) -
         return d.select(F.lit(tag).alias("_src"), F.explode(arr).alias("s")).select("_src", "s.column", "s.v")
     both = long(full, "o").unionByName(long(sample, "s"))
     names = ["mean", "median", "std", "min", "max"]
-    fns = {"mean": F.avg, "median": F.median, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    fns = {"mean": F.avg, "median": lambda c: median(c, accuracy), "std": F.stddev_samp, "min": F.min, "max": F.max}
     aggs = []
     for tag, prefix in (("o", ""), ("s", "sample_")):
         v = F.when(F.col("_src") == tag, F.col("v"))

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stats import _lit, attach_scalars, scalars
+from ..functions.stats import _lit, attach_scalars, quantile, scalars
 
 # Temperature bin edges used at serving time (right-closed).
 FIXED_BIN_EDGES = [0, 40, 50, 60, 70, 80, 90, 100, 120]
@@ -81,13 +81,13 @@ def inverse_scale(df: DataFrame, fitted: dict, pairs: dict[str, str]) -> DataFra
 
 
 def quantile_bin(df: DataFrame, cols: Sequence[str], q: int = QUANTILE_BINS, suffix: str = "_binned",
-                 by=None) -> DataFrame:
+                 by=None, accuracy: int | None = None) -> DataFrame:
     """equal-frequency bins, duplicate edges dropped, right-closed, lowest included.
 
     code = (number of edges strictly below x) - 1, floored at 0.
     """
-    probs = F.array(*[F.lit(i / q) for i in range(q + 1)])
-    aggs = [F.array_distinct(F.percentile(c, probs)).alias(f"_e_{c}") for c in cols]
+    probs = [i / q for i in range(q + 1)]
+    aggs = [F.array_distinct(quantile(c, probs, accuracy)).alias(f"_e_{c}") for c in cols]
     j = _stats(df, aggs, by)
     out = []
     for c in cols:
@@ -123,14 +123,14 @@ def histogram(df: DataFrame, col: str, bins: int = 50, split=None) -> DataFrame:
                      "n"))
 
 
-def box_stats(df: DataFrame, cols: Sequence[str], by="city") -> DataFrame:
+def box_stats(df: DataFrame, cols: Sequence[str], by="city", accuracy: int | None = None) -> DataFrame:
     """F8: quartiles, IQR fences and whiskers (most extreme values inside the fences)."""
     keys = _as_list(by) if by else []
     long = df.select(*keys, F.explode(F.array(*[F.struct(F.lit(c).alias("column"),
                                                          F.col(c).cast("double").alias("v")) for c in cols])).alias("s")) \
              .select(*keys, "s.column", "s.v").where(F.col("v").isNotNull())
     gk = keys + ["column"]
-    q = long.groupBy(*gk).agg(F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"),
+    q = long.groupBy(*gk).agg(quantile("v", [0.25, 0.5, 0.75], accuracy).alias("_q"),
                               F.min("v").alias("min"), F.max("v").alias("max"), F.count("v").alias("n"))
     q = q.select(*gk, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"),
                  "min", "max", "n")

@@ -110,3 +110,20 @@ def test_isolation_forest_finds_planted_outlier(spark):
 def test_no_single_partition_exchange(hourly):
     plan = series.rolling_stats(hourly)._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan
+
+
+def test_sketch_quantiles_close_to_exact(spark):
+    from loadstats.operators import scale
+    md = fx.merged_daily(spark, SF)
+    exact = {r["column"]: r for r in scale.box_stats(md, ["demand"], by=None).collect()}
+    approx = {r["column"]: r for r in scale.box_stats(md, ["demand"], by=None, accuracy=100000).collect()}
+    e, a = exact["demand"], approx["demand"]
+    spread = e["max"] - e["min"]
+    for k in ("q1", "median", "q3"):
+        assert abs(e[k] - a[k]) <= 0.01 * spread
+
+
+def test_backward_carry_has_no_unbounded_following_frame(spark):
+    gaps = fx.demand_weather_gaps(spark, SF)
+    plan = frames.carry_both(gaps, ["temperature"])._jdf.queryExecution().executedPlan().toString()
+    assert "unboundedfollowing" not in plan.lower()

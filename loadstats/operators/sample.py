@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.calendar import concat_key
-from ..functions.stats import attach_scalars, median
+from ..functions.stats import attach_scalars, median, scalars
 from .frames import POS, with_position
 
 # A 5 % drift threshold, seed 42, 80/20 and 70/15/15 splits.
@@ -45,10 +45,14 @@ def strata_quotas(counts: DataFrame, n: int, total: int, stratum: str = "stratum
     n = min(n, total)
     c = counts.withColumn("_base", F.floor(F.col("_cnt") * F.lit(n) / F.lit(total)).cast("bigint")) \
               .withColumn("_rem", (F.col("_cnt") * F.lit(n)) % F.lit(total))
-    w = Window.orderBy(F.col("_rem").desc(), F.col(stratum))
-    c = attach_scalars(c, [F.sum("_base").alias("_bt")]).withColumn("_r", F.row_number().over(w))
-    return c.select(stratum, "_cnt", (F.col("_base") + F.when(F.col("_r") <= F.lit(n) - F.col("_bt"), 1)
-                                      .otherwise(0)).alias("quota"))
+    extra = int(scalars(c, [F.sum("_base").alias("_bt")])["_bt"] or 0)
+    extra = n - extra                                   # units left after the floors (< number of strata)
+    # the strata with the largest remainders get one more row: a top-k, which
+    # Spark runs as per-partition top-k plus a merge (no global sort, no window)
+    plus = c.orderBy(F.col("_rem").desc(), F.col(stratum)).limit(max(extra, 0)) \
+            .select(stratum, F.lit(1).alias("_plus"))
+    return c.join(plus, stratum, "left").select(
+        stratum, "_cnt", (F.col("_base") + F.coalesce(F.col("_plus"), F.lit(0))).alias("quota"))
 
 
 def stratified_sample(df: DataFrame, strata: Sequence[str], n: int, key: Sequence[str],

@@ -51,9 +51,10 @@ def test_city_independence(hourly):
     assert sorted(full.collect()) == sorted(alone.collect())
 
 
-def test_ewm_matches_recursion(hourly):
+@pytest.mark.parametrize("chunk_rows", [None, 100])
+def test_ewm_matches_recursion(hourly, chunk_rows):
     import numpy as np
-    e = series.ewm_mean(hourly, 24).where(F.col("city") == "view").orderBy("timestamp").toPandas()
+    e = series.ewm_mean(hourly, 24, chunk_rows=chunk_rows).where(F.col("city") == "view").orderBy("timestamp").toPandas()
     x = e["demand"].to_numpy()
     b = 1 - 2 / 25
     num = den = 0.0

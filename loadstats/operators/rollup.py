@@ -161,23 +161,18 @@ def dataset_profile(df: DataFrame, ts="timestamp", value="demand", temp="tempera
         F.min_by("city", F.struct(mt, F.col("city"))).alias("coldest_city"))
 
 
-def _varying(df: DataFrame, cols: Sequence[str]) -> set:
-    """Columns with non-zero spread (one aggregate). ``corr`` divides by the
-    spread and raises under ANSI mode for a constant column, whose r is NULL."""
-    from ..functions.stats import scalars
-    sd = scalars(df, [F.stddev_pop(c).alias(f"sd{i}") for i, c in enumerate(cols)])
-    return {c for i, c in enumerate(cols) if sd.get(f"sd{i}") not in (None, 0.0)}
+def safe_corr(a: str, b: str) -> Column:
+    """Pearson r as covariance / (std * std), all population moments, in one pass.
 
-
-def _safe_corr(a: str, b: str, ok: set) -> Column:
-    return F.corr(a, b) if a in ok and b in ok else F.lit(None).cast("double")
+    Built-in ``corr`` divides by the spread and raises under ANSI mode when a
+    column is constant; here the division is ``try_divide``, so r is NULL."""
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
 
 
 def corr_pairs(df: DataFrame, cols: Sequence[str], ordered: bool = True) -> DataFrame:
     """Pearson r for every pair from one aggregate; long (a, b, r)."""
     pairs = list(itertools.combinations(cols, 2))
-    ok = _varying(df, cols)
-    one = df.agg(*[_safe_corr(a, b, ok).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
+    one = df.agg(*[safe_corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
     entries = []
     for i, (a, b) in enumerate(pairs):
         entries.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("r")))
@@ -201,8 +196,7 @@ def high_corr_pairs(df: DataFrame, cols: Sequence[str], threshold: float = HIGH_
 
 def corr_with_target(df: DataFrame, features: Sequence[str], target: str = "demand") -> DataFrame:
     """|r| of each feature with the target, ranked (ties by name)."""
-    ok = _varying(df, list(features) + [target])
-    one = df.agg(*[_safe_corr(f, target, ok).alias(f"r{i}") for i, f in enumerate(features)])
+    one = df.agg(*[safe_corr(f, target).alias(f"r{i}") for i, f in enumerate(features)])
     long = one.select(F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.abs(F.col(f"r{i}")).alias("abs_corr"))
                                           for i, f in enumerate(features)])).alias("s")).select("s.*")
     w = Window.orderBy(F.col("abs_corr").desc_nulls_last(), "feature")

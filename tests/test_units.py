@@ -145,3 +145,28 @@ def test_require_columns_rejects(spark):
         readers.require_columns(df, ["a", "demand"])
     with pytest.raises(ValueError):
         readers.require_columns(df.where("a > 5"), ["a"])
+
+
+def test_stream_drops_rows_behind_the_watermark(spark, tmp_path):
+    """Three files = three micro-batches. Spark drops a row whose event time is
+    below the watermark in force before the batch (max event time - 2 h of the
+    batches so far): the 09:15 row in the third file is dropped, the 12:xx rows
+    arriving late but inside the watermark still count."""
+    import glob
+    import shutil
+    from loadstats.streaming import hourly
+    schema = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+    d = dt.datetime(2024, 1, 1)
+    at = lambda h, m=0: d.replace(hour=h, minute=m)
+    files = [[(1, at(10, 5), 1, "click", 1.0, "{}"), (2, at(13), 1, "click", 2.0, "{}")],
+             [(3, at(12, 30), 1, "click", 4.0, "{}"), (4, at(13, 30), 1, "click", 3.0, "{}")],
+             [(5, at(9, 15), 1, "click", 100.0, "{}"), (6, at(12, 45), 1, "click", 5.0, "{}")]]
+    folder = str(tmp_path / "events")
+    os.makedirs(folder + "/all")
+    for i, rows in enumerate(files):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/p{i}")
+        dst = f"{folder}/all/f{i}.parquet"
+        shutil.copy(glob.glob(f"{folder}/p{i}/*.parquet")[0], dst)
+        os.utime(dst, (1_700_000_000 + i * 100, 1_700_000_000 + i * 100))   # stream order = file age
+    out = {r.timestamp.hour: r.demand for r in hourly.run_hourly_demand(spark, folder + "/all").collect()}
+    assert out == {10: 1.0, 12: 9.0, 13: 5.0}

@@ -170,3 +170,47 @@ def test_stream_drops_rows_behind_the_watermark(spark, tmp_path):
         os.utime(dst, (1_700_000_000 + i * 100, 1_700_000_000 + i * 100))   # stream order = file age
     out = {r.timestamp.hour: r.demand for r in hourly.run_hourly_demand(spark, folder + "/all").collect()}
     assert out == {10: 1.0, 12: 9.0, 13: 5.0}
+
+
+def test_calendar_lag_survives_gaps(spark):
+    ts = hours(60)
+    keep = [t for i, t in enumerate(ts) if i not in (30, 31, 32)]          # a 3-hour gap
+    df = spark.createDataFrame([("a", t, float(t.hour + 24 * (t.day - 1))) for t in keep],
+                               "city string, timestamp timestamp_ntz, demand double")
+    rows = series.lag_features(df, (24,), mode="calendar").orderBy("timestamp").collect()
+    for r in rows:
+        lag = r["demand_lag_24h"]
+        if lag is not None:
+            assert r["demand"] - lag == 24.0                               # exactly one day back in clock time
+    gapped = {r.timestamp: r["demand_lag_24h"] for r in rows}
+    assert gapped[ts[30 + 24]] is None                                     # 24 h earlier is missing
+
+
+def test_parse_timestamp_prefers_local_time(spark):
+    df = spark.createDataFrame([("2024-01-01 05:00:00", "2024-01-01 10:00:00")], "local_time string, utc_time string")
+    assert df.select(cal.parse_timestamp(df)).first()[0] == dt.datetime(2024, 1, 1, 5)
+    only_utc = df.drop("local_time")
+    assert only_utc.select(cal.parse_timestamp(only_utc)).first()[0] == dt.datetime(2024, 1, 1, 10)
+
+
+def test_ridge_matches_numpy(spark):
+    import numpy as np
+    from loadstats.operators import models
+    rng = np.random.default_rng(0)
+    a = rng.normal(100, 10, 200)
+    b = a + rng.normal(0, 5, 200)
+    y = 0.6 * a + 0.3 * b + rng.normal(0, 1, 200) + 7
+    df = spark.createDataFrame([(float(x1), float(x2), float(t)) for x1, x2, t in zip(a, b, y)], "pa double, pb double, y double")
+    fit = models.ridge_fit(df, ["pa", "pb"], "y", alpha=0.5)
+    X = np.column_stack([a - a.mean(), b - b.mean()])
+    coef = np.linalg.solve(X.T @ X + 0.5 * np.eye(2), X.T @ (y - y.mean()))
+    assert np.allclose([fit["coef_a"], fit["coef_b"]], coef, rtol=1e-9)
+    assert abs(fit["intercept"] - (y.mean() - coef @ [a.mean(), b.mean()])) < 1e-8
+
+
+def test_rolling_origin_folds_partition_the_tail(spark):
+    from loadstats.operators import models
+    ts = hours(100)
+    df = spark.createDataFrame([("a", t, 1.0) for t in ts], "city string, timestamp timestamp_ntz, demand double")
+    counts = {r.fold: r["count"] for r in models.rolling_origin_folds(df).groupBy("fold").count().collect()}
+    assert counts == {None: 50, 1: 10, 2: 10, 3: 10, 4: 10, 5: 10}

@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.stats import _lit, attach_scalars, median, round_half_away, scalars
 from .frames import carry_backward, carry_forward

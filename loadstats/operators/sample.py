@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.calendar import concat_key
-from ..functions.stats import attach_scalars, median, scalars
+from ..functions.stats import median, scalars
 from .frames import POS, with_position
 
 # A 5 % drift threshold, seed 42, 80/20 and 70/15/15 splits.

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import fourier_terms
 from ..functions.stats import attach_scalars
-from .frames import CHUNK, HALO, POS, carry_backward, carry_forward, framed, with_chunks, with_position
+from .frames import CHUNK, HALO, POS, framed, with_chunks, with_position
 
 # Fixed values from the reference feature set.
 BASE_LAGS = (24, 48, 168)

@@ -5,11 +5,9 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import calendar as cal
 from ..operators import anomaly, clean, scale, series
-from ..operators.frames import POS, with_position
 from ..sources import fixtures as fx
 from ..sources import readers
 from .registry import query, r6, s6

@@ -3,13 +3,10 @@ anomalies and sampling (N, D5), forecasts and models (L, D6-D12), streams (X).""
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
-from ..operators import anomaly, clean, models, rollup, sample, scale, series
-from ..operators.frames import POS, with_position
+from ..operators import anomaly, models, rollup, sample, series
 from ..sources import fixtures as fx
 from ..streaming import hourly as stream
 from ..functions.stats import round_half_away

@@ -133,9 +133,12 @@ def l14(spark, sf):
     sizes = pts.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
     top = series.top_n_per_group(pts.select("cluster", "x", "y", "demand", "timestamp", "city"), 100, "cluster",
                                  ("timestamp", "city"))
-    return (top.join(sizes, "cluster").join(centre_rows, "cluster")
-               .select("cluster", "size", "center", "rank", "x", "y", "demand",
-                       cal.format_timestamp("timestamp").alias("timestamp")))
+    # nested API shape: one row per cluster; the point list is capped at 100 by
+    # the top-n above, so collecting it per cluster is bounded
+    points = top.groupBy("cluster").agg(F.sort_array(F.collect_list(F.struct(
+        "rank", "x", "y", "demand", cal.format_timestamp("timestamp").alias("timestamp")))).alias("points"))
+    return sizes.join(centre_rows, "cluster").join(points, "cluster", "left") \
+                .select("cluster", "size", "center", "points")
 
 
 @query("N3_anomaly_isolation_forest")

@@ -128,3 +128,19 @@ def test_backward_carry_has_no_unbounded_following_frame(spark):
     gaps = fx.demand_weather_gaps(spark, SF)
     plan = frames.carry_both(gaps, ["temperature"])._jdf.queryExecution().executedPlan().toString()
     assert "unboundedfollowing" not in plan.lower()
+
+
+def test_kmeans_sizes_and_nearest_centre(spark):
+    import numpy as np
+    from pyspark.ml.functions import vector_to_array
+    from loadstats.operators import models
+    md = fx.merged_daily(spark, SF)
+    model, scored, _ = models.kmeans_clusters(md, ["demand", "temperature", "humidity", "wind_speed"], k=3)
+    n = md.na.drop(subset=["demand", "temperature", "humidity", "wind_speed"]).count()
+    sizes = {r.cluster: r["count"] for r in scored.groupBy("cluster").count().collect()}
+    assert sum(sizes.values()) == n and len(sizes) == 3
+    centres = np.array(model.stages[-1].clusterCenters())
+    pts = scored.select(vector_to_array("features").alias("f"), "cluster").toPandas()
+    x = np.stack(pts["f"].to_numpy())
+    nearest = ((x[:, None, :] - centres[None, :, :]) ** 2).sum(axis=2).argmin(axis=1)
+    assert (nearest == pts["cluster"].to_numpy()).all()

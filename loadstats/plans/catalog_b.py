@@ -394,8 +394,8 @@ def _flagged(spark, sf, view=fx.merged_daily):
 
 
 @query("A15_anomaly_rate_by_city",
-       "SELECT city, count(demand) AS total_records, count_if(anomaly_z) AS z_anomalies, "
-       f"count_if(anomaly_iqr) AS iqr_anomalies, {s6('count_if(anomaly_z) * 100.0 / count(demand)')} AS z_pct, "
+       "SELECT city, count(demand) AS total_records, CAST(count_if(anomaly_z) AS BIGINT) AS z_anomalies, "
+       f"CAST(count_if(anomaly_iqr) AS BIGINT) AS iqr_anomalies, {s6('count_if(anomaly_z) * 100.0 / count(demand)')} AS z_pct, "
        f"{s6('count_if(anomaly_iqr) * 100.0 / count(demand)')} AS iqr_pct FROM ({_flags_sql(MD, N5)}) GROUP BY city", (MD,))
 def a15(spark, sf):
     r = rollup.anomaly_rate_by_city(_flagged(spark, sf))
@@ -404,8 +404,8 @@ def a15(spark, sf):
 
 
 @query("A16_cleaning_report",
-       "SELECT count(*) AS rows_before, count_if(NOT anomaly_iqr) AS rows_after, "
-       "count(*) - count_if(NOT anomaly_iqr) AS rows_removed, "
+       "SELECT count(*) AS rows_before, CAST(count_if(NOT anomaly_iqr) AS BIGINT) AS rows_after, "
+       "CAST(count(*) - count_if(NOT anomaly_iqr) AS BIGINT) AS rows_removed, "
        f"round((count(*) - count_if(NOT anomaly_iqr)) * 100.0 / count(*), 2) AS pct_removed FROM ({_flags_sql(MD, N5)})",
        (MD,))
 def a16(spark, sf):

@@ -42,6 +42,11 @@ def norm(v):
     return repr(v)
 
 
+SPARK_TO_DUCK = {"string": "VARCHAR", "double": "DOUBLE", "int": "INTEGER", "bigint": "BIGINT",
+                 "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP", "date": "DATE", "array<double>": "DOUBLE[]",
+                 "array<string>": "VARCHAR[]", "float": "FLOAT"}
+
+
 def canon(cols, rows):
     order = sorted(range(len(cols)), key=lambda i: cols[i])
     return [cols[i] for i in order], sorted(tuple(norm(r[i]) for i in order) for r in rows)
@@ -56,6 +61,10 @@ def compare(spark, con, name, fn, sql, sf_dir):
         return "ROWS", f"{len(srows)} rows spark {t1 - t0:.2f}s"
     res = con.sql(sql)
     dcols = list(res.columns)
+    dtypes = dict(zip(dcols, [str(t) for t in res.types]))
+    wrong = [(c, t, dtypes.get(c)) for c, t in df.dtypes if SPARK_TO_DUCK.get(t, t) != dtypes.get(c)]
+    if wrong:
+        return "MISMATCH", f"types (column, spark, duckdb): {wrong}"
     drows = res.fetchall()
     sc, sr = canon(df.columns, srows)
     dc, dr = canon(dcols, drows)

@@ -28,12 +28,17 @@ def duck(sf_dir):
     return con
 
 
+STRICT = os.environ.get("STRICT") == "1"   # exact float equality, as a value hash would see it
+
+
 def norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
         if math.isinf(v):
             return "inf" if v > 0 else "-inf"
+        if STRICT:
+            return repr(v + 0.0)
         return repr(round(v, 9) + 0.0)
     if isinstance(v, (list, tuple)):
         return "[" + ",".join(norm(x) for x in v) + "]"

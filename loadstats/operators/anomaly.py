@@ -187,7 +187,7 @@ def fit_isolation_forest(df: DataFrame, cols: Sequence[str], key: Sequence[str],
 def _path_lengths(x: np.ndarray, trees: dict) -> np.ndarray:
     total = np.zeros(len(x))
     for nodes in trees.values():
-        feat, split, left, right, size = nodes
+        feat, split, left, right, size, leaf_c = nodes
         cur = np.zeros(len(x), dtype=np.int64)
         depth = np.zeros(len(x))
         active = feat[cur] >= 0
@@ -197,7 +197,7 @@ def _path_lengths(x: np.ndarray, trees: dict) -> np.ndarray:
             cur[active] = np.where(go_left, left[cur[active]], right[cur[active]])
             depth[active] += 1
             active = feat[cur] >= 0
-        total += depth + np.array([_c_factor(s) for s in size[cur]])
+        total += depth + leaf_c[cur]
     return total / max(len(trees), 1)
 
 
@@ -214,8 +214,10 @@ def score_isolation_forest(df: DataFrame, trees: DataFrame, cols: Sequence[str],
     by_tree = {}
     for t, g in pdf.groupby("tree"):
         g = g.sort_values("node")
+        size = g["size"].to_numpy()
         by_tree[int(t)] = (g["feature"].to_numpy(), g["split"].to_numpy(), g["left"].to_numpy(),
-                           g["right"].to_numpy(), g["size"].to_numpy())
+                           g["right"].to_numpy(), size,
+                           np.array([_c_factor(s) for s in size]))   # per-node leaf correction, once per tree
     bc = sc.broadcast(by_tree)
     psi = min(sample_size, int(pdf.loc[pdf["node"] == 0, "size"].max() or 2))
     cn = _c_factor(psi)
@@ -239,8 +241,11 @@ def anomaly_isolation_forest(df: DataFrame, cols: Sequence[str], key: Sequence[s
                              n_trees: int = IFOREST_TREES, sample_size: int = IFOREST_SAMPLE,
                              accuracy: int = 10000, out: str = "anomaly_iso") -> DataFrame:
     """Flag the ``contamination`` share of rows with the highest scores."""
+    from ..session import materialize
     trees = fit_isolation_forest(df, cols, list(key), n_trees, sample_size, seed)
-    scored = score_isolation_forest(df, trees, cols, sample_size)
+    # scoring (every row through every tree) is the heavy part: do it once, then
+    # derive both the 1 % cut and the flags from the written scores
+    scored = materialize(score_isolation_forest(df, trees, cols, sample_size))
     return (attach_scalars(scored, [F.percentile_approx("iso_score", 1.0 - contamination, accuracy).alias("_cut")])
                   .withColumn(out, F.coalesce(F.col("iso_score") > F.col("_cut"), F.lit(False)))
                   .drop("_cut"))

@@ -110,3 +110,15 @@ def ship_package(spark: SparkSession) -> None:
                     z.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
     sc.addPyFile(zpath)
     _SHIPPED.add(key)
+
+
+def materialize(df):
+    """Write a derived table once to the shared checkpoint folder and read it back.
+
+    For work that scans its input several times (a statistics job plus the row
+    pass, a position pass plus a carry pass), the upstream plan then runs once
+    instead of once per branch. The checkpoint is reliable storage, so a lost
+    executor only re-reads it (never a machine-local checkpoint).
+    """
+    checkpoint_root(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import materialize  # noqa: F401  (re-exported for the registered queries)
+
 WEATHER_COLS = ["temperature", "humidity", "wind_speed", "pressure"]
 MERGED_NUMERIC = ["demand"] + WEATHER_COLS
 
@@ -169,14 +171,3 @@ VIEWS = {
     "demand_weather_gaps": demand_weather_gaps,
 }
 
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write a derived table once to the shared checkpoint folder and read it back.
-
-    For operators that scan their input several times (statistics job, position
-    pass, carry pass), the upstream joins then run once instead of once per
-    branch; the checkpoint is reliable storage, so lost executors only re-read it.
-    """
-    from ..session import checkpoint_root
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)

@@ -45,11 +45,29 @@ def _epoch_seconds(order: str) -> Column:
     return F.unix_seconds(F.col(order).cast("timestamp"))
 
 
+def is_derived(df: DataFrame) -> bool:
+    """True when the plan aggregates or joins, i.e. re-running it costs more than
+    reading its (smaller) result back."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return any(node in plan for node in ("Aggregate", "Join", "Window"))
+
+
 def with_position(df: DataFrame, by="city", order: str = "timestamp",
                   tiebreak: Sequence[str] = (), bucket_seconds: int = DEFAULT_BUCKET_SECONDS,
-                  pos_col: str = POS) -> DataFrame:
-    """Add ``pos_col`` = 0-based row position within each ``by`` series."""
+                  pos_col: str = POS, materialize: bool | None = None) -> DataFrame:
+    """Add ``pos_col`` = 0-based row position within each ``by`` series.
+
+    The input feeds two branches (count table and rows). A derived input is
+    written once to the shared checkpoint folder first (``materialize=None``
+    decides by the plan), so its upstream aggregates and joins run once; a
+    plain table scan is simply read twice.
+    """
     keys = _as_list(by)
+    if materialize is None:
+        materialize = is_derived(df)
+    if materialize:
+        from ..session import materialize as _write_once
+        df = _write_once(df)
     bucket = F.floor(_epoch_seconds(order) / F.lit(bucket_seconds))
     keyed = df.withColumn("_bkt", bucket)
     counts = keyed.groupBy(*keys, "_bkt").agg(F.count(F.lit(1)).alias("_n"))

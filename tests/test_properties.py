@@ -144,3 +144,23 @@ def test_kmeans_sizes_and_nearest_centre(spark):
     x = np.stack(pts["f"].to_numpy())
     nearest = ((x[:, None, :] - centres[None, :, :]) ** 2).sum(axis=2).argmin(axis=1)
     assert (nearest == pts["cluster"].to_numpy()).all()
+
+
+def test_row_level_plans_have_no_single_partition_exchange(spark, hourly):
+    from loadstats.operators import anomaly as an
+    from loadstats.operators import scale as sc
+    md = fx.merged_daily(spark, SF)
+    gaps = fx.demand_weather_gaps(spark, SF)
+    plans = {
+        "lags": series.lag_grid(hourly),
+        "ewm": series.ewm_mean(hourly, 24),
+        "carry": frames.carry_both(gaps, ["temperature"]),
+        "flags": an.anomaly_z_and_iqr(md, fx.MERGED_NUMERIC),
+        "split": sample.split_chronological(hourly),
+        "bins": sc.quantile_bin(md, ["temperature"]),
+        "scaled": sc.minmax_scale(md, fx.MERGED_NUMERIC),
+    }
+    for name, df in plans.items():
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SinglePartition" not in plan, name
+        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name

@@ -26,7 +26,8 @@ def _as_list(x):
 def money_mean(c) -> Column:
     """Mean of a money-like column (two decimals) from an exact decimal sum, so the
     result does not depend on the order rows arrive in (SURVEY 7.4)."""
-    return F.try_divide(F.sum(F.col(c).cast("decimal(18,2)")).cast("double"), F.count(c).cast("double"))
+    cents = F.sum(F.round(F.col(c) * F.lit(100)).cast("bigint"))     # exact, like a decimal(18,2) sum
+    return F.try_divide(cents / F.lit(100.0), F.count(c).cast("double"))
 
 
 def daily_summary(df: DataFrame, ts="timestamp", value="demand", temp="temperature") -> DataFrame:

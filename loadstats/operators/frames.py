@@ -52,6 +52,15 @@ def is_derived(df: DataFrame) -> bool:
     return any(node in plan for node in ("Aggregate", "Join", "Window"))
 
 
+def computed_once(df: DataFrame) -> DataFrame:
+    """``df`` itself if it is a plain scan, else its materialised copy (see
+    :func:`is_derived`): for callers that read their input in several branches."""
+    if is_derived(df):
+        from ..session import materialize
+        return materialize(df)
+    return df
+
+
 def with_position(df: DataFrame, by="city", order: str = "timestamp",
                   tiebreak: Sequence[str] = (), bucket_seconds: int = DEFAULT_BUCKET_SECONDS,
                   pos_col: str = POS, materialize: bool | None = None) -> DataFrame:

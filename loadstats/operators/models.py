@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import scalars
 from .frames import framed
-from .sample import split_chronological
+from .sample import TRAIN_SHARE
 from .scale import standardize
 
 # Fixed values from the reference: 24-row naive horizon, ridge alpha 0.5,
@@ -37,11 +37,15 @@ def naive_forecast(df: DataFrame, col: str = "demand", horizon: int = NAIVE_HORI
                    **kw) -> DataFrame:
     """L1: prediction = value ``horizon`` rows earlier (lag taken before the split);
     rows without history are dropped; by default only the chronological test slice."""
-    lagged = framed(df, lambda w: [F.lag(col, horizon).over(w).alias("predicted")], back=horizon, **kw)
-    out = split_chronological(lagged) if test_only else lagged.withColumn("split", F.lit("all"))
+    from .frames import POS, computed_once, with_position
+    base = computed_once(df)                    # one position pass, one size table
+    positioned = with_position(base, materialize=False)
+    lagged = framed(positioned, lambda w: [F.lag(col, horizon).over(w).alias("predicted")], back=horizon,
+                    positioned=True, **kw)
     if test_only:
-        out = out.where(F.col("split") == "test")
-    return out.where(F.col("predicted").isNotNull()).select(
+        sizes = base.groupBy("city").agg(F.count(F.lit(1)).alias("_n"))
+        lagged = lagged.join(sizes, "city").where(F.col(POS) >= F.floor(F.col("_n") * F.lit(TRAIN_SHARE)))
+    return lagged.where(F.col("predicted").isNotNull()).select(
         "city", "timestamp", F.col(col).alias("actual"), "predicted")
 
 
@@ -120,9 +124,10 @@ def rolling_origin_folds(df: DataFrame, n_folds: int = 5, start: float = 0.5, by
                          order: str = "timestamp") -> DataFrame:
     """Expanding-window folds by position: fold f tests positions
     [floor(n*(start+(f-1)*step)), floor(n*(start+f*step))), step=(1-start)/n_folds."""
-    from .frames import POS, with_position
-    sizes = df.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
-    p = with_position(df, by, order).join(sizes, by)
+    from .frames import POS, computed_once, with_position
+    base = computed_once(df)
+    sizes = base.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
+    p = with_position(base, by, order, materialize=False).join(sizes, by)
     step = (1.0 - start) / n_folds
     fold = F.lit(None).cast("int")
     for f in range(n_folds, 0, -1):

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import concat_key
 from ..functions.stats import median, scalars
-from .frames import POS, with_position
+from .frames import POS, computed_once, with_position
 
 # A 5 % drift threshold, seed 42, 80/20 and 70/15/15 splits.
 DRIFT_PCT = 5.0
@@ -163,7 +163,8 @@ def split_chronological(df: DataFrame, by="city", order: str = "timestamp",
                         train_share: float = TRAIN_SHARE) -> DataFrame:
     """First floor(n * share) rows of each series -> train, the rest -> test."""
     keys = _as_list(by)
-    p = with_position(df, keys, order).join(_series_sizes(df, keys), keys)
+    base = computed_once(df)                    # positions and sizes both read it
+    p = with_position(base, keys, order, materialize=False).join(_series_sizes(base, keys), keys)
     cut = F.floor(F.col("_n") * F.lit(train_share))
     return p.withColumn("split", F.when(F.col(POS) < cut, "train").otherwise("test")).drop(POS, "_n")
 
@@ -171,7 +172,8 @@ def split_chronological(df: DataFrame, by="city", order: str = "timestamp",
 def split_three_way(df: DataFrame, by="city", order: str = "timestamp", cuts=SPLIT_3) -> DataFrame:
     """Chronological train / validation / test."""
     keys = _as_list(by)
-    p = with_position(df, keys, order).join(_series_sizes(df, keys), keys)
+    base = computed_once(df)
+    p = with_position(base, keys, order, materialize=False).join(_series_sizes(base, keys), keys)
     a = F.floor(F.col("_n") * F.lit(cuts[0]))
     b = F.floor(F.col("_n") * F.lit(cuts[1]))
     lab = F.when(F.col(POS) < a, "train").when(F.col(POS) < b, "validation").otherwise("test")

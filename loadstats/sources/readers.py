@@ -34,10 +34,13 @@ def scan_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
 
 
 def scan_glob(spark: SparkSession, pattern: str, schema: T.StructType, fmt: str = "csv") -> DataFrame:
-    """Many files by glob; every row keeps its source file name."""
+    """Many files by glob; every row keeps its source file name, and the
+    number of files matched (from the file listing, no data read) is reported."""
     r = spark.read.schema(schema)
     df = r.option("header", True).csv(pattern) if fmt == "csv" else r.format(fmt).load(pattern)
-    return df.select("*", F.col("_metadata.file_path").alias("source_file"))
+    n_files = len(df.inputFiles())
+    return df.select("*", F.col("_metadata.file_path").alias("source_file"),
+                     F.lit(n_files).alias("files_in_scan"))
 
 
 def scan_weather_json(spark: SparkSession, pattern: str, schema: T.StructType = WEATHER_SCHEMA,
@@ -107,7 +110,7 @@ def roundtrip_glob(spark: SparkSession, df: DataFrame) -> DataFrame:
     schema = T.StructType(DEMAND_SCHEMA.fields[1:])
     out = scan_glob(spark, f"{path}/city=*/*.csv", schema)
     return out.select(F.regexp_extract("source_file", r"city=([^/]+)/", 1).alias("city"), "timestamp", "demand",
-                      "source_file")
+                      "source_file", "files_in_scan")
 
 
 def roundtrip_weather_json(spark: SparkSession, df: DataFrame) -> DataFrame:

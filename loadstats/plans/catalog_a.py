@@ -46,7 +46,11 @@ def s4(spark, sf):
 
 @query("S5_require_columns")
 def s5(spark, sf):
-    return readers.require_columns(fx.merged_daily(spark, sf), ["city", "timestamp", "demand"])
+    """Sources in preference order: the events table is used, a missing path and a
+    table without the required columns are reported and skipped."""
+    sources = [f"{sf}/events.parquet", f"{sf}/no_such_source.parquet", f"{sf}/nation.parquet"]
+    out = readers.load_sources(spark, sources, ["event_id", "ts", "event_type", "value"])
+    return readers.require_columns(out, ["event_id", "ts", "event_type", "value"])
 
 
 @query("S6_first_available_source")

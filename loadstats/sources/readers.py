@@ -70,6 +70,37 @@ def require_columns(df: DataFrame, required: Sequence[str], allow_empty: bool =
     return df
 
 
+def load_sources(spark: SparkSession, paths: Sequence[str], required: Sequence[str], fmt: str = "parquet",
+                 schema: T.StructType | None = None, log=print) -> DataFrame:
+    """S5 + J2: read every source that exists, is not empty and has the required
+    columns; report and skip the others; union the rest by name (UNION ALL)."""
+    frames = []
+    for p in paths:
+        if not path_exists(spark, p):
+            log(f"skipping {p}: missing")
+            continue
+        r = spark.read.format(fmt)
+        if schema is not None:
+            r = r.schema(schema)
+        if fmt == "csv":
+            r = r.option("header", True)
+        df = r.load(p)
+        missing = [c for c in required if c not in df.columns]
+        if missing:
+            log(f"skipping {p}: lacks {missing}")
+            continue
+        if df.isEmpty():
+            log(f"skipping {p}: empty")
+            continue
+        frames.append(df.select(*required))
+    if not frames:
+        raise ValueError("no usable source")
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
 def first_available(spark: SparkSession, paths: Sequence[str], fmt: str = "parquet") -> DataFrame:
     """The first existing source in preference order (Hadoop FS existence test)."""
     for p in paths:

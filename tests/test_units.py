@@ -214,3 +214,18 @@ def test_rolling_origin_folds_partition_the_tail(spark):
     df = spark.createDataFrame([("a", t, 1.0) for t in ts], "city string, timestamp timestamp_ntz, demand double")
     counts = {r.fold: r["count"] for r in models.rolling_origin_folds(df).groupBy("fold").count().collect()}
     assert counts == {None: 50, 1: 10, 2: 10, 3: 10, 4: 10, 5: 10}
+
+
+def test_load_sources_skips_missing_empty_and_incomplete(spark, tmp_path):
+    good = str(tmp_path / "good")
+    empty = str(tmp_path / "empty")
+    partial = str(tmp_path / "partial")
+    schema = "city string, timestamp timestamp_ntz, demand double"
+    spark.createDataFrame([("a", T0, 1.0), ("b", T0, 2.0)], schema).write.parquet(good)
+    spark.createDataFrame([], schema).write.parquet(empty)
+    spark.createDataFrame([("a", T0)], "city string, timestamp timestamp_ntz").write.parquet(partial)
+    notes = []
+    out = readers.load_sources(spark, [good, str(tmp_path / "nope"), empty, partial, good],
+                               ["city", "timestamp", "demand"], log=notes.append)
+    assert out.count() == 4                                       # good twice, UNION ALL
+    assert [n.split(": ")[1].split(" ")[0] for n in notes] == ["missing", "empty", "lacks"]

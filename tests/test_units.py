@@ -229,3 +229,13 @@ def test_load_sources_skips_missing_empty_and_incomplete(spark, tmp_path):
                                ["city", "timestamp", "demand"], log=notes.append)
     assert out.count() == 4                                       # good twice, UNION ALL
     assert [n.split(": ")[1].split(" ")[0] for n in notes] == ["missing", "empty", "lacks"]
+
+
+def test_scan_glob_reports_files_and_source(spark, tmp_path):
+    for i in range(3):
+        (tmp_path / f"EIA930_BALANCE_{i}.csv").write_text("city,timestamp,demand\nx,2024-01-01 00:00:00,1.5\n")
+    (tmp_path / "other.csv").write_text("city,timestamp,demand\ny,2024-01-01 00:00:00,9.0\n")
+    df = readers.scan_glob(spark, f"{tmp_path}/EIA930_BALANCE_*.csv", readers.DEMAND_SCHEMA)
+    rows = df.collect()
+    assert len(rows) == 3 and {r.files_in_scan for r in rows} == {3}
+    assert all("EIA930_BALANCE_" in r.source_file for r in rows)

@@ -239,3 +239,14 @@ def test_scan_glob_reports_files_and_source(spark, tmp_path):
     rows = df.collect()
     assert len(rows) == 3 and {r.files_in_scan for r in rows} == {3}
     assert all("EIA930_BALANCE_" in r.source_file for r in rows)
+
+
+def test_interpolation_is_time_linear_and_respects_the_gap_limit(spark):
+    ts = hours(12)
+    vals = [0.0, None, None, 30.0, None, None, None, None, 80.0, 90.0, None, None]
+    df = spark.createDataFrame([("a", t, v) for t, v in zip(ts, vals)],
+                               "city string, timestamp timestamp_ntz, temperature double")
+    out = [r.temperature for r in series.interpolate_linear(df, ["temperature"], limit=3).orderBy("timestamp").collect()]
+    assert out[:4] == [0.0, 10.0, 20.0, 30.0]          # 2-row gap: filled on the line
+    assert out[4:8] == [None] * 4                      # 4-row gap > limit: left NULL
+    assert out[8:10] == [80.0, 90.0] and out[10:] == [None, None]   # no later value: not extrapolated

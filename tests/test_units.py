@@ -250,3 +250,15 @@ def test_interpolation_is_time_linear_and_respects_the_gap_limit(spark):
     assert out[:4] == [0.0, 10.0, 20.0, 30.0]          # 2-row gap: filled on the line
     assert out[4:8] == [None] * 4                      # 4-row gap > limit: left NULL
     assert out[8:10] == [80.0, 90.0] and out[10:] == [None, None]   # no later value: not extrapolated
+
+
+def test_value_counts_ties_and_validation_zero_base(spark):
+    from loadstats.operators import rollup, sample
+    df = spark.createDataFrame([("b",), ("a",), ("a",), ("b",), ("c",)], "k string")
+    top = rollup.value_counts_top(df, ["k"], 2).orderBy("rank").collect()
+    assert [(r.value, r["count"], r.n_unique) for r in top] == [("a", 2, 3), ("b", 2, 3)]   # tie -> by value
+    full = spark.createDataFrame([(0.0,), (0.0,), (2.0,)], "x double")
+    samp = spark.createDataFrame([(0.0,), (2.0,)], "x double")
+    v = sample.sample_validation(full, samp, ["x"]).first()
+    assert v.median == 0.0 and v.median_diff_pct == 0.0                # zero base -> 0, not a division
+    assert abs(v.mean_diff_pct - 50.0) < 1e-9

@@ -48,10 +48,10 @@ def running_offsets(counts: DataFrame, key: str, value: str, out: str, block: in
     blocked = counts.withColumn("_blk", F.floor(F.col(key) / F.lit(block)))
     sums = blocked.groupBy("_blk").agg(F.sum(value).alias("_sum"))
     before = Window.orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sums.select("_blk", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
+    bases = sums.select("_blk", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_off_blk"))
     inside = Window.partitionBy("_blk").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    return (blocked.withColumn("_in", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-            .join(bases, "_blk").withColumn(out, F.col("_in") + F.col("_base")).drop("_blk", "_in", "_base"))
+    return (blocked.withColumn("_off_in", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+            .join(bases, "_blk").withColumn(out, F.col("_off_in") + F.col("_off_blk")).drop("_blk", "_off_in", "_off_blk"))
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 64) -> DataFrame:

@@ -23,3 +23,25 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import quality_rules
     trusted = table(spark, sf_dir, "labels").where("quality = 1")
     return quality_rules(table(spark, sf_dir, "documents"), trusted)
+
+
+@_query
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shard_digest
+    return shard_digest(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import n_words
+    from .mixing import mix
+    out = mix(table(spark, sf_dir, "documents"), n_words(F.col("text")))
+    return out.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
+
+
+def _op7_sql() -> str:
+    from .mixing import SQL
+    return SQL
+
+
+ORACLES["op7_mixing"] = _op7_sql()

@@ -13,6 +13,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def tokenizer_path(name: str) -> str:
+    """Place of a public vocabulary file; every machine has the package."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
 def _query(fn):
     QUERIES[fn.__name__] = fn
     return fn
@@ -45,3 +51,9 @@ def _op7_sql() -> str:
 
 
 ORACLES["op7_mixing"] = _op7_sql()
+
+
+@_query
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_files import read_token_files, write_token_files
+    return read_token_files(write_token_files(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json")))

@@ -57,3 +57,9 @@ ORACLES["op7_mixing"] = _op7_sql()
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_files import read_token_files, write_token_files
     return read_token_files(write_token_files(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json")))
+
+
+@_query
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import language_digest
+    return language_digest(table(spark, sf_dir, "documents"))

@@ -63,3 +63,9 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_id import language_digest
     return language_digest(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op10_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_cnn import quality_digest
+    return quality_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

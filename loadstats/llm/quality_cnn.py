@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .language_id import split_number
 
-PER_CLASS = 1000        # documents of each label that the network is fitted on, at most
+PER_CLASS = 800        # documents of each label that the network is fitted on, at most
 WIDTH, STEP, EMBED, FILTERS, HIDDEN = 12, 2, 6, 32, 16
 BLOCK, CHUNK, HOP = 32, 4, 3      # filter places in a block; blocks in a chunk; blocks from one chunk to the next
 SLAB = 512 * BLOCK      # filter places computed at once
@@ -118,9 +118,12 @@ class ByteCNN:
         for k in range(EMBED):
             g["embed"][:, k] += np.bincount(seen.ravel(), weights=dx[:, k], minlength=256).astype(np.float32)
 
-    def fit(self, texts: list[str], labels: list[int], epochs: int = 14, batch: int = 16, rate: float = 0.004,
-            seed: int = 10) -> ByteCNN:
-        """Adam on the mean log loss, both labels weighing the same."""
+    def fit(self, texts: list[str], labels: list[int], epochs: int = 10, batch: int = 16, rate: float = 0.004,
+            cuts: float = 0.2, seed: int = 10) -> ByteCNN:
+        """Adam on the mean log loss, both labels weighing the same.
+
+        A text of label 1 is shown as a short cut of itself with probability ``cuts``:
+        a text is not worse for being short."""
         rng = np.random.default_rng(seed)
         places = [self._places(t.encode("utf-8", "replace")) for t in texts]
         y = np.array(labels)
@@ -135,7 +138,12 @@ class ByteCNN:
                 some = order[lo:lo + batch]
                 g = {k: np.zeros_like(v) for k, v in self.p.items()}
                 for i in some:
-                    self._gradients(places[i], float(y[i]), float(weight[i]) / len(some), g)
+                    b = places[i]
+                    if y[i] and rng.random() < cuts:
+                        n = int(rng.integers(14, 120))
+                        lo_b = int(rng.integers(0, max(1, len(b) - n)))
+                        b = self._places(b[lo_b:lo_b + n].tobytes())
+                    self._gradients(b, float(y[i]), float(weight[i]) / len(some), g)
                 step += 1
                 r = rate * (1 - epoch / epochs)
                 for k, v in self.p.items():

@@ -118,3 +118,64 @@ class Unions:
             up = nxt
 
 
+
+
+class WordHasher:
+    """64-bit hashes of the words of a text; each distinct word is hashed once while it is held."""
+
+    def __init__(self, seed: int = 0, most_held: int = 400_000):
+        from xxhash import xxh3_64_intdigest
+        self._hash, self._seed, self._held, self._most = xxh3_64_intdigest, seed, {}, most_held
+
+    def __call__(self, words: list[bytes]) -> np.ndarray:
+        held = self._held
+        if len(held) > self._most:
+            held.clear()
+        for w in set(words).difference(held):
+            held[w] = self._hash(w, self._seed)
+        return np.fromiter(map(held.__getitem__, words), dtype=np.uint64, count=len(words))
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """Finalising mix of 64-bit numbers (bijective)."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def spans_hashed(h: np.ndarray, k: int) -> np.ndarray:
+    """Hash of every ``k`` consecutive words, from the words' hashes."""
+    n = len(h) - k + 1
+    if n <= 0:
+        return np.empty(0, dtype=np.uint64)
+    out = np.zeros(n, dtype=np.uint64)
+    for j in range(k):
+        out = mixed(out + h[j:j + n] + np.uint64(2 * j + 1))
+    return out
+
+
+def runs(batches, keys: int):
+    """Record batches sorted by their first ``keys`` (integer) columns, as one table a key."""
+    import pyarrow as pa
+    rest = None
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        t = t if rest is None else pa.concat_tables([rest, t]).combine_chunks()
+        if not t.num_rows:
+            continue
+        cols = [t.column(i).to_numpy() for i in range(keys)]
+        new = np.zeros(t.num_rows - 1, dtype=bool)
+        for c in cols:
+            new |= c[1:] != c[:-1]
+        cut = [0, *(np.flatnonzero(new) + 1).tolist()]
+        for lo, hi in zip(cut, cut[1:], strict=False):
+            yield t.slice(lo, hi - lo)
+        rest = t.slice(cut[-1])
+    if rest is not None and rest.num_rows:
+        yield rest
+
+
+def sendable(df: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
+    """``df`` (a few numbers a row) marked for broadcasting if it has at most ``most_rows``
+    rows; otherwise as it is, for a shuffled join."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df

@@ -25,7 +25,7 @@ WEIGHTS = (5, 2, 1)
 SHARE = (3, 2)          # the budget as a fraction of all sizes
 PASSES = 2
 SEED = "mix-1"
-BIN_ENTRIES = 20_000
+BIN_ENTRIES = 1_000
 
 
 def shuffle_key(id_col: Column, seed: str) -> Column:

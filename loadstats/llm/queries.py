@@ -69,3 +69,9 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_cnn import quality_digest
     return quality_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@_query
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import jaccard_components
+    return jaccard_components(table(spark, sf_dir, "documents"))

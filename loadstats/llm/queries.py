@@ -75,3 +75,10 @@ def op10_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard_join import jaccard_components
     return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import remove_spans, repeated_spans
+    docs = table(spark, sf_dir, "documents")
+    return remove_spans(docs, repeated_spans(docs)).select("doc_id", "n_words", "n_removed", "kept_sha256")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .common import running_offsets
+from .common import running_offsets, saved, sendable
 
 SHARDS = 8
 SEED = 20
@@ -66,7 +66,8 @@ def shard(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text"
     # the counts need two narrow columns, not the texts
     counts = (d.select(F.pmod(own, F.lit(buckets)).alias("_bucket")).groupBy("_bucket")
               .agg(F.count(F.lit(1)).alias("_n")))
-    bases = running_offsets(counts, "_bucket", "_n", "_base").select("_bucket", "_base")
+    # two numbers a bucket: the shuffled texts stay where they are
+    bases = sendable(saved(running_offsets(counts, "_bucket", "_n", "_base").select("_bucket", "_base"), "bases"))
     placed = (scattered.repartition(buckets, "_bucket").groupBy("_bucket").applyInArrow(_shuffled(seed), schema)
               .join(bases, "_bucket").withColumn("_place", F.col("_base") + F.col("_at")))
     n = max(1, rows)

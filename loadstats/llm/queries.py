@@ -82,3 +82,9 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import remove_spans, repeated_spans
     docs = table(spark, sf_dir, "documents")
     return remove_spans(docs, repeated_spans(docs)).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@_query
+def op4_spherical_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spherical_caps import near_duplicates
+    return near_duplicates(table(spark, sf_dir, "embeddings"))

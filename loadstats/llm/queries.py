@@ -88,3 +88,9 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_spherical_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .spherical_caps import near_duplicates
     return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@_query
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sentencepiece_codec import codec_digest
+    return codec_digest(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))

@@ -73,8 +73,48 @@ class Vocabulary:
         self._keys = np.array(keys, dtype=np.uint64)
         self._ids = np.array([by_hash[k] for k in keys], dtype=np.int32)
         self._scores = np.array([self.score[self.text[i]] for i in self._ids.tolist()])
-        self._held: dict[str, tuple[bytes, float, float]] = {}
+        self._slots = self._placed(self._keys)
+        self._plain = frozenset(p for p in self.id if len(p) == 1) | {chr(i) for i in range(128)}
+        self._byte_ids = np.array([self.byte[i] for i in range(256)])
         self._ranked: dict[str, list] = {}
+        self._forget()
+
+    @staticmethod
+    def _placed(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two tables of 2**21 places: each key's index stands at its first or its second place."""
+        one, two = np.zeros(1 << 21, np.int32), np.full(1 << 21, 0, np.int32)
+        a, b = keys >> np.uint64(43), keys & np.uint64((1 << 21) - 1)
+        one[a] = np.arange(len(keys))
+        late = np.flatnonzero(one[a] != np.arange(len(keys)))
+        two[b[late]] = late
+        if (two[b[late]] != late).any():
+            raise ValueError("pieces clash in both tables")
+        return one, two
+
+    def _find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(index of the piece, whether there is one) for hashes of characters."""
+        one, two = self._slots
+        at = one[h >> np.uint64(43)]
+        hit = self._keys[at] == h
+        miss = np.flatnonzero(~hit)
+        again = two[h[miss] & np.uint64((1 << 21) - 1)]
+        found = self._keys[again] == h[miss]
+        at[miss[found]] = again[found]
+        hit[miss[found]] = True
+        return at, hit
+
+    def _forget(self) -> None:
+        self._row: dict[str, int] = {}
+        self._blob: list[bytes] = []
+        self._value = np.empty((1 << 12, 2))        # of each part held: best score, gap to the second best
+
+    def _hold(self, parts: list[str], blobs: list[bytes], values: np.ndarray) -> None:
+        at = len(self._blob)
+        while at + len(parts) > len(self._value):
+            self._value = np.concatenate([self._value, np.empty_like(self._value)])
+        self._value[at:at + len(parts)] = values
+        self._blob += blobs
+        self._row.update(zip(parts, range(at, at + len(parts)), strict=True))
 
     # -- one part -----------------------------------------------------------------
 
@@ -122,8 +162,7 @@ class Vocabulary:
             h = np.zeros(u, dtype=np.uint64)
             for j in range(i + 1, min(size, i + self.longest) + 1):
                 h = _hash_chars(h, c[:, j - 1])
-                at = np.minimum(np.searchsorted(self._keys, h), len(self._keys) - 1)
-                hit = self._keys[at] == h
+                at, hit = self._find(h)
                 if j == i + 1:
                     s = np.where(hit, self._scores[at], self.byte_score)
                     edge[i, j] = s, np.where(hit, self._ids[at], -1 - c[:, i].astype(np.int64))
@@ -151,28 +190,27 @@ class Vocabulary:
         for j in range(size, 0, -1):
             ends[j] = at == j
             at = np.where(ends[j], back[j], at)
-        ids = np.full((size + 1, u), np.iinfo(np.int64).min)
+        none_id = np.iinfo(np.int64).min
+        ids = np.full((u, size), none_id)
         second = np.full(u, none)
         for (i, j), (s, piece) in edge.items():
             on = ends[j] & (back[j] == i)
-            ids[j][on] = piece[on] if piece.ndim else piece
+            ids[on, j - 1] = piece[on]
             np.maximum(second, np.where(on, none, to[i] + s + onward[j]), out=second)
-        gap = np.maximum(to[size] - second, 0.0)
-        for k, part in enumerate(parts):
-            row = ids[1:, k]
-            row = row[row != np.iinfo(np.int64).min]
-            if (row < 0).any():      # a character that only byte pieces cover
-                row = np.array([self.byte[-1 - x] if x < 0 else x for x in row.tolist()])
-            self._held[part] = row.astype("<i4").tobytes(), float(to[size, k]), float(gap[k])
+        flat = ids[ids != none_id]
+        flat = np.where(flat < 0, self._byte_ids[np.maximum(-1 - flat, 0) & 255], flat).astype("<i4").tobytes()
+        cut = (4 * np.cumsum([0, *(ids != none_id).sum(axis=1).tolist()])).tolist()
+        self._hold(parts, [flat[lo:hi] for lo, hi in zip(cut, cut[1:], strict=False)],
+                   np.stack([to[size], np.maximum(to[size] - second, 0.0)], axis=1))
 
     def _learn(self, parts: set[str]) -> None:
         by_size: dict[int, list[str]] = {}
         for p in parts:
-            if len(p) <= LONGEST and all(ch in self.id or ch < "\x80" for ch in p):
+            if len(p) <= LONGEST and self._plain.issuperset(p):
                 by_size.setdefault(len(p), []).append(p)
             else:
                 a, b = (*self.search(p, 2), (-math.inf, ()))[:2]
-                self._held[p] = np.array(a[1], dtype="<i4").tobytes(), a[0], a[0] - b[0]
+                self._hold([p], [np.array(a[1], dtype="<i4").tobytes()], np.array([[a[0], a[0] - b[0]]]))
         for same in by_size.values():
             for lo in range(0, len(same), 2048):
                 self._batched(same[lo:lo + 2048])
@@ -199,28 +237,30 @@ class Vocabulary:
 
         ``others`` are the runners-up as changes to the best: lists of (at, length, ids),
         the ids that stand in place of ``length`` ids of the best from ``at`` on."""
-        if len(self._held) > most_held:
-            self._held.clear()
-        held = self._held
+        if len(self._blob) > most_held:
+            self._forget()
         split = [self.parts_of(t) if t else [] for t in texts]
-        self._learn({p for parts in split for p in parts}.difference(held))
+        self._learn(set().union(*split).difference(self._row))
         out = []
         for parts in split:
             if not parts:
                 out.append((b"", [0.0], []))
                 continue
-            got = [held[p] for p in parts]
-            ids = b"".join([g[0] for g in got])
-            score = math.fsum([g[1] for g in got])
-            gaps = np.array([g[2] for g in got])
-            near = np.argsort(gaps, kind="stable")[:n - 1]
+            rows = list(map(self._row.__getitem__, parts))
+            blobs = list(map(self._blob.__getitem__, rows))
+            ids = b"".join(blobs)
+            values = self._value[rows]
+            score, gaps = float(values[:, 0].sum()), values[:, 1]
+            few = min(n - 1, len(gaps))
+            near = np.flatnonzero(gaps <= np.partition(gaps, few - 1)[few - 1]) if few else np.empty(0, np.int64)
+            near = near[np.argsort(gaps[near], kind="stable")][:few]
             ways = [(0.0, ())]                  # (loss, ((part, way), ...)), best first
             for k in sorted(near.tolist()):
                 ranked = self._best_of(parts[k], n)
                 choice = [(0.0, ())] + [(ranked[0][0] - r[0], ((k, w),)) for w, r in enumerate(ranked) if w]
                 ways = sorted(((round(a + b, 9), x + y) for a, x in ways for b, y in choice))[:n]
-            before = np.cumsum([0] + [len(g[0]) // 4 for g in got])
-            others = [[(int(before[k]), len(got[k][0]) // 4, list(self._ranked[parts[k]][w][1])) for k, w in way]
+            sizes = list(map(len, blobs))
+            others = [[(sum(sizes[:k]) // 4, sizes[k] // 4, list(self._ranked[parts[k]][w][1])) for k, w in way]
                       for _, way in ways[1:]]
             out.append((ids, [score - loss for loss, _ in ways], others))
         return out

@@ -68,7 +68,7 @@ class WaveletMatrix:
             ids = ids.astype(np.uint16)
         zeros, lengths, ones, blocks = [], [], [], []
         for b in range(bits - 1, -1, -1):
-            one = (ids >> b) & 1 == 1
+            one = (ids & (1 << b)).astype(bool)
             packed = np.packbits(one)
             cut = [packed[i:i + BLOCK] for i in range(0, len(packed), BLOCK)]
             ones.append([int(_ONES[c].sum()) for c in cut])
@@ -167,40 +167,72 @@ _MIXED = re.compile(r" (?:\s|$)")
 
 
 class Encoder:
-    """Encodes whole texts, each distinct piece between spaces once.
+    """Encodes whole texts, each distinct word once.
 
     The vocabulary's pattern never puts a token across a place before a space that a
-    non-space follows, so a text's ids are the ids of its pieces one after the other."""
+    non-space follows, so a text's ids are the ids of its pieces one after the other; and
+    a piece that is new is made of the pattern's matches, which are encoded once each."""
 
     def __init__(self, tokenizer_file: str, most_held: int = 1_000_000):
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
+        from public_tokenizers import PATTERN
         from tokenizers import Tokenizer
         self._t = Tokenizer.from_file(tokenizer_file)
         self._t.encode_special_tokens = True
-        self._held: dict[str, bytes] = {}
+        self._matches = regex.compile(PATTERN).findall
+        self._line, = self._t.encode("\n", add_special_tokens=False).ids
+        self._words: dict[str, bytes] = {}      # ids of " " + word
+        self._tokens: dict[str, bytes] = {}     # ids of a match of the pattern
         self._most = most_held
 
+    def _learn(self, words: list[str]) -> None:
+        split = [self._matches(" " + w) for w in words]
+        tokens = self._tokens
+        new = list(set().union(*split).difference(tokens))
+        # matches that are not white space go to the library many at a time, a line each
+        lines = [m for m in new if not m.isspace()]
+        for i in range(0, len(lines), 4096):
+            some = lines[i:i + 4096]
+            ids = np.array(self._t.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            cut = np.flatnonzero(np.append(ids, self._line) == self._line).tolist()
+            raw = ids.tobytes()
+            tokens.update(zip(some, [raw[4 * lo:4 * hi] for lo, hi in zip([0] + [c + 1 for c in cut], cut, strict=False)],
+                              strict=True))
+        for m in new:
+            if m.isspace():
+                tokens[m] = self._plain(m)
+        get = tokens.__getitem__
+        for w, ms in zip(words, split, strict=True):
+            self._words[w] = b"".join(map(get, ms))
+
+    def _plain(self, text: str) -> bytes:
+        e = self._t.encode_batch_fast([text], add_special_tokens=False)[0]
+        return np.array(e.ids, dtype="<u4").tobytes()
+
     def __call__(self, texts: list[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, ``end`` after each text, and the lengths with it."""
-        if len(self._held) > self._most:
-            self._held.clear()
-        held, pieces = self._held, []
+        if len(self._words) > self._most:
+            self._words.clear()
+        if len(self._tokens) > self._most:
+            self._tokens.clear()
+        split = []                              # of each text: what goes before its first space, and the words after
         for t in texts:
             if not t:
-                pieces.append([])
+                split.append(("", ()))
             elif _MIXED.search(t):
-                pieces.append([p for p in _GAP.split(t) if p])
+                first, *rest = _GAP.split(t)
+                split.append((first, [r[1:] for r in rest]))
             else:
                 first, *rest = t.split(" ")
-                pieces.append([first, *[" " + p for p in rest]] if first else [" " + p for p in rest])
-        new = list({p for ps in pieces for p in ps if p not in held})
-        for i in range(0, len(new), 4096):
-            some = new[i:i + 4096]
-            for p, e in zip(some, self._t.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                held[p] = np.array(e.ids, dtype="<u4").tobytes()
+                split.append((first, rest))
+        new = set().union(*(rest for _, rest in split)).difference(self._words)
+        if new:
+            self._learn(list(new))
         stop = np.array([end], dtype="<u4").tobytes()
-        made = [b"".join([held[p] for p in ps]) + stop for ps in pieces]
+        get = self._words.__getitem__
+        made = [(self._plain(first) if first else b"") + b"".join(map(get, rest)) + stop for first, rest in split]
         return np.frombuffer(b"".join(made), dtype="<u4"), np.array([len(m) // 4 for m in made], dtype=np.int64)
 
 

@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Unions, WordHasher, components, mixed, runs, saved, sendable, spans_hashed
@@ -272,3 +272,22 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     out = sk.select("id", "n").join(comp, sk["id"] == comp["node"], "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
                       F.coalesce("root", "id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """``docs`` without the rows that link to a smaller id; of rows that repeat an id the one
+    whose text sorts first stays. Rows with a NULL id stay."""
+    found = saved(jaccard_components(docs, id_col, text, **how).select(
+        F.col(id_col).alias("_one_id"), "component_id"), "groups")
+    lost = sendable(found.where("component_id != _one_id").select("_one_id").distinct())
+    left = docs.join(lost, F.col(id_col) == F.col("_one_id"), "left_anti")
+    again = saved(found.where("_one_id IS NOT NULL").groupBy("_one_id").agg(F.count(F.lit(1)).alias("_n"))
+                  .where("_n > 1").select("_one_id"), "again")
+    if not again.limit(1).count():
+        return left
+    twice = sendable(again)
+    same = F.col(id_col) == F.col("_one_id")
+    cols = [f"`{c}`" for c in docs.columns]
+    first = Window.partitionBy(id_col).orderBy(F.col(text).asc_nulls_last())
+    kept = left.join(twice, same, "left_semi").withColumn("_one_n", F.row_number().over(first)).where("_one_n = 1")
+    return left.join(twice, same, "left_anti").select(*cols).union(kept.select(*cols))

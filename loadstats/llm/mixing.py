@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import running_offsets, saved
+from .common import running_offsets, saved, sendable
 
 WEIGHTS = (5, 2, 1)
 SHARE = (3, 2)          # the budget as a fraction of all sizes
@@ -71,7 +71,8 @@ def source_targets(sized: DataFrame, weights: Sequence[int] = WEIGHTS, share: tu
 def mix(docs: DataFrame, size: Column, id_col: str = "doc_id", source: str = "source",
         weights: Sequence[int] = WEIGHTS, share: tuple[int, int] = SHARE, passes: int = PASSES,
         seed: str = SEED) -> DataFrame:
-    """One row per document: ``id_col``, size, source_size, target, copies (passes it is in), taken.
+    """One row per document: ``id_col``, source, size, twin (number among rows equal in these three),
+    source_size, target, copies (passes it is in), taken.
 
     * NULL source: a source of its own, the last. NULL id: allowed, sorted by size.
     * Documents of size 0 (NULL or empty text) cost nothing and are never queued: copies 0.
@@ -125,8 +126,35 @@ def mix(docs: DataFrame, size: Column, id_col: str = "doc_id", source: str = "so
     return (out.withColumn("copies", share_of)
             .join(targets.select(F.col("source").alias("_s"), "source_size", "target"),
                   F.col("source").eqNullSafe(F.col("_s")))
-            .select(F.col("id").alias(id_col), "size", "source_size", "target", "copies",
-                    (F.col("copies") * F.col("size")).alias("taken")))
+            .select(F.col("id").alias(id_col), F.col("source").alias(source), "size", F.col("_i").alias("twin"),
+                    "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")))
+
+
+def mixed(docs: DataFrame, size: Column, id_col: str = "doc_id", source: str = "source", text: str = "text",
+          **how) -> DataFrame:
+    """The mix itself: the rows of ``docs``, each as many times as :func:`mix` takes it.
+
+    Rows are matched by id; those whose id is NULL or repeated by id, source, size and
+    their order by text among equals. Documents of size 0 are not in the mix."""
+    taken = saved(mix(docs, size, id_col, source, **how).where("copies > 0")
+                  .select(F.col(id_col).alias("_m_id"), F.col(source).alias("_m_source"), F.col("size").alias("_m_size"),
+                          F.col("twin").alias("_m_twin"), F.col("copies").cast("int").alias("_m_copies")), "taken")
+    odd = saved(docs.groupBy(F.col(id_col).alias("_m_odd")).agg(F.count(F.lit(1)).alias("_m_n"))
+                .where("_m_n > 1 OR _m_odd IS NULL").select("_m_odd"), "odd")
+    is_odd = F.col(id_col).eqNullSafe(F.col("_m_odd"))
+    few = sendable(odd)
+    single = docs.join(few, is_odd, "left_anti")
+    once = sendable(taken.join(few, F.col("_m_id").eqNullSafe(F.col("_m_odd")), "left_anti").select("_m_id", "_m_copies"))
+    rows = single.join(once, F.col(id_col) == F.col("_m_id")).select(*[f"`{c}`" for c in docs.columns], "_m_copies")
+    if odd.limit(1).count():
+        several = docs.join(few, is_odd, "left_semi").withColumn("_m_own", size.cast("long"))
+        order = Window.partitionBy(id_col, source, "_m_own").orderBy(text)
+        several = several.withColumn("_m_i", F.row_number().over(order))
+        rows = rows.union(several.join(
+            taken, F.col(id_col).eqNullSafe(F.col("_m_id")) & F.col(source).eqNullSafe(F.col("_m_source"))
+            & (F.col("_m_own") == F.col("_m_size")) & (F.col("_m_i") == F.col("_m_twin")))
+            .select(*[f"`{c}`" for c in docs.columns], "_m_copies"))
+    return rows.withColumn("_m_pass", F.explode(F.sequence(F.lit(1), F.col("_m_copies")))).drop("_m_pass", "_m_copies")
 
 
 #: DuckDB SQL for the rows of ``mix`` over documents with the default parameters.

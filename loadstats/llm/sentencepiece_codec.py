@@ -25,6 +25,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -334,8 +335,6 @@ def encode(docs: DataFrame, model_file: str, text: str = "text", n_best: int = N
 
 def decode(coded: DataFrame, model_file: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``coded`` with ``out``, the text of its ids, added; NULL ids give a NULL text."""
-    import pandas as pd
-
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         v = vocabulary(model_file)
         for some in batches:

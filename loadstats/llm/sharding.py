@@ -53,14 +53,15 @@ def shard(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text"
     * Groups: equal texts are not kept together; their ids scatter them.
     """
     spark = docs.sparkSession
-    taken = {"shard", "slot"}
-    d = docs.select(*[F.col(f"`{c}`").alias(f"{c}_in" if c.lower() in taken else c) for c in docs.columns])
-    cols = d.columns
-    size = F.coalesce(F.octet_length(F.col(f"`{text}`")), F.lit(0)).cast("long") + 1
+    # the record travels as one struct: its columns cannot clash with working columns
+    d = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"{c}_in" if c.lower() in ("shard", "slot") else c)
+                               for c in docs.columns]).alias("_row"))
+    row = lambda c: F.col("_row").getField(c)
+    size = F.coalesce(F.octet_length(row(text)), F.lit(0)).cast("long") + 1
     total, rows = d.agg(F.sum(size), F.count(F.lit(1))).first()
     buckets = max(1, math.ceil((total or 0) / bucket_bytes))
-    own = F.xxhash64(F.lit(seed), F.col(f"`{id_col}`"), F.when(F.col(f"`{id_col}`").isNull(), F.col(f"`{text}`")))
-    scattered = d.select("*", own.alias("_key"), F.xxhash64(F.col(f"`{text}`")).alias("_tie"),
+    own = F.xxhash64(F.lit(seed), row(id_col), F.when(row(id_col).isNull(), row(text)))
+    scattered = d.select("_row", own.alias("_key"), F.xxhash64(row(text)).alias("_tie"),
                          F.pmod(own, F.lit(buckets)).alias("_bucket"))
     schema = scattered.schema.add("_at", "long")
     # the counts need two narrow columns, not the texts
@@ -72,11 +73,11 @@ def shard(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text"
               .join(bases, "_bucket").withColumn("_place", F.col("_base") + F.col("_at")))
     n = max(1, rows)
     which = F.floor(F.col("_place") * F.lit(shards) / F.lit(n)).cast("int")
-    first = F.ceil(F.col("shard") * F.lit(n) / F.lit(shards)).cast("long")
-    out = placed.withColumn("shard", which).withColumn("slot", F.col("_place") - first)
-    out.select(*[f"`{c}`" for c in cols], "slot", "shard").write.partitionBy("shard").parquet(path)
-    schema = out.select(*[f"`{c}`" for c in cols], "slot", "shard").schema
-    return spark.read.schema(schema).parquet(path)
+    first = F.ceil(F.col("_shard") * F.lit(n) / F.lit(shards)).cast("long")
+    out = placed.withColumn("_shard", which).select(
+        "_row.*", (F.col("_place") - first).alias("slot"), F.col("_shard").alias("shard"))
+    out.write.partitionBy("shard").parquet(path)
+    return spark.read.schema(out.schema).parquet(path)
 
 
 def shard_digest(docs: DataFrame, path: str | None = None) -> DataFrame:

@@ -235,3 +235,30 @@ def remove_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text
     schema = f"id {dict(d.dtypes)['id']}, n_words long, n_removed long, kept_sha256 string, kept string"
     made = whole.mapInArrow(_remover(words), schema).union(less.mapInArrow(_remover(words), schema))
     return made.withColumnRenamed("id", id_col)
+
+
+def without_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text: str = "text",
+                  words: int = WORDS) -> DataFrame:
+    """``docs`` with what :func:`repeated_spans` found cut out: a text that loses words is what
+    is left of it, joined by one space; every other text stays as it is, to the byte."""
+    cut = saved(spans.groupBy("id").agg(F.collect_list("start").alias("_starts"),
+                                        F.collect_list("windows").alias("_windows"))
+                .withColumnRenamed("id", "_cut_id"), "cuts")
+    ids = sendable(cut.select("_cut_id"))
+    same = F.col(id_col) == F.col("_cut_id")
+    held = [F.col(f"`{c}`") for c in docs.columns]
+    whole = docs.join(ids, same, "left_anti")
+    less = docs.join(ids, same, "left_semi").select(F.struct(*held).alias("_row"), F.col(id_col).alias("_own")).join(
+        cut, F.col("_own") == F.col("_cut_id"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remove = _remover(words)
+        for b in batches:
+            made = next(remove(iter([pa.RecordBatch.from_arrays(b.columns[1:], names=["id", "text", "starts", "windows"])])))
+            yield pa.RecordBatch.from_arrays([b.column(0), made.column(4)], names=["_row", "_kept"])
+
+    sent = less.select("_row", "_own", F.col("_row").getField(text).alias("_text"), "_starts", "_windows")
+    schema = sent.select("_row").schema.add("_kept", "string")
+    made = sent.mapInArrow(run, schema)
+    return whole.union(made.select(*[F.col("_kept").alias(c) if c == text else F.col("_row").getField(c).alias(c)
+                                     for c in docs.columns]))

@@ -10,12 +10,14 @@ has, which bounds the overlap from above; pairs that pass are intersected exactl
 already connected are skipped, so a large group of near copies costs one intersection a
 member, not all pairs.
 
-The work runs in rounds, each narrower: (1) equal sets become one; (2) tiles of the two
-smallest hashes only, which connect most near copies; hot tiles are cut into blocks, and
-one delegate of each component of a tile then stands for it; (3) tiles of the whole
-prefix, but only of hashes that two components share: first bitmaps alone decide which
-rows have a partner at all, and then those rows are intersected. Round 3 covers every
-pair that rounds 1 and 2 left unconnected, so no link between components is lost.
+The work narrows step by step, and each pair that may be similar survives every step:
+
+1. Equal sets become one.
+2. Tiles of the two smallest hashes: bitmaps alone connect candidates into clusters.
+3. Tiles of the whole prefix, but only of hashes that two clusters share, again by bitmaps
+   alone: whatever passes joins its clusters. Now every similar pair is inside a cluster.
+4. Clusters are intersected, each set sent once (large clusters in blocks, see
+   :func:`_intersected`). What is found links documents.
 """
 
 from __future__ import annotations
@@ -28,12 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Unions, WordHasher, components, mixed, runs, saved, sendable, spans_hashed
+from .common import WordHasher, components, mixed, runs, saved, sendable, spans_hashed
 
 WORDS = 5
 SHARE = (75, 100)
 TILE_ROWS = 2000
-FIRST = 2               # hashes of round 2
+FIRST = 2               # hashes of step 2
+TILE = ("token", "band", "x", "y", "id", "n", "comp", "own", "s")
 _HASHER: list[WordHasher] = []
 
 
@@ -116,11 +119,11 @@ def _sets(words: int):
     return run
 
 
-def _tiles(rows: DataFrame, share: tuple[int, int], limit: int, crossed: bool) -> DataFrame:
+def _tiles(rows: DataFrame, share: tuple[int, int], limit: int) -> DataFrame:
     """rows (token, id, n, comp) as (token, band, x, y, id, n, comp, own, s): the tiles that
     hold two components, one of them in the band itself. Tiles of over ``limit`` rows are
-    cut into blocks by id; ``crossed`` makes a tile of every pair of blocks, else blocks
-    are only compared within. Keys are counted with map-side combining; nothing is dropped."""
+    cut into blocks by id, and every pair of blocks is a tile. Keys are counted with
+    map-side combining; nothing is dropped."""
     band = F.floor(F.log(F.col("n")) / math.log(share[1] / share[0]) + 1e-9).cast("int")
     both = rows.withColumn("_b", F.explode(F.array(F.struct(band.alias("band"), F.lit(True).alias("own")),
                                                    F.struct((band - 1).alias("band"), F.lit(False).alias("own")))))
@@ -129,8 +132,6 @@ def _tiles(rows: DataFrame, share: tuple[int, int], limit: int, crossed: bool) -
                                               F.min("comp").alias("_lo"), F.max("comp").alias("_hi"))
             .where("_own AND _lo != _hi").select("token", "band", F.ceil(F.col("_n") / F.lit(limit)).alias("_k")))
     t = both.join(kept, ["token", "band"]).withColumn("s", F.pmod(F.xxhash64("id"), F.col("_k")).cast("int"))
-    if not crossed:
-        return t.select("token", "band", F.col("s").alias("x"), F.col("s").alias("y"), "id", "n", "comp", "own", "s")
     other = F.sequence(F.lit(0), (F.col("_k") - 1).cast("int"))
     return (t.withColumn("_o", F.explode(other))
             .select("token", "band", F.least("s", "_o").alias("x"), F.greatest("s", "_o").alias("y"), "id", "n", "comp", "own", "s"))
@@ -144,71 +145,101 @@ def _tile_arrays(t: pa.Table) -> tuple:
     return order, ids[order], n[order], pick("comp"), t.column("own").to_numpy(zero_copy_only=False)[order], pick("s"), cross
 
 
-def _links(share: tuple[int, int]):
-    """Edges that connect what a tile's similar pairs connect (a spanning forest)."""
+def _forest(share: tuple[int, int], exact: bool):
+    """Edges that connect what a tile's pairs connect and the rows' components do not yet.
+    ``exact`` intersects the sets of the pairs that pass; else passing the bitmaps is enough."""
     num, den = share
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches, 4):
             if t.num_rows < 2:
                 continue
-            order, ids, n, comp, own, s, cross = _tile_arrays(t)
-            raw = t.column("grams").to_pylist()
-            grams = [np.frombuffer(raw[k], dtype=np.uint64) for k in order]
-            # size order: every own set comes before the guests or among them by size
-            width = n_bits(int(n[own].max())) if own.any() else 64
-            bits = np.stack([bitmap(g, width) for g in grams])
-            same = Unions(len(ids))
-            for c in np.unique(comp):       # rows of one component are connected already
-                at = np.flatnonzero(comp == c)
-                for k in at[1:]:
-                    same.join(int(at[0]), int(k))
+            order, ids, n, comp, own, s, cross = _tile_arrays(t)        # by size
+            raw = t.column("grams" if exact else "bits").to_pylist()
+            made = [np.frombuffer(raw[k], dtype=np.uint64) for k in order]
+            if exact:
+                n = np.array([len(g) for g in made])
+                width = n_bits(int(np.median(n)))
+                bits = np.stack([bitmap(g, width) for g in made])
+            else:
+                width = min(len(x) for x in made) * 64
+                bits = np.stack([folded(x, width) for x in made])
+            label = np.unique(comp, return_inverse=True)[1]
             a, b = [], []
             for i in range(1, len(ids)):
-                may = partners(i, bits, n, share)
-                may &= (own[:i] | own[i]) & ((s[:i] != s[i]) if cross else True)
-                for j in np.flatnonzero(may)[::-1].tolist():
-                    if same.root(i) == same.root(j):
-                        continue
-                    o = len(np.intersect1d(grams[i], grams[j], assume_unique=True))
-                    if den * o >= num * (len(grams[i]) + len(grams[j]) - o):
-                        same.join(i, j)
-                        a.append(ids[i])
-                        b.append(ids[j])
+                may = (label[:i] != label[i]) & (own[:i] | own[i])
+                if cross:
+                    may &= s[:i] != s[i]
+                if not may.any():
+                    continue
+                may &= partners(i, bits, n, share)
+                while may.any():
+                    j = i - 1 - int(may[::-1].argmax())         # the nearest in size first
+                    if exact:
+                        o = len(np.intersect1d(made[i], made[j], assume_unique=True))
+                        if den * o < num * (len(made[i]) + len(made[j]) - o):
+                            may[j] = False
+                            continue
+                    a.append(ids[i])
+                    b.append(ids[j])
+                    label[label == label[j]] = label[i]
+                    may &= label[:i] != label[i]
             if a:
                 yield pa.RecordBatch.from_pydict({"a": np.array(a), "b": np.array(b)})
     return run
 
 
-def _partnered(share: tuple[int, int]):
-    """The rows of a tile that have a partner in another component, by sizes and bitmaps."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = ["token", "band", "x", "y", "id", "n", "comp", "own", "s"]
-        for t in runs(batches, 4):
-            if t.num_rows < 2:
-                continue
-            order, ids, n, comp, own, s, cross = _tile_arrays(t)
-            raw = t.column("bits").to_pylist()
-            made = [np.frombuffer(raw[k], dtype=np.uint64) for k in order]
-            width = min(len(x) for x in made) * 64
-            bits = np.stack([folded(x, width) for x in made])
-            has = np.zeros(len(ids), dtype=bool)
-            for i in range(1, len(ids)):
-                may = partners(i, bits, n, share)
-                may &= (comp[:i] != comp[i]) & (own[:i] | own[i]) & ((s[:i] != s[i]) if cross else True)
-                if may.any():
-                    has[i] = True
-                    has[:i] |= may
-            if has.any():
-                yield from t.take(pa.array(order[has])).select(keys).combine_chunks().to_batches()
-    return run
-
-
 def _grouped(tiles: DataFrame) -> DataFrame:
     keys = ["token", "band", "x", "y"]
     return tiles.repartition(*keys).sortWithinPartitions(*keys)
 
 
+def _labelled(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """``rows`` with ``comp``: the root of their id in ``found``, or the id itself."""
+    c = sendable(found.select(F.col("node").alias("id"), "root"))
+    return rows.join(c, "id", "left").withColumn("comp", F.coalesce("root", "id")).drop("root")
+
+
+def _intersected(docs: DataFrame, clusters: DataFrame, words: int, share: tuple[int, int], tile_rows: int) -> DataFrame:
+    """Edges (a, b) that connect the similar sets inside each cluster.
+
+    A cluster of up to ``tile_rows`` rows is one tile. A larger one is cut into blocks by
+    id: the blocks are intersected within; then one delegate of each component found meets
+    the others, which joins the blocks of near copies; whatever clusters still have several
+    components are compared block by block, components apart. Sets are made again from the
+    texts of the documents concerned, and are never all in one place."""
+    clusters = saved(clusters, "clustered")
+    size = clusters.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / tile_rows).alias("_k"))
+    ids = sendable(clusters.select("id"))
+    sets = saved(docs.join(ids, "id", "left_semi").mapInArrow(_sets(words), "id long, grams binary"), "sets")
+    placed = clusters.join(size, "cluster").select(
+        F.col("cluster").alias("token"), F.lit(0).alias("band"), "id", "n", F.lit(True).alias("own"),
+        F.pmod(F.xxhash64("id"), F.col("_k")).cast("int").alias("s"), "_k")
+
+    def met(tiles: DataFrame) -> DataFrame:
+        rows = tiles.join(sets, "id").select(*TILE, "grams")
+        return saved(_grouped(rows).mapInArrow(_forest(share, True), "a long, b long"), "links")
+
+    x = F.col("s")
+    found = met(placed.select("token", "band", x.alias("x"), x.alias("y"), "id", "n", F.col("id").alias("comp"), "own", "s"))
+    cut = saved(placed.where("_k > 1"), "cut")
+    if not cut.limit(1).count():
+        return found
+    zero = F.lit(0)
+    some = _labelled(cut, saved(components(found), "parts"))
+    one = (some.groupBy("token", "comp").agg(F.min_by(F.struct("id", "n"), "id").alias("_d"))
+           .select("token", zero.alias("band"), "_d.id", "_d.n", "comp", F.lit(True).alias("own")))
+    many = one.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / tile_rows).alias("_m"))
+    one = one.join(many, "token").withColumn("s", F.pmod(F.xxhash64("id"), F.col("_m")).cast("int"))
+    found = saved(found.union(met(one.select("token", "band", F.col("s").alias("x"), F.col("s").alias("y"),
+                                             "id", "n", "comp", "own", "s"))), "links")
+    some = saved(_labelled(cut, saved(components(found), "parts")), "cut")
+    apart = some.groupBy("token").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo != _hi").select("token")
+    left = some.join(apart, "token", "left_semi").withColumn("_o", F.explode(F.sequence(zero, (F.col("_k") - 1).cast("int"))))
+    return found.union(met(left.select("token", "band", F.least("s", "_o").alias("x"), F.greatest("s", "_o").alias("y"),
+                                       "id", "n", "comp", "own", "s")))
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = WORDS,
                        share: tuple[int, int] = SHARE, tile_rows: int = TILE_ROWS) -> DataFrame:
     """One row per row of ``docs``: ``id_col``, n_shingles (long), component_id (long).
@@ -218,7 +249,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
 
     * NULL, empty or blank text: set size 0, linked with nothing.
     * NULL id: the set size is given, component_id is NULL, and it is linked with nothing.
-    * Rows that repeat an id are one node; each row keeps its own set size.
+    * Rows that repeat an id are one node, with all their sets; each row keeps its own set size.
     * Integer ids. Other columns are not read. An empty table gives an empty result.
     """
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
@@ -226,49 +257,27 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
                "sketches")
     live = sk.where("n > 0 AND id IS NOT NULL")
     classes = live.groupBy("n", "f1", "f2").agg(F.min("id").alias("rep"))
-    member = saved(live.select("id", "n", "f1", "f2").join(classes, ["n", "f1", "f2"]).select("id", "rep").distinct(), "members")
-    copies = member.where("id != rep").select("id").distinct()
-    reps = live.join(sendable(copies), "id", "left_anti")
-    set_schema = "id long, grams binary"
-
-    def sets_of(ids: DataFrame) -> DataFrame:
-        """Sets of the named documents, from their texts."""
-        few = sendable(saved(ids.distinct(), "set_ids"))
-        return d.where("id IS NOT NULL").join(few, "id", "left_semi").mapInArrow(_sets(words), set_schema) \
-            .dropDuplicates(["id"])
-
-    def linked(tiles: DataFrame) -> DataFrame:
-        rows = tiles.join(sets_of(tiles.select("id")), "id").select(
-            "token", "band", "x", "y", "id", "n", "comp", "own", "s", "grams")
-        return saved(_grouped(rows).mapInArrow(_links(share), "a long, b long"), "links")
-
-    def compared(rows: DataFrame, comp: DataFrame | None) -> DataFrame:
-        if comp is None:
-            return rows.withColumn("comp", F.col("id"))
-        c = comp.select(F.col("node").alias("id"), F.col("root"))
-        return rows.join(sendable(c), "id", "left").withColumn("comp", F.coalesce("root", "id")).drop("root")
-
-    # rows that repeat an id with different texts are one node from the start
-    edges = member.where("id != rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    member = saved(live.select("id", "n", "f1", "f2").join(classes, ["n", "f1", "f2"]).distinct(), "members")
+    copies = member.where("id != rep").select("id", "n", "f1", "f2")
+    reps = live.join(sendable(copies), ["id", "n", "f1", "f2"], "left_anti")
+    signs = reps.select("id", "n", "bits")
+
+    def clustered(rows: DataFrame) -> DataFrame:
+        """Candidate edges among rows (token, id, n, comp), by bitmaps."""
+        signed = _tiles(rows, share, tile_rows).join(signs, ["id", "n"]).select(*TILE, "bits")
+        return saved(_grouped(signed).mapInArrow(_forest(share, False), "a long, b long"), "candidates")
+
     first = reps.select("id", "n", F.explode(F.slice("prefix", 1, FIRST)).alias("token"))
-    tiles = saved(_tiles(compared(first, None), share, tile_rows, False), "tiles")
-    found = linked(tiles)
-    comp = saved(components(found), "comp")
-    if tiles.where("s > 0").limit(1).count():       # a tile was cut: delegates of its blocks meet
-        some = compared(tiles.select("token", "band", "id", "n", "own"), comp)
-        delegate = some.groupBy("token", "comp", "band").agg(F.min_by(F.struct("id", "n"), "id").alias("_d"))
-        met = _tiles(delegate.select("token", "_d.id", "_d.n", "comp").distinct(), share, tile_rows, True)
-        found = saved(found.union(linked(saved(met, "tiles"))), "links")
-        comp = saved(components(found), "comp")
-    every = compared(reps.select("id", "n", F.explode("prefix").alias("token")), comp)
+    found = clustered(first.withColumn("comp", F.col("id")))
+    every = _labelled(reps.select("id", "n", F.explode("prefix").alias("token")), saved(components(found), "clusters"))
     shared = every.groupBy("token").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo != _hi").select("token")
-    left = saved(every.join(shared, "token", "left_semi"), "shared")
-    tiles = _tiles(left, share, tile_rows, True)
-    signed = tiles.join(reps.select("id", "bits"), "id").select("token", "band", "x", "y", "id", "n", "comp", "own", "s", "bits")
-    schema = "token long, band int, x int, y int, id long, n long, comp long, own boolean, s int"
-    may = saved(_grouped(signed).mapInArrow(_partnered(share), schema), "partnered")
-    found = found.union(linked(may))
-    comp = components(found.union(edges))
+    found = found.union(clustered(every.join(shared, "token", "left_semi")))
+    cluster = saved(components(found), "clusters")
+    links = _intersected(d, reps.select("id", "n").join(cluster, F.col("id") == F.col("node")).select("id", "n", F.col("root").alias("cluster")),
+                         words, share, tile_rows)
+    # rows that repeat an id with different texts are one node
+    again = member.where("id != rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    comp = components(links.union(again))
     out = sk.select("id", "n").join(comp, sk["id"] == comp["node"], "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
                       F.coalesce("root", "id").alias("component_id"))

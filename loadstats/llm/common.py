@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import repeat
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -179,3 +181,55 @@ def sendable(df: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
     """``df`` (a few numbers a row) marked for broadcasting if it has at most ``most_rows``
     rows; otherwise as it is, for a shuffled join."""
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
+class HeldIds:
+    """Ids of words, held in flat arrays: word -> row -> ids."""
+
+    def __init__(self):
+        self.row: dict[str, int] = {}
+        self.ids = np.empty(1 << 16, dtype=np.int32)
+        self.start = np.empty(1 << 14, dtype=np.int64)
+        self.size = np.empty(1 << 14, dtype=np.int64)
+        self.used = 0
+
+    def __len__(self) -> int:
+        return len(self.row)
+
+    @staticmethod
+    def _room(a: np.ndarray, n: int) -> np.ndarray:
+        while len(a) < n:
+            a = np.concatenate([a, np.empty_like(a)])
+        return a
+
+    def add(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Takes new words with their ids one after the other; returns their rows."""
+        at, n = len(self.row), len(words)
+        self.ids = self._room(self.ids, self.used + len(ids))
+        self.start, self.size = self._room(self.start, at + n), self._room(self.size, at + n)
+        self.ids[self.used:self.used + len(ids)] = ids
+        self.size[at:at + n] = sizes
+        self.start[at:at + n] = self.used + np.cumsum(sizes) - sizes
+        self.used += len(ids)
+        self.row.update(zip(words, range(at, at + n), strict=True))
+        return np.arange(at, at + n)
+
+    def rows(self, words: list[str], learn) -> np.ndarray:
+        """The words' rows; ``learn(list of new words)`` has to add those that are not held."""
+        rows = np.fromiter(map(self.row.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        new = np.flatnonzero(rows < 0).tolist()
+        if new:
+            late = [words[i] for i in new]
+            learn(list(set(late)))
+            rows[new] = np.fromiter(map(self.row.__getitem__, late), dtype=np.int64, count=len(late))
+        return rows
+
+    def gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the rows one after the other, and how many each has."""
+        size = self.size[rows]
+        ends = np.cumsum(size)
+        if not len(rows):
+            return np.empty(0, np.int32), size
+        at = np.repeat(self.start[rows] - (ends - size), size)
+        at += np.arange(ends[-1])
+        return self.ids[at], size

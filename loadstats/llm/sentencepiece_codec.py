@@ -25,11 +25,13 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import HeldIds
+
 N_BEST = 4
 LONGEST = 24            # characters of a part that the batched pass takes
 _PARTS = re.compile(r" *[^ ]+| +")
@@ -58,6 +60,8 @@ class Vocabulary:
                     raise ValueError(f"piece {i} has a space after another character")
                 self.id[piece], self.score[piece] = i, -math.log(2.0 - sp.get_score(i))
                 self.text[i] = piece
+        self._bytes = pa.array([b"" if t is None else bytes([t]) if isinstance(t, int) else t.encode() for t in self.text],
+                               pa.binary())
         if len(self.byte) != 256:
             raise ValueError("the vocabulary has no byte pieces")
         self.longest = max(map(len, self.id))
@@ -82,9 +86,11 @@ class Vocabulary:
 
     @staticmethod
     def _placed(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Two tables of 2**21 places: each key's index stands at its first or its second place."""
-        one, two = np.zeros(1 << 21, np.int32), np.full(1 << 21, 0, np.int32)
-        a, b = keys >> np.uint64(43), keys & np.uint64((1 << 21) - 1)
+        """Two tables of 2**20 places: each key's index stands at its first or its second place."""
+        one, two = np.zeros(1 << 20, np.uint16), np.zeros(1 << 20, np.uint16)
+        if len(keys) > 1 << 16:
+            one, two = one.astype(np.int32), two.astype(np.int32)
+        a, b = keys >> np.uint64(44), keys & np.uint64((1 << 20) - 1)
         one[a] = np.arange(len(keys))
         late = np.flatnonzero(one[a] != np.arange(len(keys)))
         two[b[late]] = late
@@ -95,27 +101,24 @@ class Vocabulary:
     def _find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(index of the piece, whether there is one) for hashes of characters."""
         one, two = self._slots
-        at = one[h >> np.uint64(43)]
+        at = one[h >> np.uint64(44)]
         hit = self._keys[at] == h
         miss = np.flatnonzero(~hit)
-        again = two[h[miss] & np.uint64((1 << 21) - 1)]
+        again = two[h[miss] & np.uint64((1 << 20) - 1)]
         found = self._keys[again] == h[miss]
         at[miss[found]] = again[found]
         hit[miss[found]] = True
         return at, hit
 
     def _forget(self) -> None:
-        self._row: dict[str, int] = {}
-        self._blob: list[bytes] = []
+        self._held = HeldIds()                      # by part without its first space
         self._value = np.empty((1 << 12, 2))        # of each part held: best score, gap to the second best
 
-    def _hold(self, parts: list[str], blobs: list[bytes], values: np.ndarray) -> None:
-        at = len(self._blob)
-        while at + len(parts) > len(self._value):
+    def _hold(self, parts: list[str], ids: np.ndarray, sizes: np.ndarray, values: np.ndarray) -> None:
+        rows = self._held.add([p[1:] for p in parts], ids, sizes)
+        while rows[-1] >= len(self._value):
             self._value = np.concatenate([self._value, np.empty_like(self._value)])
-        self._value[at:at + len(parts)] = values
-        self._blob += blobs
-        self._row.update(zip(parts, range(at, at + len(parts)), strict=True))
+        self._value[rows] = values
 
     # -- one part -----------------------------------------------------------------
 
@@ -198,26 +201,25 @@ class Vocabulary:
             on = ends[j] & (back[j] == i)
             ids[on, j - 1] = piece[on]
             np.maximum(second, np.where(on, none, to[i] + s + onward[j]), out=second)
-        flat = ids[ids != none_id]
-        flat = np.where(flat < 0, self._byte_ids[np.maximum(-1 - flat, 0) & 255], flat).astype("<i4").tobytes()
-        cut = (4 * np.cumsum([0, *(ids != none_id).sum(axis=1).tolist()])).tolist()
-        self._hold(parts, [flat[lo:hi] for lo, hi in zip(cut, cut[1:], strict=False)],
-                   np.stack([to[size], np.maximum(to[size] - second, 0.0)], axis=1))
+        on = ids != none_id
+        flat = ids[on]
+        flat = np.where(flat < 0, self._byte_ids[np.maximum(-1 - flat, 0) & 255], flat)
+        self._hold(parts, flat, on.sum(axis=1), np.stack([to[size], np.maximum(to[size] - second, 0.0)], axis=1))
 
-    def _learn(self, parts: set[str]) -> None:
+    def _learn(self, parts: list[str]) -> None:
         by_size: dict[int, list[str]] = {}
         for p in parts:
             if len(p) <= LONGEST and self._plain.issuperset(p):
                 by_size.setdefault(len(p), []).append(p)
             else:
                 a, b = (*self.search(p, 2), (-math.inf, ()))[:2]
-                self._hold([p], [np.array(a[1], dtype="<i4").tobytes()], np.array([[a[0], a[0] - b[0]]]))
+                self._hold([p], np.array(a[1]), np.array([len(a[1])]), np.array([[a[0], a[0] - b[0]]]))
         for same in by_size.values():
             for lo in range(0, len(same), 2048):
                 self._batched(same[lo:lo + 2048])
 
     def _best_of(self, part: str, n: int) -> list:
-        if len(self._ranked) > 100_000:
+        if len(self._ranked) > 20_000:
             self._ranked.clear()
         if len(self._ranked.get(part, ())) != n:
             self._ranked[part] = self.search(part, n)
@@ -227,62 +229,55 @@ class Vocabulary:
 
     @staticmethod
     def parts_of(text: str) -> list[str]:
-        """A text's parts, one space put before it."""
-        text = " " + text
-        if "  " in text:
-            return _PARTS.findall(text)
-        return [" " + p for p in text[1:].split(" ")]
+        """A text's parts, each without its first space (one space is put before the text)."""
+        if "  " in text or text.startswith(" "):
+            return [p[1:] for p in _PARTS.findall(" " + text)]
+        return text.split(" ")
 
-    def encode(self, texts: list[str | None], n: int = N_BEST, most_held: int = 1_200_000) -> list[tuple]:
-        """For each text (ids as int32 bytes, scores of the up to ``n`` best, others).
+    def encode(self, texts: list[str | None], n: int = N_BEST, most_held: int = 800_000) -> list[tuple]:
+        """For each text (ids as an int32 array, scores of the up to ``n`` best, others).
 
         ``others`` are the runners-up as changes to the best: lists of (at, length, ids),
         the ids that stand in place of ``length`` ids of the best from ``at`` on."""
-        if len(self._blob) > most_held:
+        if len(self._held) > most_held:
             self._forget()
         split = [self.parts_of(t) if t else [] for t in texts]
-        self._learn(set().union(*split).difference(self._row))
-        out = []
+        all_rows = self._held.rows([p for parts in split for p in parts], lambda new: self._learn([" " + p for p in new]))
+        all_values = self._value[all_rows]
+        out, at = [], 0
         for parts in split:
             if not parts:
-                out.append((b"", [0.0], []))
+                out.append((np.empty(0, np.int32), [0.0], []))
                 continue
-            rows = list(map(self._row.__getitem__, parts))
-            blobs = list(map(self._blob.__getitem__, rows))
-            ids = b"".join(blobs)
-            values = self._value[rows]
+            rows, values = all_rows[at:at + len(parts)], all_values[at:at + len(parts)]
+            at += len(parts)
+            ids, sizes = self._held.gather(rows)
             score, gaps = float(values[:, 0].sum()), values[:, 1]
             few = min(n - 1, len(gaps))
             near = np.flatnonzero(gaps <= np.partition(gaps, few - 1)[few - 1]) if few else np.empty(0, np.int64)
             near = near[np.argsort(gaps[near], kind="stable")][:few]
             ways = [(0.0, ())]                  # (loss, ((part, way), ...)), best first
+            ranked = {}
             for k in sorted(near.tolist()):
-                ranked = self._best_of(parts[k], n)
-                choice = [(0.0, ())] + [(ranked[0][0] - r[0], ((k, w),)) for w, r in enumerate(ranked) if w]
+                ranked[k] = best = self._best_of(" " + parts[k], n)
+                choice = [(0.0, ())] + [(best[0][0] - r[0], ((k, w),)) for w, r in enumerate(best) if w]
                 ways = sorted(((round(a + b, 9), x + y) for a, x in ways for b, y in choice))[:n]
-            sizes = list(map(len, blobs))
-            others = [[(sum(sizes[:k]) // 4, sizes[k] // 4, list(self._ranked[parts[k]][w][1])) for k, w in way]
-                      for _, way in ways[1:]]
+            others = [[(int(sizes[:k].sum()), int(sizes[k]), list(ranked[k][w][1])) for k, w in way] for _, way in ways[1:]]
             out.append((ids, [score - loss for loss, _ in ways], others))
         return out
 
-    def decode(self, ids: list[int]) -> str:
-        """The text of a sequence of ids; ids without text (control pieces) give nothing."""
-        out, raw = [], bytearray()
-        for i in ids:
-            t = self.text[i]
-            if isinstance(t, int):
-                raw.append(t)
-                continue
-            if raw:
-                out.append(raw.decode("utf-8", "replace"))
-                raw.clear()
-            if t is not None:
-                out.append(t)
-        if raw:
-            out.append(raw.decode("utf-8", "replace"))
-        text = "".join(out)
-        return text[1:] if text.startswith(" ") else text
+    def decode(self, ids: pa.ListArray) -> pa.Array:
+        """The texts of lists of ids: the pieces' bytes one after the other, without the first
+        space. Control pieces give nothing; what is not UTF-8 becomes U+FFFD."""
+        flat = ids.flatten()
+        made = self._bytes.take(flat)                       # its bytes lie one after the other
+        ends = np.frombuffer(made.buffers()[1], dtype=np.int32)[made.offset:made.offset + len(made) + 1]
+        cut = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy())])
+        raw = made.buffers()[2].to_pybytes() if made.buffers()[2] is not None else b""
+        at = ends[cut].tolist()
+        texts = [raw[lo + (raw[lo:lo + 1] == b" " and lo < hi):hi].decode("utf-8", "replace")
+                 for lo, hi in zip(at, at[1:], strict=False)]
+        return pa.array(texts, pa.string(), mask=np.array(ids.is_null()))
 
 
 _VOCABULARIES: dict[str, Vocabulary] = {}
@@ -304,8 +299,8 @@ def _encoder(model_file: str, n: int):
             for lo in range(0, b.num_rows, 256):
                 some = b.slice(lo, 256)
                 made = v.encode(some.column(0).to_pylist(), n)
-                flat = np.frombuffer(b"".join([m[0] for m in made]), dtype="<i4")
-                cut = np.cumsum([0] + [len(m[0]) // 4 for m in made])
+                flat = np.concatenate([m[0] for m in made])
+                cut = np.cumsum([0] + [len(m[0]) for m in made])
                 ids = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(flat, pa.int32()))
                 others = pa.array([[[{"at": a, "length": k, "ids": x} for a, k, x in way] for way in m[2]] for m in made], OTHERS)
                 yield pa.RecordBatch.from_arrays(
@@ -335,13 +330,18 @@ def encode(docs: DataFrame, model_file: str, text: str = "text", n_best: int = N
 
 def decode(coded: DataFrame, model_file: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``coded`` with ``out``, the text of its ids, added; NULL ids give a NULL text."""
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model_file)
-        for some in batches:
-            yield pd.Series([None if x is None else v.decode(x.tolist()) for x in some], dtype="object")
+        for b in batches:
+            for lo in range(0, b.num_rows, 512):
+                some = b.slice(lo, 512)
+                yield pa.RecordBatch.from_arrays([*some.columns[1:], v.decode(some.column(0))],
+                                                 names=[*some.schema.names[1:], out])
 
     rest = [F.col(f"`{c}`") for c in coded.columns if c.lower() != out.lower()]
-    return coded.select(*rest, F.pandas_udf(run, "string")(F.col(f"`{ids}`")).alias(out))
+    sent = coded.select(F.col(f"`{ids}`").cast("array<int>").alias("_ids_in"), *rest)
+    schema = sent.drop("_ids_in").schema.add(out, "string")
+    return sent.mapInArrow(run, schema)
 
 
 def codec_digest(docs: DataFrame, model_file: str) -> DataFrame:

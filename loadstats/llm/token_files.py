@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .common import running_offsets, saved
+from .common import HeldIds, running_offsets, saved
 
 MAGIC = b"WVM1"
 BLOCK = 1 << 13
@@ -75,9 +75,9 @@ class WaveletMatrix:
             made = [squeeze(c.tobytes()) for c in cut]
             lengths.append([len(c) for c in made])
             blocks += made
-            low = ids[~one]
+            low = np.compress(~one, ids)
             zeros.append(len(low))
-            ids = np.concatenate([low, ids[one]])
+            ids = np.concatenate([low, np.compress(one, ids)])
         head = json.dumps({"n": len(ids), "bits": bits, "zeros": zeros, "docs": len(doc_ids),
                            "lengths": lengths, "ones": ones}).encode()
         tail = squeeze(np.concatenate([doc_ids, doc_lengths]).astype("<i8").tobytes())
@@ -156,8 +156,8 @@ class WaveletMatrix:
             raw = b"".join(self._zstd.decompress(self._blob[at[k]:at[k + 1]]) for k in range(len(at) - 1))
             one = np.unpackbits(np.frombuffer(raw, dtype=np.uint8), count=self.n).astype(bool)
             out = np.empty_like(ids)
-            out[~one] = ids[:self.zeros[p]]
-            out[one] = ids[self.zeros[p]:] | (1 << (self.bits - 1 - p))
+            out[np.flatnonzero(~one)] = ids[:self.zeros[p]]
+            out[np.flatnonzero(one)] = ids[self.zeros[p]:] | (1 << (self.bits - 1 - p))
             ids = out
         return ids.astype(np.uint32)
 
@@ -183,57 +183,63 @@ class Encoder:
         self._t.encode_special_tokens = True
         self._matches = regex.compile(PATTERN).findall
         self._line, = self._t.encode("\n", add_special_tokens=False).ids
-        self._words: dict[str, bytes] = {}      # ids of " " + word
-        self._tokens: dict[str, bytes] = {}     # ids of a match of the pattern
+        self._words = HeldIds()         # of " " + word
+        self._tokens = HeldIds()        # of a match of the pattern
         self._most = most_held
 
-    def _learn(self, words: list[str]) -> None:
-        split = [self._matches(" " + w) for w in words]
-        tokens = self._tokens
-        new = list(set().union(*split).difference(tokens))
-        # matches that are not white space go to the library many at a time, a line each
-        lines = [m for m in new if not m.isspace()]
+    def _plain(self, text: str) -> np.ndarray:
+        return np.array(self._t.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.int32)
+
+    def _encode(self, matches: list[str]) -> None:
+        """Matches that are not white space go to the library many at a time, a line each."""
+        lines = [m for m in matches if not m.isspace()]
         for i in range(0, len(lines), 4096):
             some = lines[i:i + 4096]
-            ids = np.array(self._t.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
-            cut = np.flatnonzero(np.append(ids, self._line) == self._line).tolist()
-            raw = ids.tobytes()
-            tokens.update(zip(some, [raw[4 * lo:4 * hi] for lo, hi in zip([0] + [c + 1 for c in cut], cut, strict=False)],
-                              strict=True))
-        for m in new:
+            ids = self._plain("\n".join(some))
+            end = np.flatnonzero(np.append(ids, self._line) == self._line)
+            self._tokens.add(some, ids[ids != self._line], np.diff(end, prepend=-1) - 1)
+        for m in matches:
             if m.isspace():
-                tokens[m] = self._plain(m)
-        get = tokens.__getitem__
-        for w, ms in zip(words, split, strict=True):
-            self._words[w] = b"".join(map(get, ms))
+                ids = self._plain(m)
+                self._tokens.add([m], ids, np.array([len(ids)]))
 
-    def _plain(self, text: str) -> bytes:
-        e = self._t.encode_batch_fast([text], add_special_tokens=False)[0]
-        return np.array(e.ids, dtype="<u4").tobytes()
+    def _learn(self, words: list[str]) -> None:
+        split = [[" " + w] if w.isalpha() else self._matches(" " + w) for w in words]
+        rows = self._tokens.rows([m for ms in split for m in ms], self._encode)
+        ids, sizes = self._tokens.gather(rows)
+        ends = np.cumsum([len(ms) for ms in split])
+        total = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], ends])]
+        self._words.add(words, ids, np.diff(total))
 
     def __call__(self, texts: list[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, ``end`` after each text, and the lengths with it."""
         if len(self._words) > self._most:
-            self._words.clear()
+            self._words = HeldIds()
         if len(self._tokens) > self._most:
-            self._tokens.clear()
-        split = []                              # of each text: what goes before its first space, and the words after
+            self._tokens = HeldIds()
+        firsts, words, n = [], [], []           # what goes before a text's first space, and the words after
         for t in texts:
             if not t:
-                split.append(("", ()))
+                first, rest = "", []
             elif _MIXED.search(t):
                 first, *rest = _GAP.split(t)
-                split.append((first, [r[1:] for r in rest]))
+                rest = [r[1:] for r in rest]
             else:
-                first, *rest = t.split(" ")
-                split.append((first, rest))
-        new = set().union(*(rest for _, rest in split)).difference(self._words)
-        if new:
-            self._learn(list(new))
-        stop = np.array([end], dtype="<u4").tobytes()
-        get = self._words.__getitem__
-        made = [(self._plain(first) if first else b"") + b"".join(map(get, rest)) + stop for first, rest in split]
-        return np.frombuffer(b"".join(made), dtype="<u4"), np.array([len(m) // 4 for m in made], dtype=np.int64)
+                rest = t.split(" ")
+                first = rest.pop(0)
+            firsts.append(first)
+            words += rest
+            n.append(len(rest))
+        rows = self._words.rows(words, self._learn)
+        out, sizes, at = [], [], 0
+        stop = np.array([end], dtype=np.int32)
+        for first, k in zip(firsts, n, strict=True):
+            ids = self._words.gather(rows[at:at + k])[0]
+            head = self._plain(first) if first else ids[:0]
+            out += [head, ids, stop]
+            sizes.append(len(head) + len(ids) + 1)
+            at += k
+        return np.concatenate(out).astype(np.uint32), np.array(sizes, dtype=np.int64)
 
 
 _ENCODERS: dict[str, Encoder] = {}

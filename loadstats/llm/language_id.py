@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 TOP = 300
 PER_LANGUAGE = 1000     # documents that a profile is learned from, at most
 UNKNOWN = "und"
+EDGE = 1                # stands for a word's boundary; no letter has this code point
 _LETTERS: list[np.ndarray] = []
 
 
@@ -36,13 +37,13 @@ def ngrams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     if not text:
         return none, none
     c = np.frombuffer(text.lower().encode("utf-32-le", "replace"), dtype=np.uint32).astype(np.int64)
-    c = np.concatenate([[0], np.where(_letters()[c], c, 0), [0]])
-    c = c[np.concatenate([[True], (c[1:] != 0) | (c[:-1] != 0)])]     # one boundary between words
+    c = np.concatenate([[EDGE], np.where(_letters()[c], c, EDGE), [EDGE]])
+    c = c[np.concatenate([[True], (c[1:] != EDGE) | (c[:-1] != EDGE)])]     # one boundary between words
     if len(c) < 3:
         return none, none
     two = c[:-1] | c[1:] << 21
-    three = (two[:-1] | c[2:] << 42)[c[1:-1] != 0]
-    g = np.sort(np.concatenate([c[c != 0], two, three]))
+    three = (two[:-1] | c[2:] << 42)[c[1:-1] != EDGE]
+    g = np.sort(np.concatenate([c[c != EDGE], two, three]))
     first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
     return g[first], np.diff(np.append(first, len(g)))
 

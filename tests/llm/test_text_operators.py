@@ -184,9 +184,9 @@ def test_language_predictions_equal_brute_force():
     from loadstats.llm.language_id import Profiles, ngrams, ranked
     def count(t):
         words = re.findall(r"[^\W\d_]+", t.lower())
-        return Counter(x for w in words for n in (1, 2, 3) for s in ["\0" + w + "\0"]
+        return Counter(x for w in words for n in (1, 2, 3) for s in ["\1" + w + "\1"]
                        for x in (s[i:i + n] for i in range(len(s) - n + 1))
-                       if x != "\0" and not (n == 3 and x[1] == "\0"))
+                       if x != "\1" and not (n == 3 and x[1] == "\1"))
     code = lambda x: sum(ord(c) << (21 * i) for i, c in enumerate(x))
     learned = {k: " ".join(prose(k, 200, 1) for _ in range(1)) for k in TONGUES}
     p = Profiles({k: ranked(*ngrams(t), 300) for k, t in learned.items()})

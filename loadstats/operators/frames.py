@@ -41,6 +41,16 @@ def _as_list(x) -> list[str]:
     return [x] if isinstance(x, str) else list(x)
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``on`` where NULL equals NULL, so rows with a NULL key stay; keeps the left keys."""
+    names = {c: f"_right_{c}" for c in on}
+    cond = None
+    for c, r in names.items():
+        one = F.col(c).eqNullSafe(F.col(r))
+        cond = one if cond is None else cond & one
+    return left.join(right.withColumnsRenamed(names), cond, how).drop(*names.values())
+
+
 def _epoch_seconds(order: str) -> Column:
     return F.unix_seconds(F.col(order).cast("timestamp"))
 
@@ -83,7 +93,7 @@ def with_position(df: DataFrame, by="city", order: str = "timestamp",
     before = Window.partitionBy(*keys).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*keys, "_bkt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     inner = Window.partitionBy(*keys, "_bkt").orderBy(order, *_as_list(tiebreak))
-    return (keyed.join(offsets, keys + ["_bkt"])
+    return (join_null_safe(keyed, offsets, [*keys, "_bkt"])
                  .withColumn(pos_col, F.col("_off") + F.row_number().over(inner) - 1)
                  .drop("_bkt", "_off"))
 
@@ -155,7 +165,7 @@ def _carry(df: DataFrame, cols: Sequence[str], by, forward: bool,
         wi = Window.partitionBy(*keys, CHUNK).orderBy(POS).rowsBetween(Window.unboundedPreceding, 0)
     else:
         wi = Window.partitionBy(*keys, CHUNK).orderBy(F.col(POS).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    joined = base.join(carried, keys + [CHUNK], "left")
+    joined = join_null_safe(base, carried, [*keys, CHUNK], "left")
     filled = [F.coalesce(agg(c, ignorenulls=True).over(wi), F.col(f"_k_{c}")).alias(f"_f_{c}") for c in cols]
     out = joined.select("*", *filled)
     for c in cols:
@@ -204,7 +214,7 @@ def carry_both(df: DataFrame, cols: Sequence[str], by="city", order: str = "time
                                *[F.last(f"_f_{c}", ignorenulls=True).over(after).alias(f"_kb_{c}") for c in cols])
     upto = Window.partitionBy(*keys, CHUNK).orderBy(POS).rowsBetween(Window.unboundedPreceding, 0)
     onward = Window.partitionBy(*keys, CHUNK).orderBy(F.col(POS).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    joined = base.join(carried, keys + [CHUNK], "left")
+    joined = join_null_safe(base, carried, [*keys, CHUNK], "left")
     fwd = joined.select("*", *[F.coalesce(F.last(c, ignorenulls=True).over(upto), F.col(f"_kf_{c}")).alias(f"{c}_ffill")
                                for c in cols])
     out = fwd.select(*base.columns, *[f"{c}_ffill" for c in cols],

@@ -37,14 +37,14 @@ def naive_forecast(df: DataFrame, col: str = "demand", horizon: int = NAIVE_HORI
                    **kw) -> DataFrame:
     """L1: prediction = value ``horizon`` rows earlier (lag taken before the split);
     rows without history are dropped; by default only the chronological test slice."""
-    from .frames import POS, computed_once, with_position
+    from .frames import POS, computed_once, join_null_safe, with_position
     base = computed_once(df)                    # one position pass, one size table
     positioned = with_position(base, materialize=False)
     lagged = framed(positioned, lambda w: [F.lag(col, horizon).over(w).alias("predicted")], back=horizon,
                     positioned=True, **kw)
     if test_only:
         sizes = base.groupBy("city").agg(F.count(F.lit(1)).alias("_n"))
-        lagged = lagged.join(sizes, "city").where(F.col(POS) >= F.floor(F.col("_n") * F.lit(TRAIN_SHARE)))
+        lagged = join_null_safe(lagged, sizes, ["city"]).where(F.col(POS) >= F.floor(F.col("_n") * F.lit(TRAIN_SHARE)))
     return lagged.where(F.col("predicted").isNotNull()).select(
         "city", "timestamp", F.col(col).alias("actual"), "predicted")
 
@@ -124,10 +124,11 @@ def rolling_origin_folds(df: DataFrame, n_folds: int = 5, start: float = 0.5, by
                          order: str = "timestamp") -> DataFrame:
     """Expanding-window folds by position: fold f tests positions
     [floor(n*(start+(f-1)*step)), floor(n*(start+f*step))), step=(1-start)/n_folds."""
-    from .frames import POS, computed_once, with_position
+    from .frames import POS, computed_once, join_null_safe, with_position
     base = computed_once(df)
     sizes = base.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
-    p = with_position(base, by, order, materialize=False).join(sizes, by)
+    keys = [by] if isinstance(by, str) else list(by)
+    p = join_null_safe(with_position(base, by, order, materialize=False), sizes, keys)
     step = (1.0 - start) / n_folds
     fold = F.lit(None).cast("int")
     for f in range(n_folds, 0, -1):
@@ -156,8 +157,10 @@ def train_boosted_trees(train: DataFrame, features: Sequence[str], label: str =
 
 
 def select_two_stage(train: DataFrame, features: Sequence[str], label: str = "demand", corr_share: float = 0.7,
-                     importance_share: float = 0.8, max_depth: int = 6, prelim_iter: int = 10) -> list[str]:
-    """L2 feature selection (K2, then G9 on the preliminary model's importances).
+                     importance_share: float = 0.8, max_depth: int = 6, prelim_iter: int = 100,
+                     validation_col: str | None = None) -> list[str]:
+    """L2 feature selection (K2, then G9 on the preliminary model's importances). Features
+    are ranked without the rows of the validation slice, on which the fits stop early.
 
     Both tables are one row per feature (tens of rows), so they are read back
     on the driver as plain lists.
@@ -165,10 +168,12 @@ def select_two_stage(train: DataFrame, features: Sequence[str], label: str = "de
     from .rollup import corr_with_target, topk_by
     from .series import running_total_cut
     spark = train.sparkSession
-    corr = corr_with_target(train, features, label).where(F.col("abs_corr").isNotNull())
+    seen = train.where(~F.col(validation_col)) if validation_col else train
+    corr = corr_with_target(seen, features, label).where(F.col("abs_corr").isNotNull())
     k = max(int(len(features) * corr_share), 1)
     top = [r["feature"] for r in topk_by(corr, "abs_corr", k).collect()]
-    prelim = train_boosted_trees(train, top, label, max_depth=max_depth, max_iter=prelim_iter)
+    prelim = train_boosted_trees(train, top, label, max_depth=max_depth, max_iter=prelim_iter,
+                                 validation_col=validation_col)
     imp = feature_importance(prelim, top, spark)
     keep = {r["feature"] for r in running_total_cut(imp, "importance", "feature", importance_share).collect()}
     return [f for f in top if f in keep] or top

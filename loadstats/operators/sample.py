@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import concat_key
 from ..functions.stats import median, scalars
-from .frames import POS, computed_once, with_position
+from .frames import POS, computed_once, join_null_safe, with_position
 
 # A 5 % drift threshold, seed 42, 80/20 and 70/15/15 splits.
 DRIFT_PCT = 5.0
@@ -33,7 +33,7 @@ def _as_list(x):
 
 def row_hash(key: Sequence[str], seed: int = SAMPLE_SEED):
     """md5 of ``key|seed`` as hex text; its order defines the random order."""
-    return F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in key], F.lit(str(seed))))
+    return F.md5(F.concat_ws("|", concat_key(key, "|"), F.lit(str(seed))))
 
 
 def _uniform(h):
@@ -164,7 +164,7 @@ def split_chronological(df: DataFrame, by="city", order: str = "timestamp",
     """First floor(n * share) rows of each series -> train, the rest -> test."""
     keys = _as_list(by)
     base = computed_once(df)                    # positions and sizes both read it
-    p = with_position(base, keys, order, materialize=False).join(_series_sizes(base, keys), keys)
+    p = join_null_safe(with_position(base, keys, order, materialize=False), _series_sizes(base, keys), keys)
     cut = F.floor(F.col("_n") * F.lit(train_share))
     return p.withColumn("split", F.when(F.col(POS) < cut, "train").otherwise("test")).drop(POS, "_n")
 
@@ -173,7 +173,7 @@ def split_three_way(df: DataFrame, by="city", order: str = "timestamp", cuts=SPL
     """Chronological train / validation / test."""
     keys = _as_list(by)
     base = computed_once(df)
-    p = with_position(base, keys, order, materialize=False).join(_series_sizes(base, keys), keys)
+    p = join_null_safe(with_position(base, keys, order, materialize=False), _series_sizes(base, keys), keys)
     a = F.floor(F.col("_n") * F.lit(cuts[0]))
     b = F.floor(F.col("_n") * F.lit(cuts[1]))
     lab = F.when(F.col(POS) < a, "train").when(F.col(POS) < b, "validation").otherwise("test")

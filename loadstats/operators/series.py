@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import fourier_terms
 from ..functions.stats import attach_scalars
-from .frames import CHUNK, HALO, POS, framed, with_chunks, with_position
+from .frames import CHUNK, POS, framed, join_null_safe, with_position
 
 # Fixed values from the reference feature set.
 BASE_LAGS = (24, 48, 168)
@@ -127,9 +127,6 @@ def rolling_zscore(df: DataFrame, n: int = 24, col: str = "demand", **kw) -> Dat
 
 # ---------------------------------------------------------------- exponentially weighted mean
 
-# Rows older than this many e-folds weigh below e^-46 (about 1e-20) relative to
-# the newest one and cannot change a double result.
-EWM_EFOLDS = 46.0
 # Largest exponent of a weight inside a chunk: e^600 ~ 4e260 leaves room for
 # sums of thousands of rows with |x| up to ~1e40 before reaching the double limit.
 _EXP_LIMIT = 600.0
@@ -141,29 +138,49 @@ def ewm_mean(df: DataFrame, span: int, col: str = "demand", out: str | None = No
     """Adjusted EWM (alpha = 2/(span+1)) of the value ``shift`` rows back.
 
     y_t = sum_i b^(t-s-i) x_i / sum_i b^(t-s-i) over i <= t-s, b = 1-alpha. Inside a
-    chunk, weights are b^-p (p = position in the chunk), so the sums are
-    ordinary window sums; the chunk length keeps b^-p finite. Each chunk
-    carries a halo of L = 46/ln(1/b) rows, beyond which weights are below 1e-20.
+    chunk, weights are b^-p (p = position in the chunk), so the sums are ordinary
+    window sums; the chunk length keeps b^-p finite. What came before a chunk is
+    carried through a table of one row a chunk: numerator and denominator as of the
+    end of the last chunk that has values. Of the chunks before that one only the
+    nearest with values counts, as the next is at least a whole chunk further away.
+    A run of NULLs of any length therefore keeps the last mean.
     """
     alpha = 2.0 / (span + 1.0)
     lb = -math.log(1.0 - alpha)                 # ln(1/b)
-    halo = int(math.ceil(EWM_EFOLDS / lb))
-    chunk = max(int(_EXP_LIMIT / lb) - halo, 1)
-    if chunk_rows:                                # smaller chunks (tests, very skewed series)
-        chunk = max(min(chunk, int(chunk_rows)), 1)
+    size = max(int(_EXP_LIMIT / lb), 1)
+    if chunk_rows:                                # smaller chunks (very skewed series)
+        # two chunks must span the e-folds after which a weight cannot change a double
+        size = max(min(size, int(chunk_rows)), math.ceil(46.0 / lb))
     out = out or f"{col}_ewm_{span}"
     keys = _as_list(by)
 
     base = df if positioned else with_position(df, keys, order)
-    chunked, _ = with_chunks(base, back=halo + shift, chunk_rows=chunk)
-    chunked = chunked.withColumn("_p0", F.min(POS).over(Window.partitionBy(*keys, CHUNK)))
-    w = Window.partitionBy(*keys, CHUNK).orderBy(POS)
-    p = F.col(POS) - F.col("_p0")
+    base = base.withColumn(CHUNK, F.floor(F.col(POS) / F.lit(size)))
+    p = F.col(POS) - F.col(CHUNK) * F.lit(size)
     wx = F.when(F.col(col).isNotNull(), F.exp(p * F.lit(lb)))
-    upto = w.rowsBetween(Window.unboundedPreceding, -shift) if shift > 0 else \
-        w.rowsBetween(Window.unboundedPreceding, 0)
-    res = chunked.select("*", F.try_divide(F.sum(wx * F.col(col)).over(upto), F.sum(wx).over(upto)).alias(out)) \
-                 .where(~F.col(HALO)).drop(CHUNK, HALO, "_p0")
+    end = F.lit(math.exp(-(size - 1) * lb))
+    sums = base.groupBy(*keys, CHUNK).agg((F.sum(wx * F.col(col)) * end).alias("_n"), (F.sum(wx) * end).alias("_d"))
+    before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    has = F.col("_d").isNotNull()
+    sums = sums.withColumn("_prev", F.last(F.when(has, F.struct(CHUNK, "_n", "_d")), ignorenulls=True).over(before))
+    fade = F.exp((F.col(f"_prev.{CHUNK}") - F.col(CHUNK)) * F.lit(size * lb))
+    total = F.struct(F.col(CHUNK).alias("c"),
+                     (F.col("_n") + F.coalesce(fade * F.col("_prev._n"), F.lit(0.0))).alias("n"),
+                     (F.col("_d") + F.coalesce(fade * F.col("_prev._d"), F.lit(0.0))).alias("d"))
+    carry = sums.select(*keys, CHUNK, F.last(F.when(has, total), ignorenulls=True).over(before).alias("_carry"))
+    joined = join_null_safe(base, carry, [*keys, CHUNK], "left")
+    upto = Window.partitionBy(*keys, CHUNK).orderBy(POS).rowsBetween(Window.unboundedPreceding, 0)
+    # weight of the carried sums where the chunk's first row weighs 1
+    g = F.exp(((F.col("_carry.c") - F.col(CHUNK)) * F.lit(size) + F.lit(size - 1)) * F.lit(lb))
+    sx, sw = F.sum(wx * F.col(col)).over(upto), F.sum(wx).over(upto)
+    joined = joined.select(*base.columns, "_carry", g.alias("_g"), sx.alias("_sx"), sw.alias("_sw"))
+    mean = F.when(F.col("_sw").isNull(), F.try_divide(F.col("_carry.n"), F.col("_carry.d"))).otherwise(
+        F.try_divide(F.col("_sx") + F.coalesce(F.col("_g") * F.col("_carry.n"), F.lit(0.0)),
+                     F.col("_sw") + F.coalesce(F.col("_g") * F.col("_carry.d"), F.lit(0.0))))
+    res = joined.withColumn(out, mean).drop(CHUNK, "_carry", "_g", "_sx", "_sw")
+    if shift > 0:
+        res = framed(res.withColumnRenamed(out, "_now"), lambda w: [F.lag("_now", shift).over(w).alias(out)],
+                     by=by, order=order, back=shift, positioned=True).drop("_now")
     return res if positioned else res.drop(POS)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import re
 import math
 from collections.abc import Sequence
 
@@ -90,12 +91,6 @@ def fourier_terms(phase, periods=FOURIER_PERIODS, harmonics=FOURIER_HARMONICS) -
     return out
 
 
-def hours_since_start(ts, start) -> Column:
-    """Phase for E7 in calendar mode: whole hours since the series start."""
-    return F.floor((F.unix_seconds(col_(ts).cast("timestamp")) -
-                    F.unix_seconds(col_(start).cast("timestamp"))) / F.lit(3600))
-
-
 def truncate_date(df: DataFrame, ts: str = "timestamp") -> DataFrame:
     """Calendar date, ISO week and ISO week-year."""
     t = F.col(ts)
@@ -120,8 +115,14 @@ def pairwise_interactions(cols: Sequence[str], suffix: str = "_interaction",
 
 
 def concat_key(cols: Sequence[str], sep: str = "_") -> Column:
-    """Strata key."""
-    return F.concat_ws(sep, *[F.col(c).cast("string") for c in cols])
+    """Strata key, one text for each combination of values.
+
+    A separator or backslash inside a value is written with a backslash before it and a
+    NULL as ``\\N``, so no two combinations share a key."""
+    def part(c):
+        text = F.regexp_replace(F.col(c).cast("string"), f"([\\\\{re.escape(sep)}])", r"\\$1")
+        return F.coalesce(text, F.lit("\\N"))
+    return F.concat_ws(sep, *[part(c) for c in cols])
 
 
 def clip(c, lo: float = -3.0, hi: float = 3.0) -> Column:

@@ -24,29 +24,34 @@ def median(c, accuracy: int | None = None) -> Column:
     return quantile(c, 0.5, accuracy)
 
 
-def _lit(v):
-    if v is None:
-        return F.lit(None).cast("double")
+def typed_lit(v, data_type) -> Column:
+    """``v`` as a literal of the given Spark type, NULL included."""
     if isinstance(v, (list, tuple)):
-        return F.array(*[_lit(x) for x in v])
-    return F.lit(v)
+        return F.array(*[typed_lit(x, data_type.elementType) for x in v]).cast(data_type)
+    if v is not None and data_type.typeName() == "timestamp_ntz":
+        return F.lit(v.isoformat()).cast(data_type)
+    return F.lit(v).cast(data_type)
+
+
+def _one_row(df, aggs):
+    one = df.agg(*aggs)
+    return one.schema, one.first()
 
 
 def scalars(df, aggs) -> dict:
     """Evaluate a one-row aggregate (a distributed job) and return its values."""
-    row = df.agg(*aggs).first()
-    return row.asDict() if row is not None else {}
+    return _one_row(df, aggs)[1].asDict()
 
 
 def attach_scalars(df, aggs):
-    """Global statistics as literals on every row.
+    """Global statistics as literals on every row, with the aggregates' own types.
 
     The aggregate runs once on the executors (partial + final); only its one
     result row reaches the driver, and it goes back into the plan as
     constants, so there is neither a cross join nor an unpartitioned window.
     """
-    vals = scalars(df, aggs)
-    return df.select("*", *[_lit(v).alias(k) for k, v in vals.items()])
+    schema, row = _one_row(df, aggs)
+    return df.select("*", *[typed_lit(row[f.name], f.dataType).alias(f.name) for f in schema.fields])
 
 
 def round_half_away(c, digits: int = 2) -> Column:

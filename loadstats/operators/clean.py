@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stats import _lit, attach_scalars, median, round_half_away, scalars
+from ..functions.stats import attach_scalars, median, round_half_away, scalars
 from .frames import carry_backward, carry_forward
 
 NUMERIC_TYPES = ("double", "float", "int", "bigint", "smallint", "tinyint")
@@ -211,7 +211,7 @@ def impute_chain(df: DataFrame, cols: Sequence[str], by="city", order="timestamp
     from .frames import carry_both
     meds = scalars(df, [median(c, accuracy).alias(f"_gm_{c}") for c in cols])
     both = carry_both(df, cols, by, order)             # ffill and bfill from one two-level scan
-    return both.select(*[F.coalesce(F.col(f"{c}_ffill"), F.col(f"{c}_bfill"), _lit(meds[f"_gm_{c}"])).alias(c)
+    return both.select(*[F.coalesce(F.col(f"{c}_ffill"), F.col(f"{c}_bfill"), F.lit(meds[f"_gm_{c}"]).cast("double")).alias(c)
                          if c in cols else F.col(c) for c in df.columns])
 
 
@@ -228,7 +228,7 @@ def impute_train_median(train: DataFrame, other: DataFrame, cols: Sequence[str],
     meds = scalars(train, [median(c, accuracy).alias(f"_tm_{c}") for c in cols])
 
     def apply(d):
-        j = d.select("*", *[_lit(v).alias(k) for k, v in meds.items()])
+        j = d.select("*", *[F.lit(v).cast("double").alias(k) for k, v in meds.items()])
         return j.select(*[F.coalesce(F.col(c), F.col(f"_tm_{c}")).alias(c) if c in cols else F.col(c)
                           for c in d.columns])
     return apply(train), apply(other)

@@ -23,17 +23,10 @@ def _as_list(x):
     return [x] if isinstance(x, str) else list(x)
 
 
-def money_mean(c) -> Column:
-    """Mean of a money-like column (two decimals) from an exact decimal sum, so the
-    result does not depend on the order rows arrive in (SURVEY 7.4)."""
-    cents = F.sum(F.round(F.col(c) * F.lit(100)).cast("bigint"))     # exact, like a decimal(18,2) sum
-    return F.try_divide(cents / F.lit(100.0), F.count(c).cast("double"))
-
-
 def daily_summary(df: DataFrame, ts="timestamp", value="demand", temp="temperature") -> DataFrame:
     """A1: by (city, date)."""
     return (df.groupBy("city", F.to_date(ts).alias("date"))
-              .agg(money_mean(value).alias("avg_demand"), F.max(value).alias("max_demand"),
+              .agg(F.avg(value).alias("avg_demand"), F.max(value).alias("max_demand"),
                    F.min(value).alias("min_demand"), F.avg(temp).alias("avg_temp")))
 
 
@@ -44,13 +37,13 @@ def weekly_summary(df: DataFrame, ts="timestamp", value="demand", temp="temperat
     if with_year:
         keys.append(F.expr(f"extract(YEAROFWEEK FROM `{ts}`)").alias("iso_year"))
     keys.append(F.weekofyear(ts).alias("week"))
-    return df.groupBy(*keys).agg(money_mean(value).alias("avg_demand"), F.avg(temp).alias("avg_temp"))
+    return df.groupBy(*keys).agg(F.avg(value).alias("avg_demand"), F.avg(temp).alias("avg_temp"))
 
 
 def profile_by(df: DataFrame, part: str, ts="timestamp", value="demand") -> DataFrame:
     """A3-A5: mean by hour of day, weekday (Mon=0) or month."""
     fn = {"hour": F.hour, "dayofweek": F.weekday, "month": F.month}[part]
-    return df.groupBy(fn(ts).alias(part)).agg(money_mean(value).alias(f"avg_{value}"),
+    return df.groupBy(fn(ts).alias(part)).agg(F.avg(value).alias(f"avg_{value}"),
                                               F.count(value).alias("n"))
 
 
@@ -165,9 +158,12 @@ def dataset_profile(df: DataFrame, ts="timestamp", value="demand", temp="tempera
 def safe_corr(a: str, b: str) -> Column:
     """Pearson r as covariance / (std * std), all population moments, in one pass.
 
-    Built-in ``corr`` divides by the spread and raises under ANSI mode when a
-    column is constant; here the division is ``try_divide``, so r is NULL."""
-    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+    Every moment is taken over the rows where both columns are set. Built-in
+    ``corr`` divides by the spread and raises under ANSI mode when a column is
+    constant; here the division is ``try_divide``, so r is NULL."""
+    x = F.when(F.col(b).isNotNull(), F.col(a))
+    y = F.when(F.col(a).isNotNull(), F.col(b))
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
 def corr_pairs(df: DataFrame, cols: Sequence[str], ordered: bool = True) -> DataFrame:

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stats import _lit, attach_scalars, quantile, scalars
+from ..functions.stats import attach_scalars, quantile, scalars
 
 # Temperature bin edges used at serving time (right-closed).
 FIXED_BIN_EDGES = [0, 40, 50, 60, 70, 80, 90, 100, 120]
@@ -47,7 +47,7 @@ def minmax_scale(df: DataFrame, cols: Sequence[str], suffix: str = "_scaled", by
 
 def minmax_transform(df: DataFrame, fitted: dict, cols: Sequence[str], suffix: str = "_scaled") -> DataFrame:
     """F2 'transform': apply a fitted scaler; a constant column maps to 0."""
-    j = df.select("*", *[_lit(v).alias(k) for k, v in fitted.items()])
+    j = df.select("*", *[F.lit(v).cast("double").alias(k) for k, v in fitted.items()])
     out = []
     for c in cols:
         rng = F.col(f"{c}_max") - F.col(f"{c}_min")
@@ -74,7 +74,7 @@ def standardize(df: DataFrame, cols: Sequence[str], suffix: str = "_std", by=Non
 
 def inverse_scale(df: DataFrame, fitted: dict, pairs: dict[str, str]) -> DataFrame:
     """x*(max-min)+min; ``pairs`` maps scaled column -> source column of the fit."""
-    j = df.select("*", *[_lit(v).alias(k) for k, v in fitted.items()])
+    j = df.select("*", *[F.lit(v).cast("double").alias(k) for k, v in fitted.items()])
     out = [(F.col(s) * (F.col(f"{src}_max") - F.col(f"{src}_min")) + F.col(f"{src}_min")).alias(f"{s}_inv")
            for s, src in pairs.items()]
     return j.select(*df.columns, *out)

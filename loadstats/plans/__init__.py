@@ -1,14 +1,8 @@
 """Registered queries (one per operator of the survey inventory) and their oracles."""
 
-from . import catalog_a  # noqa: F401  (registers queries)
+from . import catalog_a, catalog_b  # noqa: F401  (each registers its queries)
 from .registry import ORACLES, QUERIES
 
-try:  # part B registers the remaining families
-    from . import catalog_b  # noqa: F401
-except ImportError as exc:  # pragma: no cover - only while part B is being written
-    if "catalog_b" not in str(exc):
-        raise
-
 FLAGSHIP = "A15_anomaly_rate_by_city" if "A15_anomaly_rate_by_city" in QUERIES else next(iter(QUERIES))
 
 __all__ = ["QUERIES", "ORACLES", "FLAGSHIP"]

@@ -13,37 +13,43 @@ from ..sources import fixtures as fx
 from ..session import checkpoint_root
 from .registry import query
 
-GBT_ITER = 20
-GBT_DEPTH = 6
-_FITTED: dict = {}   # (session, sf_dir) -> fitted model, so the model-backed queries share one fit
+# Round limits and depth of the final and the preliminary tree model; both
+# stop early on the validation slice.
+GBT_ITER = 2000
+GBT_DEPTH = 8
+PRELIM_ITER = 100
+_FITTED: dict = {}   # (application, sf_dir) -> fitted model, so the model-backed queries share one fit
 CLUSTER_FEATURES = ["demand", "temperature", "humidity", "wind_speed"]
 
 
 def _training_frame(spark, sf):
-    """Features on the full history, chronological split, validation = last 10 % of train."""
+    """Features on the full history, chronological split, validation = last 10 % of train;
+    infinities and gaps are filled with the medians of train."""
     h = fx.demand_hourly(spark, sf)
     feats, names = forecast_features(h)
     # Materialise the feature table into the shared checkpoint folder before
     # filtering: the iterative fit re-reads it many times, and a filter over
     # ~25 derived columns would make the optimizer's constraint inference explode.
     checkpoint_root(spark)
-    data = clean.drop_null(feats.checkpoint(eager=True), names)
+    data = clean.inf_to_null(feats.checkpoint(eager=True), names)
     split = sample.split_three_way(data, cuts=(0.7, 0.8))
     split = split.withColumn("is_validation", F.col("split") == "validation") \
-                 .withColumn("split", F.when(F.col("split") == "test", "test").otherwise("train"))
-    return split.checkpoint(eager=True), names
+                 .withColumn("split", F.when(F.col("split") == "test", "test").otherwise("train")) \
+                 .checkpoint(eager=True)
+    train, test = clean.impute_train_median(split.where("split = 'train'"), split.where("split = 'test'"), names)
+    return train.unionByName(test).checkpoint(eager=True), names
 
 
 def _fit(spark, sf):
     """L2, two stages: keep the top 70 % of features by |corr| with the target
     (on train), fit a preliminary model, keep the features that make up 80 % of
     its cumulated importance, fit the final model on those."""
-    key = (id(spark.sparkContext), sf)
+    key = (spark.sparkContext.applicationId, sf)
     if key not in _FITTED:
         data, names = _training_frame(spark, sf)
         train = data.where(F.col("split") == "train")
-        selected = models.select_two_stage(train, names, "demand", max_depth=GBT_DEPTH,
-                                           prelim_iter=max(GBT_ITER // 2, 5))
+        selected = models.select_two_stage(train, names, "demand", max_depth=GBT_DEPTH, prelim_iter=PRELIM_ITER,
+                                           validation_col="is_validation")
         model = models.train_boosted_trees(train, selected, max_depth=GBT_DEPTH, max_iter=GBT_ITER,
                                            validation_col="is_validation")
         _FITTED[key] = (model, data, selected)
@@ -158,7 +164,7 @@ def d7(spark, sf):
 
 @query("D8_cluster_quality")
 def d8(spark, sf):
-    return models.cluster_quality(fx.merged_daily(spark, sf), CLUSTER_FEATURES, range(2, 7))
+    return models.cluster_quality(fx.merged_daily(spark, sf), CLUSTER_FEATURES, range(2, 11))
 
 
 @query("D9_hierarchical_clusters")
@@ -180,17 +186,26 @@ def d10(spark, sf):
     return stats.join(by_season, "cluster", "left").join(by_weekday, "cluster", "left")
 
 
-def _permute_within_blocks(df, col, key, blocks=64, seed=7):
-    """Shuffle one column: rows are spread over hash blocks; inside each block
-    the column is re-dealt by a second hash order (two row_numbers joined)."""
-    h1 = F.xxhash64(*[F.col(k).cast("string") for k in key], F.lit(seed))
-    h2 = F.xxhash64(*[F.col(k).cast("string") for k in key], F.lit(seed + 1))
-    base = df.withColumn("_blk", F.pmod(h1, F.lit(blocks))).withColumn("_h2", h2)
-    w_row = Window.partitionBy("_blk").orderBy(*key)
-    w_val = Window.partitionBy("_blk").orderBy("_h2", *key)
-    rows = base.withColumn("_r", F.row_number().over(w_row)).drop(col)
-    vals = base.select("_blk", F.col(col), F.row_number().over(w_val).alias("_r"))
-    return rows.join(vals, ["_blk", "_r"]).drop("_blk", "_r", "_h2")
+def _numbered(df, h, order, bucket_rows=20_000):
+    """Numbers the rows 0..n-1 (``_at``) in the order of ``h`` inside its buckets: a count
+    for each bucket, running offsets, and a window over one bucket at a time."""
+    buckets = max(1, -(-df.count() // bucket_rows))
+    d = df.withColumn("_bkt", F.pmod(h, F.lit(buckets)))
+    before = Window.orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = d.groupBy("_bkt").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_bkt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    inside = Window.partitionBy("_bkt").orderBy(h, *order)
+    return (d.join(offsets, "_bkt").withColumn("_at", F.col("_off") + F.row_number().over(inside))
+             .drop("_bkt", "_off"))
+
+
+def _permuted(df, col, key, seed=7):
+    """Shuffle one column over the whole table: rows and values are numbered in two
+    different hash orders and meet at equal numbers."""
+    hashed = lambda k: F.xxhash64(*[F.col(c).cast("string") for c in key], F.lit(k))
+    rows = _numbered(df.drop(col), hashed(seed), key)
+    vals = _numbered(df.select(*key, col), hashed(seed + 1), key).select("_at", col)
+    return rows.join(vals, "_at").drop("_at")
 
 
 @query("D11_permutation_importance")
@@ -202,7 +217,7 @@ def d11(spark, sf):
                                          .withColumnRenamed("demand", "actual")).first()["mae"]
     out = None
     for f in names:                                       # every feature the final model uses
-        shuffled = _permute_within_blocks(test, f, ["city", "timestamp"])
+        shuffled = _permuted(test, f, ["city", "timestamp"])
         scored = models.batch_score(model, shuffled, names)
         m = rollup.regression_metrics(scored.withColumnRenamed("prediction", "predicted")
                                       .withColumnRenamed("demand", "actual"))

@@ -7,6 +7,7 @@ session implicitly except through :func:`get_spark`.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -48,13 +49,16 @@ def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
     On a cluster the setting points at shared storage and is only read here.
-    When it is unset (local runs, tests) a private folder is created and
-    registered so ``DataFrame.checkpoint()`` works too.
+    When it is unset on a local master (tests) a private folder is created and
+    registered so ``DataFrame.checkpoint()`` works too; anywhere else that folder
+    would be one machine's own, so the setting has to be given.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
         root = tempfile.mkdtemp(prefix="loadstats-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)
     spark.sparkContext.setCheckpointDir(root)
@@ -67,14 +71,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def is_local_path(path: str) -> bool:
-    return path.startswith("/") or path.startswith("file:")
-
-
-def local_os_path(path: str) -> str:
-    return path[len("file:"):] if path.startswith("file:") else path
-
-
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Existence test through the Hadoop file system (works for any scheme)."""
     jvm = spark.sparkContext._jvm
@@ -83,8 +79,7 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(hpath)) or bool(fs.globStatus(hpath))
 
 
-__all__ = ["get_spark", "checkpoint_root", "scratch_path", "path_exists",
-           "is_local_path", "local_os_path", "BASE_CONF", "os"]
+__all__ = ["get_spark", "checkpoint_root", "scratch_path", "path_exists", "BASE_CONF"]
 
 
 _SHIPPED: set = set()

@@ -88,7 +88,7 @@ def main():
     prefixes = sys.argv[2:]
     from loadstats.session import get_spark
     import __spark_entry__ as entry
-    spark = get_spark("local[8]", 8)
+    spark = get_spark(os.environ.get("CHECK_MASTER", "local[8]"), 8)
     con = duck(sf_dir)
     qs = entry.queries()
     oracles = entry.oracle_sql()

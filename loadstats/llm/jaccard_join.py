@@ -56,8 +56,8 @@ def grams_of(text: str | None, words: int = WORDS) -> np.ndarray:
 
 
 def n_bits(n: int) -> int:
-    """Bitmap width of sets of up to ``n`` elements: two bits an element, 64 to 8192."""
-    return min(8192, max(64, 1 << (2 * n - 1).bit_length()))
+    """Bitmap width of sets of up to ``n`` elements: a bit or two an element, 64 to 8192."""
+    return min(8192, max(64, 1 << (n - 1).bit_length()))
 
 
 def band_of(n: int, share: tuple[int, int] = SHARE) -> int:
@@ -271,7 +271,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     found = clustered(first.withColumn("comp", F.col("id")))
     every = _labelled(reps.select("id", "n", F.explode("prefix").alias("token")), saved(components(found), "clusters"))
     shared = every.groupBy("token").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo != _hi").select("token")
-    found = found.union(clustered(every.join(shared, "token", "left_semi")))
+    # few of the prefix's hashes are shared: the others are dropped where they stand
+    left = saved(every.join(sendable(saved(shared, "shared")), "token", "left_semi"), "left")
+    found = found.union(clustered(left))
     cluster = saved(components(found), "clusters")
     links = _intersected(d, reps.select("id", "n").join(cluster, F.col("id") == F.col("node")).select("id", "n", F.col("root").alias("cluster")),
                          words, share, tile_rows)

@@ -140,17 +140,24 @@ class Vocabulary:
 
     def search(self, part: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The ``n`` best (score, ids) of a part, best first: A* backwards from its end.
-        Among equal scores fewer pieces come first, then smaller ids."""
+        Among equal scores the path that is nearest to its end goes on, so that ties, of
+        which a run of one letter has very many, do not widen the search."""
         best = self.forward(part)
-        queue = [(-best[-1], 0, (), len(part), 0.0)]
+        queue = [(-best[-1], len(part), 0, 0.0, None)]
         out: list[tuple[float, tuple[int, ...]]] = []
+        made = 0
         while queue and len(out) < n:
-            _, size, ids, at, done = heapq.heappop(queue)
+            _, at, _, done, path = heapq.heappop(queue)     # path: (ids, path after them)
             if at == 0:
-                out.append((done, ids))
+                ids: list[int] = []
+                while path is not None:
+                    ids += path[0]
+                    path = path[1]
+                out.append((done, tuple(ids)))
                 continue
             for i, s, new in self._edges_to(part, at):
-                heapq.heappush(queue, (-round(done + s + best[i], 9), size + len(new), new + ids, i, done + s))
+                made += 1
+                heapq.heappush(queue, (-round(done + s + best[i], 9), i, made, done + s, (new, path)))
         return out
 
     # -- many parts ---------------------------------------------------------------

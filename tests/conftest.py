@@ -11,7 +11,7 @@ sys.path.insert(0, os.path.join(ROOT, "tests"))
 @pytest.fixture(scope="session")
 def spark():
     from loadstats.session import checkpoint_root, get_spark
-    s = get_spark("local[*]", 8)
+    s = get_spark("local[4]", 8)
     checkpoint_root(s)
     yield s
     s.stop()

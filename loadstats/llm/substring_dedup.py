@@ -30,18 +30,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, mixed, saved, sendable, spans_hashed
+from .common import WordHasher, mixed, saved, sendable
 
 WORDS = 50
 K = 16
 _PLACE = np.uint64((1 << 20) - 1)
-_HASHERS: dict[int, WordHasher] = {}
+_HASHER: list[WordHasher] = []
 
 
-def _hashes(words: list[bytes], seed: int) -> np.ndarray:
-    if seed not in _HASHERS:
-        _HASHERS[seed] = WordHasher(seed)
-    return _HASHERS[seed](words)
+def _hashes(words: list[bytes]) -> np.ndarray:
+    if not _HASHER:
+        _HASHER.append(WordHasher())
+    return _HASHER[0](words)
 
 
 def _least(x: np.ndarray, w: int) -> np.ndarray:
@@ -53,40 +53,52 @@ def _least(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[:n - w + 1], ahead[w - 1:n])
 
 
-def anchors(h: np.ndarray, words: int = WORDS, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """From a document's word hashes: the kept k-mers' places (ascending) and hashes, and for
-    every window the index of the kept k-mer that stands for it."""
-    kmers = spans_hashed(h, k)
-    key = (kmers & ~_PLACE) | (np.arange(len(kmers), dtype=np.uint64) & _PLACE)    # the leftmost of equals
-    low = (_least(key, words - k + 1) & _PLACE).astype(np.int64)
-    start = np.arange(len(low))
-    place = start + ((low - start) & int(_PLACE))                                   # places wrap at 2**20
-    at, which = np.unique(place, return_inverse=True)
-    return at, kmers[at], which
+class Rolling:
+    """Hashes of spans of words from running sums of ``h[i] * r**i`` (modulo 2**64)."""
+
+    def __init__(self, r: int, salt: int):
+        self._r, self._salt = r, np.uint64(salt)
+        self._up, self._down = np.ones(1, np.uint64), np.ones(1, np.uint64)     # powers of r and of its inverse
 
+    def _grown(self, n: int) -> None:
+        while len(self._up) < n + 1:
+            k = len(self._up)
+            self._up = np.concatenate([self._up, self._up * np.uint64(pow(self._r, k, 1 << 64))])
+            self._down = np.concatenate([self._down, self._down * np.uint64(pow(self._r, -k, 1 << 64))])
 
-def _prefix(h: np.ndarray) -> np.ndarray:
-    """Running sums of ``h[i] * r**i`` (modulo 2**64): any span's hash from two of them."""
-    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(h) * _powers(len(h))[:len(h)])])
+    def sums(self, h: np.ndarray) -> np.ndarray:
+        self._grown(len(h))
+        return np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(h ^ self._salt) * self._up[:len(h)])])
 
+    def spans(self, sums: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Hashes of the words from ``lo`` to before ``hi``, the same wherever they stand."""
+        self._grown(len(sums))
+        body = (sums[hi] - sums[lo]) * self._down[lo]
+        return mixed(body ^ ((hi - lo).astype(np.uint64) << np.uint64(40)))
 
-_POWERS = [np.ones(1, dtype=np.uint64)]
-_R, _R_INV = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
-_INVERSES = [np.ones(1, dtype=np.uint64)]
+    def every(self, sums: np.ndarray, k: int) -> np.ndarray:
+        """Hashes of every ``k`` consecutive words."""
+        self._grown(len(sums))
+        n = len(sums) - k
+        return mixed((sums[k:] - sums[:n]) * self._down[:n])
 
 
-def _powers(n: int, inverse: bool = False) -> np.ndarray:
-    held, r = (_INVERSES, _R_INV) if inverse else (_POWERS, _R)
-    while len(held[0]) < n + 1:
-        p = held[0]
-        held[0] = np.concatenate([p, p * np.uint64(pow(r, len(p), 1 << 64))])
-    return held[0]
+_ROLLING = Rolling(0x9E3779B97F4A7C15, 0)
+_PROOF = Rolling(0xD1342543DE82EF95, 0x5851F42D4C957F2D)
 
 
-def span_hash(sums: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """Hashes of the words from ``lo`` to before ``hi``, the same wherever they stand."""
-    body = (sums[hi] - sums[lo]) * _powers(int(lo.max()) if len(lo) else 0, True)[lo]
-    return mixed(body ^ ((hi - lo).astype(np.uint64) << np.uint64(40)))
+def anchors(sums: np.ndarray, words: int = WORDS, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """From a document's running sums: the kept k-mers' places (ascending) and hashes, and for
+    every window the index of the kept k-mer that stands for it."""
+    kmers = _ROLLING.every(sums, k)
+    key = (kmers & ~_PLACE) | (np.arange(len(kmers), dtype=np.uint64) & _PLACE)    # the leftmost of equals
+    low = (_least(key, words - k + 1) & _PLACE).astype(np.int64)
+    start = np.arange(len(low))
+    place = start + ((low - start) & int(_PLACE))                                   # places wrap at 2**20
+    # windows move on, and so do the places that stand for them
+    new = np.concatenate([[True], place[1:] != place[:-1]])
+    at = place[new]
+    return at, kmers[at], np.cumsum(new) - 1
 
 
 def _split(text: str | None) -> list[bytes]:
@@ -103,9 +115,9 @@ def _edges(words: int, k: int):
                 w = _split(t)
                 if len(w) < words:
                     continue
-                h = _hashes(w, 0)
-                at, token, _ = anchors(h, words, k)
-                link = span_hash(_prefix(h), at[:-1], at[1:] + k)
+                sums = _ROLLING.sums(_hashes(w))
+                at, token, _ = anchors(sums, words, k)
+                link = _ROLLING.spans(sums, at[:-1], at[1:] + k)
                 ins, outs = np.concatenate([[np.uint64(0)], link]), np.concatenate([link, [np.uint64(0)]])
                 order = np.argsort(token, kind="stable")
                 token, ins, outs = token[order], ins[order], outs[order]
@@ -131,8 +143,9 @@ def _paths(words: int, k: int):
                 w = _split(t)
                 if len(w) < words:
                     continue
-                h = _hashes(w, 0)
-                at, token, which = anchors(h, words, k)
+                h = _hashes(w)
+                sums = _ROLLING.sums(h)
+                at, token, which = anchors(sums, words, k)
                 tokens = np.array(tokens, dtype=np.int64).view(np.uint64)
                 order = np.argsort(tokens)
                 tokens, marks = tokens[order], np.array(marks, dtype=np.int64)[order]
@@ -154,8 +167,8 @@ def _paths(words: int, k: int):
                 starts = np.concatenate([lo[whole], one])
                 n = np.concatenate([hi[whole] - lo[whole] - words + 1, np.ones(len(one), dtype=np.int64)])
                 ends = starts + n + words - 1
-                out[0].append(span_hash(_prefix(h), starts, ends))
-                out[1].append(span_hash(_prefix(_hashes(w, 1)), starts, ends))
+                out[0].append(_ROLLING.spans(sums, starts, ends))
+                out[1].append(_PROOF.spans(_PROOF.sums(h), starts, ends))
                 out[2].append(np.full(len(n), i, dtype=np.int64))
                 out[3].append(starts)
                 out[4].append(n)

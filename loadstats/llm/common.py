@@ -56,10 +56,26 @@ def running_offsets(counts: DataFrame, key: str, value: str, out: str, block: in
             .join(bases, "_blk").withColumn(out, F.col("_off_in") + F.col("_off_blk")).drop("_blk", "_off_in", "_off_blk"))
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 64) -> DataFrame:
+def _joined(batches):
+    """The components of few edges, by union-find in one task."""
+    import pyarrow as pa
+    got = [b for b in batches if b.num_rows]
+    if not got:
+        return
+    u, v = (np.concatenate([b.column(i).to_numpy() for b in got]) for i in (0, 1))
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    same = Unions(len(nodes))
+    for i, j in zip(at[:len(u)].tolist(), at[len(u):].tolist(), strict=True):
+        same.join(i, j)
+    yield pa.RecordBatch.from_pydict({"node": nodes, "root": nodes[same.roots()]})
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 64,
+               few_edges: int = 200_000) -> DataFrame:
     """(node, root): the smallest node reachable from each node that has an edge.
 
-    Alternates large stars and small stars until nothing changes, each round written
+    Up to ``few_edges`` edges (16 bytes each) one task joins them. More are never in one
+    place: large stars and small stars alternate until nothing changes, each round written
     to the shared folder. Only the edge count of a round comes to the driver. A hub is
     an aggregate with map-side combining and a join that adaptive execution can split."""
     def star(e: DataFrame, large: bool) -> DataFrame:
@@ -78,6 +94,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
     e = saved(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u != v").distinct(), "cc")
+    if e.limit(few_edges + 1).count() <= few_edges:
+        return e.coalesce(1).mapInArrow(_joined, "node long, root long")
     seen = None
     for _ in range(most_rounds):
         e = saved(star(star(e, True), False), "cc")

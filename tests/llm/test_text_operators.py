@@ -332,8 +332,10 @@ def test_sharding_digest(frame):
 
 # -- components ------------------------------------------------------------------------
 
-def test_components_of_paths_stars_and_loops(spark):
+@pytest.mark.parametrize("few_edges", [0, 1000])
+def test_components_of_paths_stars_and_loops(spark, few_edges):
     from loadstats.llm.common import components
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 140)] + [(200, 201), (201, 202), (202, 200), (5, 5)]
-    got = {r[0]: r[1] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r[0]: r[1] for r in components(spark.createDataFrame(edges, "a long, b long"), few_edges=few_edges).collect()}
+    assert components(spark.createDataFrame([], "a long, b long"), few_edges=few_edges).count() == 0
     assert got == {**{i: 0 for i in range(61)}, **{i: 100 for i in range(100, 140)}, **{i: 200 for i in (200, 201, 202)}}

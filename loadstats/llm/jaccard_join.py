@@ -16,6 +16,10 @@ The work narrows step by step, and each pair that may be similar survives every
 2. Tiles of the two smallest hashes: bitmaps alone connect candidates into clusters.
 3. Tiles of the whole prefix, but only of hashes that two clusters share, again by bitmaps
    alone: whatever passes joins its clusters. Now every similar pair is inside a cluster.
+   Any order of the hashes that all sets keep gives right prefixes. The order here puts
+   the hashes of common passages last, so that texts which share no more than a passage
+   do not meet: common ones are counted in an eighth of the documents (which hashes those
+   are changes the work, never the result).
 4. Clusters are intersected, each set sent once (large clusters in blocks, see
    :func:`_intersected`). What is found links documents.
 """
@@ -36,6 +40,8 @@ WORDS = 5
 SHARE = (75, 100)
 TILE_ROWS = 2000
 FIRST = 2               # hashes of step 2
+COMMON = 8              # of an eighth of the documents: a hash in so many clusters goes last
+MOST_COMMON = 1_000_000  # so many hashes at most (8 bytes each) go last, the most common ones
 TILE = ("token", "band", "x", "y", "id", "n", "comp", "own", "s")
 _HASHER: list[WordHasher] = []
 
@@ -87,13 +93,49 @@ def partners(i: int, bits: np.ndarray, sizes: np.ndarray, share: tuple[int, int]
     return (den * most >= num * (n + m - most)) & (den * np.minimum(n, m) >= num * np.maximum(n, m))
 
 
-def _sketches(words: int, share: tuple[int, int]):
-    num, den = share
+def prefix_size(n: int, share: tuple[int, int]) -> int:
+    return n - -(-share[0] * n // share[1]) + 1
+
+
+def prefix_of(low: np.ndarray, n: int, share: tuple[int, int], common: np.ndarray) -> np.ndarray | None:
+    """The prefix of a set of ``n`` hashes in the order "not common, common; by size", from
+    its smallest ones; None if these do not settle it."""
+    size = prefix_size(n, share)
+    if not len(common):
+        return low[:size]
+    at = np.minimum(np.searchsorted(common, low), len(common) - 1)
+    is_common = common[at] == low
+    rare = low[~is_common]
+    if len(rare) >= size:
+        return rare[:size]
+    return np.concatenate([rare, low[is_common][:size - len(rare)]]) if len(low) == n else None
 
+
+def _prefixes(sent, share: tuple[int, int], words: int | None):
+    """(id, n, tokens): prefixes from the smallest hashes, NULL where these do not settle
+    them; with ``words`` from the texts."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if words is None:
+                ids, sizes = b.column(0), b.column(1)
+                flat = b.column(2).flatten().to_numpy().view(np.uint64)
+                cut = np.concatenate([[0], np.cumsum(b.column(2).value_lengths().to_numpy())]).tolist()
+                lows = [flat[lo:hi] for lo, hi in zip(cut, cut[1:], strict=False)]
+            else:
+                lows = [grams_of(t, words) for t in b.column(1).to_pylist()]
+                ids, sizes = b.column(0), pa.array([len(g) for g in lows], pa.int64())
+            made = [prefix_of(g, n, share, sent.value) if n else None for g, n in zip(lows, sizes.to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [ids, sizes, pa.array([None if m is None else m.view(np.int64) for m in made], pa.list_(pa.int64()))],
+                names=["id", "n", "tokens"])
+    return run
+
+
+def _sketches(words: int, share: tuple[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
         for b in batches:
-            out = {k: [] for k in ("n", "f1", "f2", "prefix", "bits")}
+            out = {k: [] for k in ("n", "f1", "f2", "low", "bits")}
             for t in b.column(1).to_pylist():
                 g = grams_of(t, words)
                 n = len(g)
@@ -101,12 +143,13 @@ def _sketches(words: int, share: tuple[int, int]):
                 out["n"].append(n)
                 out["f1"].append(f1)
                 out["f2"].append(f2)
-                out["prefix"].append(g[:n - -(-num * n // den) + 1].view(np.int64) if n else np.empty(0, np.int64))
+                # half as many again, for those that common ones make room for
+                out["low"].append(g[:prefix_size(n, share) * 3 // 2].view(np.int64) if n else np.empty(0, np.int64))
                 out["bits"].append(bitmap(g, n_bits(n)).tobytes() if n else b"")
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(out["n"], pa.int64()), pa.array(out["f1"], pa.int64()), pa.array(out["f2"], pa.int64()),
-                 pa.array(out["prefix"], pa.list_(pa.int64())), pa.array(out["bits"], pa.binary())],
-                names=["id", "n", "f1", "f2", "prefix", "bits"])
+                 pa.array(out["low"], pa.list_(pa.int64())), pa.array(out["bits"], pa.binary())],
+                names=["id", "n", "f1", "f2", "low", "bits"])
     return run
 
 
@@ -241,7 +284,7 @@ def _intersected(docs: DataFrame, clusters: DataFrame, words: int, share: tuple[
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = WORDS,
-                       share: tuple[int, int] = SHARE, tile_rows: int = TILE_ROWS) -> DataFrame:
+                       share: tuple[int, int] = SHARE, tile_rows: int = TILE_ROWS, common: int = COMMON) -> DataFrame:
     """One row per row of ``docs``: ``id_col``, n_shingles (long), component_id (long).
 
     Two sets are linked when ``share[1] * |intersection| >= share[0] * |union|``;
@@ -253,7 +296,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     * Integer ids. Other columns are not read. An empty table gives an empty result.
     """
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
-    sk = saved(d.mapInArrow(_sketches(words, share), "id long, n long, f1 long, f2 long, prefix array<long>, bits binary"),
+    sk = saved(d.mapInArrow(_sketches(words, share), "id long, n long, f1 long, f2 long, low array<long>, bits binary"),
                "sketches")
     live = sk.where("n > 0 AND id IS NOT NULL")
     classes = live.groupBy("n", "f1", "f2").agg(F.min("id").alias("rep"))
@@ -267,11 +310,23 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
         signed = _tiles(rows, share, tile_rows).join(signs, ["id", "n"]).select(*TILE, "bits")
         return saved(_grouped(signed).mapInArrow(_forest(share, False), "a long, b long"), "candidates")
 
-    first = reps.select("id", "n", F.explode(F.slice("prefix", 1, FIRST)).alias("token"))
+    first = reps.select("id", "n", F.explode(F.slice("low", 1, FIRST)).alias("token"))
     found = clustered(first.withColumn("comp", F.col("id")))
-    every = _labelled(reps.select("id", "n", F.explode("prefix").alias("token")), saved(components(found), "clusters"))
+    clusters = saved(components(found), "clusters")
+    # an eighth of the documents shows which hashes are common; one row stands for a cluster
+    eighth = _labelled(reps.where(F.pmod(F.xxhash64(F.lit(8), "id"), F.lit(8)) == 0)
+                       .select("id", "n", F.explode("low").alias("token")), clusters).where("id = comp")
+    last = (eighth.groupBy("token").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= common)
+            .orderBy(F.desc("_n"), "token").limit(MOST_COMMON).select("token").toPandas()["token"])
+    sent = docs.sparkSession.sparkContext.broadcast(np.sort(last.to_numpy(dtype=np.int64).view(np.uint64)))
+    schema = "id long, n long, tokens array<long>"
+    settled = reps.select("id", "n", "low").mapInArrow(_prefixes(sent, share, None), schema)
+    open_ids = saved(settled.where("tokens IS NULL").select("id").distinct(), "open")
+    texts = d.join(sendable(open_ids), "id", "left_semi").mapInArrow(_prefixes(sent, share, words), schema)
+    prefixes = settled.where("tokens IS NOT NULL").union(texts.where("tokens IS NOT NULL"))
+    every = _labelled(prefixes.select("id", "n", F.explode("tokens").alias("token")), clusters)
     shared = every.groupBy("token").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo != _hi").select("token")
-    # few of the prefix's hashes are shared: the others are dropped where they stand
+    # few of the prefixes' hashes are shared: the others are dropped where they stand
     left = saved(every.join(sendable(saved(shared, "shared")), "token", "left_semi"), "left")
     found = found.union(clustered(left))
     cluster = saved(components(found), "clusters")

@@ -64,12 +64,13 @@ def brute_components(rows):
     return {i: (len(sets[i]), root(i)) for i in ids}
 
 
-@pytest.mark.parametrize("tile_rows", [2000, 4])
-def test_jaccard_components_equal_brute_force(frame, tile_rows):
-    """With tiles of four rows every tile is cut: blocks, delegates and crossings all run."""
+@pytest.mark.parametrize("tile_rows,common", [(2000, 8), (4, 1), (4, 3)])
+def test_jaccard_components_equal_brute_force(frame, tile_rows, common):
+    """With tiles of four rows every tile is cut: blocks, delegates and crossings all run;
+    with one document in eight enough to make a hash common, prefixes come from the texts."""
     from loadstats.llm.jaccard_join import jaccard_components
     rows = corpus()
-    got = {r[0]: (r[1], r[2]) for r in jaccard_components(frame(rows), tile_rows=tile_rows).collect()}
+    got = {r[0]: (r[1], r[2]) for r in jaccard_components(frame(rows), tile_rows=tile_rows, common=common).collect()}
     want = brute_components([r[:2] for r in rows])
     assert got == want and sum(r != i for i, (_, r) in want.items()) > 15
 

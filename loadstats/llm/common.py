@@ -145,15 +145,26 @@ class WordHasher:
 
     def __init__(self, seed: int = 0, most_held: int = 400_000):
         from xxhash import xxh3_64_intdigest
-        self._hash, self._seed, self._held, self._most = xxh3_64_intdigest, seed, {}, most_held
+        self._hash, self._seed, self._most = xxh3_64_intdigest, seed, most_held
+        self._row: dict[bytes, int] = {}
+        self._value = np.empty(1 << 14, dtype=np.uint64)
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
-        held = self._held
-        if len(held) > self._most:
-            held.clear()
-        for w in set(words).difference(held):
-            held[w] = self._hash(w, self._seed)
-        return np.fromiter(map(held.__getitem__, words), dtype=np.uint64, count=len(words))
+        if len(self._row) > self._most:
+            self._row.clear()
+        row = self._row
+        at = np.fromiter(map(row.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        new = np.flatnonzero(at < 0).tolist()
+        if new:
+            late = [words[i] for i in new]
+            fresh = list(dict.fromkeys(late))
+            n = len(row)
+            while len(self._value) < n + len(fresh):
+                self._value = np.concatenate([self._value, np.empty_like(self._value)])
+            self._value[n:n + len(fresh)] = [self._hash(w, self._seed) for w in fresh]
+            row.update(zip(fresh, range(n, n + len(fresh)), strict=True))
+            at[new] = [row[w] for w in late]
+        return self._value[at]
 
 
 def mixed(h: np.ndarray) -> np.ndarray:

@@ -140,6 +140,13 @@ class Unions:
 
 
 
+def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Whole texts travel to Python in Arrow batches of at most ``rows`` rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 class WordHasher:
     """64-bit hashes of the words of a text; each distinct word is hashed once while it is held."""
 

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HeldIds
+from .common import HeldIds, bounded_batches
 
 N_BEST = 4
 LONGEST = 24            # characters of a part that the batched pass takes
@@ -296,14 +296,6 @@ def vocabulary(model_file: str) -> Vocabulary:
     return _VOCABULARIES[model_file]
 
 
-def _bounded_batches(df: DataFrame, rows: int = 2000) -> None:
-    """Texts and their ids travel in Arrow batches of at most ``rows`` rows."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    conf = df.sparkSession.conf
-    if not 0 < int(conf.get(key)) <= rows:
-        conf.set(key, str(rows))
-
-
 OTHERS = pa.list_(pa.list_(pa.struct([("at", pa.int32()), ("length", pa.int32()), ("ids", pa.list_(pa.int32()))])))
 
 
@@ -334,7 +326,7 @@ def encode(docs: DataFrame, model_file: str, text: str = "text", n_best: int = N
     * Rows are encoded alone: ties, repeats and NULLs elsewhere do not matter. A text with
       fewer segmentations than ``n_best`` has fewer scores.
     """
-    _bounded_batches(docs)
+    bounded_batches(docs.sparkSession)
     taken = ("ids", "scores", "others")
     keep = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in taken]
     d = docs.select(F.col(f"`{text}`").alias("_text_in"), *keep)
@@ -354,7 +346,7 @@ def decode(coded: DataFrame, model_file: str, ids: str = "ids", out: str = "deco
                 yield pa.RecordBatch.from_arrays([*some.columns[1:], v.decode(some.column(0))],
                                                  names=[*some.schema.names[1:], out])
 
-    _bounded_batches(coded)
+    bounded_batches(coded.sparkSession)
     rest = [F.col(f"`{c}`") for c in coded.columns if c.lower() != out.lower()]
     sent = coded.select(F.col(f"`{ids}`").cast("array<int>").alias("_ids_in"), *rest)
     schema = sent.drop("_ids_in").schema.add(out, "string")

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .common import HeldIds, running_offsets, saved
+from .common import HeldIds, bounded_batches, running_offsets, saved
 
 MAGIC = b"WVM1"
 BLOCK = 1 << 13
@@ -173,7 +173,7 @@ class Encoder:
     non-space follows, so a text's ids are the ids of its pieces one after the other; and
     a piece that is new is made of the pattern's matches, which are encoded once each."""
 
-    def __init__(self, tokenizer_file: str, most_held: int = 1_000_000):
+    def __init__(self, tokenizer_file: str, most_held: int = 500_000):
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
@@ -288,6 +288,7 @@ def write_token_files(docs: DataFrame, tokenizer_file: str, folder: str | None =
     * ``shard_bytes`` of text make a shard, so a task's memory is bounded by that and the longest text.
     * An empty table gives an empty manifest. Other columns are not read.
     """
+    bounded_batches(docs.sparkSession)
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
     total = d.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8)).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))

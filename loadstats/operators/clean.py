@@ -120,29 +120,29 @@ def parse_first_time_column(df: DataFrame, out: str = "parsed_time") -> DataFram
     return df.withColumn(out, expr)
 
 
-def cluster_feature_fallback(df: DataFrame, requested: Sequence[str] | None,
-                             default=("demand", "temperature_scaled", "hour_sin", "hour_cos"),
-                             top_up=("day_sin", "day_cos", "month_sin", "month_cos", "is_weekend"),
-                             minimum: int = 3, target: int = 4) -> list[str]:
-    """Requested features that exist (error if none), else the default set;
-    below ``minimum`` features, top up from calendar features to ``target``."""
-    cols = set(df.columns)
+def choose_features(df: DataFrame, default: Sequence[str], extra: Sequence[str] = (), requested: Sequence[str] = (),
+                    enough: int = 3, wanted: int = 4, needed: Sequence[str] = ("demand",)) -> list[str]:
+    """The columns to cluster on, by what ``df`` has.
+
+    What is requested comes first (at least one has to exist), then the whole default set.
+    Where that has gaps the ``needed`` columns must be there, and a set of fewer than
+    ``enough`` is filled from ``extra`` up to ``wanted``."""
+    def present(names):
+        return [n for n in names if n in df.columns]
+
     if requested:
-        feats = [f for f in requested if f in cols]
-        if not feats:
+        if not present(requested):
             raise ValueError("none of the requested features exist")
-        return feats
-    feats = [f for f in default if f in cols]
-    if len(feats) < len(default):
-        if "demand" not in cols:
-            raise ValueError("required feature 'demand' is missing")
-        if len(feats) < minimum:
-            for f in top_up:
-                if f in cols and f not in feats:
-                    feats.append(f)
-                if len(feats) >= target:
-                    break
-    return feats
+        return present(requested)
+    chosen = present(default)
+    if len(chosen) == len(default):
+        return chosen
+    absent = [n for n in needed if n not in df.columns]
+    if absent:
+        raise ValueError(f"required features are missing: {absent}")
+    if len(chosen) >= enough:
+        return chosen
+    return chosen + [n for n in present(extra) if n not in chosen][:wanted - len(chosen)]
 
 
 # ------------------------------------------------------------------ J: joins and alignment

@@ -82,23 +82,20 @@ def stratified_sample(df: DataFrame, strata: Sequence[str], n: int, key: Sequenc
                 .drop("_rk", "_u", "_h", "_rate", "_cnt", "quota", "_stratum"))
 
 
-def strata_reduction(strata: Sequence[str], n: int) -> list[str]:
-    """More than two strata columns, n < 20000 and city present -> city + one time column."""
-    strata = list(strata)
-    if len(strata) > 2 and n < 20000 and "city" in strata:
-        if "hour" in strata:
-            return ["city", "hour"]
-        if "dayofweek" in strata:
-            return ["city", "dayofweek"]
-        return ["city", strata[1]]
-    return strata
+def narrowed_strata(strata: Sequence[str], n: int, anchor: str = "city", prefer: Sequence[str] = ("hour", "dayofweek"),
+                    small: int = 20_000) -> list[str]:
+    """A sample of fewer than ``small`` rows keeps two of three or more strata columns,
+    the anchor and the first preferred one that is among them (else the second listed)."""
+    if n >= small or len(strata) < 3 or anchor not in strata:
+        return list(strata)
+    return [anchor, next((c for c in prefer if c in strata), strata[1])]
 
 
 def sample_with_fallback(df: DataFrame, strata: Sequence[str], n: int, key: Sequence[str],
                          seed: int = SAMPLE_SEED) -> DataFrame:
     """N7 + N8: reduce the strata, then fall back to city-only (or plain) sampling
     when the strata count reaches the sample size."""
-    strata = strata_reduction(strata, n)
+    strata = narrowed_strata(strata, n)
     n_strata = df.select(*strata).distinct().count()
     if n_strata >= n:
         if "city" in df.columns:

@@ -52,22 +52,23 @@ def lag_grid(df: DataFrame, col: str = "demand", **kw) -> DataFrame:
     return lag_features(df, GRID_LAGS, col, name="{col}_lag_{n}", **kw)
 
 
-def adaptive_lags(n_rows: int, lag_hours: int = 24, window: int = 168) -> list[int]:
-    """G3 rule: shrink the window for short series, then pick the step."""
-    if n_rows < lag_hours + window:
-        window = max(24, n_rows - lag_hours - 24)
-    step = 24
-    if window < 72:
-        step = 12
-    if window < 48:
-        step = 6
-    return list(range(lag_hours, lag_hours + window, step))
+# For windows below these many hours the grid has these steps.
+LAG_STEPS = ((48, 6), (72, 12))
+
+
+def lag_plan(n_rows: int, first: int = 24, window: int = 168, least: int = 24, steps=LAG_STEPS,
+             widest: int = 24) -> list[int]:
+    """G3 rule: lags from ``first`` over as much of ``window`` as ``n_rows`` leave room for
+    (``least`` hours at any rate), finer where the window is short."""
+    room = window if n_rows >= first + window else max(least, n_rows - first - least)
+    step = next((s for below, s in sorted(steps) if room < below), widest)
+    return list(range(first, first + room, step))
 
 
 def lag_grid_adaptive(df: DataFrame, col: str = "demand", by="city", **kw) -> DataFrame:
     """One count of the shortest series (a one-row result) fixes the grid."""
     n = df.groupBy(*_as_list(by)).count().agg(F.min("count")).first()[0] or 0
-    return lag_features(df, adaptive_lags(int(n)), col, by=by, name="{col}_lag_{n}", **kw)
+    return lag_features(df, lag_plan(int(n)), col, by=by, name="{col}_lag_{n}", **kw)
 
 
 def diff_features(df: DataFrame, ns: Sequence[int] = (24, 168), col: str = "demand",

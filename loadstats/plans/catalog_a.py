@@ -241,10 +241,9 @@ def p13(spark, sf):
     return clean.parse_first_time_column(_t(spark, sf, "orders"))
 
 
-@query("P14_drop_columns", "SELECT * FROM demand_hourly", (H,))
+@query("P14_drop_columns", "SELECT * EXCLUDE (props) FROM events")
 def p14(spark, sf):
-    h = fx.demand_hourly(spark, sf).withColumn("strata", cal.concat_key(["city"]))
-    return h.drop("strata")
+    return _t(spark, sf, "events").drop("props")
 
 
 @query("P15_assemble_features")
@@ -270,7 +269,9 @@ def p17(spark, sf):
     df = scale.minmax_scale(fx.merged_daily(spark, sf), ["temperature"])
     df = df.withColumn("month", F.month("timestamp"))
     df = cal.cyclical_encode(df, {"month": 12})
-    feats = clean.cluster_feature_fallback(df, None)
+    # The default clustering columns and those that fill gaps.
+    feats = clean.choose_features(df, default=("demand", "temperature_scaled", "hour_sin", "hour_cos"),
+                                  extra=("day_sin", "day_cos", "month_sin", "month_cos", "is_weekend"))
     return df.select("city", "timestamp", *feats)
 
 

@@ -183,7 +183,10 @@ def d10(spark, sf):
     by_season = s.groupBy("cluster").pivot("season", ["winter", "spring", "summer", "autumn"]).count()
     by_weekday = s.withColumn("wd", F.weekday("timestamp")).groupBy("cluster").pivot("wd", list(range(7))).count()
     by_weekday = by_weekday.select("cluster", *[F.col(str(i)).alias(f"weekday_{i}") for i in range(7)])
-    return stats.join(by_season, "cluster", "left").join(by_weekday, "cluster", "left")
+    by_hour = s.withColumn("h", F.hour("timestamp")).groupBy("cluster").pivot("h", list(range(24))).count()
+    by_hour = by_hour.select("cluster", *[F.col(str(i)).alias(f"hour_{i}") for i in range(24)])
+    return (stats.join(by_season, "cluster", "left").join(by_weekday, "cluster", "left")
+                 .join(by_hour, "cluster", "left"))
 
 
 def _numbered(df, h, order, bucket_rows=20_000):

@@ -38,7 +38,7 @@ def scan_glob(spark: SparkSession, pattern: str, schema: T.StructType, fmt: str
     number of files matched (from the file listing, no data read) is reported."""
     r = spark.read.schema(schema)
     df = r.option("header", True).csv(pattern) if fmt == "csv" else r.format(fmt).load(pattern)
-    n_files = len(df.inputFiles())
+    n_files = len(df._jdf.inputFiles())       # the listing stays in the JVM; only its length is read
     return df.select("*", F.col("_metadata.file_path").alias("source_file"),
                      F.lit(n_files).alias("files_in_scan"))
 

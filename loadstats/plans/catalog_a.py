@@ -23,7 +23,7 @@ def _t(spark, sf, name):
 
 # ============================================================== S: sources and sinks
 
-@query("S1_scan_csv")
+@query("S1_scan_csv", "SELECT * FROM demand_hourly", (H,))
 def s1(spark: SparkSession, sf: str):
     return readers.roundtrip_csv(spark, fx.demand_hourly(spark, sf))
 
@@ -53,7 +53,7 @@ def s5(spark, sf):
     return readers.require_columns(out, ["event_id", "ts", "event_type", "value"])
 
 
-@query("S6_first_available_source")
+@query("S6_first_available_source", "SELECT * FROM events")
 def s6_(spark, sf):
     return readers.first_available(spark, [f"{sf}/no_such_table.parquet", f"{sf}/events.parquet"])
 
@@ -228,7 +228,7 @@ def p11(spark, sf):
                       r6("demand_pct_change_1w").alias("demand_pct_change_1w"))
 
 
-@query("P12_select_by_dtype")
+@query("P12_select_by_dtype", f"SELECT {', '.join(N5)}, city FROM merged_daily", (MD,))
 def p12(spark, sf):
     df = fx.merged_daily(spark, sf)
     num = clean.select_by_dtype(df, "numeric")
@@ -236,7 +236,7 @@ def p12(spark, sf):
     return df.select(*num, *txt)
 
 
-@query("P13_find_time_columns")
+@query("P13_find_time_columns", "SELECT *, CAST(o_orderdate AS TIMESTAMP) AS parsed_time FROM orders")
 def p13(spark, sf):
     return clean.parse_first_time_column(_t(spark, sf, "orders"))
 
@@ -264,7 +264,11 @@ def p16(spark, sf):
     return clean.drop_null(lags, ["demand_lag_24h", "demand_lag_48h", "demand_lag_168h"])
 
 
-@query("P17_cluster_feature_fallback")
+@query("P17_cluster_feature_fallback",
+       f"SELECT city, timestamp, demand, {s6('temperature_scaled')} AS temperature_scaled, "
+       f"{s6('sin(2 * pi() * month(timestamp) / 12.0)')} AS month_sin, {s6('cos(2 * pi() * month(timestamp) / 12.0)')} AS month_cos "
+       f"FROM (SELECT *, (temperature - min(temperature) OVER ()) / nullif(max(temperature) OVER () - min(temperature) OVER (), 0) "
+       "AS temperature_scaled FROM merged_daily)", (MD,))
 def p17(spark, sf):
     df = scale.minmax_scale(fx.merged_daily(spark, sf), ["temperature"])
     df = df.withColumn("month", F.month("timestamp"))
@@ -272,7 +276,7 @@ def p17(spark, sf):
     # The default clustering columns and those that fill gaps.
     feats = clean.choose_features(df, default=("demand", "temperature_scaled", "hour_sin", "hour_cos"),
                                   extra=("day_sin", "day_cos", "month_sin", "month_cos", "is_weekend"))
-    return df.select("city", "timestamp", *feats)
+    return df.select("city", "timestamp", *[F.col(c) if c == "demand" else r6(c).alias(c) for c in feats])
 
 
 # ============================================================== J: joins

@@ -356,9 +356,10 @@ def _corr_long_sql(cols, view, ordered=True, digits=2):
     return " UNION ALL ".join(parts)
 
 
-@query("A12_corr_matrix", _corr_long_sql(N5, MD), (MD,))
+@query("A12_corr_matrix", _corr_long_sql(N5, GAP), (GAP,))
 def a12(spark, sf):
-    return rollup.corr_matrix(fx.merged_daily(spark, sf), N5)
+    # weather is NULL on days without shipments: each pair counts the days that have both
+    return rollup.corr_matrix(fx.demand_weather_gaps(spark, sf), N5)
 
 
 _A13_COLS = ["demand", "temperature", "humidity", "wind_speed", "pressure"]

@@ -30,6 +30,11 @@ HEADLINE = [
     "L5_stack_ridge",
     "A18_compare_models",
     "D3_interpolate_linear",
+    "G3_lag_grid_adaptive",
+    "N3_anomaly_isolation_forest",
+    "N9_sample_validation",
+    "X1_stream_hourly_demand",
+    "L2_train_boosted_trees",
 ]
 
 

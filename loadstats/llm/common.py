@@ -150,7 +150,7 @@ def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
 class WordHasher:
     """64-bit hashes of the words of a text; each distinct word is hashed once while it is held."""
 
-    def __init__(self, seed: int = 0, most_held: int = 400_000):
+    def __init__(self, seed: int = 0, most_held: int = 300_000):
         from xxhash import xxh3_64_intdigest
         self._hash, self._seed, self._most = xxh3_64_intdigest, seed, most_held
         self._row: dict[bytes, int] = {}

@@ -13,13 +13,13 @@ member, not all pairs.
 The work narrows step by step, and each pair that may be similar survives every step:
 
 1. Equal sets become one.
-2. Tiles of the two smallest hashes: bitmaps alone connect candidates into clusters.
-3. Tiles of the whole prefix, but only of hashes that two clusters share, again by bitmaps
-   alone: whatever passes joins its clusters. Now every similar pair is inside a cluster.
-   Any order of the hashes that all sets keep gives right prefixes. The order here puts
+2. Any order of the hashes that all sets keep gives right prefixes. The order here puts
    the hashes of common passages last, so that texts which share no more than a passage
    do not meet: common ones are counted in an eighth of the documents (which hashes those
-   are changes the work, never the result).
+   are changes the work, never the result). Tiles of each prefix's first two hashes:
+   bitmaps alone connect candidates into clusters.
+3. Tiles of the whole prefix, but only of hashes that two clusters share, again by bitmaps
+   alone: whatever passes joins its clusters. Now every similar pair is inside a cluster.
 4. Clusters are intersected, each set sent once (large clusters in blocks, see
    :func:`_intersected`). What is found links documents.
 """
@@ -34,13 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHasher, components, mixed, runs, saved, sendable, spans_hashed
+from .common import WordHasher, bounded_batches, components, mixed, runs, saved, sendable, spans_hashed
 
 WORDS = 5
 SHARE = (75, 100)
 TILE_ROWS = 2000
 FIRST = 2               # hashes of step 2
-COMMON = 8              # of an eighth of the documents: a hash in so many clusters goes last
+COMMON = 8              # of an eighth of the documents: a hash in so many documents goes last
 MOST_COMMON = 1_000_000  # so many hashes at most (8 bytes each) go last, the most common ones
 TILE = ("token", "band", "x", "y", "id", "n", "comp", "own", "s")
 _HASHER: list[WordHasher] = []
@@ -295,6 +295,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     * Rows that repeat an id are one node, with all their sets; each row keeps its own set size.
     * Integer ids. Other columns are not read. An empty table gives an empty result.
     """
+    bounded_batches(docs.sparkSession)
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
     sk = saved(d.mapInArrow(_sketches(words, share), "id long, n long, f1 long, f2 long, low array<long>, bits binary"),
                "sketches")
@@ -307,24 +308,22 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
 
     def clustered(rows: DataFrame) -> DataFrame:
         """Candidate edges among rows (token, id, n, comp), by bitmaps."""
-        signed = _tiles(rows, share, tile_rows).join(signs, ["id", "n"]).select(*TILE, "bits")
+        signed = _tiles(rows, share, tile_rows * 8).join(signs, ["id", "n"]).select(*TILE, "bits")
         return saved(_grouped(signed).mapInArrow(_forest(share, False), "a long, b long"), "candidates")
 
-    first = reps.select("id", "n", F.explode(F.slice("low", 1, FIRST)).alias("token"))
-    found = clustered(first.withColumn("comp", F.col("id")))
-    clusters = saved(components(found), "clusters")
-    # an eighth of the documents shows which hashes are common; one row stands for a cluster
-    eighth = _labelled(reps.where(F.pmod(F.xxhash64(F.lit(8), "id"), F.lit(8)) == 0)
-                       .select("id", "n", F.explode("low").alias("token")), clusters).where("id = comp")
+    # an eighth of the documents shows which hashes are common
+    eighth = reps.where(F.pmod(F.xxhash64(F.lit(8), "id"), F.lit(8)) == 0).select(F.explode("low").alias("token"))
     last = (eighth.groupBy("token").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= common)
             .orderBy(F.desc("_n"), "token").limit(MOST_COMMON).select("token").toPandas()["token"])
     sent = docs.sparkSession.sparkContext.broadcast(np.sort(last.to_numpy(dtype=np.int64).view(np.uint64)))
     schema = "id long, n long, tokens array<long>"
     settled = reps.select("id", "n", "low").mapInArrow(_prefixes(sent, share, None), schema)
     open_ids = saved(settled.where("tokens IS NULL").select("id").distinct(), "open")
-    texts = d.join(sendable(open_ids), "id", "left_semi").mapInArrow(_prefixes(sent, share, words), schema)
+    texts = saved(d.join(sendable(open_ids), "id", "left_semi").mapInArrow(_prefixes(sent, share, words), schema), "texts")
     prefixes = settled.where("tokens IS NOT NULL").union(texts.where("tokens IS NOT NULL"))
-    every = _labelled(prefixes.select("id", "n", F.explode("tokens").alias("token")), clusters)
+    first = prefixes.select("id", "n", F.explode(F.slice("tokens", 1, FIRST)).alias("token"))
+    found = clustered(first.withColumn("comp", F.col("id")))
+    every = _labelled(prefixes.select("id", "n", F.explode("tokens").alias("token")), saved(components(found), "clusters"))
     shared = every.groupBy("token").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo != _hi").select("token")
     # few of the prefixes' hashes are shared: the others are dropped where they stand
     left = saved(every.join(sendable(saved(shared, "shared")), "token", "left_semi"), "left")

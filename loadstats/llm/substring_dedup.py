@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, mixed, saved, sendable
+from .common import WordHasher, bounded_batches, mixed, saved, sendable
 
 WORDS = 50
 K = 16
@@ -188,6 +188,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     * Rows that repeat an id are one document: they never remove from one another.
     * Integer ids. Other columns are not read. An empty table gives an empty result.
     """
+    bounded_batches(docs.sparkSession)
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).where("id IS NOT NULL")
     edges = saved(d.mapInArrow(_edges(words, k), "token long, id long, e_in long, e_out long"), "edges")
     one = lambda c: (F.min(c) == F.max(c)) & (F.min(c) != 0)

@@ -3,7 +3,8 @@
 A document's set holds the 64-bit hashes of its distinct word n-grams, sorted. Sets
 similar enough share one of the smallest ``n - ceil(t n) + 1`` hashes of either (the
 prefix), and their sizes are within the factor ``t``. So a tile is (prefix hash, size
-band): the band's own sets and, as guests, those of the next band up.
+band): the band's own sets and, as guests, those of the next band up; what is compared
+holds one of its own that can be the smaller.
 
 In a tile, bits of hashed bitmaps that only one of two sets has are elements that only it
 has, which bounds the overlap from above; pairs that pass are intersected exactly. Pairs
@@ -163,12 +164,12 @@ def _sets(words: int):
 
 
 def _tiles(rows: DataFrame, share: tuple[int, int], limit: int) -> DataFrame:
-    """rows (token, id, n, comp) as (token, band, x, y, id, n, comp, own, s): the tiles that
-    hold two components, one of them in the band itself. Tiles of over ``limit`` rows are
+    """rows (token, id, n, comp, small) as (token, band, x, y, id, n, comp, own, s): the tiles that
+    hold two components and a row that can be the smaller of a pair. Tiles of over ``limit`` rows are
     cut into blocks by id, and every pair of blocks is a tile. Keys are counted with
     map-side combining; nothing is dropped."""
     band = F.floor(F.log(F.col("n")) / math.log(share[1] / share[0]) + 1e-9).cast("int")
-    both = rows.withColumn("_b", F.explode(F.array(F.struct(band.alias("band"), F.lit(True).alias("own")),
+    both = rows.withColumn("_b", F.explode(F.array(F.struct(band.alias("band"), F.col("small").alias("own")),
                                                    F.struct((band - 1).alias("band"), F.lit(False).alias("own")))))
     both = both.select("token", "id", "n", "comp", "_b.band", "_b.own")
     kept = (both.groupBy("token", "band").agg(F.count(F.lit(1)).alias("_n"), F.max("own").alias("_own"),
@@ -307,7 +308,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     signs = reps.select("id", "n", "bits")
 
     def clustered(rows: DataFrame) -> DataFrame:
-        """Candidate edges among rows (token, id, n, comp), by bitmaps."""
+        """Candidate edges among rows (token, id, n, comp, small), by bitmaps."""
         signed = _tiles(rows, share, tile_rows * 8).join(signs, ["id", "n"]).select(*TILE, "bits")
         return saved(_grouped(signed).mapInArrow(_forest(share, False), "a long, b long"), "candidates")
 
@@ -321,9 +322,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     open_ids = saved(settled.where("tokens IS NULL").select("id").distinct(), "open")
     texts = saved(d.join(sendable(open_ids), "id", "left_semi").mapInArrow(_prefixes(sent, share, words), schema), "texts")
     prefixes = settled.where("tokens IS NOT NULL").union(texts.where("tokens IS NOT NULL"))
-    first = prefixes.select("id", "n", F.explode(F.slice("tokens", 1, FIRST)).alias("token"))
+    # The smaller of a pair has the first hash they share earlier than its prefix ends: the
+    # overlap has to be the share 2t / (1 + t) of its size, and what stands before is not in it.
+    num, den = share
+    small = (F.col("_at") <= F.col("n") - F.ceil(F.col("n") * (2 * num) / F.lit(num + den) - 1e-9)).alias("small")
+    first = (prefixes.select("id", "n", F.posexplode(F.slice("tokens", 1, FIRST)).alias("_at", "token"))
+             .select("id", "n", "token", small))
     found = clustered(first.withColumn("comp", F.col("id")))
-    every = _labelled(prefixes.select("id", "n", F.explode("tokens").alias("token")), saved(components(found), "clusters"))
+    every = _labelled(prefixes.select("id", "n", F.posexplode("tokens").alias("_at", "token"))
+                      .select("id", "n", "token", small), saved(components(found), "clusters"))
     shared = every.groupBy("token").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo != _hi").select("token")
     # few of the prefixes' hashes are shared: the others are dropped where they stand
     left = saved(every.join(sendable(saved(shared, "shared")), "token", "left_semi"), "left")

@@ -140,7 +140,7 @@ class Unions:
 
 
 
-def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Whole texts travel to Python in Arrow batches of at most ``rows`` rows."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
@@ -150,7 +150,7 @@ def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
 class WordHasher:
     """64-bit hashes of the words of a text; each distinct word is hashed once while it is held."""
 
-    def __init__(self, seed: int = 0, most_held: int = 300_000):
+    def __init__(self, seed: int = 0, most_held: int = 150_000):
         from xxhash import xxh3_64_intdigest
         self._hash, self._seed, self._most = xxh3_64_intdigest, seed, most_held
         self._row: dict[bytes, int] = {}

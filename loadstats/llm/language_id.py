@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 TOP = 300
 PER_LANGUAGE = 1000     # documents that a profile is learned from, at most
 UNKNOWN = "und"
@@ -62,6 +64,7 @@ def learn_profiles(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     the smallest hashed ids: a bounded sample, so the profiles (``top`` numbers for each
     language) are all that the driver holds. ``may_learn`` restricts the rows; rows with
     a NULL id, text or language teach nothing."""
+    bounded_batches(docs.sparkSession)
     rows = docs.where(F.col(id_col).isNotNull() & F.col(lang).isNotNull() & F.col(text).isNotNull())
     rows = rows if may_learn is None else rows.where(may_learn)
     narrow = rows.select(F.col(id_col).alias("_id"), F.col(lang).alias("_lang"))
@@ -123,6 +126,7 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], text: str = "text
       are no profiles. Whole texts are read, whatever their length.
     * Ties, repeated rows and NULLs in other columns do not matter: each row is judged alone.
     """
+    bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(Profiles(profiles, top))   # top x languages numbers
 
     def judge(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

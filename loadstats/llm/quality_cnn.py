@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
 from .language_id import split_number
 
 PER_CLASS = 800        # documents of each label that the network is fitted on, at most
@@ -175,6 +176,7 @@ def classify(docs: DataFrame, model: ByteCNN, text: str = "text", cut: float = 0
     these names are replaced. NULL and empty texts score 0; every text is read whole, in
     slabs, so memory does not follow its length. Rows are judged alone: ties, repeats and
     NULLs elsewhere do not matter."""
+    bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)     # a few thousand numbers
 
     def judge(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -241,7 +241,7 @@ class Vocabulary:
             return [p[1:] for p in _PARTS.findall(" " + text)]
         return text.split(" ")
 
-    def encode(self, texts: list[str | None], n: int = N_BEST, most_held: int = 500_000) -> list[tuple]:
+    def encode(self, texts: list[str | None], n: int = N_BEST, most_held: int = 400_000) -> list[tuple]:
         """For each text (ids as an int32 array, scores of the up to ``n`` best, others).
 
         ``others`` are the runners-up as changes to the best: lists of (at, length, ids),

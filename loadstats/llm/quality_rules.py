@@ -6,8 +6,11 @@ one over all documents. A document's score is the mean, over its n-grams, of
 ``ln p_trusted(bin) - ln p_raw(bin)``; it is kept when the score reaches
 ``min_ratio``, always the same way (no sampling).
 
-Everything is a DataFrame expression. The one thing the driver holds is the weight
-table, whose size is ``buckets`` doubles whatever the input.
+:func:`quality_rules_counted` has no bins: it counts every n-gram by its 64-bit hash in a
+table that grows with the corpus, and joins that table to the texts.
+
+Everything is a DataFrame expression. The driver holds ``buckets`` doubles, or the weights
+of the ``common_grams`` most frequent n-grams; the others never leave the executors.
 """
 
 from __future__ import annotations
@@ -18,10 +21,12 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GAP, words_of
+from .common import GAP, saved, words_of
 
 BUCKETS = 1 << 14
 MIN_RATIO = -0.12
+MIN_SCORE = -0.35       # of the counted score: junk lies below -0.53, clean texts above -0.16 at two sizes
+COMMON_GRAMS = 1 << 16
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
 
@@ -43,6 +48,15 @@ def _hashed(docs: DataFrame, text: str) -> DataFrame:
     return d.select("*", _doubled(F.col("_h"), 1).alias("_h2"))
 
 
+def _marked(docs: DataFrame, trusted: DataFrame, id_col: str, text: str, most_sent: int) -> DataFrame:
+    """(_id, _x, _t): ids and texts, with the id once more where it is trusted."""
+    marks = trusted.select(F.col(id_col).alias("_t")).where("_t IS NOT NULL").distinct()
+    base = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_x"))
+    if marks.limit(most_sent + 1).count() <= most_sent:   # else Spark shuffles both sides
+        marks = F.broadcast(marks)
+    return base.join(marks, F.col("_id") == F.col("_t"), "left")
+
+
 def ngram_weights(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text: str = "text",
                   buckets: int = BUCKETS, most_sent: int = 1_000_000) -> list[float]:
     """``ln p_trusted - ln p_raw`` of each bin, both with one added to every count.
@@ -50,12 +64,7 @@ def ngram_weights(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", t
     ``trusted`` holds ids; a NULL id is never trusted and a repeated one counts once.
     With no trusted text all weights are 0. Up to ``most_sent`` trusted ids (8 bytes each)
     are broadcast, so that the texts stay where they are; above that both sides shuffle."""
-    marks = trusted.select(F.col(id_col).alias("_t")).where("_t IS NOT NULL").distinct()
-    base = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_x"))
-    if marks.limit(most_sent + 1).count() <= most_sent:   # else Spark shuffles both sides
-        marks = F.broadcast(marks)
-    marked = base.join(marks, F.col("_id") == F.col("_t"), "left")
-    counted = (_hashed(marked, "_x")
+    counted = (_hashed(_marked(docs, trusted, id_col, text, most_sent), "_x")
                .select(F.col("_t").isNotNull().alias("good"), F.explode(_bins(F.col("_h"), F.col("_h2"), buckets)).alias("bin"))
                .groupBy("bin").agg(F.count(F.lit(1)).alias("raw"),
                                    F.count(F.when(F.col("good"), 1)).alias("good")).collect())  # <= buckets rows
@@ -69,6 +78,42 @@ def ngram_weights(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", t
     return [math.log(g) - lg - math.log(r) + lr for g, r in zip(good, raw, strict=True)]
 
 
+def gram_weights(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text: str = "text",
+                 most_sent: int = 1_000_000) -> tuple[DataFrame, float]:
+    """The table (gram, raw, weight) of the n-grams by their 64-bit hashes, and the weight
+    of every n-gram that is not in it: those that occur once, in a text that is not trusted.
+
+    The weight is ``ln (good + 1) / (raw * G / R + 1)``: what the trusted texts hold of the
+    n-gram over what they would hold if they were like all texts (G of R n-grams are
+    theirs). An n-gram seen once or twice weighs about 0 whatever the size of the corpus,
+    one that trusted texts avoid weighs less the surer that is."""
+    total = F.array(F.lit(None).cast("long"))       # one place more a text, whose count is that of its n-grams
+    grams = (_hashed(_marked(docs, trusted, id_col, text, most_sent), "_x")
+             .select(F.col("_t").isNotNull().alias("good"), (F.size("_h") + F.size("_h2")).alias("n"),
+                     F.concat("_h", "_h2", total).alias("_g"))      # beside explode, n would be made for each place
+             .select("good", "n", F.explode_outer("_g").alias("gram"))
+             .withColumn("n", F.when(F.col("gram").isNull(), F.col("n")).otherwise(1).cast("long")))
+    counted = grams.groupBy("gram").agg(F.sum("n").alias("raw"), F.sum(F.when(F.col("good"), F.col("n")).otherwise(0)).alias("good"))
+    table = saved(counted.where("raw > 1 OR good > 0 OR gram IS NULL"), "grams")
+    whole = table.where("gram IS NULL").first()
+    share = whole["good"] / whole["raw"] if whole and whole["raw"] else 0.0
+    table = table.where("gram IS NOT NULL")
+    weight = F.log((F.col("good") + 1) / (F.col("raw") * F.lit(share) + 1))
+    return table.select("gram", "raw", weight.alias("weight")), -math.log(share + 1)
+
+
+def _common(table: DataFrame, most: int) -> tuple[Column, Column, int]:
+    """The most frequent n-grams as two literals, hashes and weights by slot, and the slots.
+    Of n-grams with one slot the most frequent has it; the others are looked up by the join."""
+    slots = 2 * most
+    grams, weights = [None] * slots, [None] * slots
+    for r in table.orderBy(F.desc("raw"), "gram").limit(most).collect():
+        if grams[r["gram"] % slots] is None:
+            grams[r["gram"] % slots], weights[r["gram"] % slots] = r["gram"], r["weight"]
+    return (F.from_json(F.lit(json.dumps(grams)), "array<bigint>"),
+            F.from_json(F.lit(json.dumps(weights)), "array<double>"), slots)
+
+
 def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), ``_h``, ``_h2``.
 
@@ -97,6 +142,12 @@ def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
 
 
+def _verdict(d: DataFrame, id_col: str, least: float) -> DataFrame:
+    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    return d.select(F.col("_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                    failed.alias("base_failed"), "llr", (~failed & (F.col("llr") >= F.lit(least))).alias("kept"))
+
+
 def quality_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text: str = "text",
                   buckets: int = BUCKETS, min_ratio: float = MIN_RATIO) -> DataFrame:
     """One row per row of ``docs``: ``id_col``, the base counts, base_failed, llr, kept.
@@ -115,7 +166,33 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", t
     bins = _bins(F.col("_h"), F.col("_h2"), buckets)
     total = F.aggregate(bins, F.lit(0.0), lambda a, b: a + F.get(table, b))
     d = d.select("*", F.when(F.col("n_words") > 0, total / (2 * F.col("n_words") - 1)).otherwise(0.0).alias("llr"))
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return d.select(F.col("_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-                    failed.alias("base_failed"), "llr",
-                    (~failed & (F.col("llr") >= F.lit(min_ratio))).alias("kept"))
+    return _verdict(d, id_col, min_ratio)
+
+
+def quality_rules_counted(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text: str = "text",
+                          min_score: float = MIN_SCORE, common_grams: int = COMMON_GRAMS) -> DataFrame:
+    """:func:`quality_rules` by the weights of :func:`gram_weights`, which are those of single
+    n-grams at every size of ``docs``; ``llr`` is their mean over a text.
+
+    The most frequent n-grams are added up where the text is. The others, one row for each
+    place, are joined on the hash with the weights. Texts are named by their hashes, so equal
+    texts have one mean. No n-gram that the join sees holds a large share of the rows."""
+    table, unseen = gram_weights(docs, trusted, id_col, text)
+    grams, weights, slots = _common(table, common_grams)
+    slot = lambda v: F.pmod(v, F.lit(slots)).cast("int")
+    is_common = lambda v: F.coalesce(F.get(grams, slot(v)) == v, F.lit(False))
+    base = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_x"))
+    name = F.xxhash64("_x", F.length("_x")).alias("_name")
+    # beside explode, the name would be made for each place; explode, not outer, would make the array twice
+    rare = (_hashed(base, "_x").select(name, F.filter(F.concat("_h", "_h2"), lambda v: ~is_common(v)).alias("_g"))
+            .select("_name", F.explode_outer("_g").alias("gram")))
+    means = (rare.join(table.select("gram", "weight"), "gram", "left").groupBy("_name")
+             .agg(F.avg(F.coalesce("weight", F.lit(unseen))).alias("_mean")))
+    places = F.transform(F.concat("_h", "_h2"), lambda v: F.when(is_common(v), F.get(weights, slot(v))))
+    d = base_counts(base, "_x").select("*", name, places.alias("_w"))
+    d = d.select("*", F.aggregate("_w", F.lit(0.0), lambda a, w: a + F.coalesce(w, F.lit(0.0))).alias("_sum"),
+                 F.size(F.filter("_w", lambda w: w.isNull())).alias("_rare")).drop("_x", "_h", "_h2", "_w")
+    d = saved(d, "rules").join(means, "_name", "left")     # no text; later filters do not reach the expressions
+    total = F.col("_sum") + F.col("_rare") * F.coalesce("_mean", F.lit(0.0))
+    d = d.select("*", F.when(F.col("n_words") > 0, total / (2 * F.col("n_words") - 1)).otherwise(0.0).alias("llr"))
+    return _verdict(d, id_col, min_score)

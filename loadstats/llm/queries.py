@@ -26,9 +26,9 @@ def _query(fn):
 
 @_query
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .quality_rules import quality_rules
+    from .quality_rules import quality_rules_counted
     trusted = table(spark, sf_dir, "labels").where("quality = 1")
-    return quality_rules(table(spark, sf_dir, "documents"), trusted)
+    return quality_rules_counted(table(spark, sf_dir, "documents"), trusted)
 
 
 @_query

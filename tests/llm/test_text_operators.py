@@ -259,6 +259,47 @@ def test_quality_rules_equal_brute_force(spark, frame):
     assert quality_rules(frame(ODD), trusted.limit(0)).where("llr != 0").count() == 0
 
 
+def test_counted_rules_equal_brute_force(spark, frame):
+    from collections import Counter
+
+    from loadstats.llm.quality_rules import quality_rules, quality_rules_counted
+    rows = [*((i, t) for i, t, *_ in corpus(6, 30)), (902, "x " * 40), *ODD]
+    trusted = spark.createDataFrame([(0,), (7,), (7,), (14,), (None,)], "doc_id long")
+
+    def grams(t):
+        w = WORD.findall(t or "")
+        return w + list(zip(w, w[1:]))
+    raw, good = Counter(), Counter()
+    for i, t in rows:
+        raw.update(grams(t))
+        good.update(grams(t) if i in (0, 7, 14) else ())
+    share = good.total() / raw.total()
+    weight = {g: np.log((good[g] + 1) / (n * share + 1)) for g, n in raw.items()}
+    want = [(i, round(sum(weight[g] for g in grams(t)) / max(1, len(grams(t))), 6)) for i, t in rows]
+    for few in (4, 1 << 12):    # nearly all by the join, or nearly all beside the text
+        got = quality_rules_counted(frame(rows), trusted, common_grams=few)
+        assert sorted(((r[0], round(r["llr"], 6)) for r in got.collect()), key=str) == sorted(want, key=str)
+    base = [sorted((tuple(r)[:7] for r in df.collect()), key=str) for df in (got, quality_rules(frame(rows), trusted))]
+    assert base[0] == base[1]
+    assert quality_rules_counted(frame([]), trusted).count() == 0
+    assert quality_rules_counted(frame([(1, None), (2, " ")]), trusted).where("llr = 0").count() == 2
+    assert quality_rules_counted(frame(ODD), trusted.limit(0)).where("llr != 0").count() == 0
+
+
+def test_counted_rules_reject_junk_of_many_words(spark, frame):
+    from loadstats.llm.quality_rules import quality_rules_counted
+    rng = random.Random(5)
+
+    def text(words, junk):
+        return " ".join("".join(rng.choice("abcdefghijkl") for _ in range(4)) + (rng.choice(("$$$", "&&&", "###")) if junk else "")
+                        if rng.random() < 0.6 else rng.choice(words) + ("%%%" if junk else "") for _ in range(100))
+    words = [f"w{k}" for k in range(30)]
+    rows = [(i, text(words, i % 10 == 3)) for i in range(1500)]     # more n-grams than the former bins
+    trusted = spark.createDataFrame([(i,) for i in range(1500) if i % 10 in (0, 1, 2, 4)], "doc_id long")
+    wrong = [r["doc_id"] for r in quality_rules_counted(frame(rows), trusted).collect() if r["kept"] == (r["doc_id"] % 10 == 3)]
+    assert not wrong
+
+
 # -- mixing ----------------------------------------------------------------------------
 
 def test_mixing_targets_and_takes(frame):

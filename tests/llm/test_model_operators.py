@@ -152,6 +152,20 @@ def test_list_decoding_finds_every_passed_filter():
             assert (passed == (inner[i] >= p.alpha))[sure[i]].all()
 
 
+@pytest.mark.parametrize("n", [1_000_000, 100_000_000])
+def test_caps_recall_does_not_fall_with_the_table(n):
+    from loadstats.llm.spherical_caps import _codes, _decoded, plans
+    codes = _codes(tuple(plans(n, 64)))
+    rng = np.random.default_rng(11)
+    x, y = rng.standard_normal((2, 300, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    c = rng.uniform(0.9, 0.92, (300, 1))
+    y = c * x + np.sqrt(1 - c * c) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    met = [bool(set(a) & set(b)) for a, b in zip(_decoded(codes, x), _decoded(codes, y))]
+    assert sum(met) >= 0.97 * len(met)
+
+
 def vectors(spark, rows):
     return (spark.createDataFrame(rows, "vec_id long, embedding array<float>")
             .withColumn("id", F.lit("x")).withColumn("unit", F.lit(1)).withColumn("n_links", F.lit(2)))

@@ -94,3 +94,30 @@ def op4_spherical_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sentencepiece_codec import codec_digest
     return codec_digest(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+@_query
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_alignment import alignment_digest
+    return alignment_digest(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"),
+                            tokenizer_path("piece_bpe_32k.model"))
+
+
+@_query
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fill_in_middle import fim_digest
+    return fim_digest(table(spark, sf_dir, "documents"))
+
+
+def _op12_sql() -> str:
+    from .fill_in_middle import SQL
+    return SQL
+
+
+ORACLES["op12_fill_in_middle"] = _op12_sql()
+
+
+@_query
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity_digest
+    return toxicity_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

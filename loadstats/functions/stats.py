@@ -6,24 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def quantile(c, p, accuracy: int | None = None) -> Column:
-    """Linear-interpolated quantile(s) (pandas / DuckDB ``quantile_cont``).
-
-    ``accuracy=None`` is exact: its buffer holds every distinct value of a
-    group, right for grouped or fixture-size inputs. Pass an accuracy (e.g.
-    10000) for global statistics over very large tables; that switches to the
-    mergeable ``percentile_approx`` sketch (rank error about 1/accuracy).
-    """
-    probs = F.array(*[F.lit(float(x)) for x in p]) if isinstance(p, (list, tuple)) else F.lit(float(p))
-    if accuracy is None:
-        return F.percentile(c, probs)
-    return F.percentile_approx(c, probs, accuracy)
-
-
-def median(c, accuracy: int | None = None) -> Column:
-    return quantile(c, 0.5, accuracy)
-
-
 def typed_lit(v, data_type) -> Column:
     """``v`` as a literal of the given Spark type, NULL included."""
     if isinstance(v, (list, tuple)):

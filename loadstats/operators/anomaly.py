@@ -15,7 +15,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.stats import attach_scalars, quantile
+from ..functions.stats import attach_scalars
+from .frames import computed_once
+from .quantiles import attach_quantiles
 
 # Fixed values: |z| above 3, IQR fence factor 1.5, forest of 100 trees on 256-row samples,
 # 1 % contamination, seed 42.
@@ -54,8 +56,7 @@ def anomaly_zscore(df: DataFrame, cols: Sequence[str], threshold: float = Z_THRE
 def anomaly_iqr(df: DataFrame, cols: Sequence[str], factor: float = IQR_FACTOR, by=None,
                 accuracy: int | None = None, out: str = "anomaly_iqr") -> DataFrame:
     """Any column outside [Q1 - 1.5 IQR, Q3 + 1.5 IQR] (linear quantiles)."""
-    aggs = [quantile(c, [0.25, 0.75], accuracy).alias(f"_q_{c}") for c in cols]
-    j = _attach(df, aggs, by)
+    j = attach_quantiles(df, cols, [0.25, 0.75], by, accuracy=accuracy)
     conds = []
     for c in cols:
         q1, q3 = F.col(f"_q_{c}")[0], F.col(f"_q_{c}")[1]
@@ -69,10 +70,10 @@ def anomaly_iqr(df: DataFrame, cols: Sequence[str], factor: float = IQR_FACTOR,
 
 def anomaly_z_and_iqr(df: DataFrame, cols: Sequence[str], by=None, accuracy: int | None = None,
                       threshold: float = Z_THRESHOLD, factor: float = IQR_FACTOR) -> DataFrame:
-    """N1 + N2 from a single statistics aggregate (one pass instead of two)."""
-    aggs = ([F.avg(c).alias(f"_mu_{c}") for c in cols] + [F.stddev_samp(c).alias(f"_sd_{c}") for c in cols] +
-            [quantile(c, [0.25, 0.75], accuracy).alias(f"_q_{c}") for c in cols])
-    j = _attach(df, aggs, by)
+    """N1 + N2 over an input that is computed once."""
+    df = computed_once(df)
+    aggs = [F.avg(c).alias(f"_mu_{c}") for c in cols] + [F.stddev_samp(c).alias(f"_sd_{c}") for c in cols]
+    j = _attach(attach_quantiles(df, cols, [0.25, 0.75], by, accuracy=accuracy), aggs, by)
     z = [F.coalesce(F.abs(F.try_divide(F.col(c) - F.col(f"_mu_{c}"), F.col(f"_sd_{c}"))) > threshold, F.lit(False))
          for c in cols]
     q = []

@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stats import attach_scalars, median, round_half_away, scalars
+from ..functions.stats import attach_scalars, round_half_away
 from .frames import carry_backward, carry_forward
+from .quantiles import attach_quantiles, quantile_lists
 
 NUMERIC_TYPES = ("double", "float", "int", "bigint", "smallint", "tinyint")
 
@@ -183,15 +184,22 @@ def attach_group_stats(df: DataFrame, by, stats: Sequence[Column]) -> DataFrame:
     return df.join(df.groupBy(*keys).agg(*stats), keys, "left")
 
 
+def attach_group_quantiles(df: DataFrame, by, named: dict[str, tuple[str, float]]) -> DataFrame:
+    """J7 for quantiles: ``named`` maps an output column to (column, probability)."""
+    out = df
+    for name, (col, p) in named.items():
+        out = attach_quantiles(out, [col], [p], by, prefix="_jq_").withColumn(name, F.get(f"_jq_{col}", F.lit(0))).drop(f"_jq_{col}")
+    return out
+
+
 # ------------------------------------------------------------------ M: missing values
 
 def impute_group_median(df: DataFrame, cols: Sequence[str], by="city", accuracy: int | None = None) -> DataFrame:
     """M1: NULL -> median of the same group (all-NULL group stays NULL).
 
     ``accuracy=None`` is the exact median; an accuracy uses the mergeable sketch."""
-    stats = [median(c, accuracy).alias(f"_med_{c}") for c in cols]
-    joined = attach_group_stats(df, by, stats)
-    return joined.select(*[F.coalesce(F.col(c), F.col(f"_med_{c}")).alias(c) if c in cols else F.col(c)
+    joined = attach_quantiles(df, cols, [0.5], by, prefix="_med_", accuracy=accuracy)
+    return joined.select(*[F.coalesce(F.col(c), F.get(f"_med_{c}", F.lit(0))).alias(c) if c in cols else F.col(c)
                            for c in df.columns])
 
 
@@ -208,10 +216,11 @@ def bfill(df: DataFrame, cols: Sequence[str], by="city", order="timestamp", **kw
 def impute_chain(df: DataFrame, cols: Sequence[str], by="city", order="timestamp",
                  accuracy: int | None = None) -> DataFrame:
     """M4: ffill, then bfill, then the global median."""
-    from .frames import carry_both
-    meds = scalars(df, [median(c, accuracy).alias(f"_gm_{c}") for c in cols])
+    from .frames import carry_both, computed_once
+    df = computed_once(df)
+    meds = quantile_lists(df, cols, [0.5], accuracy=accuracy)
     both = carry_both(df, cols, by, order)             # ffill and bfill from one two-level scan
-    return both.select(*[F.coalesce(F.col(f"{c}_ffill"), F.col(f"{c}_bfill"), F.lit(meds[f"_gm_{c}"]).cast("double")).alias(c)
+    return both.select(*[F.coalesce(F.col(f"{c}_ffill"), F.col(f"{c}_bfill"), F.lit((meds[c] or [None])[0]).cast("double")).alias(c)
                          if c in cols else F.col(c) for c in df.columns])
 
 
@@ -225,7 +234,8 @@ def impute_mean(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def impute_train_median(train: DataFrame, other: DataFrame, cols: Sequence[str],
                         accuracy: int | None = None) -> tuple[DataFrame, DataFrame]:
     """M6: medians fitted on ``train`` applied to both frames."""
-    meds = scalars(train, [median(c, accuracy).alias(f"_tm_{c}") for c in cols])
+    found = quantile_lists(train, cols, [0.5], accuracy=accuracy)
+    meds = {f"_tm_{c}": (found[c] or [None])[0] for c in cols}
 
     def apply(d):
         j = d.select("*", *[F.lit(v).cast("double").alias(k) for k, v in meds.items()])

@@ -12,8 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
-from .frames import framed
-from .series import _full, pct_change_expr
+from .frames import POS, framed, sliding, with_position
+from .series import pct_change_expr
+
+# Lags and the trailing window in hours, and its statistics.
+LAGS = (24, 48, 168)
+DAY = 24
+ROLLING = ("mean", "std", "min", "max")
 
 
 def forecast_features(df: DataFrame, col: str = "demand") -> tuple[DataFrame, list[str]]:
@@ -24,22 +29,18 @@ def forecast_features(df: DataFrame, col: str = "demand") -> tuple[DataFrame, li
 
     def feats(w):
         lag = lambda n: F.lag(col, n).over(w)
-        return [lag(24).alias("demand_lag_24h"), lag(48).alias("demand_lag_48h"), lag(168).alias("demand_lag_168h"),
-                _full(F.avg(col), w, -24, -1, col, 24).alias("demand_rolling_mean_24h"),
-                _full(F.stddev_samp(col), w, -24, -1, col, 24).alias("demand_rolling_std_24h"),
-                _full(F.min(col), w, -24, -1, col, 24).alias("demand_rolling_min_24h"),
-                _full(F.max(col), w, -24, -1, col, 24).alias("demand_rolling_max_24h"),
+        return [*[lag(n).alias(f"demand_lag_{n}h") for n in LAGS],
                 (lag(1) - lag(25)).alias("demand_diff_1d_prev"),
                 pct_change_expr(lag(1), lag(25)).alias("demand_pct_change_1d_prev")]
 
-    out = framed(base, feats, back=168)
+    rolling = {(DAY, stat): f"demand_rolling_{stat}_{DAY}h" for stat in ROLLING}
+    placed = framed(with_position(base, "city"), feats, back=max(LAGS), positioned=True)
+    out = sliding(placed, col, rolling, positioned=True).drop(POS)
     cyc = []
     for name, period in cal.CYCLE_PERIODS.items():
         cyc += [cal.cyclical(name, period, "sin").alias(f"{name}_sin"), cal.cyclical(name, period, "cos").alias(f"{name}_cos")]
     out = out.select("*", *cyc, cal.is_weekend("dayofweek").alias("is_weekend"), *cal.day_part_onehot("hour"))
-    names = ([f"{n}_{f}" for n in cal.CYCLE_PERIODS for f in ("sin", "cos")] +
-             ["is_weekend", "day_part_0", "day_part_1", "day_part_2", "day_part_3",
-              "demand_lag_24h", "demand_lag_48h", "demand_lag_168h", "demand_rolling_mean_24h",
-              "demand_rolling_std_24h", "demand_rolling_min_24h", "demand_rolling_max_24h",
-              "demand_diff_1d_prev", "demand_pct_change_1d_prev"])
+    names = [f"{n}_{f}" for n in cal.CYCLE_PERIODS for f in ("sin", "cos")]
+    names += ["is_weekend", *[f"day_part_{i}" for i in range(4)], *[f"demand_lag_{n}h" for n in LAGS], *rolling.values(),
+              "demand_diff_1d_prev", "demand_pct_change_1d_prev"]
     return out, names

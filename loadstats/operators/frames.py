@@ -141,6 +141,59 @@ def framed(df: DataFrame, features: Callable[[Window], list[Column]], *, by="cit
     return out if keep_position or positioned else out.drop(POS)
 
 
+def sliding(df: DataFrame, col: str, names: dict[tuple[int, str], str], *, shift: int = 1, by="city",
+            order: str = "timestamp", tiebreak: Sequence[str] = (), chunk_rows: int = DEFAULT_CHUNK_ROWS,
+            bucket_seconds: int = DEFAULT_BUCKET_SECONDS, positioned: bool = False) -> DataFrame:
+    """Statistics of the n rows that end ``shift`` rows back, in time that does not grow with n.
+
+    ``names`` maps (n, statistic) to an output column; statistics are mean, std, min and max.
+    A value is NULL until n values are there. Positions are cut into blocks of n rows; any n
+    rows in a row are the end of one block and the beginning of the next. Growing frames give
+    the count, sum, centred square sum, minimum and maximum of every beginning and (over
+    descending order) of every end, one step a row, and a row combines the two that it needs.
+    Nothing is subtracted, so no digits cancel: square sums join as those of two samples do."""
+    keys = _as_list(by)
+    sizes = sorted({n for n, _ in names})
+    base = df if positioned else with_position(df, keys, order, tiebreak, bucket_seconds)
+    rows, _ = with_chunks(base, max(sizes) - 1 + shift, 0, chunk_rows)
+    x = F.col(col).cast("double")
+    for n in sizes:
+        block = Window.partitionBy(*keys, CHUNK, "_blk").rowsBetween(Window.unboundedPreceding, 0)
+        rows = rows.withColumn("_blk", F.floor(F.col(POS) / F.lit(n)))
+
+        def upto(w):
+            return F.struct(F.count(x).over(w).alias("n"), F.sum(x).over(w).alias("s"),
+                            (F.var_pop(x).over(w) * F.count(x).over(w)).alias("m2"),
+                            F.min(x).over(w).alias("lo"), F.max(x).over(w).alias("hi"))
+
+        rows = rows.select("*", upto(block.orderBy(POS)).alias(f"_begin_{n}"))
+        rows = rows.select("*", upto(block.orderBy(F.col(POS).desc())).alias(f"_end_{n}")).drop("_blk")
+    series = Window.partitionBy(*keys, CHUNK).orderBy(POS)
+    rows = rows.select("*", *[F.lag(f"_begin_{n}", shift).over(series).alias(f"_b_{n}") for n in sizes],
+                       *[F.lag(f"_end_{n}", n - 1 + shift).over(series).alias(f"_e_{n}") for n in sizes])
+
+    def value(n: int, stat: str) -> Column:
+        b, e = F.col(f"_b_{n}"), F.col(f"_e_{n}")
+        one = (F.col(POS) - F.lit(n - 1 + shift)) % F.lit(n) == 0          # the n rows are one block
+        mean = lambda t: t["s"] / t["n"]
+        if stat == "mean":
+            whole, two = mean(b), (e["s"] + b["s"]) / F.lit(float(n))
+        elif stat == "std":
+            gap = mean(b) - mean(e)
+            joint = e["m2"] + b["m2"] + gap * gap * (e["n"] * b["n"] / F.lit(float(n)))
+            # one value has no spread
+            per = F.lit(float(n - 1)) if n > 1 else F.lit(None).cast("double")
+            whole, two = F.sqrt(b["m2"] / per), F.sqrt(joint / per)
+        else:
+            pick, f = ("lo", F.least) if stat == "min" else ("hi", F.greatest)
+            whole, two = b[pick], f(e[pick], b[pick])
+        return F.when(one & (b["n"] == n), whole).when(~one & (e["n"] + b["n"] == n), two)
+
+    kept = [c for c in base.columns]
+    out = rows.where(~F.col(HALO)).select(*kept, *[value(n, s).alias(name) for (n, s), name in names.items()])
+    return out if positioned else out.drop(POS)
+
+
 def _carry(df: DataFrame, cols: Sequence[str], by, forward: bool,
            chunk_rows: int, order: str, tiebreak, bucket_seconds, positioned: bool) -> DataFrame:
     keys = _as_list(by)

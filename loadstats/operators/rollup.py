@@ -13,7 +13,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import attach_scalars, median, quantile, round_half_away
+from ..functions.stats import attach_scalars, round_half_away
+from .frames import computed_once
+from .quantiles import quantile_lists
 
 # Fixed value: pairs with |r| at or above this (after rounding to 2) are "high".
 HIGH_CORR = 0.7
@@ -40,10 +42,13 @@ def weekly_summary(df: DataFrame, ts="timestamp", value="demand", temp="temperat
     return df.groupBy(*keys).agg(F.avg(value).alias("avg_demand"), F.avg(temp).alias("avg_temp"))
 
 
-def profile_by(df: DataFrame, part: str, ts="timestamp", value="demand") -> DataFrame:
-    """A3-A5: mean by hour of day, weekday (Mon=0) or month."""
+def profile_by(df: DataFrame, part: str, ts="timestamp", value="demand", scale: int | None = None) -> DataFrame:
+    """A3-A5: mean by hour of day, weekday (Mon=0) or month. With ``scale``, values of at most
+    that many decimals are added as decimals, so the mean does not depend on row order."""
     fn = {"hour": F.hour, "dayofweek": F.weekday, "month": F.month}[part]
-    return df.groupBy(fn(ts).alias(part)).agg(F.avg(value).alias(f"avg_{value}"),
+    mean = F.avg(value) if scale is None else F.try_divide(
+        F.sum(F.col(value).cast(f"decimal(28,{scale})")).cast("double"), F.count(value))
+    return df.groupBy(fn(ts).alias(part)).agg(mean.alias(f"avg_{value}"),
                                               F.count(value).alias("n"))
 
 
@@ -52,12 +57,19 @@ def _long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.select(F.explode(arr).alias("s")).select("s.column", "s.v")
 
 
+def _quantile_lit(values, n: int) -> Column:
+    return F.array(*[F.lit(None if values is None else values[i]).cast("double") for i in range(n)])
+
+
 def describe(df: DataFrame, cols: Sequence[str], digits: int = 2, accuracy: int | None = None) -> DataFrame:
-    """Count, mean, std, min, quartiles, max per column (exact percentiles), one aggregate."""
+    """Count, mean, std, min, quartiles, max per column: one aggregate beside the quartiles
+    (exact, by rank selection, or from a sketch of the given ``accuracy``)."""
+    df = computed_once(df)
+    found = quantile_lists(df, cols, [0.25, 0.5, 0.75], accuracy=accuracy)
     aggs = []
     for i, c in enumerate(cols):
         aggs += [F.count(c).alias(f"n{i}"), F.avg(c).alias(f"mu{i}"), F.stddev_samp(c).alias(f"sd{i}"),
-                 F.min(c).cast("double").alias(f"lo{i}"), quantile(c, [0.25, 0.5, 0.75], accuracy).alias(f"q{i}"),
+                 F.min(c).cast("double").alias(f"lo{i}"), _quantile_lit(found[c], 3).alias(f"q{i}"),
                  F.max(c).cast("double").alias(f"hi{i}")]
     one = df.agg(*aggs)
     rows = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("count"),
@@ -85,9 +97,11 @@ def sample_kurtosis(c) -> Column:
 
 def extended_stats(df: DataFrame, cols: Sequence[str], digits: int = 2, accuracy: int | None = None) -> DataFrame:
     """Mean, median, std, skewness, kurtosis, min, max."""
+    df = computed_once(df)
+    found = quantile_lists(df, cols, [0.5], accuracy=accuracy)
     aggs = []
     for i, c in enumerate(cols):
-        aggs += [F.avg(c).alias(f"mu{i}"), median(c, accuracy).alias(f"md{i}"), F.stddev_samp(c).alias(f"sd{i}"),
+        aggs += [F.avg(c).alias(f"mu{i}"), _quantile_lit(found[c], 1)[0].alias(f"md{i}"), F.stddev_samp(c).alias(f"sd{i}"),
                  sample_skewness(c).alias(f"sk{i}"), sample_kurtosis(c).alias(f"ku{i}"),
                  F.min(c).cast("double").alias(f"lo{i}"), F.max(c).cast("double").alias(f"hi{i}")]
     one = df.agg(*aggs)
@@ -166,8 +180,66 @@ def safe_corr(a: str, b: str) -> Column:
     return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
-def corr_pairs(df: DataFrame, cols: Sequence[str], ordered: bool = True) -> DataFrame:
-    """Pearson r for every pair from one aggregate; long (a, b, r)."""
+FEW_COLUMNS = 12
+
+
+def gram_table(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(i, j, n, sx, sy, sxx, syy, sxy): for every two columns i < j the count and the sums over
+    the rows where both are set.
+
+    Each task multiplies its batches' columns as matrices and emits one row a pair; these rows
+    are mergeable, so they are summed by pair. Values are taken from the columns' means, found
+    by one aggregate before, so the square sums do not cancel."""
+    cols = list(cols)
+    df = computed_once(df.select(*[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(cols)]))
+    means = df.agg(*[F.avg(c).alias(c) for c in df.columns]).first()
+    origin = [m or 0.0 for m in means]
+    k = len(cols)
+
+    def multiplied(batches):
+        import numpy as np
+        import pyarrow as pa
+        sums = np.zeros((4, k, k))
+        for b in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], axis=1)
+            held = np.stack([c.is_valid().to_numpy(zero_copy_only=False) for c in b.columns], axis=1).astype(np.float64)
+            x = np.where(held > 0, x - np.array(origin), 0.0)
+            sums += np.stack([held.T @ held, x.T @ held, (x * x).T @ held, x.T @ x])
+        n, s, ss, xy = sums
+        i, j = np.triu_indices(k, 1)
+        yield pa.RecordBatch.from_pydict({
+            "i": i.astype(np.int32), "j": j.astype(np.int32), "n": n[i, j], "sx": s[i, j], "sy": s[j, i],
+            "sxx": ss[i, j], "syy": ss[j, i], "sxy": xy[i, j]})
+
+    sums = ("n", "sx", "sy", "sxx", "syy", "sxy")
+    parts = df.mapInArrow(multiplied, "i int, j int, " + ", ".join(f"{c} double" for c in sums))
+    return parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in sums])
+
+
+def corr_of_many(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Pearson r of every two columns (a before b in the list), from the Gram table; NULL where
+    one of them is constant over the rows that both have."""
+    names = F.array(*[F.lit(c) for c in cols])
+    n = F.col("n")
+    var = lambda ss, s: F.greatest(F.col(ss) / n - F.pow(F.col(s) / n, F.lit(2.0)), F.lit(0.0))
+    # a spread below the rounding error of its own sums is that of a constant
+    spread = lambda ss, s: F.when(var(ss, s) > F.lit(1e-14) * F.col(ss) / n, F.sqrt(var(ss, s)))
+    cov = F.col("sxy") / n - F.col("sx") / n * (F.col("sy") / n)
+    r = F.when(n > 0, F.try_divide(cov, spread("sxx", "sx") * spread("syy", "sy")))
+    return gram_table(df, cols).select(F.get(names, F.col("i")).alias("a"), F.get(names, F.col("j")).alias("b"), r.alias("r"))
+
+
+def corr_pairs(df: DataFrame, cols: Sequence[str], ordered: bool = True, few: int = FEW_COLUMNS) -> DataFrame:
+    """Pearson r for every pair; long (a, b, r). Up to ``few`` columns from one aggregate
+    with an expression a pair, more from the Gram table."""
+    if len(cols) > few:
+        half = corr_of_many(df, cols)
+        if not ordered:
+            return half
+        names = F.explode(F.array(*[F.lit(c) for c in cols]))
+        same = df.sparkSession.range(1).select(names.alias("a")).select("a", F.col("a").alias("b"), F.lit(1.0).alias("r"))
+        return half.select(F.explode(F.array(F.struct("a", "b", "r"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "r")))
+                           .alias("s")).select("s.a", "s.b", "s.r").unionByName(same)
     pairs = list(itertools.combinations(cols, 2))
     one = df.agg(*[safe_corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
     entries = []

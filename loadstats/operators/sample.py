@@ -17,8 +17,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.calendar import concat_key
-from ..functions.stats import median, scalars
+from ..functions.stats import scalars
 from .frames import POS, computed_once, join_null_safe, with_position
+from .quantiles import quantiles
 
 # A 5 % drift threshold, seed 42, 80/20 and 70/15/15 splits.
 DRIFT_PCT = 5.0
@@ -121,13 +122,17 @@ def sample_validation(full: DataFrame, sample: DataFrame, cols: Sequence[str],
         arr = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in cols])
         return d.select(F.lit(tag).alias("_src"), F.explode(arr).alias("s")).select("_src", "s.column", "s.v")
     both = long(full, "o").unionByName(long(sample, "s"))
+    both = computed_once(both)
     names = ["mean", "median", "std", "min", "max"]
-    fns = {"mean": F.avg, "median": lambda c: median(c, accuracy), "std": F.stddev_samp, "min": F.min, "max": F.max}
+    fns = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
     aggs = []
     for tag, prefix in (("o", ""), ("s", "sample_")):
         v = F.when(F.col("_src") == tag, F.col("v"))
-        aggs += [fns[m](v).alias(f"{prefix}{m}") for m in names]
-    stats = both.groupBy("column").agg(*aggs)
+        aggs += [fns[m](v).alias(f"{prefix}{m}") for m in fns]
+    found = quantiles(both, ["v"], [0.5], ["column", "_src"], accuracy=accuracy)
+    medians = found.groupBy("column").agg(*[F.first(F.when(F.col("_src") == tag, F.get("v", F.lit(0))), ignorenulls=True)
+                                            .alias(name) for tag, name in (("o", "median"), ("s", "sample_median"))])
+    stats = join_null_safe(both.groupBy("column").agg(*aggs), medians, ["column"], "left")
     return stats.select("column", *names, *[f"sample_{m}" for m in names],
                         *[_pct_diff(F.col(f"sample_{m}"), F.col(m)).alias(f"{m}_diff_pct") for m in names])
 

@@ -11,7 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stats import attach_scalars, quantile, scalars
+from ..functions.stats import attach_scalars, scalars
+from .frames import computed_once, join_null_safe
+from .quantiles import attach_quantiles, quantiles
 
 # Temperature bin edges used at serving time (right-closed).
 FIXED_BIN_EDGES = [0, 40, 50, 60, 70, 80, 90, 100, 120]
@@ -87,12 +89,11 @@ def quantile_bin(df: DataFrame, cols: Sequence[str], q: int = QUANTILE_BINS, suf
     code = (number of edges strictly below x) - 1, floored at 0.
     """
     probs = [i / q for i in range(q + 1)]
-    aggs = [F.array_distinct(quantile(c, probs, accuracy)).alias(f"_e_{c}") for c in cols]
-    j = _stats(df, aggs, by)
+    j = attach_quantiles(df, cols, probs, by, prefix="_e_", accuracy=accuracy)
     out = []
     for c in cols:
         x = F.col(c)
-        n_below = F.size(F.filter(F.col(f"_e_{c}"), lambda e: e < x))
+        n_below = F.size(F.filter(F.array_distinct(F.col(f"_e_{c}")), lambda e: e < x))
         out.append(F.when(x.isNotNull(), F.greatest(n_below - 1, F.lit(0))).alias(f"{c}{suffix}"))
     return j.select(*df.columns, *out)
 
@@ -126,20 +127,21 @@ def histogram(df: DataFrame, col: str, bins: int = 50, split=None) -> DataFrame:
 def box_stats(df: DataFrame, cols: Sequence[str], by="city", accuracy: int | None = None) -> DataFrame:
     """F8: quartiles, IQR fences and whiskers (most extreme values inside the fences)."""
     keys = _as_list(by) if by else []
-    long = df.select(*keys, F.explode(F.array(*[F.struct(F.lit(c).alias("column"),
+    long = computed_once(df).select(*keys, F.explode(F.array(*[F.struct(F.lit(c).alias("column"),
                                                          F.col(c).cast("double").alias("v")) for c in cols])).alias("s")) \
              .select(*keys, "s.column", "s.v").where(F.col("v").isNotNull())
     gk = keys + ["column"]
-    q = long.groupBy(*gk).agg(quantile("v", [0.25, 0.5, 0.75], accuracy).alias("_q"),
-                              F.min("v").alias("min"), F.max("v").alias("max"), F.count("v").alias("n"))
+    q = long.groupBy(*gk).agg(F.min("v").alias("min"), F.max("v").alias("max"), F.count("v").alias("n"))
+    found = quantiles(long, ["v"], [0.25, 0.5, 0.75], gk, accuracy=accuracy).withColumnRenamed("v", "_q")
+    q = join_null_safe(q, found, gk)
     q = q.select(*gk, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"),
                  "min", "max", "n")
     q = q.withColumn("lo_fence", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))) \
          .withColumn("hi_fence", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
-    inside = long.join(q.select(*gk, "lo_fence", "hi_fence"), gk) \
+    inside = join_null_safe(long, q.select(*gk, "lo_fence", "hi_fence"), gk) \
                  .where((F.col("v") >= F.col("lo_fence")) & (F.col("v") <= F.col("hi_fence"))) \
                  .groupBy(*gk).agg(F.min("v").alias("whisker_lo"), F.max("v").alias("whisker_hi"),
                                    F.count("v").alias("n_inside"))
-    return q.join(inside, gk, "left").select(
+    return join_null_safe(q, inside, gk, "left").select(
         *gk, "n", "min", "q1", "median", "q3", "max", "lo_fence", "hi_fence", "whisker_lo", "whisker_hi",
         (F.col("n") - F.coalesce(F.col("n_inside"), F.lit(0))).alias("n_outliers"))

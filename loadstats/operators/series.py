@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import fourier_terms
 from ..functions.stats import attach_scalars
-from .frames import CHUNK, POS, framed, join_null_safe, with_position
+from .frames import (CHUNK, DEFAULT_BUCKET_SECONDS, DEFAULT_CHUNK_ROWS, POS, computed_once, framed, join_null_safe,
+                     sliding, with_position)
 
 # Fixed values from the reference feature set.
 BASE_LAGS = (24, 48, 168)
@@ -94,36 +95,22 @@ def pct_change_features(df: DataFrame, ns: Sequence[int] = (24, 168), col: str =
 
 # ---------------------------------------------------------------- rolling
 
-def _full(expr: Column, w: Window, lo: int, hi: int, col: str, n: int) -> Column:
-    frame = w.rowsBetween(lo, hi)
-    return F.when(F.count(col).over(frame) == n, expr.over(frame))
-
-
 def rolling_stats(df: DataFrame, windows: Sequence[int] = ROLLING_WINDOWS, col: str = "demand",
                   stats: Sequence[str] = ("mean", "std", "min", "max"), **kw) -> DataFrame:
     """Statistics over the previous n rows (current row excluded), NULL until full."""
-    fns = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
-
-    def feats(w):
-        return [_full(fns[s](col), w, -n, -1, col, n).alias(f"{col}_rolling_{s}_{n}")
-                for n in windows for s in stats]
-    return framed(df, feats, back=max(windows), **kw)
+    names = {(n, s): f"{col}_rolling_{s}_{n}" for n in windows for s in stats}
+    return sliding(df, col, names, shift=1, **kw)
 
 
 def rolling_inclusive(df: DataFrame, n: int = 168, col: str = "demand", **kw) -> DataFrame:
     """Mean and std over the last n rows including the current one."""
-    return framed(df, lambda w: [_full(F.avg(col), w, -(n - 1), 0, col, n).alias(f"{col}_rolling_mean_incl_{n}"),
-                                 _full(F.stddev_samp(col), w, -(n - 1), 0, col, n).alias(f"{col}_rolling_std_incl_{n}")],
-                  back=n - 1, **kw)
+    return sliding(df, col, {(n, s): f"{col}_rolling_{s}_incl_{n}" for s in ("mean", "std")}, shift=0, **kw)
 
 
 def rolling_zscore(df: DataFrame, n: int = 24, col: str = "demand", **kw) -> DataFrame:
     """Z of the current value against the previous n rows."""
-    def feats(w):
-        mu = _full(F.avg(col), w, -n, -1, col, n)
-        sd = _full(F.stddev_samp(col), w, -n, -1, col, n)
-        return [F.try_divide(F.col(col) - mu, sd).alias(f"{col}_rolling_z_{n}")]
-    return framed(df, feats, back=n, **kw)
+    z = sliding(df, col, {(n, "mean"): "_mu", (n, "std"): "_sd"}, shift=1, **kw)
+    return z.withColumn(f"{col}_rolling_z_{n}", F.try_divide(F.col(col) - F.col("_mu"), F.col("_sd"))).drop("_mu", "_sd")
 
 
 # ---------------------------------------------------------------- exponentially weighted mean
@@ -196,10 +183,22 @@ def sequence_windows(df: DataFrame, n: int = 24, col: str = "demand", **kw) -> D
     return out.where(F.size("sequence") == n)
 
 
-def tail_window(df: DataFrame, n: int = 168, by="city", order: str = "timestamp") -> DataFrame:
-    """Last n rows of each series (row_number filter -> WindowGroupLimit before the shuffle)."""
-    w = Window.partitionBy(*_as_list(by)).orderBy(F.col(order).desc())
-    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
+def tail_window(df: DataFrame, n: int = 168, by="city", order: str = "timestamp",
+                bucket_seconds: int = DEFAULT_BUCKET_SECONDS) -> DataFrame:
+    """Last n rows of each series.
+
+    Rows are counted per (series, time bucket); running sums from the last bucket back tell
+    which buckets belong to the tail whole. Only the bucket that the cut runs through is
+    ranked, so no task sorts a series however large n is. NULL times come last in a tail."""
+    keys = _as_list(by)
+    base = computed_once(df).withColumn("_bkt", F.floor(F.unix_seconds(F.col(order).cast("timestamp")) / F.lit(bucket_seconds)))
+    counts = base.groupBy(*keys, "_bkt").agg(F.count(F.lit(1)).alias("_k"))
+    later = Window.partitionBy(*keys).orderBy(F.col("_bkt").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    cut = counts.withColumn("_left", F.lit(n) - F.coalesce(F.sum("_k").over(later), F.lit(0))).where("_left > 0")
+    kept = join_null_safe(base, cut, [*keys, "_bkt"])
+    last = Window.partitionBy(*keys, "_bkt").orderBy(F.col(order).desc())
+    ranked = kept.where("_k > _left").withColumn("_rn", F.row_number().over(last)).where("_rn <= _left")
+    return kept.where("_k <= _left").select(*df.columns).unionByName(ranked.select(*df.columns))
 
 
 def top_n_per_group(df: DataFrame, n: int = 100, by="cluster", order: Sequence[str] = ("timestamp",)) -> DataFrame:
@@ -250,13 +249,23 @@ def naive_previous_week(df: DataFrame, col: str = "demand", n: int = 168, **kw)
     return framed(df, lambda w: [F.lag(col, n).over(w).alias("predicted")], back=n, **kw)
 
 
-def historical_average(df: DataFrame, col: str = "demand", by="city", order: str = "timestamp") -> DataFrame:
-    """Mean of earlier rows with the same hour and weekday."""
-    hour, wd = F.hour(order), F.weekday(order)
-    keyed = df.withColumn("_h", hour).withColumn("_wd", wd)
-    w = Window.partitionBy(*_as_list(by), "_h", "_wd").orderBy(order) \
-              .rowsBetween(Window.unboundedPreceding, -1)
-    return keyed.withColumn("predicted", F.avg(col).over(w)).drop("_h", "_wd")
+def historical_average(df: DataFrame, col: str = "demand", by="city", order: str = "timestamp",
+                       chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
+    """Mean of earlier rows with the same hour and weekday.
+
+    The rows of one (series, hour, weekday) are cut into chunks of positions. Sums and counts
+    are taken a chunk, carried over the small chunk table, and run on inside the chunk, so
+    no task holds a whole key."""
+    key = [*_as_list(by), "_h", "_wd"]
+    base = with_position(df.withColumn("_h", F.hour(order)).withColumn("_wd", F.weekday(order)), key, order)
+    base = base.withColumn(CHUNK, F.floor(F.col(POS) / F.lit(max(int(chunk_rows), 1))))
+    sums = base.groupBy(*key, CHUNK).agg(F.sum(col).alias("_s"), F.count(col).alias("_k"))
+    before = Window.partitionBy(*key).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    carry = sums.select(*key, CHUNK, F.sum("_s").over(before).alias("_cs"), F.sum("_k").over(before).alias("_ck"))
+    upto = Window.partitionBy(*key, CHUNK).orderBy(POS).rowsBetween(Window.unboundedPreceding, -1)
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    mean = F.try_divide(zero(F.col("_cs")) + zero(F.sum(col).over(upto)), zero(F.col("_ck")) + F.count(col).over(upto))
+    return join_null_safe(base, carry, [*key, CHUNK], "left").select(*df.columns, mean.alias("predicted"))
 
 
 def interpolate_linear(df: DataFrame, cols: Sequence[str], by="city", order: str = "timestamp",

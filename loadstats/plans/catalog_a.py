@@ -364,7 +364,7 @@ def j6(spark, sf):
        (MD,))
 def j7(spark, sf):
     df = fx.merged_daily(spark, sf).select("city", "timestamp", "demand")
-    return clean.attach_group_stats(df, "city", [F.median("demand").alias("city_median")])
+    return clean.attach_group_quantiles(df, "city", {"city_median": ("demand", 0.5)})
 
 
 # ============================================================== M: missing values

@@ -252,10 +252,11 @@ def a2(spark, sf):
 
 def _profile_q(part, sql_part, view, fn_view):
     @query(f"A{ {'hour': 3, 'dayofweek': 4, 'month': 5}[part] }_{ {'hour': 'hourly', 'dayofweek': 'weekday', 'month': 'monthly'}[part] }_profile",
-           f"SELECT CAST({sql_part} AS INTEGER) AS {part}, {s6(MEAN)} AS avg_demand, count(demand) AS n "
+           f"SELECT CAST({sql_part} AS INTEGER) AS {part}, "
+           f"{s6('CAST(sum(CAST(demand AS DECIMAL(28, 4))) AS DOUBLE) / count(demand)')} AS avg_demand, count(demand) AS n "
            f"FROM {view} GROUP BY 1", (view,))
     def q(spark, sf):
-        p = rollup.profile_by(fn_view(spark, sf), part)
+        p = rollup.profile_by(fn_view(spark, sf), part, scale=4)   # money and readings: two decimals
         return p.select(part, r6("avg_demand").alias("avg_demand"), "n")
     return q
 

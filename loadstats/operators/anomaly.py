@@ -7,7 +7,7 @@ Thresholds are fitted by one aggregate and broadcast as a one-row table
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -159,10 +159,10 @@ def fit_isolation_forest(df: DataFrame, cols: Sequence[str], key: Sequence[str],
                          sample_size: int = IFOREST_SAMPLE, seed: int = IFOREST_SEED) -> DataFrame:
     """Tree table (tree, node, feature, split, left, right, size).
 
-    Each row draws one hash per tree; a tree keeps the ``sample_size`` rows with
-    the smallest hashes (a seeded sample without replacement). Rows are first
-    pre-filtered to hashes below ~4x the needed rate so only a few thousand
-    candidates per tree are shuffled, whatever the table size.
+    Each row's key is hashed once and that hash is mixed with every tree's number; a tree
+    keeps the ``sample_size`` rows with the smallest results (a seeded sample without
+    replacement). The test against ~4x the needed rate runs in generated code before the
+    shuffle, so only a few thousand candidates per tree are sent, whatever the table size.
     """
     from ..session import ship_package
     ship_package(df.sparkSession)
@@ -172,12 +172,10 @@ def fit_isolation_forest(df: DataFrame, cols: Sequence[str], key: Sequence[str],
     size = min(sample_size, n)
     rate = min(1.0, 4.0 * size / max(n, 1) + 1e-9)
     kcols = [F.col(k).cast("string") for k in key]
-    trees = F.sequence(F.lit(0), F.lit(n_trees - 1))
-    u = lambda t: (F.xxhash64(*kcols, F.lit(seed), t).cast("double") / F.lit(2.0 ** 64) + F.lit(0.5))
-    cand = (data.select(*cols, F.filter(F.transform(trees, lambda t: F.struct(t.alias("t"), u(t).alias("u"))),
-                                        lambda s: s["u"] < F.lit(rate)).alias("_c"))
-                .select(*cols, F.explode("_c").alias("_c"))
-                .select(*cols, F.col("_c.t").alias("_tree"), F.col("_c.u").alias("_u")))
+    trees = F.explode(F.array(*[F.lit(t) for t in range(n_trees)])).alias("_tree")
+    u = F.xxhash64("_h", "_tree")
+    cand = (data.select(*cols, F.xxhash64(*kcols, F.lit(seed)).alias("_h")).select("*", trees)
+                .select(*cols, "_tree", u.alias("_u")).where(F.col("_u") < F.lit(int((rate - 0.5) * 2 ** 64) if rate < 1.0 else 2 ** 63 - 1)))
     w = Window.partitionBy("_tree").orderBy("_u")
     sample = cand.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= size).drop("_r", "_u")
     max_depth = int(math.ceil(math.log2(max(size, 2))))
@@ -222,19 +220,18 @@ def score_isolation_forest(df: DataFrame, trees: DataFrame, cols: Sequence[str],
     bc = sc.broadcast(by_tree)
     psi = min(sample_size, int(pdf.loc[pdf["node"] == 0, "size"].max() or 2))
     cn = _c_factor(psi)
-    schema = T.StructType(df.schema.fields + [T.StructField(out, T.DoubleType())])
 
-    def score(batches):
+    def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         forest = bc.value
         for b in batches:
-            x = b[cols].to_numpy(dtype=float)
+            x = np.stack([c.to_numpy(dtype=float) for c in b], axis=1)
             ok = ~np.isnan(x).any(axis=1)
-            s = np.full(len(b), np.nan)
+            s = np.full(len(x), np.nan)
             if ok.any():
                 s[ok] = np.power(2.0, -_path_lengths(x[ok], forest) / cn)
-            b[out] = s
-            yield b
-    return df.mapInPandas(score, schema)
+            yield pd.Series(s)
+    # only the scored columns travel to Python
+    return df.withColumn(out, F.pandas_udf(score, "double")(*[F.col(c).cast("double") for c in cols]))
 
 
 def anomaly_isolation_forest(df: DataFrame, cols: Sequence[str], key: Sequence[str] = ("city", "timestamp"),
@@ -243,6 +240,10 @@ def anomaly_isolation_forest(df: DataFrame, cols: Sequence[str], key: Sequence[s
                              accuracy: int = 10000, out: str = "anomaly_iso") -> DataFrame:
     """Flag the ``contamination`` share of rows with the highest scores."""
     from ..session import materialize
+    df = computed_once(df)                      # counted, sampled and scored
+    # numbers of a fixed size a row: a few tasks' worth at least, however small the input's files are
+    if df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism:
+        df = df.repartition(df.sparkSession.sparkContext.defaultParallelism)
     trees = fit_isolation_forest(df, cols, list(key), n_trees, sample_size, seed)
     # scoring (every row through every tree) is the heavy part: do it once, then
     # derive both the 1 % cut and the flags from the written scores

@@ -25,7 +25,8 @@ from .common import GAP, saved, words_of
 
 BUCKETS = 1 << 14
 MIN_RATIO = -0.12
-MIN_SCORE = -0.35       # of the counted score: junk lies below -0.53, clean texts above -0.16 at two sizes
+PRIOR = 3.0             # added to both counts of a weight: an n-gram of a few texts weighs little
+MIN_SCORE = -0.25       # of the counted score, from labelled texts scored by the half they are not in
 COMMON_GRAMS = 1 << 16
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
@@ -78,40 +79,54 @@ def ngram_weights(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", t
     return [math.log(g) - lg - math.log(r) + lr for g, r in zip(good, raw, strict=True)]
 
 
+def _fold(text: Column) -> Column:
+    """0 or 1: the half of the corpus that a text belongs to; equal texts share it."""
+    return F.pmod(F.xxhash64(text, F.lit(5)), F.lit(2)).cast("int")
+
+
 def gram_weights(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text: str = "text",
-                 most_sent: int = 1_000_000) -> tuple[DataFrame, float]:
-    """The table (gram, raw, weight) of the n-grams by their 64-bit hashes, and the weight
-    of every n-gram that is not in it: those that occur once, in a text that is not trusted.
-
-    The weight is ``ln (good + 1) / (raw * G / R + 1)``: what the trusted texts hold of the
-    n-gram over what they would hold if they were like all texts (G of R n-grams are
-    theirs). An n-gram seen once or twice weighs about 0 whatever the size of the corpus,
-    one that trusted texts avoid weighs less the surer that is."""
+                 most_sent: int = 1_000_000, prior: float = PRIOR) -> DataFrame:
+    """The table (gram, raw, w0, w1) of the n-grams by their 64-bit hashes: ``w0`` weighs them
+    in texts of half 0 and comes from the counts of half 1, ``w1`` the other way round. So no
+    text and no copy of it, nor its own label, has a part in its own score.
+
+    The weight is ``ln (good + prior) / (raw * G / R + prior)``: what the trusted texts of a
+    half hold of the n-gram over what they would hold if they were like all its texts (G of
+    its R n-grams are theirs). It is 0 for an n-gram that the half does not hold, and n-grams
+    of one half alone are not in the table."""
     total = F.array(F.lit(None).cast("long"))       # one place more a text, whose count is that of its n-grams
-    grams = (_hashed(_marked(docs, trusted, id_col, text, most_sent), "_x")
-             .select(F.col("_t").isNotNull().alias("good"), (F.size("_h") + F.size("_h2")).alias("n"),
+    marked = _hashed(_marked(docs, trusted, id_col, text, most_sent), "_x")
+    grams = (marked
+             .select((2 * _fold(F.col("_x")) + F.col("_t").isNotNull().cast("int")).alias("part"),
+                     (F.size("_h") + F.size("_h2")).alias("n"),
                      F.concat("_h", "_h2", total).alias("_g"))      # beside explode, n would be made for each place
-             .select("good", "n", F.explode_outer("_g").alias("gram"))
+             .select("part", "n", F.explode_outer("_g").alias("gram"))
              .withColumn("n", F.when(F.col("gram").isNull(), F.col("n")).otherwise(1).cast("long")))
-    counted = grams.groupBy("gram").agg(F.sum("n").alias("raw"), F.sum(F.when(F.col("good"), F.col("n")).otherwise(0)).alias("good"))
-    table = saved(counted.where("raw > 1 OR good > 0 OR gram IS NULL"), "grams")
+    has = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
+    part = F.col("part")
+    counted = grams.groupBy("gram").agg(has(part < 2).alias("raw0"), has(part == 1).alias("good0"),
+                                        has(part >= 2).alias("raw1"), has(part == 3).alias("good1"))
+    table = saved(counted.where("(raw0 > 0 AND raw1 > 0) OR gram IS NULL"), "grams")
     whole = table.where("gram IS NULL").first()
-    share = whole["good"] / whole["raw"] if whole and whole["raw"] else 0.0
-    table = table.where("gram IS NOT NULL")
-    weight = F.log((F.col("good") + 1) / (F.col("raw") * F.lit(share) + 1))
-    return table.select("gram", "raw", weight.alias("weight")), -math.log(share + 1)
+
+    def weight(half: int) -> Column:
+        share = whole[f"good{half}"] / whole[f"raw{half}"] if whole and whole[f"raw{half}"] else 0.0
+        return F.log((F.col(f"good{half}") + prior) / (F.col(f"raw{half}") * F.lit(share) + prior))
+    return table.where("gram IS NOT NULL").select("gram", (F.col("raw0") + F.col("raw1")).alias("raw"),
+                                                  weight(1).alias("w0"), weight(0).alias("w1"))
 
 
-def _common(table: DataFrame, most: int) -> tuple[Column, Column, int]:
-    """The most frequent n-grams as two literals, hashes and weights by slot, and the slots.
-    Of n-grams with one slot the most frequent has it; the others are looked up by the join."""
+def _common(table: DataFrame, most: int) -> tuple[Column, list[Column], int]:
+    """The most frequent n-grams as literals, hashes and the halves' weights by slot, and the
+    slots. Of n-grams with one slot the most frequent has it; the others are looked up by the join."""
     slots = 2 * most
-    grams, weights = [None] * slots, [None] * slots
+    grams, weights = [None] * slots, [[None] * slots, [None] * slots]
     for r in table.orderBy(F.desc("raw"), "gram").limit(most).collect():
-        if grams[r["gram"] % slots] is None:
-            grams[r["gram"] % slots], weights[r["gram"] % slots] = r["gram"], r["weight"]
-    return (F.from_json(F.lit(json.dumps(grams)), "array<bigint>"),
-            F.from_json(F.lit(json.dumps(weights)), "array<double>"), slots)
+        at = r["gram"] % slots
+        if grams[at] is None:
+            grams[at], weights[0][at], weights[1][at] = r["gram"], r["w0"], r["w1"]
+    literal = lambda x, t: F.from_json(F.lit(json.dumps(x)), f"array<{t}>")
+    return literal(grams, "bigint"), [literal(w, "double") for w in weights], slots
 
 
 def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -177,22 +192,25 @@ def quality_rules_counted(docs: DataFrame, trusted: DataFrame, id_col: str = "do
     The most frequent n-grams are added up where the text is. The others, one row for each
     place, are joined on the hash with the weights. Texts are named by their hashes, so equal
     texts have one mean. No n-gram that the join sees holds a large share of the rows."""
-    table, unseen = gram_weights(docs, trusted, id_col, text)
+    table = gram_weights(docs, trusted, id_col, text)
     grams, weights, slots = _common(table, common_grams)
     slot = lambda v: F.pmod(v, F.lit(slots)).cast("int")
     is_common = lambda v: F.coalesce(F.get(grams, slot(v)) == v, F.lit(False))
     base = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_x"))
     name = F.xxhash64("_x", F.length("_x")).alias("_name")
+    fold = _fold(F.col("_x")).alias("_f")
     # beside explode, the name would be made for each place; explode, not outer, would make the array twice
-    rare = (_hashed(base, "_x").select(name, F.filter(F.concat("_h", "_h2"), lambda v: ~is_common(v)).alias("_g"))
-            .select("_name", F.explode_outer("_g").alias("gram")))
-    means = (rare.join(table.select("gram", "weight"), "gram", "left").groupBy("_name")
-             .agg(F.avg(F.coalesce("weight", F.lit(unseen))).alias("_mean")))
-    places = F.transform(F.concat("_h", "_h2"), lambda v: F.when(is_common(v), F.get(weights, slot(v))))
-    d = base_counts(base, "_x").select("*", name, places.alias("_w"))
-    d = d.select("*", F.aggregate("_w", F.lit(0.0), lambda a, w: a + F.coalesce(w, F.lit(0.0))).alias("_sum"),
-                 F.size(F.filter("_w", lambda w: w.isNull())).alias("_rare")).drop("_x", "_h", "_h2", "_w")
-    d = saved(d, "rules").join(means, "_name", "left")     # no text; later filters do not reach the expressions
-    total = F.col("_sum") + F.col("_rare") * F.coalesce("_mean", F.lit(0.0))
+    rare = (_hashed(base, "_x").select(name, fold, F.filter(F.concat("_h", "_h2"), lambda v: ~is_common(v)).alias("_g"))
+            .select("_name", "_f", F.explode_outer("_g").alias("gram")))
+    found = rare.join(table.select("gram", "w0", "w1"), "gram").select("_name", F.when(F.col("_f") == 0, F.col("w0")).otherwise(F.col("w1")).alias("_w"))
+    sums = found.groupBy("_name").agg(F.sum("_w").alias("_rare"), F.count(F.lit(1)).alias("_n"))
+    # equal texts have one name: their places were added up together
+    each = F.concat("_h", "_h2")
+    own = lambda f: F.aggregate(each, F.lit(0.0), lambda a, v: a + F.when(is_common(v), F.get(weights[f], slot(v))).otherwise(0.0))
+    d = base_counts(base, "_x").select("*", name, F.when(fold == 0, own(0)).otherwise(own(1)).alias("_sum")).drop("_x", "_h", "_h2")
+    d = saved(d, "rules")                                   # no text; later filters do not reach the expressions
+    copies = d.groupBy("_name").agg(F.count(F.lit(1)).alias("_copies"))
+    d = d.join(sums.join(copies, "_name").select("_name", (F.col("_rare") / F.col("_copies")).alias("_rare")), "_name", "left")
+    total = F.col("_sum") + F.coalesce("_rare", F.lit(0.0))
     d = d.select("*", F.when(F.col("n_words") > 0, total / (2 * F.col("n_words") - 1)).otherwise(0.0).alias("llr"))
     return _verdict(d, id_col, min_score)

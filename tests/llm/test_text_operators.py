@@ -262,20 +262,30 @@ def test_quality_rules_equal_brute_force(spark, frame):
 def test_counted_rules_equal_brute_force(spark, frame):
     from collections import Counter
 
-    from loadstats.llm.quality_rules import quality_rules, quality_rules_counted
+    import xxhash
+
+    from loadstats.llm.quality_rules import PRIOR, quality_rules, quality_rules_counted
     rows = [*((i, t) for i, t, *_ in corpus(6, 30)), (902, "x " * 40), *ODD]
     trusted = spark.createDataFrame([(0,), (7,), (7,), (14,), (None,)], "doc_id long")
 
     def grams(t):
         w = WORD.findall(t or "")
         return w + list(zip(w, w[1:]))
-    raw, good = Counter(), Counter()
+    def half(t):
+        h = xxhash.xxh64_intdigest((5).to_bytes(4, "little"), xxhash.xxh64_intdigest(t.encode(), 42) if t is not None else 42)
+        return (h - (1 << 64) if h >> 63 else h) % 2
+    raw, good = [Counter(), Counter()], [Counter(), Counter()]
     for i, t in rows:
-        raw.update(grams(t))
-        good.update(grams(t) if i in (0, 7, 14) else ())
-    share = good.total() / raw.total()
-    weight = {g: np.log((good[g] + 1) / (n * share + 1)) for g, n in raw.items()}
-    want = [(i, round(sum(weight[g] for g in grams(t)) / max(1, len(grams(t))), 6)) for i, t in rows]
+        raw[half(t)].update(grams(t))
+        good[half(t)].update(grams(t) if i in (0, 7, 14) else ())
+    share = [good[f].total() / raw[f].total() for f in (0, 1)]
+
+    def score(t):
+        o = 1 - half(t)
+        total = sum(np.log((good[o][g] + PRIOR) / (raw[o][g] * share[o] + PRIOR)) for g in grams(t))
+        return round(total / max(1, len(grams(t))), 6)
+    assert 0 < sum(half(t) for _, t in rows) < len(rows)
+    want = [(i, score(t)) for i, t in rows]
     for few in (4, 1 << 12):    # nearly all by the join, or nearly all beside the text
         got = quality_rules_counted(frame(rows), trusted, common_grams=few)
         assert sorted(((r[0], round(r["llr"], 6)) for r in got.collect()), key=str) == sorted(want, key=str)
@@ -300,6 +310,23 @@ def test_counted_rules_reject_junk_of_many_words(spark, frame):
     assert not wrong
 
 
+def test_a_label_has_no_part_in_its_own_verdict(spark, frame):
+    """Whichever text is marked, its own score stays the same to the last digit."""
+    from loadstats.llm.quality_rules import quality_rules_counted
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choice("abcdefgh") + rng.choice("xyz") + ("$$" if i % 5 == 0 else "") for _ in range(60)))
+            for i in range(80)]
+    rows += [(100, rows[5][1]), (101, rows[5][1])]                      # copies of a text share its half
+    good = [i for i in range(80) if i % 5 and i % 2]
+    score = lambda ids: {r.doc_id: r.llr for r in quality_rules_counted(
+        frame(rows), spark.createDataFrame([(i,) for i in ids], "doc_id long")).collect()}
+    plain = score(good)
+    for i in (5, 10, 7, 33):
+        other = score([*good, i] if i not in good else [g for g in good if g != i])
+        assert other[i] == plain[i]
+    assert plain != score([*good, 5]) and plain[100] == plain[101] == plain[5]
+
+
 # -- mixing ----------------------------------------------------------------------------
 
 def test_mixing_targets_and_takes(frame):

@@ -140,25 +140,64 @@ class Unions:
 
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Whole texts travel to Python in Arrow batches of at most ``rows`` rows."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
+def bounded_batches(spark: SparkSession, rows: int = 1000, megabytes: int = 8) -> None:
+    """Whole texts travel to Python in Arrow batches of at most ``rows`` rows and about
+    ``megabytes`` MB (a longer text is a batch of its own). The session keeps these settings."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows),
+                      ("spark.sql.execution.arrow.maxBytesPerBatch", megabytes << 20)):
+        now = spark.conf.get(key).rstrip("b")                   # sizes are shown as 8388608b
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, str(most))
+
+
+_STORES: list = []
+
+
+def forgettable(store):
+    """Registers a store that lives as long as the Python worker (it has ``forget()``)."""
+    _STORES.append(store)
+    return store
+
+
+def releasing(run):
+    """``run`` (batches to batches) that leaves its worker small: a worker outlives its task and
+    is used again by other stages, so stores are emptied and freed memory goes back."""
+    def tidy(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+
+            import pyarrow as pa
+            for s in _STORES:
+                s.forget()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)      # glibc
+            if trim is not None:
+                trim(0)
+    return tidy
 
 
 class WordHasher:
-    """64-bit hashes of the words of a text; each distinct word is hashed once while it is held."""
+    """Two independent 64-bit hashes of the words of a text; each distinct word is hashed once
+    while it is held. Words of up to ``most_bytes`` bytes in all are held."""
 
-    def __init__(self, seed: int = 0, most_held: int = 150_000):
-        from xxhash import xxh3_64_intdigest
-        self._hash, self._seed, self._most = xxh3_64_intdigest, seed, most_held
+    def __init__(self, seed: int = 0, most_held: int = 150_000, most_bytes: int = 8 << 20):
+        from xxhash import xxh3_128_digest
+        self._hash, self._seed, self._most, self._most_bytes = xxh3_128_digest, seed, most_held, most_bytes
+        self.forget()
+
+    def forget(self) -> None:
         self._row: dict[bytes, int] = {}
-        self._value = np.empty(1 << 14, dtype=np.uint64)
+        self._value = np.empty((1 << 14, 2), dtype=np.uint64)
+        self._bytes = 0
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
-        if len(self._row) > self._most:
-            self._row.clear()
+        return self.both(words)[:, 0]
+
+    def both(self, words: list[bytes]) -> np.ndarray:
+        if len(self._row) > self._most or self._bytes > self._most_bytes:
+            self.forget()
         row = self._row
         at = np.fromiter(map(row.get, words, repeat(-1)), dtype=np.int64, count=len(words))
         new = np.flatnonzero(at < 0).tolist()
@@ -168,12 +207,24 @@ class WordHasher:
             n = len(row)
             while len(self._value) < n + len(fresh):
                 self._value = np.concatenate([self._value, np.empty_like(self._value)])
-            self._value[n:n + len(fresh)] = [self._hash(w, self._seed) for w in fresh]
+            self._value[n:n + len(fresh)] = np.frombuffer(
+                b"".join([self._hash(w, self._seed) for w in fresh]), dtype=np.uint64).reshape(-1, 2)
+            self._bytes += sum(map(len, fresh))
             row.update(zip(fresh, range(n, n + len(fresh)), strict=True))
             at[new] = [row[w] for w in late]
         return self._value[at]
 
 
+_HASHER: list[WordHasher] = []
+
+
+def word_hasher() -> WordHasher:
+    """The worker's one hasher."""
+    if not _HASHER:
+        _HASHER.append(forgettable(WordHasher()))
+    return _HASHER[0]
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """Finalising mix of 64-bit numbers (bijective)."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

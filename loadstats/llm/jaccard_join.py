@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHasher, bounded_batches, components, mixed, runs, saved, sendable, spans_hashed
+from .common import bounded_batches, components, mixed, releasing, runs, saved, sendable, spans_hashed, word_hasher
 
 WORDS = 5
 SHARE = (75, 100)
@@ -44,19 +44,16 @@ FIRST = 2               # hashes of step 2
 COMMON = 8              # of an eighth of the documents: a hash in so many documents goes last
 MOST_COMMON = 1_000_000  # so many hashes at most (8 bytes each) go last, the most common ones
 TILE = ("token", "band", "x", "y", "id", "n", "comp", "own", "s")
-_HASHER: list[WordHasher] = []
 
 
 def grams_of(text: str | None, words: int = WORDS) -> np.ndarray:
     """Sorted distinct n-gram hashes; a text with fewer words is one n-gram."""
     if not text:
         return np.empty(0, dtype=np.uint64)
-    if not _HASHER:
-        _HASHER.append(WordHasher())
     w = text.encode("utf-8", "replace").lower().split()     # bytes: only A-Z change; splits at 9-13 and 32
     if not w:
         return np.empty(0, dtype=np.uint64)
-    h = _HASHER[0](w)
+    h = word_hasher()(w)
     if len(w) < words:
         return mixed(spans_hashed(h, len(w)) ^ np.uint64(len(w)))
     return np.unique(spans_hashed(h, words))
@@ -255,14 +252,14 @@ def _intersected(docs: DataFrame, clusters: DataFrame, words: int, share: tuple[
     clusters = saved(clusters, "clustered")
     size = clusters.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / tile_rows).alias("_k"))
     ids = sendable(clusters.select("id"))
-    sets = saved(docs.join(ids, "id", "left_semi").mapInArrow(_sets(words), "id long, grams binary"), "sets")
+    sets = saved(docs.join(ids, "id", "left_semi").mapInArrow(releasing(_sets(words)), "id long, grams binary"), "sets")
     placed = clusters.join(size, "cluster").select(
         F.col("cluster").alias("token"), F.lit(0).alias("band"), "id", "n", F.lit(True).alias("own"),
         F.pmod(F.xxhash64("id"), F.col("_k")).cast("int").alias("s"), "_k")
 
     def met(tiles: DataFrame) -> DataFrame:
         rows = tiles.join(sets, "id").select(*TILE, "grams")
-        return saved(_grouped(rows).mapInArrow(_forest(share, True), "a long, b long"), "links")
+        return saved(_grouped(rows).mapInArrow(releasing(_forest(share, True)), "a long, b long"), "links")
 
     x = F.col("s")
     found = met(placed.select("token", "band", x.alias("x"), x.alias("y"), "id", "n", F.col("id").alias("comp"), "own", "s"))
@@ -298,7 +295,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     """
     bounded_batches(docs.sparkSession)
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
-    sk = saved(d.mapInArrow(_sketches(words, share), "id long, n long, f1 long, f2 long, low array<long>, bits binary"),
+    sk = saved(d.mapInArrow(releasing(_sketches(words, share)), "id long, n long, f1 long, f2 long, low array<long>, bits binary"),
                "sketches")
     live = sk.where("n > 0 AND id IS NOT NULL")
     classes = live.groupBy("n", "f1", "f2").agg(F.min("id").alias("rep"))
@@ -310,7 +307,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     def clustered(rows: DataFrame) -> DataFrame:
         """Candidate edges among rows (token, id, n, comp, small), by bitmaps."""
         signed = _tiles(rows, share, tile_rows * 8).join(signs, ["id", "n"]).select(*TILE, "bits")
-        return saved(_grouped(signed).mapInArrow(_forest(share, False), "a long, b long"), "candidates")
+        return saved(_grouped(signed).mapInArrow(releasing(_forest(share, False)), "a long, b long"), "candidates")
 
     # an eighth of the documents shows which hashes are common
     eighth = reps.where(F.pmod(F.xxhash64(F.lit(8), "id"), F.lit(8)) == 0).select(F.explode("low").alias("token"))
@@ -318,9 +315,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
             .orderBy(F.desc("_n"), "token").limit(MOST_COMMON).select("token").toPandas()["token"])
     sent = docs.sparkSession.sparkContext.broadcast(np.sort(last.to_numpy(dtype=np.int64).view(np.uint64)))
     schema = "id long, n long, tokens array<long>"
-    settled = reps.select("id", "n", "low").mapInArrow(_prefixes(sent, share, None), schema)
+    settled = reps.select("id", "n", "low").mapInArrow(releasing(_prefixes(sent, share, None)), schema)
     open_ids = saved(settled.where("tokens IS NULL").select("id").distinct(), "open")
-    texts = saved(d.join(sendable(open_ids), "id", "left_semi").mapInArrow(_prefixes(sent, share, words), schema), "texts")
+    texts = saved(d.join(sendable(open_ids), "id", "left_semi").mapInArrow(releasing(_prefixes(sent, share, words)), schema), "texts")
     prefixes = settled.where("tokens IS NOT NULL").union(texts.where("tokens IS NOT NULL"))
     # The smaller of a pair has the first hash they share earlier than its prefix ends: the
     # overlap has to be the share 2t / (1 + t) of its size, and what stands before is not in it.

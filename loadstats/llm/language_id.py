@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, releasing
 
 TOP = 300
 PER_LANGUAGE = 1000     # documents that a profile is learned from, at most
@@ -84,7 +84,7 @@ def learn_profiles(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
                 n = np.bincount(at, weights=np.concatenate([p[1] for p in parts]), minlength=len(g)).astype(np.int64)
                 yield pa.RecordBatch.from_pydict({"lang": [name] * len(g), "gram": g, "n": n})
 
-    sums = (sample.select("lang", "text").mapInArrow(count, "lang string, gram long, n long")
+    sums = (sample.select("lang", "text").mapInArrow(releasing(count), "lang string, gram long, n long")
             .groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     kept = sums.withColumn("r", F.row_number().over(best)).where(F.col("r") <= top).select("lang", "gram", "r").collect()

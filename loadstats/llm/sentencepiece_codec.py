@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HeldIds, bounded_batches
+from .common import HeldIds, bounded_batches, forgettable, releasing
 
 N_BEST = 4
 LONGEST = 24            # characters of a part that the batched pass takes
@@ -81,8 +81,7 @@ class Vocabulary:
         self._slots = self._placed(self._keys)
         self._plain = frozenset(p for p in self.id if len(p) == 1) | {chr(i) for i in range(128)}
         self._byte_ids = np.array([self.byte[i] for i in range(256)])
-        self._ranked: dict[str, list] = {}
-        self._forget()
+        self.forget()
 
     @staticmethod
     def _placed(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -110,7 +109,9 @@ class Vocabulary:
         hit[miss[found]] = True
         return at, hit
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
+        """Drops the parts held; the vocabulary itself stays."""
+        self._ranked: dict[str, list] = {}
         self._held = HeldIds()                      # by part without its first space
         self._value = np.empty((1 << 12, 2))        # of each part held: best score, gap to the second best
 
@@ -122,42 +123,80 @@ class Vocabulary:
 
     # -- one part -----------------------------------------------------------------
 
-    def _edges_to(self, part: str, j: int) -> Iterator[tuple[int, float, tuple[int, ...]]]:
-        """(from, score, ids) of the lattice's edges that end at place ``j``, longest first."""
-        for i in range(max(0, j - self.longest), j):
-            p = part[i:j]
-            if p in self.id:
-                yield i, self.score[p], (self.id[p],)
-        if part[j - 1] not in self.id:
-            raw = part[j - 1].encode("utf-8", "replace")
-            yield j - 1, self.byte_score * len(raw), tuple(self.byte[b] for b in raw)
+    def _lattice(self, part: str) -> list[list[tuple[int, float, int]]]:
+        """For every place of a part the lattice's edges (from, score, piece) that end there;
+        the piece of a character that none covers is -1, for its bytes."""
+        n = len(part)
+        c = np.frombuffer(part.encode("utf-32-le", "replace"), dtype=np.uint32).astype(np.uint64)
+        into: list[list] = [[] for _ in range(n + 1)]
+        h = np.zeros(n, dtype=np.uint64)
+        for size in range(1, min(n, self.longest) + 1):
+            h = _hash_chars(h[:n - size + 1], c[size - 1:])
+            at, hit = self._find(h)
+            start = np.flatnonzero(hit)
+            pieces = at[start]
+            for i, s, piece in zip(start.tolist(), self._scores[pieces].tolist(), self._ids[pieces].tolist(), strict=True):
+                if self.text[piece] == part[i:i + size]:        # the hash proposes, the text decides
+                    into[i + size].append((i, s, piece))
+        for j in range(1, n + 1):
+            if not any(i == j - 1 for i, _, _ in into[j]):
+                into[j].append((j - 1, self.byte_score * len(part[j - 1].encode("utf-8", "replace")), -1))
+        return into
+
+    @staticmethod
+    def _forward(into: list) -> tuple[list[float], list[int]]:
+        """The best score of every place, and which of its edges it comes by."""
+        best, by = [0.0], [0]
+        for edges in into[1:]:
+            top, which = -math.inf, 0
+            for k, (i, s, _) in enumerate(edges):
+                if best[i] + s > top:
+                    top, which = best[i] + s, k
+            best.append(top)
+            by.append(which)
+        return best, by
 
     def forward(self, part: str) -> list[float]:
-        best = [0.0] + [-math.inf] * len(part)
-        for j in range(1, len(part) + 1):
-            best[j] = max(best[i] + s for i, s, _ in self._edges_to(part, j))
-        return best
+        return self._forward(self._lattice(part))[0]
 
     def search(self, part: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The ``n`` best (score, ids) of a part, best first: A* backwards from its end.
-        Among equal scores the path that is nearest to its end goes on, so that ties, of
-        which a run of one letter has very many, do not widen the search."""
-        best = self.forward(part)
-        queue = [(-best[-1], len(part), 0, 0.0, None)]
+
+        The queue is ordered by what a partial path has lost against the best path: an edge
+        loses ``best[to] - (best[from] + score)``, which is exactly 0 on the edge that the
+        forward score came by. So a path that leaves the queue runs down to the start without
+        further loss, whatever the length, and its total is that of its best completion. On
+        the way down it leaves its detours in the queue; of those only the ``n`` least are
+        kept, since each of them is the beginning of another complete path."""
+        into = self._lattice(part)
+        best, by = self._forward(into)
+        queue: list[tuple[float, int, int, object]] = [(0.0, 0, len(part), None)]   # (loss, made, place, edges after it)
+        losses: list[float] = []            # the least losses of detours so far, greatest first (negated)
         out: list[tuple[float, tuple[int, ...]]] = []
         made = 0
         while queue and len(out) < n:
-            _, at, _, done, path = heapq.heappop(queue)     # path: (ids, path after them)
-            if at == 0:
-                ids: list[int] = []
-                while path is not None:
-                    ids += path[0]
-                    path = path[1]
-                out.append((done, tuple(ids)))
-                continue
-            for i, s, new in self._edges_to(part, at):
-                made += 1
-                heapq.heappush(queue, (-round(done + s + best[i], 9), i, made, done + s, (new, path)))
+            loss, _, at, path = heapq.heappop(queue)
+            while at:
+                edges, top = into[at], best[at]
+                for k, (i, s, piece) in enumerate(edges):
+                    if k == by[at]:
+                        continue
+                    total = loss + (top - (best[i] + s))
+                    if len(losses) < n or total < -losses[0]:
+                        (heapq.heappush if len(losses) < n else heapq.heappushpop)(losses, -total)
+                        made += 1
+                        heapq.heappush(queue, (total, made, i, ((at, piece), path)))
+                i, _, piece = edges[by[at]]
+                path = ((at, piece), path)
+                at = i
+            ids: list[int] = []
+            while path is not None:
+                (to, piece), path = path
+                if piece >= 0:
+                    ids.append(piece)
+                else:
+                    ids += [self.byte[b] for b in part[to - 1].encode("utf-8", "replace")]
+            out.append((best[-1] - loss, tuple(ids)))
         return out
 
     # -- many parts ---------------------------------------------------------------
@@ -219,7 +258,8 @@ class Vocabulary:
             if len(p) <= LONGEST and self._plain.issuperset(p):
                 by_size.setdefault(len(p), []).append(p)
             else:
-                a, b = (*self.search(p, 2), (-math.inf, ()))[:2]
+                ways = self._best_of(p, N_BEST)                 # searched once, also for its runners-up
+                a, b = (*ways, (-math.inf, ()))[:2]
                 self._hold([p], np.array(a[1]), np.array([len(a[1])]), np.array([[a[0], a[0] - b[0]]]))
         for same in by_size.values():
             for lo in range(0, len(same), 2048):
@@ -241,13 +281,13 @@ class Vocabulary:
             return [p[1:] for p in _PARTS.findall(" " + text)]
         return text.split(" ")
 
-    def encode(self, texts: list[str | None], n: int = N_BEST, most_held: int = 400_000) -> list[tuple]:
+    def encode(self, texts: list[str | None], n: int = N_BEST, most_held: int = 250_000) -> list[tuple]:
         """For each text (ids as an int32 array, scores of the up to ``n`` best, others).
 
         ``others`` are the runners-up as changes to the best: lists of (at, length, ids),
         the ids that stand in place of ``length`` ids of the best from ``at`` on."""
         if len(self._held) > most_held:
-            self._forget()
+            self.forget()
         split = [self.parts_of(t) if t else [] for t in texts]
         all_rows = self._held.rows([p for parts in split for p in parts], lambda new: self._learn([" " + p for p in new]))
         all_values = self._value[all_rows]
@@ -292,7 +332,7 @@ _VOCABULARIES: dict[str, Vocabulary] = {}
 
 def vocabulary(model_file: str) -> Vocabulary:
     if model_file not in _VOCABULARIES:
-        _VOCABULARIES[model_file] = Vocabulary(model_file)
+        _VOCABULARIES[model_file] = forgettable(Vocabulary(model_file))
     return _VOCABULARIES[model_file]
 
 
@@ -300,6 +340,7 @@ OTHERS = pa.list_(pa.list_(pa.struct([("at", pa.int32()), ("length", pa.int32())
 
 
 def _encoder(model_file: str, n: int):
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model_file)
         for b in batches:
@@ -338,6 +379,7 @@ def encode(docs: DataFrame, model_file: str, text: str = "text", n_best: int = N
 
 def decode(coded: DataFrame, model_file: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``coded`` with ``out``, the text of its ids, added; NULL ids give a NULL text."""
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model_file)
         for b in batches:

@@ -45,9 +45,9 @@ def shard(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text"
     with shard or slot) and ``shard`` (int), ``slot`` (long, 0.. without gaps in each
     shard, the order in which the shard is to be read).
 
-    * The bucket of a row comes from its id and a hash of its text, so NULL ids spread by
-      their texts. Rows that are equal in both share a bucket; which of them comes first
-      makes no difference to what is written.
+    * The bucket of a row comes from its id and its text together, so one id (or NULL) with
+      many texts spreads, and so does one text with many ids. Only rows that are equal in
+      both share a bucket; which of them comes first makes no difference to what is written.
     * NULL and empty texts count one byte. A row longer than a bucket fills it alone.
     * An empty table gives empty shards (no files) and an empty result.
     * Groups: equal texts are not kept together; their ids scatter them.
@@ -60,7 +60,7 @@ def shard(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text"
     size = F.coalesce(F.octet_length(row(text)), F.lit(0)).cast("long") + 1
     total, rows = d.agg(F.sum(size), F.count(F.lit(1))).first()
     buckets = max(1, math.ceil((total or 0) / bucket_bytes))
-    own = F.xxhash64(F.lit(seed), row(id_col), F.when(row(id_col).isNull(), row(text)))
+    own = F.xxhash64(F.lit(seed), row(id_col), row(text))
     scattered = d.select("_row", own.alias("_key"), F.xxhash64(row(text)).alias("_tie"),
                          F.pmod(own, F.lit(buckets)).alias("_bucket"))
     schema = scattered.schema.add("_at", "long")

@@ -30,18 +30,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, bounded_batches, mixed, saved, sendable
+from .common import bounded_batches, forgettable, mixed, releasing, saved, sendable, word_hasher
 
 WORDS = 50
 K = 16
 _PLACE = np.uint64((1 << 20) - 1)
-_HASHER: list[WordHasher] = []
 
 
 def _hashes(words: list[bytes]) -> np.ndarray:
-    if not _HASHER:
-        _HASHER.append(WordHasher())
-    return _HASHER[0](words)
+    """Two independent hashes of each word, one a column."""
+    return word_hasher().both(words)
 
 
 def _least(x: np.ndarray, w: int) -> np.ndarray:
@@ -58,6 +56,9 @@ class Rolling:
 
     def __init__(self, r: int, salt: int):
         self._r, self._salt = r, np.uint64(salt)
+        self.forget()
+
+    def forget(self) -> None:
         self._up, self._down = np.ones(1, np.uint64), np.ones(1, np.uint64)     # powers of r and of its inverse
 
     def _grown(self, n: int) -> None:
@@ -83,8 +84,47 @@ class Rolling:
         return mixed((sums[k:] - sums[:n]) * self._down[:n])
 
 
-_ROLLING = Rolling(0x9E3779B97F4A7C15, 0)
-_PROOF = Rolling(0xD1342543DE82EF95, 0x5851F42D4C957F2D)
+class PrimeRolling:
+    """Hashes of spans of words from running sums modulo the prime 2**31 - 1, two of them side
+    by side with bases of their own. Nothing of :class:`Rolling` enters: the words' hashes are
+    others, and sums modulo a prime do not fail where sums modulo a power of two do (on words
+    that alternate like the Thue-Morse sequence)."""
+    P = (1 << 31) - 1
+
+    def __init__(self, bases: tuple[int, int]):
+        self._bases = bases
+        self.forget()
+
+    def forget(self) -> None:
+        self._up = [np.ones(1, np.uint64) for _ in self._bases]
+        self._down = [np.ones(1, np.uint64) for _ in self._bases]
+
+    def _grown(self, n: int) -> None:
+        p = np.uint64(self.P)
+        while len(self._up[0]) < n + 1:
+            k = len(self._up[0])
+            for held, sign in ((self._up, 1), (self._down, -1)):
+                for x, base in enumerate(self._bases):
+                    held[x] = np.concatenate([held[x], held[x] * np.uint64(pow(base, sign * k, self.P)) % p])
+
+    def sums(self, h: np.ndarray) -> np.ndarray:
+        """Two rows of running sums; each takes half of the words' hashes. A sum of 2**32
+        terms below the prime fits its 64 bits."""
+        self._grown(len(h))
+        p, out = np.uint64(self.P), np.zeros((2, len(h) + 1), np.uint64)
+        for x, part in enumerate((h >> np.uint64(32), h & np.uint64(0xFFFFFFFF))):
+            out[x, 1:] = np.cumsum((part % p + np.uint64(1)) % p * self._up[x][:len(h)] % p) % p
+        return out
+
+    def spans(self, sums: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        self._grown(sums.shape[1])
+        p = np.uint64(self.P)
+        one, two = ((sums[x, hi] + p - sums[x, lo]) % p * self._down[x][lo] % p for x in (0, 1))
+        return mixed((one << np.uint64(31) | two) ^ ((hi - lo).astype(np.uint64) << np.uint64(40)))
+
+
+_ROLLING = forgettable(Rolling(0x9E3779B97F4A7C15, 0))
+_PROOF = forgettable(PrimeRolling((1_111_111_121, 1_828_174_637)))
 
 
 def anchors(sums: np.ndarray, words: int = WORDS, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -115,7 +155,7 @@ def _edges(words: int, k: int):
                 w = _split(t)
                 if len(w) < words:
                     continue
-                sums = _ROLLING.sums(_hashes(w))
+                sums = _ROLLING.sums(_hashes(w)[:, 0])
                 at, token, _ = anchors(sums, words, k)
                 link = _ROLLING.spans(sums, at[:-1], at[1:] + k)
                 ins, outs = np.concatenate([[np.uint64(0)], link]), np.concatenate([link, [np.uint64(0)]])
@@ -144,7 +184,7 @@ def _paths(words: int, k: int):
                 if len(w) < words:
                     continue
                 h = _hashes(w)
-                sums = _ROLLING.sums(h)
+                sums = _ROLLING.sums(h[:, 0])
                 at, token, which = anchors(sums, words, k)
                 tokens = np.array(tokens, dtype=np.int64).view(np.uint64)
                 order = np.argsort(tokens)
@@ -168,7 +208,7 @@ def _paths(words: int, k: int):
                 n = np.concatenate([hi[whole] - lo[whole] - words + 1, np.ones(len(one), dtype=np.int64)])
                 ends = starts + n + words - 1
                 out[0].append(_ROLLING.spans(sums, starts, ends))
-                out[1].append(_PROOF.spans(_PROOF.sums(h), starts, ends))
+                out[1].append(_PROOF.spans(_PROOF.sums(h[:, 1]), starts, ends))
                 out[2].append(np.full(len(n), i, dtype=np.int64))
                 out[3].append(starts)
                 out[4].append(n)
@@ -190,7 +230,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     """
     bounded_batches(docs.sparkSession)
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).where("id IS NOT NULL")
-    edges = saved(d.mapInArrow(_edges(words, k), "token long, id long, e_in long, e_out long"), "edges")
+    edges = saved(d.mapInArrow(releasing(_edges(words, k)), "token long, id long, e_in long, e_out long"), "edges")
     one = lambda c: (F.min(c) == F.max(c)) & (F.min(c) != 0)
     nodes = (edges.groupBy("token").agg(F.min("id").alias("_lo"), F.max("id").alias("_hi"),
                                         (one("e_in").cast("int") + 2 * one("e_out").cast("int")).alias("mark"))
@@ -200,7 +240,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     found = saved(found, "tokens")
     some = d.join(sendable(found.select("id")), "id", "left_semi")
     rows = saved(some.join(found, "id").select("id", "text", "tokens", "marks")
-                 .mapInArrow(_paths(words, k), "key long, proof long, id long, start long, windows long"), "paths")
+                 .mapInArrow(releasing(_paths(words, k)), "key long, proof long, id long, start long, windows long"), "paths")
     source = (rows.groupBy("key", "proof").agg(F.min(F.struct("id", "start")).alias("_s"), F.max("id").alias("_hi"))
               .where("_s.id != _hi").select("key", "proof", F.col("_s.id").alias("source_id"), F.col("_s.start").alias("source_start")))
     return saved(rows.join(source, ["key", "proof"]).where("id > source_id")
@@ -247,7 +287,7 @@ def remove_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text
     whole = d.join(ids, "id", "left_anti").select("id", "text", none.alias("starts"), none.alias("windows"))
     less = d.join(ids, "id", "left_semi").join(cut, "id").select("id", "text", "starts", "windows")
     schema = f"id {dict(d.dtypes)['id']}, n_words long, n_removed long, kept_sha256 string, kept string"
-    made = whole.mapInArrow(_remover(words), schema).union(less.mapInArrow(_remover(words), schema))
+    made = whole.mapInArrow(releasing(_remover(words)), schema).union(less.mapInArrow(releasing(_remover(words)), schema))
     return made.withColumnRenamed("id", id_col)
 
 
@@ -273,6 +313,6 @@ def without_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", tex
 
     sent = less.select("_row", "_own", F.col("_row").getField(text).alias("_text"), "_starts", "_windows")
     schema = sent.select("_row").schema.add("_kept", "string")
-    made = sent.mapInArrow(run, schema)
+    made = sent.mapInArrow(releasing(run), schema)
     return whole.union(made.select(*[F.col("_kept").alias(c) if c == text else F.col("_row").getField(c).alias(c)
                                      for c in docs.columns]))

@@ -13,7 +13,8 @@ lengths and the set bits of its blocks. A plane is its bits packed eight to a by
 into blocks of ``BLOCK`` bytes, each compressed by itself with zstd; rank is the running
 sum of set bits over the blocks before plus a count in one block, so reading one token
 unpacks one block of each plane. After the planes come the documents' ids and lengths,
-in document order, as one zstd block of two int64 arrays.
+in document order, as one zstd block of two int64 arrays and a bit a document: whether it
+has an id.
 """
 
 from __future__ import annotations
@@ -30,12 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .common import HeldIds, bounded_batches, running_offsets, saved
+from .common import HeldIds, bounded_batches, releasing, running_offsets, saved
 
 MAGIC = b"WVM1"
 BLOCK = 1 << 13
 SHARD_BYTES = 24 << 20
-NULL_ID = -(1 << 63)
 _ONES = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
 
 
@@ -59,7 +59,8 @@ class WaveletMatrix:
         self._tail = at
 
     @staticmethod
-    def pack(ids: np.ndarray, doc_ids: np.ndarray, doc_lengths: np.ndarray) -> bytes:
+    def pack(ids: np.ndarray, doc_ids: np.ndarray, doc_lengths: np.ndarray, known: np.ndarray | None = None) -> bytes:
+        """``known`` says which documents have an id (all by default)."""
         import zstandard
         squeeze = zstandard.ZstdCompressor(level=1).compress
         ids = np.ascontiguousarray(ids, dtype=np.uint32)
@@ -80,13 +81,16 @@ class WaveletMatrix:
             ids = np.concatenate([low, np.compress(one, ids)])
         head = json.dumps({"n": len(ids), "bits": bits, "zeros": zeros, "docs": len(doc_ids),
                            "lengths": lengths, "ones": ones}).encode()
-        tail = squeeze(np.concatenate([doc_ids, doc_lengths]).astype("<i8").tobytes())
+        known = np.ones(len(doc_ids), bool) if known is None else known
+        tail = squeeze(np.concatenate([doc_ids, doc_lengths]).astype("<i8").tobytes() + np.packbits(known).tobytes())
         return b"".join([MAGIC, struct.pack("<I", len(head)), head, *blocks, tail])
 
-    def documents(self) -> tuple[np.ndarray, np.ndarray]:
-        """Ids (NULL_ID for none) and lengths of the documents, in order."""
-        both = np.frombuffer(self._zstd.decompress(self._blob[self._tail:]), dtype="<i8")
-        return both[:self.docs], both[self.docs:]
+    def documents(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, lengths and whether there is an id, of the documents in order."""
+        raw = self._zstd.decompress(self._blob[self._tail:])
+        both = np.frombuffer(raw, dtype="<i8", count=2 * self.docs)
+        known = np.unpackbits(np.frombuffer(raw, np.uint8, offset=16 * self.docs), count=self.docs).astype(bool)
+        return both[:self.docs], both[self.docs:], known
 
     def _block(self, plane: int, k: int) -> np.ndarray:
         if (plane, k) not in self._held:
@@ -167,60 +171,60 @@ _MIXED = re.compile(r" (?:\s|$)")
 
 
 class Encoder:
-    """Encodes whole texts, each distinct word once.
+    """Encodes whole texts as the tokenizer file defines it, each distinct word once while held.
 
     The vocabulary's pattern never puts a token across a place before a space that a
-    non-space follows, so a text's ids are the ids of its pieces one after the other; and
-    a piece that is new is made of the pattern's matches, which are encoded once each."""
+    non-space follows, so a text's ids are the ids of its pieces one after the other. New
+    words go to the library many at a time, as one text; the tokens' byte lengths tell where
+    each word's ids end. A text that holds one of the file's added tokens (such as an end
+    marker) is encoded by the library as a whole."""
 
-    def __init__(self, tokenizer_file: str, most_held: int = 500_000):
+    def __init__(self, tokenizer_file: str, most_held: int = 300_000):
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
-        from public_tokenizers import PATTERN
         from tokenizers import Tokenizer
         self._t = Tokenizer.from_file(tokenizer_file)
-        self._t.encode_special_tokens = True
-        self._matches = regex.compile(PATTERN).findall
-        self._line, = self._t.encode("\n", add_special_tokens=False).ids
+        added = [a.content for a in self._t.get_added_tokens_decoder().values()]
+        self._added = re.compile("|".join(map(re.escape, added))) if added else None
+        n = self._t.get_vocab_size(with_added_tokens=True)
+        self._size = np.array([len(self._t.id_to_token(i) or "") for i in range(n)])    # one character a byte
         self._words = HeldIds()         # of " " + word
-        self._tokens = HeldIds()        # of a match of the pattern
         self._most = most_held
 
     def _plain(self, text: str) -> np.ndarray:
         return np.array(self._t.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.int32)
 
-    def _encode(self, matches: list[str]) -> None:
-        """Matches that are not white space go to the library many at a time, a line each."""
-        lines = [m for m in matches if not m.isspace()]
-        for i in range(0, len(lines), 4096):
-            some = lines[i:i + 4096]
-            ids = self._plain("\n".join(some))
-            end = np.flatnonzero(np.append(ids, self._line) == self._line)
-            self._tokens.add(some, ids[ids != self._line], np.diff(end, prepend=-1) - 1)
-        for m in matches:
-            if m.isspace():
-                ids = self._plain(m)
-                self._tokens.add([m], ids, np.array([len(ids)]))
-
     def _learn(self, words: list[str]) -> None:
-        split = [[" " + w] if w.isalpha() else self._matches(" " + w) for w in words]
-        rows = self._tokens.rows([m for ms in split for m in ms], self._encode)
-        ids, sizes = self._tokens.gather(rows)
-        ends = np.cumsum([len(ms) for ms in split])
-        total = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], ends])]
-        self._words.add(words, ids, np.diff(total))
+        """Words that end in something visible go many at a time, the others by themselves."""
+        plain = [w for w in words if w and not w[0].isspace() and not w[-1].isspace()]
+        known = set(plain)
+        groups = [plain[lo:lo + 4096] for lo in range(0, len(plain), 4096)]
+        groups += [[w] for w in words if w not in known]
+        while groups:
+            some = groups.pop()
+            ids = self._plain(" " + " ".join(some))
+            if len(some) == 1:
+                self._words.add(some, ids, np.array([len(ids)]))
+                continue
+            ends = np.cumsum([len(w.encode("utf-8", "replace")) + 1 for w in some])
+            upto = np.cumsum(self._size[ids])
+            last = np.minimum(np.searchsorted(upto, ends), len(upto) - 1)
+            if (upto[last] == ends).all():
+                self._words.add(some, ids, np.diff(last, prepend=-1))
+            else:
+                half = len(some) // 2
+                groups += [some[:half], some[half:]]
 
     def __call__(self, texts: list[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, ``end`` after each text, and the lengths with it."""
         if len(self._words) > self._most:
             self._words = HeldIds()
-        if len(self._tokens) > self._most:
-            self._tokens = HeldIds()
         firsts, words, n = [], [], []           # what goes before a text's first space, and the words after
         for t in texts:
             if not t:
                 first, rest = "", []
+            elif self._added is not None and self._added.search(t):
+                first, rest = t, []
             elif _MIXED.search(t):
                 first, *rest = _GAP.split(t)
                 rest = [r[1:] for r in rest]
@@ -242,31 +246,24 @@ class Encoder:
         return np.concatenate(out).astype(np.uint32), np.array(sizes, dtype=np.int64)
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
-def _encoder(tokenizer_file: str) -> Encoder:
-    if tokenizer_file not in _ENCODERS:
-        _ENCODERS[tokenizer_file] = Encoder(tokenizer_file)
-    return _ENCODERS[tokenizer_file]
-
-
 def _packer(tokenizer_file: str, folder: str, end: int):
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
-        encode = _encoder(tokenizer_file)
-        ids, doc_ids, lengths = [], [], []
+        encode = Encoder(tokenizer_file)        # its store ends with the task
+        ids, doc_ids, known, lengths = [], [], [], []
         for b in batches:
             texts = b.column(1).to_pylist()
             for i in range(0, len(texts), 256):
                 one, n = encode(texts[i:i + 256], end)
                 ids.append(one.astype(np.uint16) if one.size and one.max() < 1 << 16 else one)
                 lengths.append(n)
-            doc_ids.append(b.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False))
+            doc_ids.append(b.column(0).fill_null(0).to_numpy(zero_copy_only=False))
+            known.append(b.column(0).is_valid().to_numpy(zero_copy_only=False))
         if not doc_ids or not sum(map(len, doc_ids)):
             return
         doc_ids = np.concatenate(doc_ids)
-        blob = WaveletMatrix.pack(np.concatenate(ids), doc_ids, np.concatenate(lengths))
+        blob = WaveletMatrix.pack(np.concatenate(ids), doc_ids, np.concatenate(lengths), np.concatenate(known))
         # a task that runs twice writes two files; the row that Spark keeps names one of them
         name = f"{folder}/shard-{uuid.uuid4().hex}.wvm"
         store, path = fs.FileSystem.from_uri(name) if "://" in name else (fs.LocalFileSystem(), name)
@@ -283,7 +280,7 @@ def write_token_files(docs: DataFrame, tokenizer_file: str, folder: str | None =
     """Writes the shards below ``folder`` (a shared one) and returns their manifest, saved as a table:
     shard (long, in id order), file, n_docs, n_ids, bytes, start (ids in all shards before).
 
-    * NULL ids come first; rows with the same id are in order of their texts.
+    * NULL ids come first; rows with the same id are in order of their texts' hashes.
     * NULL and empty texts are documents of the end id alone.
     * ``shard_bytes`` of text make a shard, so a task's memory is bounded by that and the longest text.
     * An empty table gives an empty manifest. Other columns are not read.
@@ -293,8 +290,10 @@ def write_token_files(docs: DataFrame, tokenizer_file: str, folder: str | None =
     total = d.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8)).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
     folder = (folder or scratch_path(docs.sparkSession, "token_files")).replace("file:///", "/", 1)
-    written = (d.repartitionByRange(shards, F.col("id").asc_nulls_first())
-               .sortWithinPartitions(F.col("id").asc_nulls_first(), "text"))
+    # rows of one id may fill shards: they are cut by their texts' hashes, equal rows by their place
+    d = d.select("id", "text", F.xxhash64("text").alias("_h"), F.monotonically_increasing_id().alias("_i"))
+    order = (F.col("id").asc_nulls_first(), "_h", "_i")
+    written = d.repartitionByRange(shards, *order).sortWithinPartitions(*order)
     made = written.select("id", "text").mapInArrow(
         _packer(tokenizer_file, folder, end), "file string, n_docs long, n_ids long, bytes long")
     # the range partitioner numbers partitions in id order
@@ -312,11 +311,11 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             with store.open_input_stream(path) as f:
                 w = WaveletMatrix(f.read())
             ids = w.all_ids()
-            doc_ids, lengths = w.documents()
+            doc_ids, lengths, known = w.documents()
             ends = np.cumsum(lengths)
             sums = [crc32(ids[e - n:e].astype("<u4").tobytes()) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
             yield pa.RecordBatch.from_pydict({
-                "doc_id": pa.array(doc_ids, mask=doc_ids == NULL_ID), "start": start + ends - lengths,
+                "doc_id": pa.array(doc_ids, mask=~known), "start": start + ends - lengths,
                 "n_tokens": lengths, "ids_crc32": pa.array(sums, pa.int64())})
 
 

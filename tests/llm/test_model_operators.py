@@ -55,6 +55,35 @@ def test_n_best_equals_all_segmentations(vocab):
         assert vocab.decode(pa.array([list(w) for w in ways], pa.list_(pa.int32()))).to_pylist() == [text] * len(ways)
 
 
+@pytest.mark.parametrize("text, seconds", [("z" * 10_000, 5), ("".join(random.Random(9).choices("0123456789abcdef", k=100_000)), 20),
+                                           ("".join(random.Random(8).choices("abcdefghijklmnopqrst", k=1_000_000)), 90)])
+def test_long_texts_without_a_space_end(vocab, text, seconds):
+    import time
+    began = time.monotonic()
+    ids, scores, others = vocab.encode([text])[0]
+    assert time.monotonic() - began < seconds
+    assert scores[0] == pytest.approx(vocab.forward(" " + text)[-1], rel=1e-12) and scores == sorted(scores, reverse=True)
+    assert len(scores) == 4 and vocab.decode(pa.array([ids.tolist()], pa.list_(pa.int32()))).to_pylist() == [text]
+    for way in others:
+        w = ids.tolist()
+        for at, n, new in sorted(way, reverse=True):
+            w[at:at + n] = new
+        assert w != ids.tolist() and vocab.decode(pa.array([w], pa.list_(pa.int32()))).to_pylist() == [text]
+
+
+def test_n_best_of_long_runs_equal_dynamic_programming(vocab):
+    """N best scores of texts too long to list every path: the N best of each place, merged."""
+    rng = random.Random(12)
+    for text in ["z" * 60, "aaabbb" * 12, "".join(rng.choice("thean") for _ in range(80))]:
+        part, n = " " + text, 4
+        into = vocab._lattice(part)
+        tops = [[0.0]]
+        for edges in into[1:]:
+            tops.append(sorted((t + s for i, s, _ in edges for t in tops[i]), reverse=True)[:n])
+        got = vocab.search(part, n)
+        assert [s for s, _ in got] == pytest.approx(tops[-1], rel=1e-12) and len({p for _, p in got}) == n
+
+
 def test_batched_pass_equals_search(vocab):
     """The numpy pass over many parts finds the scores and gaps of the search of one part."""
     rng = random.Random(5)
@@ -91,7 +120,7 @@ def test_wavelet_matrix_against_arrays():
     for n, top in ((0, 1), (1, 1), (7, 3), (1000, 50257), (8 * BLOCK + 5, 300), (30_000, 2)):
         ids = rng.integers(0, top, n)
         w = WaveletMatrix(WaveletMatrix.pack(ids, np.array([3, 9]), np.array([n, 0])))
-        assert (w.all_ids() == ids).all() and [a.tolist() for a in w.documents()] == [[3, 9], [n, 0]]
+        assert (w.all_ids() == ids).all() and [a.tolist() for a in w.documents()] == [[3, 9], [n, 0], [True, True]]
         for i in rng.integers(0, n, 20) if n else []:
             assert w.access(int(i)) == ids[i]
             t = int(ids[i])
@@ -111,9 +140,34 @@ def test_encoder_equals_the_library():
     from loadstats.llm.token_files import Encoder
     e, rng = Encoder(tokenizer_path("byte_bpe_50k.json"), most_held=300), random.Random(2)
     bits = ["a", "B", " ", "  ", "\n", "\t", ".", "'s", "é", "1", "|", " ", "\x1c", "界", "<|endoftext|>", "\r", " \n ", "word"]
-    for _ in range(2500):
-        text = "".join(rng.choice(bits) for _ in range(rng.randint(0, 12)))
-        assert e([text], 0)[0].tolist() == e._t.encode(text, add_special_tokens=False).ids + [0]
+    from tokenizers import Tokenizer
+    library = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))       # as the file defines it
+    want = lambda t: library.encode(t, add_special_tokens=False).ids + [0]
+    assert want("a <|endoftext|> b") == [64, 220, 50256, 275, 0]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 12))) for _ in range(2500)]
+    for text in texts:
+        assert e([text], 0)[0].tolist() == want(text)
+    ids, n = Encoder(tokenizer_path("byte_bpe_50k.json"))(texts, 0)
+    assert ids.tolist() == [i for t in texts for i in want(t)] and n.tolist() == [len(want(t)) for t in texts]
+
+
+def test_token_files_split_hot_and_missing_ids(spark, tmp_path):
+    """One id, and NULL, with half of the rows each fill many shards; an id of -2**63 is no NULL."""
+    from loadstats.llm.queries import tokenizer_path
+    from loadstats.llm.token_files import read_token_files, write_token_files
+    rows = [(None if i % 2 else 7, f"text {i % 90} of a hot id") for i in range(400)] + [(-(1 << 63), "least"), (8, None)]
+    manifest = write_token_files(spark.createDataFrame(rows, "doc_id long, text string"), tokenizer_path("byte_bpe_50k.json"),
+                                 str(tmp_path / "hot"), shard_bytes=1000)
+    parts = [r.n_docs for r in manifest.collect()]
+    assert len(parts) > 6 and max(parts) < 150
+    got = read_token_files(manifest).collect()
+    count = {i: sum(r.doc_id == i for r in got) for i in (None, 7, 8, -(1 << 63))}
+    assert count == {None: 200, 7: 200, 8: 1, -(1 << 63): 1}
+    at = 0
+    for r in sorted(got, key=lambda r: r.start):
+        assert r.start == at
+        at += r.n_tokens
+    assert [r.doc_id for r in sorted(got, key=lambda r: r.start)][200] == -(1 << 63)
 
 
 def test_token_files_round_trip(frame, tmp_path):

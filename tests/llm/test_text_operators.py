@@ -408,3 +408,49 @@ def test_components_of_paths_stars_and_loops(spark, few_edges):
     got = {r[0]: r[1] for r in components(spark.createDataFrame(edges, "a long, b long"), few_edges=few_edges).collect()}
     assert components(spark.createDataFrame([], "a long, b long"), few_edges=few_edges).count() == 0
     assert got == {**{i: 0 for i in range(61)}, **{i: 100 for i in range(100, 140)}, **{i: 200 for i in (200, 201, 202)}}
+
+
+# -- worker stores and hashes -------------------------------------------------------------
+
+def test_span_hashes_are_independent():
+    """The Thue-Morse sequence of two words and its complement collide modulo 2**64, not modulo a prime."""
+    from loadstats.llm.substring_dedup import PrimeRolling, Rolling, _hashes
+    n = 2048
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    one, two = _hashes([b"ab"[b:b + 1] for b in bits]), _hashes([b"ba"[b:b + 1] for b in bits])
+    span = np.array([0]), np.array([n])
+    old = Rolling(0x9E3779B97F4A7C15, 0)
+    assert old.spans(old.sums(one[:, 0]), *span) == old.spans(old.sums(two[:, 0]), *span)
+    new = PrimeRolling((1_111_111_121, 1_828_174_637))
+    assert new.spans(new.sums(one[:, 1]), *span) != new.spans(new.sums(two[:, 1]), *span)
+    # the same words hash alike wherever they stand
+    rng = np.random.default_rng(3)
+    h = rng.integers(0, 1 << 63, 500, dtype=np.uint64)
+    a, b = np.concatenate([h[:100], h[200:260]]), np.concatenate([h[300:307], h[200:260], h[:5]])
+    assert new.spans(new.sums(a), np.array([100]), np.array([160])) == new.spans(new.sums(b), np.array([7]), np.array([67]))
+    lots = new.spans(new.sums(h), np.arange(440), np.arange(440) + 50)
+    assert len(set(lots.tolist())) == 440
+
+
+def test_word_hasher_forgets_and_agrees():
+    from loadstats.llm.common import WordHasher, releasing, word_hasher
+    small, big = WordHasher(most_held=10, most_bytes=200), WordHasher()
+    rng = random.Random(2)
+    for _ in range(50):
+        words = [("w" * rng.randint(1, 90) + str(rng.randint(0, 40))).encode() for _ in range(30)]
+        assert (small.both(words) == big.both(words)).all()
+        assert len(small._row) <= 40 and (small(words) == small.both(words)[:, 0]).all()
+    word_hasher()([b"held"])
+    assert list(releasing(lambda b: iter(b))([1, 2])) == [1, 2] and not word_hasher()._row
+
+
+def test_shards_scatter_one_id_by_its_texts(spark, tmp_path):
+    from loadstats.llm.sharding import shard
+    rows = [(7, f"text {i} " * 20) for i in range(600)] + [(None, f"other {i} " * 20) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = shard(docs, str(tmp_path / "s"), bucket_bytes=20_000).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in got) == sorted((i or 0, t) for i, t in rows)
+    for s in range(8):
+        slots = sorted(r.slot for r in got if r.shard == s)
+        assert slots == list(range(150))
+        assert 40 < sum(r.doc_id == 7 for r in got if r.shard == s) < 110

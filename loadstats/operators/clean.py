@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import attach_scalars, round_half_away
@@ -148,9 +148,27 @@ def choose_features(df: DataFrame, default: Sequence[str], extra: Sequence[str]
 
 # ------------------------------------------------------------------ J: joins and alignment
 
-def join_demand_weather(demand: DataFrame, weather: DataFrame, keys=("city", "timestamp")) -> DataFrame:
-    """Inner equi-join; AQE chooses broadcast or sort-merge at run time."""
-    return demand.join(weather, list(keys), "inner")
+def join_demand_weather(demand: DataFrame, weather: DataFrame, keys=("city", "timestamp"),
+                        unique: bool = False) -> DataFrame:
+    """Inner equi-join; AQE chooses broadcast or sort-merge at run time.
+
+    ``unique`` makes the job fail if a joined key occurs twice on either side. The check counts
+    keys with a window over the join's own keys, so it rides on the two shuffles that the
+    join needs anyway; there is no second pass."""
+    if not unique:
+        return demand.join(weather, list(keys), "inner")
+    here = Window.partitionBy(*keys)
+    sides = [df.withColumn(f"_n{i}", F.count(F.lit(1)).over(here)) for i, df in enumerate((demand, weather))]
+    joined = sides[0].join(sides[1], list(keys), "inner")
+    text = F.concat_ws(" ", F.lit("duplicate join key"), *[F.col(k).cast("string") for k in keys])
+    twice = (F.col("_n0") > 1) | (F.col("_n1") > 1)
+    return joined.where(F.when(twice, F.raise_error(text).cast("boolean")).otherwise(F.lit(True))).drop("_n0", "_n1")
+
+
+def duplicate_report(left: DataFrame, right: DataFrame, keys=("city", "timestamp")) -> DataFrame:
+    """(side, keys, count) of every key that occurs more than once on its side."""
+    return duplicate_keys(left, keys).select(F.lit("left").alias("side"), *keys, "count").unionByName(
+        duplicate_keys(right, keys).select(F.lit("right").alias("side"), *keys, "count"))
 
 
 def duplicate_keys(df: DataFrame, keys=("city", "timestamp")) -> DataFrame:

@@ -33,6 +33,7 @@ HALO = "_halo"
 
 DEFAULT_BUCKET_SECONDS = 7 * 86400
 DEFAULT_CHUNK_ROWS = 1 << 16
+DEFAULT_MOST_ROWS = 500_000         # rows of a (series, time bucket) that one task numbers
 
 
 def _as_list(x) -> list[str]:
@@ -71,15 +72,61 @@ def computed_once(df: DataFrame) -> DataFrame:
     return df
 
 
+def _fine_buckets(df: DataFrame, keys: list[str], order: str, bucket_seconds: int, most_rows: int,
+                  may_hash: bool) -> tuple[DataFrame, list[str]]:
+    """``df`` with columns that cut every (series, time bucket) of over ``most_rows`` rows into
+    cells of time, sized by counted rows; and those columns in order.
+
+    Each round counts the rows a cell and makes the cells of the buckets that are still too
+    full several times narrower, down to a microsecond. Rows with one and the same time have
+    no order of their own: they are dealt by a hash of the row, unless a tiebreak orders them."""
+    from ..session import materialize
+    width = bucket_seconds * 1_000_000
+    t = F.unix_micros(F.col(order).cast("timestamp"))
+    key = [*keys, "_bkt"]
+    keyed = df.withColumn("_t", t).withColumn("_bkt", F.floor(F.col("_t") / F.lit(width)))
+    row_hash = F.xxhash64(*df.columns)
+    cells = None                                # (series, bucket, cell width, parts of one time)
+    while True:
+        if cells is None:
+            cut = keyed.withColumn("_sub", F.lit(0).cast("long")).withColumn("_tie", F.lit(0).cast("long"))
+        else:
+            cut = join_null_safe(keyed, cells, key, "left")
+            inside = F.col("_t") - F.col("_bkt") * F.lit(width)
+            cut = (cut.withColumn("_sub", F.coalesce(F.floor(inside / F.coalesce("_cell", F.lit(width))), F.lit(0)))
+                   .withColumn("_tie", F.coalesce(F.pmod(row_hash, F.col("_parts")), F.lit(0))).drop("_cell", "_parts"))
+        out = cut.drop("_t"), ["_bkt", "_sub", "_tie"]
+        full = materialize(cut.groupBy(*key, "_sub", "_tie").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most_rows)
+                           .groupBy(*key).agg(F.max("_n").alias("_n")))
+        if not full.limit(1).count():
+            return out
+        was = full.withColumn("_cell", F.lit(width)).withColumn("_parts", F.lit(1).cast("long")) if cells is None else \
+            join_null_safe(full, cells, key, "left").withColumn("_cell", F.coalesce("_cell", F.lit(width))) \
+            .withColumn("_parts", F.coalesce("_parts", F.lit(1).cast("long")))
+        times = 4 * F.ceil(F.col("_n") / F.lit(most_rows))
+        one = (F.col("_cell") <= 1) | F.col("_bkt").isNull()
+        if not may_hash and not was.where(~one).limit(1).count():
+            return out
+        again = was.select(*key, F.greatest(F.floor(F.col("_cell") / times), F.lit(1)).alias("_cell"),
+                           F.when(one & F.lit(may_hash), F.col("_parts") * times).otherwise(F.col("_parts")).alias("_parts"))
+        if not was.where(F.col("_parts") < 1 << 20).limit(1).count():
+            return out                          # equal rows, which no hash tells apart
+        cells = materialize(again if cells is None else again.unionByName(
+            join_null_safe(cells, again.select(*key), key, "left_anti")))
+
+
 def with_position(df: DataFrame, by="city", order: str = "timestamp",
                   tiebreak: Sequence[str] = (), bucket_seconds: int = DEFAULT_BUCKET_SECONDS,
-                  pos_col: str = POS, materialize: bool | None = None) -> DataFrame:
+                  pos_col: str = POS, materialize: bool | None = None, most_rows: int = DEFAULT_MOST_ROWS) -> DataFrame:
     """Add ``pos_col`` = 0-based row position within each ``by`` series.
 
     The input feeds two branches (count table and rows). A derived input is
     written once to the shared checkpoint folder first (``materialize=None``
     decides by the plan), so its upstream aggregates and joins run once; a
     plain table scan is simply read twice.
+
+    A bucket is one task's work. In a table of over ``most_rows`` rows, buckets with more
+    than that are cut finer, by counted rows (dense or repeated times).
     """
     keys = _as_list(by)
     if materialize is None:
@@ -87,15 +134,17 @@ def with_position(df: DataFrame, by="city", order: str = "timestamp",
     if materialize:
         from ..session import materialize as _write_once
         df = _write_once(df)
-    bucket = F.floor(_epoch_seconds(order) / F.lit(bucket_seconds))
-    keyed = df.withColumn("_bkt", bucket)
-    counts = keyed.groupBy(*keys, "_bkt").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*keys, "_bkt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    inner = Window.partitionBy(*keys, "_bkt").orderBy(order, *_as_list(tiebreak))
-    return (join_null_safe(keyed, offsets, [*keys, "_bkt"])
+    if df.count() > most_rows:
+        keyed, cell = _fine_buckets(df, keys, order, bucket_seconds, most_rows, not _as_list(tiebreak))
+    else:
+        keyed, cell = df.withColumn("_bkt", F.floor(_epoch_seconds(order) / F.lit(bucket_seconds))), ["_bkt"]
+    counts = keyed.groupBy(*keys, *cell).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy(*cell).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*keys, *cell, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    inner = Window.partitionBy(*keys, *cell).orderBy(order, *_as_list(tiebreak))
+    return (join_null_safe(keyed, offsets, [*keys, *cell])
                  .withColumn(pos_col, F.col("_off") + F.row_number().over(inner) - 1)
-                 .drop("_bkt", "_off"))
+                 .drop(*cell, "_off"))
 
 
 def with_chunks(df: DataFrame, back: int, ahead: int = 0, chunk_rows: int = DEFAULT_CHUNK_ROWS,

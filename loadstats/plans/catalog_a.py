@@ -286,6 +286,19 @@ def j1(spark, sf):
     return clean.join_demand_weather(fx.demand_daily(spark, sf), fx.weather_daily(spark, sf))
 
 
+_DUP_KEYS = {"orders": "o_custkey, o_orderdate", "lineitem": "l_suppkey, l_shipdate"}
+
+
+@query("J1_duplicate_keys",
+       " UNION ALL ".join(
+           f"SELECT '{side}' AS side, {k.split(', ')[0]} AS who, {k.split(', ')[1]} AS day, count(*) AS count FROM {t} "
+           f"GROUP BY {k} HAVING count(*) > 1" for side, (t, k) in zip(("left", "right"), _DUP_KEYS.items())))
+def j1_duplicates(spark, sf):
+    sides = [_t(spark, sf, t).select(*[F.col(c).alias(n) for c, n in zip(k.split(", "), ("who", "day"))])
+             for t, k in _DUP_KEYS.items()]
+    return clean.duplicate_report(*sides, keys=("who", "day"))
+
+
 @query("J2_union_sources",
        "SELECT 'nation' AS grain, * FROM demand_daily UNION ALL SELECT 'region' AS grain, * FROM demand_region",
        ("demand_daily", "demand_region"))

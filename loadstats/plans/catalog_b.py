@@ -92,8 +92,8 @@ def _ewm_sql(span):
        f"SELECT city, timestamp, demand, {_ewm_sql(24)}, {_ewm_sql(168)} FROM (SELECT *, "
        "row_number() OVER (PARTITION BY city ORDER BY timestamp) AS rn FROM demand_hourly)", (H,))
 def g6(spark, sf):
-    h = fx.demand_hourly(spark, sf)
-    e = series.ewm_mean(series.ewm_mean(h, 24), 168)
+    h = series.with_position(fx.demand_hourly(spark, sf))        # both means from one pass of positions
+    e = series.ewm_mean(series.ewm_mean(h, 24, positioned=True), 168, positioned=True)
     return e.select("city", "timestamp", "demand", r6("demand_ewm_24").alias("demand_ewm_24"),
                     r6("demand_ewm_168").alias("demand_ewm_168"))
 
@@ -310,6 +310,24 @@ def a8(spark, sf):
     return rollup.value_counts_top(fx.table(spark, sf, "orders"), _VC_COLS, 5)
 
 
+_HLL_COLS = ["o_custkey", "o_orderdate", "o_orderpriority"]
+
+
+@query("A8_distinct_sketches",
+       " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count({c}) AS n, count(DISTINCT {c}) AS n_unique, true AS estimate_ok "
+                          "FROM orders" for c in _HLL_COLS))
+def a8_sketches(spark, sf):
+    """One sketch a day and column, kept as a table and merged; the exact count beside it and
+    whether the estimate lies within four standard errors."""
+    orders = fx.table(spark, sf, "orders")
+    kept = fx.materialize(rollup.distinct_sketches(orders, _HLL_COLS, F.date_format("o_orderdate", "yyyy-MM")))
+    exact = orders.agg(*[F.count_distinct(c).alias(c) for c in _HLL_COLS]).unpivot(
+        [], _HLL_COLS, "column", "exact")
+    both = rollup.distinct_estimates(kept).join(exact, "column")
+    near = F.abs(F.col("n_unique") - F.col("exact")) <= F.lit(4 * 0.0082) * F.col("exact") + 1
+    return both.select("column", "n", F.col("exact").alias("n_unique"), near.alias("estimate_ok"))
+
+
 @query("A9_value_share",
        f"SELECT o_orderpriority, {s6('count(*) * 1.0 / sum(count(*)) OVER ()')} AS share FROM orders GROUP BY 1")
 def a9(spark, sf):

@@ -10,7 +10,9 @@ from ..functions import calendar as cal
 from ..operators import anomaly, clean, models, rollup, sample, series
 from ..operators.features import forecast_features
 from ..sources import fixtures as fx
-from ..session import checkpoint_root
+from ..sources import bundle
+from ..session import checkpoint_root, scratch_path
+from .catalog_b import _stack_input
 from .registry import query
 
 # Round limits and depth of the final and the preliminary tree model; both
@@ -18,7 +20,7 @@ from .registry import query
 GBT_ITER = 2000
 GBT_DEPTH = 8
 PRELIM_ITER = 100
-_FITTED: dict = {}   # (application, sf_dir) -> fitted model, so the model-backed queries share one fit
+_FITTED: dict = {}   # (application, state of the input) -> fitted model, so the model-backed queries share one fit
 CLUSTER_FEATURES = ["demand", "temperature", "humidity", "wind_speed"]
 
 
@@ -40,11 +42,22 @@ def _training_frame(spark, sf):
     return train.unionByName(test).checkpoint(eager=True), names
 
 
+def _input_state(spark, sf):
+    """Files, bytes and last change of the table that the model learns from: a table that is
+    written anew at the same path is another input."""
+    m = F.col("_metadata")
+    row = fx.table(spark, sf, "events").select(m["file_path"].alias("p"), m["file_size"].alias("s"),
+                                               m["file_modification_time"].alias("t")).distinct().agg(
+        F.count(F.lit(1)).alias("n"), F.sum("s").alias("s"), F.max("t").alias("t"),
+        F.sum(F.xxhash64("p", "s", "t").cast("decimal(38,0)")).alias("h")).first()
+    return tuple(row)
+
+
 def _fit(spark, sf):
     """L2, two stages: keep the top 70 % of features by |corr| with the target
     (on train), fit a preliminary model, keep the features that make up 80 % of
     its cumulated importance, fit the final model on those."""
-    key = (spark.sparkContext.applicationId, sf)
+    key = (spark.sparkContext.applicationId, sf, _input_state(spark, sf))
     if key not in _FITTED:
         data, names = _training_frame(spark, sf)
         train = data.where(F.col("split") == "train")
@@ -85,7 +98,9 @@ def l4(spark, sf):
 
 @query("L10_forecast_run")
 def l10(spark, sf):
-    """Clamp the requested range, build features on full history, score, filter last, add bounds."""
+    """Clamp the requested range, build features on full history, score, filter last, serve as
+    each requested model (an unknown name is the ensemble, with the weights that L6 wrote),
+    add bounds."""
     h = fx.demand_hourly(spark, sf)
     rng = clean.clamp_date_range(h, "2024-01-20", "2024-03-01").first()
     if not rng["overlaps"]:
@@ -94,7 +109,16 @@ def l10(spark, sf):
     scored = models.batch_score(model, data, names)
     window = clean.filter_date_range(scored, rng["adjusted_start"], rng["adjusted_end"])
     preds = window.select("city", "timestamp", F.col("demand").alias("actual"), F.col("prediction").alias("predicted"))
-    return models.forecast_table(preds, "xgboost")
+    grid = models.weight_grid(_stack_input(spark, sf), "pa", "pb")
+    path = bundle.write_weights(bundle.weights_table(grid, second_factor=models.SERVE_SECOND_FACTOR),
+                                scratch_path(spark, "weights"))
+    weights = spark.read.schema(bundle.WEIGHTS_SCHEMA).parquet(path)
+    out = None
+    for name in ("xgboost", "ensemble", "no such model"):
+        one = bundle.served(preds, weights, name)
+        table = models.forecast_table(one.drop("model"), bundle.chosen_model(name)).withColumn("requested", F.lit(name))
+        out = table if out is None else out.unionByName(table)
+    return out
 
 
 def _clusters(spark, sf):
@@ -154,6 +178,14 @@ def n3(spark, sf):
     return flagged.select("city", "timestamp", "iso_score", "anomaly_iso")
 
 
+@query("A15_anomaly_rate_three_flags")
+def a15_three(spark, sf):
+    """Rates of all three methods: z-score, IQR and isolation forest."""
+    md = anomaly.anomaly_z_and_iqr(fx.merged_daily(spark, sf), fx.MERGED_NUMERIC)
+    flagged = anomaly.anomaly_isolation_forest(md, fx.MERGED_NUMERIC, key=("city", "timestamp"))
+    return rollup.anomaly_rate_by_city(flagged, ("anomaly_z", "anomaly_iqr", "anomaly_iso"))
+
+
 @query("D7_baseline_regressors")
 def d7(spark, sf):
     data, names = _training_frame(spark, sf)
@@ -214,7 +246,7 @@ def _permuted(df, col, key, seed=7):
 @query("D11_permutation_importance")
 def d11(spark, sf):
     model, data, names = _fit(spark, sf)
-    test = data.where(F.col("split") == "test").cache()
+    test = data.where(F.col("split") == "test")          # a checkpointed table
     base = models.batch_score(model, test, names)
     base_mae = rollup.regression_metrics(base.withColumnRenamed("prediction", "predicted")
                                          .withColumnRenamed("demand", "actual")).first()["mae"]

@@ -120,12 +120,15 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), fmt:
     return path
 
 
-def append_run_log(metrics: DataFrame, path: str, run_id: str, features: Sequence[str] = ()) -> None:
-    """One log row per run (sizes, best model, features) appended to a parquet table."""
+def append_run_log(metrics: DataFrame, path: str, run_id: str, features: Sequence[str] = (),
+                   sizes: dict[str, int] | None = None) -> None:
+    """One log row per run (rows of each split, best model, features) appended to a parquet table."""
     best = metrics.agg(F.min_by("model", F.struct("mae", "model")).alias("best_model"),
                        F.min("mae").alias("best_mae"), F.sum("n").alias("rows_scored"))
     (best.select(F.lit(run_id).alias("run_id"), F.current_timestamp().alias("logged_at"), "*",
-                 F.array(*[F.lit(f) for f in features]).cast("array<string>").alias("features"))
+                 F.array(*[F.lit(f) for f in features]).cast("array<string>").alias("features"),
+                 F.create_map(*[F.lit(x) for kv in (sizes or {}).items() for x in kv]).cast("map<string,bigint>")
+                 .alias("dataset_sizes"))
          .write.mode("append").parquet(path))
 
 
@@ -150,34 +153,55 @@ def roundtrip_weather_json(spark: SparkSession, df: DataFrame) -> DataFrame:
 
 
 def write_tables_roundtrip(spark: SparkSession, merged: DataFrame) -> DataFrame:
+    """The four outputs (load, daily, weekly, clean), each a table partitioned by city, and
+    the rows that each has for every city when read back."""
+    from ..operators.anomaly import clean_dataset
     from ..operators.rollup import daily_summary, weekly_summary
+    from ..session import materialize
     root = scratch_path(spark, "s7_tables")
-    write_table(daily_summary(merged), f"{root}/daily", ["city"])
-    write_table(weekly_summary(merged), f"{root}/weekly", ["city"])
-    return spark.read.parquet(f"{root}/daily")
+    merged = materialize(merged)                # read by all four outputs
+    numeric = [c for c, t in merged.dtypes if t == "double"]
+    outputs = {"load": merged, "daily": daily_summary(merged), "weekly": weekly_summary(merged),
+               "clean": clean_dataset(merged, numeric)}
+    sizes = None
+    for name, df in outputs.items():
+        back = spark.read.parquet(write_table(df, f"{root}/{name}", ["city"]))
+        one = back.groupBy("city").agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("output"), "city", "rows")
+        sizes = one if sizes is None else sizes.unionByName(one)
+    return sizes
 
 
 def write_metrics_roundtrip(spark: SparkSession, hourly: DataFrame) -> DataFrame:
     from ..operators import models
     from ..operators.rollup import regression_metrics
+    from ..operators.sample import split_chronological
     preds = models.naive_forecast(hourly).withColumn("model", F.lit("naive"))
     metrics = regression_metrics(preds, by="model")
     root = scratch_path(spark, "s8_metrics")
     write_table(metrics, f"{root}/json", fmt="json")            # computed once ...
     written = spark.read.schema(metrics.schema).json(f"{root}/json")
     write_table(written, f"{root}/csv", fmt="csv")              # ... the other sinks copy the written table
-    append_run_log(written, f"{root}/run_log", run_id="naive-day", features=["demand_lag_24h"])
-    return written
+    parts = split_chronological(hourly).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+    sizes = {r["split"]: r["n"] for r in parts.collect()}           # one row a split
+    append_run_log(written, f"{root}/run_log", run_id="naive-day", features=["demand_lag_24h"], sizes=sizes)
+    log = spark.read.parquet(f"{root}/run_log")
+    return written.join(log.select(F.col("best_model").alias("model"), "dataset_sizes"), "model", "left").select(
+        *written.columns, F.col("dataset_sizes")["train"].alias("train_rows"), F.col("dataset_sizes")["test"].alias("test_rows"))
 
 
 def model_roundtrip(spark: SparkSession, merged: DataFrame) -> DataFrame:
-    """Fit, save, reload and score with the reloaded model."""
-    from pyspark.ml import Pipeline, PipelineModel
+    """Fit on scaled columns, save the bundle (model, scaler, weights), reload and score with it."""
+    from pyspark.ml import Pipeline
     from pyspark.ml.regression import LinearRegression
-    from ..operators.models import assemble
-    feats = ["temperature", "humidity", "wind_speed", "pressure"]
-    model = Pipeline(stages=[assemble(feats), LinearRegression(featuresCol="features", labelCol="demand")]).fit(merged)
-    path = scratch_path(spark, "s9_model")
-    model.write().overwrite().save(path)
-    loaded = PipelineModel.load(path)
-    return loaded.transform(merged).select("city", "timestamp", "demand", "prediction")
+    from ..operators.models import SERVE_SECOND_FACTOR, SERVE_WEIGHTS, assemble
+    from ..operators.scale import minmax_stats, minmax_transform
+    from .bundle import ENSEMBLE, WEIGHTS_SCHEMA, load_bundle, save_bundle, served
+    cols = ["temperature", "humidity", "wind_speed", "pressure"]
+    feats = [f"{c}_scaled" for c in cols]
+    fitted = minmax_stats(merged, cols)
+    model = Pipeline(stages=[assemble(feats), LinearRegression(featuresCol="features", labelCol="demand")]).fit(
+        minmax_transform(merged, fitted, cols))
+    weights = spark.createDataFrame([(ENSEMBLE, *SERVE_WEIGHTS, SERVE_SECOND_FACTOR)], WEIGHTS_SCHEMA)
+    b = load_bundle(spark, save_bundle(spark, scratch_path(spark, "s9_bundle"), model, feats, fitted, weights))
+    scored = b.model.transform(minmax_transform(merged, b.scaler, cols))
+    return served(scored, b.weights, ENSEMBLE, out="prediction").select("city", "timestamp", "demand", "prediction")

@@ -178,3 +178,122 @@ def test_gram_table_of_300_columns(spark):
     few = sorted((r.a, r.b, round(r.r, 9)) for r in corr_pairs(df, cols).collect())
     many = sorted((r.a, r.b, round(r.r, 9)) for r in corr_pairs(df, cols, few=0).collect())
     assert few == many
+
+
+# -- positions ------------------------------------------------------------------------------
+
+def test_positions_of_a_dense_week(spark):
+    """A million rows in one week of one city, a third of them in one second: no task numbers
+    more than the set number of rows."""
+    from loadstats.operators import frames
+    n, most = 1_000_000, 60_000
+    at = F.when(F.col("id") % 3 == 0, F.lit(1000)).otherwise(F.col("id") % 400_000)
+    df = spark.range(n).select(F.lit("a").alias("city"), F.timestamp_seconds(F.lit(1_704_067_200) + at).alias("timestamp"),
+                               F.col("id").alias("demand"))
+    few = spark.range(50).select(F.lit("b").alias("city"), F.timestamp_seconds(F.lit(1_704_067_200) + F.col("id") * 3600).alias("timestamp"),
+                                 (F.col("id") + n).alias("demand"))
+    none = spark.range(5).select(F.lit("b").alias("city"), F.lit(None).cast("timestamp").alias("timestamp"), F.lit(-1).cast("long").alias("demand"))
+    df = df.unionByName(few).unionByName(none)
+    cut, cell = frames._fine_buckets(df, ["city"], "timestamp", frames.DEFAULT_BUCKET_SECONDS, most, True)
+    assert cut.groupBy("city", *cell).count().agg(F.max("count")).first()[0] <= most
+    p = frames.with_position(df, most_rows=most)
+    per = p.groupBy("city").agg(F.count("*").alias("n"), F.min("_pos").alias("lo"), F.max("_pos").alias("hi"),
+                                F.count_distinct("_pos").alias("d"))
+    assert {r.city: (r.n, r.lo, r.hi, r.d) for r in per.collect()} == {"a": (n, 0, n - 1, n), "b": (55, 0, 54, 55)}
+    back = p.where("city = 'a'").groupBy("timestamp").agg(F.min("_pos").alias("lo"), F.max("_pos").alias("hi"), F.count("*").alias("n"))
+    wrong = back.join(df.where("city = 'a'").groupBy("timestamp").count(), "timestamp").where("hi - lo + 1 != n")
+    assert wrong.count() == 0                                # equal times stand together
+    first = [r.timestamp for r in p.where("city = 'b'").orderBy("_pos").collect()]
+    assert first[:5] == [None] * 5 and first[5:] == sorted(first[5:])
+
+
+def test_positions_with_a_tiebreak_keep_its_order(spark):
+    from loadstats.operators.frames import with_position
+    df = spark.range(3000).select(F.lit("a").alias("city"), F.timestamp_seconds(F.col("id") % 7).alias("timestamp"),
+                                  (F.col("id") * 37 % 3001).alias("k"))
+    got = [(r.timestamp, r.k) for r in with_position(df, tiebreak=["k"], most_rows=100).orderBy("_pos").collect()]
+    assert got == sorted(got)
+
+
+# -- bundles, weights, keys, sketches ----------------------------------------------------------
+
+@pytest.fixture(scope="module")
+def fitted(spark):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+    df = spark.createDataFrame([(float(i), float(i % 5), 3.0 * i + i % 5) for i in range(60)], "a double, b double, demand double")
+    return df, Pipeline(stages=[VectorAssembler(inputCols=["a", "b"], outputCol="features"),
+                                LinearRegression(featuresCol="features", labelCol="demand")]).fit(df)
+
+
+@pytest.mark.parametrize("part", ["model/metadata", "scaler/_SUCCESS", "weights/_SUCCESS", "manifest/_SUCCESS", None])
+def test_bundle_fails_if_a_part_is_absent(spark, fitted, tmp_path, part):
+    import shutil
+    from loadstats.sources.bundle import WEIGHTS_SCHEMA, load_bundle, save_bundle
+    df, model = fitted
+    weights = spark.createDataFrame([("ensemble", 0.7, 0.3, 0.9)], WEIGHTS_SCHEMA)
+    path = str(tmp_path / "bundle")
+    with pytest.raises(FileNotFoundError):
+        load_bundle(spark, path)
+    for _ in range(2):                                       # saved again, it switches over
+        save_bundle(spark, path, model, ["a", "b"], {"a_min": 0.0, "a_max": 59.0, "b_min": None}, weights)
+    if part is None:
+        b = load_bundle(spark, path)
+        assert b.features == ["a", "b"] and b.scaler == {"a_min": 0.0, "a_max": 59.0, "b_min": None}
+        assert [tuple(r) for r in b.weights.collect()] == [("ensemble", 0.7, 0.3, 0.9)]
+        got = [r.prediction for r in b.model.transform(df).collect()]
+        assert got == [r.prediction for r in model.transform(df).collect()]
+        return
+    folder = spark.read.parquet(f"{path}/manifest").first()["folder"]
+    gone = tmp_path / "bundle" / (part if part.startswith("manifest") else f"{folder}/{part}")
+    shutil.rmtree(gone) if gone.is_dir() else gone.unlink()
+    with pytest.raises(FileNotFoundError, match=part.split("/")[0]):
+        load_bundle(spark, path)
+
+
+def test_weights_table_and_model_choice(spark, tmp_path):
+    from loadstats.sources.bundle import WEIGHTS_SCHEMA, chosen_model, served, weights_table, write_weights
+    grid = spark.createDataFrame([(0.8, 0.2, 1.5, False), (0.5, 0.5, 1.0, True)], "w_a double, w_b double, mae double, is_best boolean")
+    path = write_weights(spark.createDataFrame([("other", 0.1, 0.9, 1.0), ("ensemble", 1.0, 0.0, 1.0)], WEIGHTS_SCHEMA), str(tmp_path / "w"))
+    write_weights(weights_table(grid, second_factor=0.9), path)
+    table = spark.read.schema(WEIGHTS_SCHEMA).parquet(path)
+    assert sorted(tuple(r) for r in table.collect()) == [("ensemble", 0.5, 0.5, 0.9), ("other", 0.1, 0.9, 1.0)]
+    preds = spark.createDataFrame([("xgboost", 100.0), ("ensemble", 100.0), ("what", 100.0), (None, 100.0)], "asked string, predicted double")
+    got = {r.asked: (r.model, r.predicted) for r in served(preds, table, F.col("asked")).collect()}
+    both = ("ensemble", pytest.approx(95.0))
+    assert got == {"xgboost": ("xgboost", 100.0), "ensemble": both, "what": both, None: both}
+    assert served(preds.limit(1), table.limit(0), "lstm").first()["predicted"] == pytest.approx(97.0)
+    assert [chosen_model(x) for x in ("xgboost", "ensemble", "lstm", None)] == ["xgboost", "ensemble", "ensemble", "ensemble"]
+
+
+def test_join_checks_its_keys_on_its_own_shuffle(spark):
+    from loadstats.operators.clean import duplicate_report, join_demand_weather
+    left = spark.createDataFrame([("a", i, float(i)) for i in range(9)], "city string, timestamp int, demand double")
+    right = spark.createDataFrame([("a", i, -1.0) for i in range(7)], "city string, timestamp int, temperature double")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        good = join_demand_weather(left, right, unique=True)
+        assert good.count() == 7 and good.columns == ["city", "timestamp", "demand", "temperature"]
+        plan = good._jdf.queryExecution().executedPlan().toString()
+        assert plan.split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") == 2
+        for a, b in ((left.union(left.limit(1)), right), (left, right.union(right.limit(2)))):
+            with pytest.raises(Exception, match="duplicate join key a 0"):
+                join_demand_weather(a, b, unique=True).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    got = duplicate_report(left.union(left.limit(1)), right.union(right.limit(2))).collect()
+    assert sorted(tuple(r) for r in got) == [("left", "a", 0, 2), ("right", "a", 0, 2), ("right", "a", 1, 2)]
+
+
+def test_distinct_sketches_merge_within_their_error(spark):
+    from loadstats.operators.rollup import distinct_estimates, distinct_sketches
+    df = spark.range(200_000).select((F.col("id") % 70_001).alias("many"), (F.col("id") % 13).alias("few"),
+                                     F.lit(None).cast("string").alias("none"), (F.col("id") % 30).alias("day"))
+    days = distinct_sketches(df, ["many", "few", "none"], F.col("day").cast("string"))
+    assert days.count() == 90
+    got = {r.column: (r.n, r.n_unique) for r in distinct_estimates(days).collect()}
+    assert got["few"] == (200_000, 13) and got["none"] == (0, 0)
+    assert got["many"][0] == 200_000 and abs(got["many"][1] - 70_001) < 4 * 0.0082 * 70_001
+    whole = {r.column: r.n_unique for r in distinct_estimates(distinct_sketches(df, ["many", "few"])).collect()}
+    assert abs(whole["many"] - got["many"][1]) < 0.03 * 70_001

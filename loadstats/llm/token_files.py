@@ -174,51 +174,60 @@ class Encoder:
     """Encodes whole texts as the tokenizer file defines it, each distinct word once while held.
 
     The vocabulary's pattern never puts a token across a place before a space that a
-    non-space follows, so a text's ids are the ids of its pieces one after the other. New
-    words go to the library many at a time, as one text; the tokens' byte lengths tell where
-    each word's ids end. A text that holds one of the file's added tokens (such as an end
-    marker) is encoded by the library as a whole."""
+    non-space follows, so a text's ids are the ids of its pieces one after the other; and
+    a piece that is new is made of the pattern's matches, which are encoded once each. A text
+    that holds one of the file's added tokens (such as an end marker) is encoded by the
+    library as a whole."""
 
-    def __init__(self, tokenizer_file: str, most_held: int = 300_000):
+    def __init__(self, tokenizer_file: str, most_held: int = 400_000, most_chars: int = 12 << 20):
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
+        from public_tokenizers import PATTERN
         from tokenizers import Tokenizer
         self._t = Tokenizer.from_file(tokenizer_file)
         added = [a.content for a in self._t.get_added_tokens_decoder().values()]
         self._added = re.compile("|".join(map(re.escape, added))) if added else None
-        n = self._t.get_vocab_size(with_added_tokens=True)
-        self._size = np.array([len(self._t.id_to_token(i) or "") for i in range(n)])    # one character a byte
+        self._matches = regex.compile(PATTERN).findall
+        self._line, = self._t.encode("\n", add_special_tokens=False).ids
+        self._most, self._most_chars = most_held, most_chars
+        self._forget()
+
+    def _forget(self) -> None:
         self._words = HeldIds()         # of " " + word
-        self._most = most_held
+        self._tokens = HeldIds()        # of a match of the pattern
+        self._chars = 0                 # of what both hold
 
     def _plain(self, text: str) -> np.ndarray:
         return np.array(self._t.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.int32)
 
+    def _encode(self, matches: list[str]) -> None:
+        """Matches that are not white space go to the library many at a time, a line each."""
+        self._chars += sum(map(len, matches))
+        lines = [m for m in matches if not m.isspace()]
+        for i in range(0, len(lines), 4096):
+            some = lines[i:i + 4096]
+            ids = self._plain("\n".join(some))
+            end = np.flatnonzero(np.append(ids, self._line) == self._line)
+            self._tokens.add(some, ids[ids != self._line], np.diff(end, prepend=-1) - 1)
+        for m in matches:
+            if m.isspace():
+                ids = self._plain(m)
+                self._tokens.add([m], ids, np.array([len(ids)]))
+
     def _learn(self, words: list[str]) -> None:
-        """Words that end in something visible go many at a time, the others by themselves."""
-        plain = [w for w in words if w and not w[0].isspace() and not w[-1].isspace()]
-        known = set(plain)
-        groups = [plain[lo:lo + 4096] for lo in range(0, len(plain), 4096)]
-        groups += [[w] for w in words if w not in known]
-        while groups:
-            some = groups.pop()
-            ids = self._plain(" " + " ".join(some))
-            if len(some) == 1:
-                self._words.add(some, ids, np.array([len(ids)]))
-                continue
-            ends = np.cumsum([len(w.encode("utf-8", "replace")) + 1 for w in some])
-            upto = np.cumsum(self._size[ids])
-            last = np.minimum(np.searchsorted(upto, ends), len(upto) - 1)
-            if (upto[last] == ends).all():
-                self._words.add(some, ids, np.diff(last, prepend=-1))
-            else:
-                half = len(some) // 2
-                groups += [some[:half], some[half:]]
+        self._chars += sum(map(len, words))
+        split = [[" " + w] if w.isalpha() else self._matches(" " + w) for w in words]
+        rows = self._tokens.rows([m for ms in split for m in ms], self._encode)
+        ids, sizes = self._tokens.gather(rows)
+        ends = np.cumsum([len(ms) for ms in split])
+        total = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], ends])]
+        self._words.add(words, ids, np.diff(total))
 
     def __call__(self, texts: list[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, ``end`` after each text, and the lengths with it."""
-        if len(self._words) > self._most:
-            self._words = HeldIds()
+        if max(len(self._words), len(self._tokens)) > self._most or self._chars > self._most_chars:
+            self._forget()
         firsts, words, n = [], [], []           # what goes before a text's first space, and the words after
         for t in texts:
             if not t:
@@ -246,11 +255,21 @@ class Encoder:
         return np.concatenate(out).astype(np.uint32), np.array(sizes, dtype=np.int64)
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def _encoder(tokenizer_file: str) -> Encoder:
+    """The worker's encoder; what it holds is bounded in words and characters and serves the next task."""
+    if tokenizer_file not in _ENCODERS:
+        _ENCODERS[tokenizer_file] = Encoder(tokenizer_file)
+    return _ENCODERS[tokenizer_file]
+
+
 def _packer(tokenizer_file: str, folder: str, end: int):
     @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
-        encode = Encoder(tokenizer_file)        # its store ends with the task
+        encode = _encoder(tokenizer_file)
         ids, doc_ids, known, lengths = [], [], [], []
         for b in batches:
             texts = b.column(1).to_pylist()

@@ -75,7 +75,8 @@ def _picked(long: DataFrame, group: list[str], probs: Sequence[float], ranges: D
     ranks = [F.lit(float(p)) * (F.col("_rows") - 1) for p in probs]
     found = placed.groupBy(*group).agg(F.max("_rows").alias("_rows"), *[
         at(f(r)).alias(f"_{name}{j}") for j, r in enumerate(ranks) for name, f in (("lo", F.floor), ("hi", F.ceil))])
-    values = [F.when(F.floor(r) == r, F.col(f"_lo{j}")).otherwise(
+    # between two equal values nothing is interpolated, so a quantile on a tie is the value itself
+    values = [F.when((F.floor(r) == r) | (F.col(f"_lo{j}") == F.col(f"_hi{j}")), F.col(f"_lo{j}")).otherwise(
         (F.ceil(r) - r) * F.col(f"_lo{j}") + (r - F.floor(r)) * F.col(f"_hi{j}")) for j, r in enumerate(ranks)]
     missed = F.lit(False)
     for j in range(len(ranks)):

@@ -246,15 +246,6 @@ def p14(spark, sf):
     return _t(spark, sf, "events").drop("props")
 
 
-@query("P15_assemble_features")
-def p15(spark, sf):
-    from pyspark.ml.functions import vector_to_array
-    from ..operators.models import assemble
-    df = scale.minmax_scale(fx.merged_daily(spark, sf), W4)
-    feats = [f"{c}_scaled" for c in W4]
-    return assemble(feats).transform(df).select("city", "timestamp", vector_to_array("features").alias("features"))
-
-
 @query("P16_filter_nonnull_row",
        "SELECT * FROM (SELECT *, lag(demand, 24) OVER w AS demand_lag_24h, lag(demand, 48) OVER w AS demand_lag_48h, "
        "lag(demand, 168) OVER w AS demand_lag_168h FROM demand_hourly WINDOW w AS (PARTITION BY city ORDER BY timestamp)) "

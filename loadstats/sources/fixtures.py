@@ -11,6 +11,7 @@ text, so registered queries and their oracles start from the same rows.
 * ``merged_region``  the same at region grain (five long series)
 * ``demand_weather_gaps`` demand left-joined with weather: weather is NULL where a
   day has no shipment, the natural null-bearing input for the imputation operators
+* ``region_weather_gaps`` the same at region grain (series long enough for week lags)
 
 Sums are exact (whole cents as integers, see :func:`exact_sum`) so they do not
 depend on row order; means are those exact sums divided by the count.
@@ -97,9 +98,13 @@ def merged_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged_daily(spark, sf_dir, "region")
 
 
-def demand_weather_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return demand_daily(spark, sf_dir).join(
-        weather_daily(spark, sf_dir), ["city", "timestamp"], "left")
+def demand_weather_gaps(spark: SparkSession, sf_dir: str, grain: str = "nation") -> DataFrame:
+    return demand_daily(spark, sf_dir, grain).join(
+        weather_daily(spark, sf_dir, grain), ["city", "timestamp"], "left")
+
+
+def region_weather_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return demand_weather_gaps(spark, sf_dir, "region")
 
 
 # ---------------------------------------------------------------- SQL twins
@@ -140,12 +145,14 @@ VIEW_SQL = {
     "merged_daily": "SELECT * FROM demand_daily JOIN weather_daily USING (city, timestamp)",
     "merged_region": "SELECT * FROM demand_region JOIN weather_region USING (city, timestamp)",
     "demand_weather_gaps": "SELECT * FROM demand_daily LEFT JOIN weather_daily USING (city, timestamp)",
+    "region_weather_gaps": "SELECT * FROM demand_region LEFT JOIN weather_region USING (city, timestamp)",
 }
 
 VIEW_DEPS = {
     "merged_daily": ["demand_daily", "weather_daily"],
     "merged_region": ["demand_region", "weather_region"],
     "demand_weather_gaps": ["demand_daily", "weather_daily"],
+    "region_weather_gaps": ["demand_region", "weather_region"],
 }
 
 
@@ -177,5 +184,6 @@ VIEWS = {
     "merged_daily": merged_daily,
     "merged_region": merged_region,
     "demand_weather_gaps": demand_weather_gaps,
+    "region_weather_gaps": region_weather_gaps,
 }
 

@@ -297,3 +297,12 @@ def test_distinct_sketches_merge_within_their_error(spark):
     assert got["many"][0] == 200_000 and abs(got["many"][1] - 70_001) < 4 * 0.0082 * 70_001
     whole = {r.column: r.n_unique for r in distinct_estimates(distinct_sketches(df, ["many", "few"])).collect()}
     assert abs(whole["many"] - got["many"][1]) < 0.03 * 70_001
+
+
+def test_a_quantile_on_a_tie_is_the_value(spark):
+    """Between two equal values the weights must not leave the value by a rounding error."""
+    from loadstats.operators.quantiles import quantiles
+    values = [0.1, 0.7 / 3, 1.1 / 7, 0.0533333333333333]
+    df = spark.createDataFrame([(str(i), v) for i, v in enumerate(values) for _ in range(10)], "city string, x double")
+    got = {r.city: r.x for r in quantiles(df, ["x"], [i / 7 for i in range(8)], "city").collect()}
+    assert got == {str(i): [v] * 8 for i, v in enumerate(values)}

@@ -156,6 +156,59 @@ def train_boosted_trees(train: DataFrame, features: Sequence[str], label: str =
     return Pipeline(stages=[assemble(features), gbt]).fit(train)
 
 
+def patient_round(losses: Sequence[float], patience: int) -> tuple[int, bool]:
+    """The round (from 1) at which a fit with patience ends up: the one of least loss before the
+    loss has gone ``patience`` rounds without a gain, the earliest of equals; and whether those
+    rounds are there. NaN is no gain; without any gain the first round is taken."""
+    best, least = 1, float("inf")
+    for i, loss in enumerate(losses, 1):
+        if loss < least:
+            best, least = i, loss
+        elif i - best >= patience:
+            return best, True
+    return best, False
+
+
+def train_with_patience(train: DataFrame, features: Sequence[str], validation_col: str, label: str = "demand",
+                        patience: int = 50, max_iter: int = 2000, max_depth: int = 8, step: float = 0.05,
+                        subsample: float = 0.85, seed: int = 42) -> tuple[PipelineModel, DataFrame]:
+    """L2 with patience: boosting ends after ``patience`` rounds without a gain on the validation
+    slice, and the model is that of the best round. MLlib's own early stop is another rule (it
+    ends at the first round whose gain is below a tolerance).
+
+    A fit's first n trees do not depend on how many follow (each round has its own seed), so the
+    fit is repeated with twice the rounds until the loss of each round shows the end: the work is
+    at most twice that of the last fit, plus the fit of the best round. The rows are read many
+    times and must come in one order: pass a checkpointed or stored table.
+
+    Returns the model and a table (round, loss, is_chosen): mean squared error on the slice up to
+    the last round fitted. Without validation rows, ``ValueError``."""
+    ready = assemble(features)
+    rows = ready.transform(train).select(label, validation_col, "features")
+    held = rows.where(F.col(validation_col))
+    if not held.limit(1).count():
+        raise ValueError(f"no row of {validation_col}")
+    seen = rows.where(~F.col(validation_col))
+
+    def fit(n):
+        return GBTRegressor(featuresCol="features", labelCol=label, maxDepth=max_depth, stepSize=step, maxIter=n,
+                            subsamplingRate=subsample, seed=seed).fit(seen)
+
+    n = min(max_iter, 2 * patience)
+    while True:
+        model = fit(n)
+        losses = model.evaluateEachIteration(held, "squared")
+        best, ended = patient_round(losses, patience)
+        if ended or n >= max_iter:
+            break
+        n = min(max_iter, 2 * n)
+    if best < n:
+        model = fit(best)
+    table = train.sparkSession.createDataFrame([(i, float(v), i == best) for i, v in enumerate(losses, 1)],
+                                               "round int, loss double, is_chosen boolean")
+    return PipelineModel(stages=[ready, model]), table
+
+
 def select_two_stage(train: DataFrame, features: Sequence[str], label: str = "demand", corr_share: float = 0.7,
                      importance_share: float = 0.8, max_depth: int = 6, prelim_iter: int = 100,
                      validation_col: str | None = None) -> list[str]:

@@ -15,11 +15,12 @@ from ..session import checkpoint_root, scratch_path
 from .catalog_b import _stack_input
 from .registry import query
 
-# Round limits and depth of the final and the preliminary tree model; both
-# stop early on the validation slice.
+# Round limits and depth of the final and the preliminary tree model, which
+# stop early on the validation slice, and the rounds without gain that patience allows.
 GBT_ITER = 2000
 GBT_DEPTH = 8
 PRELIM_ITER = 100
+PATIENCE = 50
 _FITTED: dict = {}   # (application, state of the input) -> fitted model, so the model-backed queries share one fit
 CLUSTER_FEATURES = ["demand", "temperature", "humidity", "wind_speed"]
 
@@ -77,6 +78,15 @@ def l2(spark, sf):
                                         F.col("prediction").alias("predicted"))
 
 
+@query("L2_boosting_rounds")
+def l2_rounds(spark, sf):
+    """Loss of every round on the validation slice, and the round that 50 rounds of patience choose."""
+    _, data, names = _fit(spark, sf)
+    train = data.where(F.col("split") == "train")
+    return models.train_with_patience(train, names, "is_validation", max_iter=GBT_ITER, max_depth=GBT_DEPTH,
+                                      patience=PATIENCE)[1]
+
+
 @query("L3_feature_importance")
 def l3(spark, sf):
     model, _, names = _fit(spark, sf)

@@ -243,6 +243,47 @@ def test_near_vectors_recall(spark, tile_rows):
     assert all(r["kept"] == (r["component_id"] == i) and r["component_id"] <= i for i, r in got.items())
 
 
+def test_sketches_leave_only_close_calls_open_and_lose_none(spark):
+    """Pairs at a hair from the cosine, on both sides: whatever a sketch decides is right, what it
+    leaves open is decided in double precision, and the counts are those of all pairs."""
+    from loadstats.llm.spherical_caps import ROUNDING, _sketched, near_duplicates
+    rng = np.random.default_rng(3)
+    x, y = rng.standard_normal((2, 120, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    c = 0.9 + np.repeat([-1e-3, -1e-5, -1e-6, 1e-6, 1e-5, 1e-3], 20)[:, None]
+    y = c * x + np.sqrt(1 - c * c) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    q, step, off = _sketched(np.concatenate([x, y]))
+    s = q * step[:, None]
+    whole = np.concatenate([x, y])
+    bound = 2 * off.max() + off.max() ** 2 + ROUNDING
+    assert np.abs(s @ s.T - whole @ whole.T).max() <= bound < 1e-3
+    rows = [(i, v.tolist()) for i, v in enumerate(whole)] + [(1000 + i, v.tolist()) for i, v in enumerate(x[60:80])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r for r in near_duplicates(table).collect()}
+    every = np.array([v for _, v in rows])
+    want = ((every @ every.T >= 0.9).sum(axis=1) - 1).tolist()
+    near = sum(got[i]["n_links"] for i, _ in rows)
+    assert all(got[i]["n_links"] <= w for (i, _), w in zip(rows, want, strict=True)) and near >= 0.97 * sum(want)
+    assert all(got[i]["n_links"] == got[i + 120]["n_links"] == 0 for i in range(60))
+    assert all(got[1000 + i]["n_links"] == got[60 + i]["n_links"] >= 1 for i in range(20))
+
+
+def test_thousands_of_links_just_above_the_cosine(spark):
+    """Recall over the whole operator where it is hardest: 3,000 pairs at 0.90 to 0.92."""
+    from loadstats.llm.spherical_caps import near_duplicates
+    rng = np.random.default_rng(12)
+    x, y = rng.standard_normal((2, 3000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    c = rng.uniform(0.9001, 0.92, (3000, 1))
+    y = c * x + np.sqrt(1 - c * c) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([x, y]))]
+    got = near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert got.where("vec_id >= 3000 AND component_id = vec_id - 3000 AND n_links = 1").count() >= 0.97 * 3000
+    assert got.agg(F.max("n_links")).first()[0] == 1
+
+
 def test_vectors_odd_rows(spark):
     from loadstats.llm.spherical_caps import near_duplicates
     nan, inf = float("nan"), float("inf")

@@ -34,6 +34,7 @@ from .common import HeldIds, bounded_batches, forgettable, releasing
 
 N_BEST = 4
 LONGEST = 24            # characters of a part that the batched pass takes
+SHORT = 256          # up to this length a part's pieces are looked up one by one
 _PARTS = re.compile(r" *[^ ]+| +")
 
 
@@ -127,8 +128,24 @@ class Vocabulary:
         """For every place of a part the lattice's edges (from, score, piece) that end there;
         the piece of a character that none covers is -1, for its bytes."""
         n = len(part)
-        c = np.frombuffer(part.encode("utf-32-le", "replace"), dtype=np.uint32).astype(np.uint64)
         into: list[list] = [[] for _ in range(n + 1)]
+        if n <= SHORT:                                          # too few places to be worth arrays
+            for size in range(1, min(n, self.longest) + 1):
+                for i in range(n - size + 1):
+                    piece = self.id.get(part[i:i + size])
+                    if piece is not None:
+                        into[i + size].append((i, self.score[part[i:i + size]], piece))
+        else:
+            self._long_edges(part, into)
+        for j in range(1, n + 1):
+            if not any(i == j - 1 for i, _, _ in into[j]):
+                into[j].append((j - 1, self.byte_score * len(part[j - 1].encode("utf-8", "replace")), -1))
+        return into
+
+    def _long_edges(self, part: str, into: list[list]) -> None:
+        """The edges of a long part, all places at once."""
+        n = len(part)
+        c = np.frombuffer(part.encode("utf-32-le", "replace"), dtype=np.uint32).astype(np.uint64)
         h = np.zeros(n, dtype=np.uint64)
         for size in range(1, min(n, self.longest) + 1):
             h = _hash_chars(h[:n - size + 1], c[size - 1:])
@@ -138,10 +155,6 @@ class Vocabulary:
             for i, s, piece in zip(start.tolist(), self._scores[pieces].tolist(), self._ids[pieces].tolist(), strict=True):
                 if self.text[piece] == part[i:i + size]:        # the hash proposes, the text decides
                     into[i + size].append((i, s, piece))
-        for j in range(1, n + 1):
-            if not any(i == j - 1 for i, _, _ in into[j]):
-                into[j].append((j - 1, self.byte_score * len(part[j - 1].encode("utf-8", "replace")), -1))
-        return into
 
     @staticmethod
     def _forward(into: list) -> tuple[list[float], list[int]]:

@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from .common import components, runs, saved
 
@@ -137,18 +138,25 @@ def _decoded(codes: list[Codes], x: np.ndarray) -> list[np.ndarray]:
                                                strict=True)]
 
 
-def _unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, unit) with unit as float64 bytes; NULL for vectors that cannot be compared."""
-    for b in batches:
-        out = []
-        for v in b.column(1).to_pylist():
-            x = None if v is None or not v or any(c is None for c in v) else np.array(v, dtype=np.float64)
-            if x is None or not np.isfinite(x).all() or not x.any():
-                out.append(None)
-                continue
-            x = x / np.abs(x).max()                 # no overflow in the squares
-            out.append((x / np.linalg.norm(x) + 0.0).tobytes())
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["id", "unit"])
+def _scaled(kind: str):
+    """(id, vec) with the vector as bytes of ``kind``, its largest component scaled to 0.5 to 1 by a
+    power of two, which rounds nothing; NULL for vectors that cannot be compared."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for v in b.column(1).to_pylist():
+                x = None if v is None or not v or any(c is None for c in v) else np.array(v, dtype=np.float64)
+                if x is None or not np.isfinite(x).all() or not x.any():
+                    out.append(None)
+                    continue
+                x = np.ldexp(x, -np.frexp(np.abs(x).max())[1])      # no overflow in the squares
+                out.append((x + 0.0).astype(kind).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["id", "vec"])
+    return run
+
+
+def _stacked(raw: pa.Array, kind: str) -> np.ndarray:
+    return np.stack([np.frombuffer(r, dtype=kind) for r in raw.to_pylist()]).astype(np.float64)
 
 
 def _number_type(ps: tuple[Plan, ...]) -> str:
@@ -163,15 +171,15 @@ def _sketched(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return q, step, np.linalg.norm(x - q * step[:, None], axis=1)
 
 
-def _decoder(ps: tuple[Plan, ...]):
+def _decoder(ps: tuple[Plan, ...], kind: str):
     number = pa.int32() if _number_type(ps) == "int" else pa.int64()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = _codes(ps)
         for b in batches:
-            raw = b.column("unit").to_pylist()
-            for lo in range(0, len(raw), 512):
-                x = np.stack([np.frombuffer(r, dtype=np.float64) for r in raw[lo:lo + 512]])
+            for lo in range(0, b.num_rows, 512):
+                x = _stacked(b.column("vec").slice(lo, 512), kind)
+                x /= np.linalg.norm(x, axis=1, keepdims=True)
                 q, step, off = _sketched(x)
                 yield pa.RecordBatch.from_arrays(
                     [*(b.column(c).slice(lo, len(x)) for c in ("id", "copies")),
@@ -181,10 +189,26 @@ def _decoder(ps: tuple[Plan, ...]):
     return run
 
 
+def _least_reached(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The smallest id that each of ``ids`` reaches by the links between places ``i`` and ``j``."""
+    order = np.argsort(ids, kind="stable")
+    rank = np.empty_like(order)
+    rank[order] = np.arange(len(ids))
+    i, j = rank[i], rank[j]
+    up = np.arange(len(ids))
+    while (up[i] != up[j]).any():
+        a, b = up[i], up[j]
+        np.minimum.at(up, np.maximum(a, b), np.minimum(a, b))   # a root hangs below a smaller one
+        while (up != up[up]).any():
+            up = up[up]
+    return ids[order][up[rank]]
+
+
 def _verified(cosine: float):
     """Of each tile: for every vector the linked others (weighted by copies) that this tile
-    counts, and one edge for each of them that is smallest. A pair that the sketches leave
-    open is a row of its own without a count."""
+    counts, and an edge to the smallest id that the tile's links reach from it; the nearest
+    smaller one alone would leave a vector apart whose links are all to larger ids that have
+    smaller ones. A pair that the sketches leave open is a row of its own without a count."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches, 3):
             ids, copies = t.column("id").to_numpy(), t.column("copies").to_numpy()
@@ -216,21 +240,23 @@ def _verified(cosine: float):
                                                   pa.array(ids[j[~sure]])], names=["id", "links", "least"])
                 i, j = i[sure], j[sure]
             n = np.bincount(i, weights=copies[j], minlength=len(ids)) + np.bincount(j, weights=copies[i], minlength=len(ids))
-            least = ids.copy()
-            np.minimum.at(least, i, ids[j])
-            np.minimum.at(least, j, ids[i])
+            least = _least_reached(ids, i, j)
             has = n > 0
             yield pa.RecordBatch.from_pydict({"id": ids[has], "links": n[has].astype(np.int64), "least": least[has]})
     return run
 
 
-def _settled(cosine: float):
-    """Pairs that sketches left open, decided in double precision; of a link one row for each end."""
+def _settled(cosine: float, kind: str):
+    """Pairs that sketches left open, decided in double precision on the vectors as given (the
+    product of rounded unit vectors falls short of a cosine that is met exactly); of a link one
+    row for each end."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, y = (np.stack([np.frombuffer(r, dtype=np.float64) for r in b.column(c).to_pylist()])
-                    if b.num_rows else np.empty((0, 1)) for c in ("a_unit", "b_unit"))
-            near = np.einsum("ij,ij->i", x, y) >= cosine
+            if not b.num_rows:
+                continue
+            x, y = (_stacked(b.column(c), kind) for c in ("a_vec", "b_vec"))
+            xy, xx, yy = (np.einsum("ij,ij->i", u, v) for u, v in ((x, y), (x, x), (y, y)))
+            near = xy / np.sqrt(xx * yy) >= cosine
             a, b_, na, nb = (b.column(c).to_numpy()[near] for c in ("a", "b", "a_copies", "b_copies"))
             least = np.minimum(a, b_)
             yield pa.RecordBatch.from_pydict({"id": np.concatenate([a, b_]), "links": np.concatenate([nb, na]),
@@ -238,13 +264,13 @@ def _settled(cosine: float):
     return run
 
 
-def _verify(rows: DataFrame, rep: DataFrame, cosine: float) -> DataFrame:
-    """(id, links, least) over the tiles in ``rows``; ``rep`` (rep, unit, copies) has the whole vectors."""
+def _verify(rows: DataFrame, rep: DataFrame, cosine: float, kind: str) -> DataFrame:
+    """(id, links, least) over the tiles in ``rows``; ``rep`` (rep, vec, copies) has the whole vectors."""
     found = saved(rows.repartition("filter", "x", "y").sortWithinPartitions("filter", "x", "y")
                   .mapInArrow(_verified(cosine), "id long, links long, least long"), "verified")
-    end = lambda c: rep.select(F.col("rep").alias(c), F.col("unit").alias(f"{c}_unit"), F.col("copies").alias(f"{c}_copies"))
+    end = lambda c: rep.select(F.col("rep").alias(c), F.col("vec").alias(f"{c}_vec"), F.col("copies").alias(f"{c}_copies"))
     pairs = found.where("links IS NULL").select(F.col("id").alias("a"), F.col("least").alias("b"))
-    settled = pairs.join(end("a"), "a").join(end("b"), "b").mapInArrow(_settled(cosine), "id long, links long, least long")
+    settled = pairs.join(end("a"), "a").join(end("b"), "b").mapInArrow(_settled(cosine, kind), "id long, links long, least long")
     return found.where("links IS NOT NULL").union(saved(settled, "settled"))
 
 
@@ -256,25 +282,27 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector: str = "e
     * Vectors that are NULL, empty, zero, or hold NULL or non-finite components link with
       nothing: 0 links, a component of their own, kept. So do vectors whose length is not
       that of the first comparable one by id.
-    * Equal unit vectors (a third of the table, say) are compared once; their copies count
-      as links of each other and of whatever links with them, and are not expanded to pairs.
+    * Equal vectors (a third of the table, say), powers of two apart or not, are compared once;
+      their copies count as links of each other and of whatever links with them, and are not
+      expanded to pairs.
     * NULL ids: 0 links, component_id and kept NULL. Rows that repeat an id count as copies.
     * A filter with more than ``tile_rows`` vectors becomes tiles of pairs of its blocks.
     * An empty table gives an empty result. Other columns are not read.
     """
     every = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("v"))
-    unit = saved(every.mapInArrow(_unit, "id long, unit binary"), "unit")
-    live = unit.where("id IS NOT NULL AND unit IS NOT NULL")
-    first = live.orderBy("id").select(F.octet_length("unit")).first()
+    kind = "<f4" if every.schema["v"].dataType.elementType == FloatType() else "<f8"
+    whole = saved(every.mapInArrow(_scaled(kind), "id long, vec binary"), "scaled")
+    live = whole.where("id IS NOT NULL AND vec IS NOT NULL")
+    first = live.orderBy("id").select(F.octet_length("vec")).first()
     if first is None:
-        none = unit.select("id").withColumn("links", F.lit(0).cast("long")).withColumn("root", F.col("id"))
+        none = whole.select("id").withColumn("links", F.lit(0).cast("long")).withColumn("root", F.col("id"))
     else:
         size = first[0]
-        live = live.where(F.octet_length("unit") == size)
-        rep = saved(live.groupBy("unit").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "rep")
-        ps = (p,) if p else tuple(plans(rep.count(), size // 8, cosine))
-        coded = saved(rep.select(F.col("rep").alias("id"), "copies", "unit").repartition("id").mapInArrow(
-            _decoder(ps), "id long, copies long, sketch binary, step double, off double, "
+        live = live.where(F.octet_length("vec") == size)
+        rep = saved(live.groupBy("vec").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "rep")
+        ps = (p,) if p else tuple(plans(rep.count(), size // np.dtype(kind).itemsize, cosine))
+        coded = saved(rep.select(F.col("rep").alias("id"), "copies", "vec").repartition("id").mapInArrow(
+            _decoder(ps, kind), "id long, copies long, sketch binary, step double, off double, "
             f"filters array<{_number_type(ps)}>"), "coded")
         passed = coded.select("id", F.explode("filters").alias("filter"))
         held = passed.groupBy("filter").agg(F.ceil(F.count(F.lit(1)) / tile_rows).cast("int").alias("_k"),
@@ -284,14 +312,14 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector: str = "e
             "filter", F.least("s", "_o").alias("x"), F.greatest("s", "_o").alias("y"), "id", "s")
         rows = tiles.join(coded, "id").select("filter", "x", "y", "id", "s", "copies", "sketch", "step", "off",
                                                F.filter("filters", lambda f: f < F.col("filter")).alias("filters"))
-        found = _verify(rows, rep, cosine)
+        found = _verify(rows, rep, cosine, kind)
         links = found.groupBy("id").agg(F.sum("links").alias("links"))
         root = components(found, "id", "least")
         of_rep = (rep.join(links, rep["rep"] == links["id"], "left").drop("id")
                   .join(root, F.col("rep") == F.col("node"), "left")
-                  .select("unit", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"),
+                  .select("vec", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"),
                           F.coalesce("root", "rep").alias("root")))
-        none = unit.join(of_rep.withColumnRenamed("unit", "_u"), (F.col("unit") == F.col("_u")) & F.col("id").isNotNull(), "left").select(
+        none = whole.join(of_rep.withColumnRenamed("vec", "_v"), (F.col("vec") == F.col("_v")) & F.col("id").isNotNull(), "left").select(
             "id", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "id").alias("root"))
     return none.select(F.col("id").alias(id_col), F.col("links").alias("n_links"), F.col("root").alias("component_id"),
                        (F.col("id") == F.col("root")).alias("kept"))

@@ -284,6 +284,48 @@ def test_thousands_of_links_just_above_the_cosine(spark):
     assert got.agg(F.max("n_links")).first()[0] == 1
 
 
+def angles(spark, degrees):
+    rows = [(i, [float(np.cos(np.radians(d))), float(np.sin(np.radians(d)))]) for i, d in degrees]
+    return spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+
+
+def test_a_link_to_a_larger_id_that_has_a_smaller_one_connects(spark):
+    """1 and 2 are both linked with 3 but not with each other; 10 to 14 are a chain out of order.
+    One filter that all vectors pass holds every pair."""
+    from loadstats.llm.spherical_caps import Plan, near_duplicates
+    table = angles(spark, [(1, 0), (3, 20), (2, 40), (10, 120), (14, 140), (11, 160), (13, 180), (12, 200), (20, 270)])
+    got = {r["vec_id"]: tuple(r)[1:] for r in near_duplicates(table, p=Plan(2, 1, 2, -2.0, 1)).collect()}
+    assert got == {1: (1, 1, True), 3: (2, 1, False), 2: (1, 1, False), 10: (1, 10, True), 14: (2, 10, False),
+                   11: (2, 10, False), 13: (2, 10, False), 12: (1, 10, False), 20: (0, 20, True)}
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_a_cosine_met_exactly_is_a_link(spark, kind):
+    """81 + 9 + 9 + 1 = 100, so the cosine with an axis is 9 / 10; 89999 / 100000 falls short."""
+    from loadstats.llm.spherical_caps import near_duplicates
+    rows = [(1, [10.0, 0.0, 0.0, 0.0]), (2, [9.0, 3.0, 3.0, 1.0]), (3, [0.0, 0.0, 0.0, 7.0]), (4, [-3.0, 0.0, 1.0, 9.0]),
+            (5, [-63.0, 0.0, -7.0, 189.0]), (6, [0.0, 2.0, 0.0, 0.0]), (7, [0.0, 9.0, 0.0, -4.3591])]
+    got = near_duplicates(spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")).collect()
+    x = np.array([v for _, v in rows])
+    near = x @ x.T >= 0.9 * np.sqrt(np.outer((x * x).sum(axis=1), (x * x).sum(axis=1)))
+    assert {r["vec_id"]: r["n_links"] for r in got} == {i: int(n) - 1 for (i, _), n in zip(rows, near.sum(axis=1), strict=True)}
+    assert near[0, 1]
+
+
+def test_least_reached_is_that_of_brute_force():
+    from loadstats.llm.spherical_caps import _least_reached
+    rng = np.random.default_rng(6)
+    for n, m in ((2, 1), (50, 20), (50, 45), (300, 280), (300, 2000)):
+        ids = rng.choice(10 * n, n, replace=False)
+        i, j = rng.integers(0, n, (2, m))
+        want, old = ids.copy(), None
+        while old is None or (old != want).any():
+            old = want.copy()
+            for a, b in zip(i, j):
+                want[a] = want[b] = min(want[a], want[b])
+        assert (_least_reached(ids, i, j) == want).all()
+
+
 def test_vectors_odd_rows(spark):
     from loadstats.llm.spherical_caps import near_duplicates
     nan, inf = float("nan"), float("inf")

@@ -20,9 +20,11 @@ pieces, so decoding gives back every text exactly.
 from __future__ import annotations
 
 import heapq
+import json
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -68,16 +70,23 @@ class Vocabulary:
         self.longest = max(map(len, self.id))
         self.byte_score = -math.log(n) - 4.0
         # pieces by a hash of their characters, for the batched pass
-        by_hash = {}
-        for p, i in self.id.items():
-            h = np.zeros(1, dtype=np.uint64)
-            for ch in p:
-                h = _hash_chars(h, np.array([ord(ch)], dtype=np.uint64))
-            if by_hash.setdefault(int(h[0]), i) != i:
-                raise ValueError("two pieces hash alike")
-        keys = sorted(by_hash)
-        self._keys = np.array(keys, dtype=np.uint64)
-        self._ids = np.array([by_hash[k] for k in keys], dtype=np.int32)
+        by_size: dict[int, list[str]] = {}
+        for p in self.id:
+            by_size.setdefault(len(p), []).append(p)
+        hashes, ids = [], []
+        for size, same in by_size.items():
+            c = np.frombuffer("".join(same).encode("utf-32-le"), dtype=np.uint32).reshape(-1, size).astype(np.uint64)
+            h = np.zeros(len(same), dtype=np.uint64)
+            for j in range(size):
+                h = _hash_chars(h, c[:, j])
+            hashes.append(h)
+            ids += [self.id[p] for p in same]
+        hashes = np.concatenate(hashes)
+        order = np.argsort(hashes)
+        self._keys = hashes[order]
+        if (self._keys[1:] == self._keys[:-1]).any():
+            raise ValueError("two pieces hash alike")
+        self._ids = np.array(ids, dtype=np.int32)[order]
         self._scores = np.array([self.score[self.text[i]] for i in self._ids.tolist()])
         self._slots = self._placed(self._keys)
         self._plain = frozenset(p for p in self.id if len(p) == 1) | {chr(i) for i in range(128)}
@@ -349,6 +358,22 @@ def vocabulary(model_file: str) -> Vocabulary:
     return _VOCABULARIES[model_file]
 
 
+@lru_cache(maxsize=4)
+def _piece_bytes(model_file: str) -> str:
+    """The bytes of every id's piece, as a JSON array of hexadecimal strings; control pieces have none."""
+    import sentencepiece
+    sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
+
+    def one(i: int) -> str:
+        piece = sp.id_to_piece(i)
+        if sp.is_byte(i):
+            return piece[3:5]
+        if sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i):
+            return ""
+        return piece.replace("▁", " ").encode().hex()
+    return json.dumps([one(i) for i in range(sp.get_piece_size())])
+
+
 OTHERS = pa.list_(pa.list_(pa.struct([("at", pa.int32()), ("length", pa.int32()), ("ids", pa.list_(pa.int32()))])))
 
 
@@ -391,21 +416,16 @@ def encode(docs: DataFrame, model_file: str, text: str = "text", n_best: int = N
 
 
 def decode(coded: DataFrame, model_file: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """``coded`` with ``out``, the text of its ids, added; NULL ids give a NULL text."""
-    @releasing
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(model_file)
-        for b in batches:
-            for lo in range(0, b.num_rows, 512):
-                some = b.slice(lo, 512)
-                yield pa.RecordBatch.from_arrays([*some.columns[1:], v.decode(some.column(0))],
-                                                 names=[*some.schema.names[1:], out])
+    """``coded`` with ``out``, the text of its ids, added; NULL ids give a NULL text.
 
-    bounded_batches(coded.sparkSession)
+    The text is a DataFrame expression over the pieces' bytes, a literal of the vocabulary's
+    size: it is made where :func:`encode` hands its rows over, and takes no Python worker
+    beside the one that encodes."""
+    pieces = F.from_json(F.lit(_piece_bytes(model_file)), "array<string>")
     rest = [F.col(f"`{c}`") for c in coded.columns if c.lower() != out.lower()]
-    sent = coded.select(F.col(f"`{ids}`").cast("array<int>").alias("_ids_in"), *rest)
-    schema = sent.drop("_ids_in").schema.add(out, "string")
-    return sent.mapInArrow(run, schema)
+    spelled = F.transform(F.col(f"`{ids}`").cast("array<int>"), lambda i: F.element_at(pieces, i + 1))
+    text = F.make_valid_utf8(F.unhex(F.array_join(spelled, "")).cast("string"))
+    return coded.select(*rest, F.regexp_replace(text, "^ ", "").alias(out))
 
 
 def codec_digest(docs: DataFrame, model_file: str) -> DataFrame:

@@ -112,6 +112,23 @@ def test_codec_digest_round_trips(frame):
     assert codec_digest(frame([]), model).count() == 0
 
 
+def test_decode_is_an_expression_and_equals_the_vocabulary(spark, vocab):
+    """It starts no Python worker beside the one that encodes; also for ids that are no text."""
+    from loadstats.llm.queries import tokenizer_path
+    from loadstats.llm.sentencepiece_codec import decode
+    rng = random.Random(8)
+    rows = [(i, [rng.choice((rng.randrange(3, 259), rng.randrange(32_000), rng.randrange(6)))
+                 for _ in range(rng.randrange(30))]) for i in range(400)] + [(400, None), (401, [])]
+    made = decode(spark.createDataFrame(rows, "doc_id long, ids array<int>"), tokenizer_path("piece_bpe_32k.model"))
+    import contextlib
+    import io
+    with contextlib.redirect_stdout(io.StringIO()) as said:
+        made.explain("formatted")
+    assert "InArrow" not in said.getvalue() and made.columns == ["doc_id", "ids", "decoded"]
+    want = vocab.decode(pa.array([ids for _, ids in rows], pa.list_(pa.int32()))).to_pylist()
+    assert {r.doc_id: r.decoded for r in made.collect()} == {i: w for (i, _), w in zip(rows, want, strict=True)}
+
+
 # -- token files -----------------------------------------------------------------------
 
 def test_wavelet_matrix_against_arrays():

@@ -24,6 +24,7 @@ import re
 import struct
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -169,6 +170,14 @@ class WaveletMatrix:
 
 _GAP = re.compile(r"(?= \S)")
 _MIXED = re.compile(r" (?:\s|$)")
+_MARKS = frozenset(".,;:!?\"()-")      # after letters, each is a match of the pattern by itself at a word's end
+
+
+def _byte_chars() -> dict[int, int]:
+    """Of each byte, the character that stands for it in a byte-level vocabulary: itself where it
+    can be seen, else the next free one from 256 on."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: b for b in seen} | {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(seen)))}
 
 
 class Encoder:
@@ -185,8 +194,13 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
         from public_tokenizers import PATTERN
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, models, pre_tokenizers
         self._t = Tokenizer.from_file(tokenizer_file)
+        # a file of byte-level merges alone: its pattern's matches can go straight to its model
+        direct = (self._t.normalizer is None and isinstance(self._t.pre_tokenizer, pre_tokenizers.ByteLevel)
+                  and isinstance(self._t.model, models.BPE))
+        self._merged = self._t.model.tokenize if direct else None
+        self._chars_of = _byte_chars()
         added = [a.content for a in self._t.get_added_tokens_decoder().values()]
         self._added = re.compile("|".join(map(re.escape, added))) if added else None
         self._matches = regex.compile(PATTERN).findall
@@ -202,11 +216,18 @@ class Encoder:
         return np.array(self._t.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.int32)
 
     def _encode(self, matches: list[str]) -> None:
-        """Matches that are not white space go to the library many at a time, a line each."""
+        """Matches that are not white space go to the library's model as the characters of their
+        bytes; without such a model to the library, many at a time, a line each."""
         self._chars += sum(map(len, matches))
         lines = [m for m in matches if not m.isspace()]
         for i in range(0, len(lines), 4096):
             some = lines[i:i + 4096]
+            if self._merged is not None:
+                spelled = "\n".join(some).encode().decode("latin-1").translate(self._chars_of).split(chr(self._chars_of[10]))
+                made = [[t.id for t in self._merged(m)] for m in spelled]
+                sizes = np.fromiter(map(len, made), dtype=np.int64, count=len(made))
+                self._tokens.add(some, np.fromiter(chain.from_iterable(made), dtype=np.int32, count=int(sizes.sum())), sizes)
+                continue
             ids = self._plain("\n".join(some))
             end = np.flatnonzero(np.append(ids, self._line) == self._line)
             self._tokens.add(some, ids[ids != self._line], np.diff(end, prepend=-1) - 1)
@@ -224,7 +245,8 @@ class Encoder:
                 self._forget()
             matches, n = [" " + w for w in some], np.ones(len(some), dtype=np.int64)
             if mixed := [k for k, w in enumerate(some) if not w.isalpha()]:
-                made = [self._matches(matches[k]) for k in mixed]
+                made = [[matches[k][:-1], w[-1]] if w[-1:] in _MARKS and w[:-1].isalpha() else self._matches(matches[k])
+                        for k, w in zip(mixed, map(some.__getitem__, mixed), strict=True)]
                 n[mixed] = [len(ms) for ms in made]
                 at = 0
                 whole = []
@@ -276,7 +298,7 @@ class Encoder:
             at += sum(map(len, cut))
         coded = pa.chunked_array(words, pa.large_string()).dictionary_encode()
         del words
-        held = self._encoded(coded.chunk(0).dictionary.to_pylist() if coded.num_chunks else [])
+        held = self._encoded(coded.chunk(0).dictionary.to_numpy(zero_copy_only=False).tolist() if coded.num_chunks else [])
         rows = np.concatenate([c.indices.to_numpy() for c in coded.chunks] or [np.empty(0, np.int32)])
         del coded
         out, sizes = [], []

@@ -188,6 +188,28 @@ def test_encoder_takes_a_column_and_encodes_each_match_once():
     assert len(sent) == len(set(sent)) > 400
 
 
+def test_matches_go_to_the_model_itself():
+    """Only first words and white space are encoded as texts; marks and letters of all kinds come out alike."""
+    from tokenizers import Tokenizer
+
+    from loadstats.llm.queries import tokenizer_path
+    from loadstats.llm.token_files import Encoder
+    path, rng = tokenizer_path("byte_bpe_50k.json"), random.Random(6)
+    bits = ["ab", "É", "界", "e\u0301", "ʰ", "\u00ad", "\x7f", "\x1f", "😀", "9", "٣", "'", "'ll", "don't"]
+    words = ["".join(rng.choices(bits, k=rng.randint(1, 3))) + rng.choice(["", *".,;:!?\"()-'’…\n", "?!", ".\nThe"])
+             for _ in range(600)] + [m for m in ".,;:!?\"()-"]
+    texts = ["first " + " ".join(rng.choices(words, k=40)) for _ in range(80)] + [f"x {w}" for w in words]
+    e, whole = Encoder(path), []
+    plain = e._plain
+    e._plain = lambda text: (whole.append(text), plain(text))[1]
+    ids, n = e(texts, 0)
+    library = Tokenizer.from_file(path)
+    want = [library.encode(t, add_special_tokens=False).ids + [0] for t in texts]
+    assert ids.tolist() == [i for w in want for i in w] and n.tolist() == list(map(len, want))
+    odd = {t for t in texts if " \x1f" in t}       # a space that white space follows: encoded as a whole text up to a word
+    assert all(t in ("first", "x") or t.isspace() or any(o.startswith(t) for o in odd) for t in whole)
+
+
 def test_token_files_split_hot_and_missing_ids(spark, tmp_path):
     """One id, and NULL, with half of the rows each fill many shards; an id of -2**63 is no NULL."""
     from loadstats.llm.queries import tokenizer_path
